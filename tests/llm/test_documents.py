@@ -1,0 +1,177 @@
+"""Line dedup, quality rules, packing and near-dedup against brute force."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm import brute
+from tidemark.llm import line_dedup, near_dedup, packing, quality_rules
+
+LONG = "The same line of more than forty characters stands here"
+ODD = [
+    (1, None),
+    (2, ""),
+    (3, "  \t\n \n"),
+    (4, "a b c"),
+    (5, f"{LONG}\n  {LONG.upper()}\t\nx"),
+    (6, f"{LONG}\n{LONG}"),
+    (7, f"y\n{LONG}"),
+    (8, f"{LONG} "),
+    (9, f"{LONG}\n"),
+    (10, "word " * 3000),
+    (11, "a b c"),
+    (12, "A\x0bB C"),
+    (13, " ".join(f"w{i}" for i in range(100))),
+    (14, " ".join(f"w{i}" for i in range(100)) + " more"),
+    (15, " ".join(f"W{i}" for i in range(100))),
+    (16, " ".join(f"$w{i}#" for i in range(100))),
+    (17, "é" * 50 + "\n" + "日本 " * 60),
+    (None, LONG),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(d, t, "x", 1, 2, True) for d, t in ODD], "doc_id long, text string, key string, pos int, n_words int, kept boolean")
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+
+def pairs(df):
+    return [tuple(r) for r in df.select("doc_id", "text").collect()]
+
+
+def test_lines(docs, odd):
+    for df in (docs, odd, odd.unionByName(odd), odd.limit(0)):
+        assert rows(line_dedup.line_report(df), "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(brute.lines(pairs(df)), key=str)
+
+
+def test_lines_taken_out(odd):
+    got = line_dedup.dedup_lines(odd)
+    assert got.schema.names == odd.schema.names
+    texts = {r.doc_id: r.text for r in got.collect()}
+    assert texts[5] == "x" and texts[6] == "" and texts[9] == f"{LONG}\n" and texts[1] is None and texts[None] == LONG
+
+
+def test_hot_line_over_partitions(spark):
+    """One key in all rows: it spans every range partition, so all of it is decided at the edges."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(LONG), F.when(F.col("id") % 3 == 0, F.concat(F.lit("\n"), "id", F.lit("-"), F.col("id") % 7, F.lit("z" * 45)))).alias("text"))
+    df = df.withColumn("text", F.coalesce("text", F.lit(LONG)))
+    assert rows(line_dedup.line_report(df), "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(brute.lines(pairs(df)), key=str)
+
+
+def test_quality(docs, odd):
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    for df in (docs, odd, odd.unionByName(odd), odd.limit(0)):
+        report = quality_rules.quality_report(df)
+        assert rows(report, *names) == sorted(brute.quality(pairs(df)), key=str)
+        assert not report.where("base_failed and kept").count()
+
+
+def test_quality_order_changes_no_verdict(docs):
+    rules = list(quality_rules.RULES)
+    m = quality_rules.with_metrics(docs)
+    one, two = (rows(m.select("doc_id", quality_rules.cascade(r).isNull().alias("kept")), "doc_id", "kept") for r in (rules, rules[::-1]))
+    assert one == two and any(x[1] for x in one) and not all(x[1] for x in one)
+
+
+def test_quality_long_text_path(docs, monkeypatch):
+    names = ["doc_id", "n_words", "n_repeat_words"]
+    short = rows(quality_rules.quality_report(docs), *names)
+    monkeypatch.setattr(quality_rules, "PLACE_BITS", 3)  # all but tiny texts take the other path
+    assert rows(quality_rules.quality_report(docs), *names) == short
+
+
+def test_keep_good_keeps_columns(odd):
+    got = quality_rules.keep_good(odd)
+    assert got.schema.names == odd.schema.names and {r.doc_id for r in got.collect()} == {13, 14, 15}
+
+
+PATH = __import__("public_tokenizers").path("word_bpe_49k.json")
+
+
+def test_packing(docs, odd):
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    for df, size in ((docs, 4096), (odd, 64), (odd.unionByName(odd), 64), (odd.limit(0), 64)):
+        got = packing.pack(df, PATH, size=size, group_docs=50).collect()
+        want = []
+        for d, t in pairs(df):
+            ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+            want += [(d, s, len(ids[s : s + size]), zlib.crc32(np.array(ids[s : s + size], "<u4").tobytes()), len(ids)) for s in range(0, len(ids), size)]
+        assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+        at = {}
+        for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == at.get(r.sequence_id, 0)
+            at[r.sequence_id] = r.offset + r.length
+        assert all(x <= size for x in at.values())
+    assert packing.pack(docs, PATH).selectExpr("count(distinct sequence_id) * 4096 / sum(length) x").first().x < 1.05
+
+
+def test_words_ids_with_a_small_cache(docs, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 10)
+    words = packing.WordIds(PATH)
+    texts = [t for _, t in pairs(docs)[:50]] + ["x <|endoftext|> y", "İ ΑΣ 's'S"]
+    for t in texts:
+        assert list(next(iter(words.batch([t.encode()])))) == words.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_first_fit_decreasing_is_first_fit():
+    import numpy as np
+
+    lengths = np.random.default_rng(1).integers(1, 101, 300)
+    room, want = [], {}
+    for i in np.argsort(-lengths, kind="stable"):
+        b = next((k for k, r in enumerate(room) if r >= lengths[i]), len(room))
+        if b == len(room):
+            room.append(100)
+        want[i] = (b, 100 - room[b])
+        room[b] -= lengths[i]
+    bins, offsets = packing.first_fit_decreasing(lengths, 100)
+    assert [want[i] for i in range(300)] == list(zip(bins, offsets, strict=True))
+
+
+def test_near(docs, odd):
+    for df in (docs, odd.where("doc_id is not null"), odd.limit(0)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+        assert got == brute.near(pairs(df))
+
+
+def test_near_odd_rows(odd):
+    got = near_dedup.near_duplicates(odd.unionByName(odd))
+    assert got.count() == 2 * len(ODD)
+    assert {(r.component_id, r.kept) for r in got.where("doc_id is null").collect()} == {(None, True)}
+    left = near_dedup.drop_near_duplicates(odd)
+    assert left.schema.names == odd.schema.names
+    assert sorted(r.doc_id for r in left.where("doc_id in (4, 11, 12, 13, 14, 15)").collect()) == [4, 13]
+
+
+def test_near_chain_is_one_component(spark):
+    """Each text is near to the next only, so links must come from more than the buckets' smallest."""
+    words = [f"w{i}" for i in range(400)]
+    df = spark.createDataFrame([(i, " ".join(words[8 * i : 8 * i + 100])) for i in range(30)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute.near(pairs(df)) and len({c for _, c in got.values()}) == 1
+
+
+def test_hamming_keys_are_complete():
+    """Any two signatures within the distance share a key."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 32, near_dedup.K, dtype=np.uint32)
+        b = a.copy()
+        b[rng.choice(near_dedup.K, near_dedup.DISTANCE, replace=False)] ^= np.uint32(1)
+        one, two = near_dedup.key_rows(np.stack([a, b]))
+        assert (one == two).any()
