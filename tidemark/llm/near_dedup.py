@@ -32,41 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
+from tidemark.llm.hashing import ODD, mix, word_hashes
 
 WORDS = 5
 K, CHUNKS, DISTANCE = 64, 16, 31
 PERCENT = 75
 BLOCK = 512
-CACHE_WORDS = 400_000
-
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser, by whole arrays."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Words(dict):
-    """word to its 64-bit hash; a worker's words are hashed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
-def word_hashes(text: bytes | None) -> np.ndarray:
-    """uint64 hashes of the lower-cased words of a text."""
-    words = (text or b"").lower().split()
-    return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-
 
 def shingles(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     """Sorted distinct uint64 hashes of the runs of words; fewer words than that make one run."""
@@ -76,7 +47,7 @@ def shingles(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     run = min(n, words)
     h = np.full(n - run + 1, np.uint64(run))
     for i in range(run):
-        h = _mix(h * _ODD + hashes[i : n - run + 1 + i])
+        h = mix(h * ODD + hashes[i : n - run + 1 + i])
     return np.unique(h)
 
 
@@ -106,7 +77,7 @@ def key_rows(signatures: np.ndarray, chunks: int = CHUNKS, distance: int = DISTA
             h = np.full(n, np.uint64(len(out) + 1))
             for i in range(lo, hi):
                 if i not in gone:
-                    h = _mix(h * _ODD + wide[:, i])
+                    h = mix(h * ODD + wide[:, i])
             out.append(h)
     return np.stack(out, axis=1).view(np.int64)
 

@@ -72,10 +72,13 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the metrics as __tm_ columns; Spark computes only those that are used."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     length_without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    # Words, lines and windows are columns of projections of their own: used several times above, Spark keeps them so.
-    out = docs.withColumns({"__tm_w": words_of(text), "__tm_l": F.filter(lines_of(text), lambda x: F.btrim(x, F.lit(SPACE)) != "")})
+    # Words, lines and windows must be computed once a row: a predicate that Spark moves below their projection would
+    # put their expressions into the lambdas above and compute them for each word. Spark moves nothing over columns
+    # that are not deterministic in name; this condition always holds.
+    once = F.monotonically_increasing_id() >= 0
+    out = docs.withColumns({"__tm_w": F.when(once, words_of(text)), "__tm_l": F.when(once, F.filter(lines_of(text), lambda x: F.btrim(x, F.lit(SPACE)) != ""))})
     short = f"size(__tm_w) < {1 << PLACE_BITS}"
-    out = out.withColumns({"__tm_s": F.expr(f"case when {short} then {_WINDOWS} else array() end"), "__tm_g": F.expr(f"case when {short} then array() else sort_array(transform(sequence(0, size(__tm_w) - 3), i -> struct(xxhash64(__tm_w[i], __tm_w[i + 1], __tm_w[i + 2]) as h, i as i))) end")})
+    out = out.withColumns({"__tm_s": F.when(once, F.expr(f"case when {short} then {_WINDOWS} else array() end")), "__tm_g": F.when(once, F.expr(f"case when {short} then array() when size(__tm_w) < 3 then array() else sort_array(transform(sequence(0, size(__tm_w) - 3), i -> struct(xxhash64(__tm_w[i], __tm_w[i + 1], __tm_w[i + 2]) as h, i as i))) end"))})
     return out.withColumns(
         {
             "__tm_n_words": F.size("__tm_w").cast("long"),
