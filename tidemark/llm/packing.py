@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 SEQUENCE = 4096
 GROUP_DOCS = 4096
 END_ID = 2
-CACHE_WORDS = 500_000
+CACHE_WORDS = 900_000
+JOINED_WORDS = 500
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -43,6 +44,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, at in self.tokenizer.get_vocab().items():
+            self.ends[at] = token.endswith("</w>")
+        self.tails = {t: ids[0] for t in (b",", b".") if len(ids := self.tokenizer.encode(t.decode(), add_special_tokens=False).ids) == 1}
         self._clear()
 
     @classmethod
@@ -60,22 +65,48 @@ class WordIds:
         self.used = 0
 
     def _learn(self, words: set[bytes]) -> None:
-        fresh = list(words)
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ids = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(lengths.sum()))
+        # A word and the comma or full stop after it are token runs of their own: only the word is new to learn.
+        tailed = [w for w in words if w[-1:] in self.tails and w[-2:-1].islower()]
+        words.difference_update(tailed)
+        words.update({w[:-1] for w in tailed}.difference(self.index))
+        self._add(*self._encoded(words))
+        at = np.fromiter((self.index[w[:-1]] for w in tailed), dtype=np.int64, count=len(tailed))
+        lengths = self.lengths[at] + 1
+        ids = self._gathered(self.starts[at], lengths)
+        ids[np.cumsum(lengths) - 1] = np.fromiter((self.tails[w[-1:]] for w in tailed), dtype=np.uint32, count=len(tailed))
+        self._add(tailed, lengths, ids)
+
+    def _encoded(self, words: set[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words in some order, their numbers of ids, and the ids."""
+        texts = {w: w.decode("utf-8", "replace") for w in words}
+        # Words of lower-case Latin letters are one token run each, which ends with an end-of-word token: many are
+        # encoded as one text, and cut at those tokens.
+        plain = [w for w, t in texts.items() if t.isalpha() and t.islower() and max(t) < "\u0250"]
+        other = list(texts.keys() - set(plain))
+        joined = [" ".join([texts[w] for w in plain[i : i + JOINED_WORDS]]) for i in range(0, len(plain), JOINED_WORDS)]
+        runs = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast([texts[w] for w in other], add_special_tokens=False)]
+        lengths = np.concatenate([np.zeros(0, dtype=np.int64), *(np.diff(np.flatnonzero(self.ends[r]), prepend=-1) for r in runs), np.fromiter(map(len, alone), dtype=np.int64, count=len(alone))])
+        return plain + other, lengths, np.concatenate([np.zeros(0, dtype=np.uint32), *runs, np.fromiter(itertools.chain.from_iterable(alone), dtype=np.uint32)])
+
+    def _add(self, words: list[bytes], lengths: np.ndarray, ids: np.ndarray) -> None:
         known = len(self.index)
-        for name, have, need in (("flat", self.used, len(ids)), ("starts", known, len(fresh)), ("lengths", known, len(fresh))):
+        for name, have, need in (("flat", self.used, len(ids)), ("starts", known, len(words)), ("lengths", known, len(words))):
             old = getattr(self, name)
-            if have + need > len(old):
+            if have + need >= len(old):
                 new = np.zeros(2 * (have + need), dtype=old.dtype)
                 new[:have] = old[:have]
                 setattr(self, name, new)
         self.flat[self.used : self.used + len(ids)] = ids
-        self.lengths[known : known + len(fresh)] = lengths
-        self.starts[known : known + len(fresh)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[known : known + len(words)] = lengths
+        self.starts[known : known + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.index.update(zip(fresh, range(known, known + len(fresh)), strict=True))
+        self.index.update(zip(words, range(known, known + len(words)), strict=True))
+
+    def _gathered(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The runs of flat from starts, one after another."""
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def batch(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """The ids of each text. Texts are taken in runs of a few MB, which bounds the memory beside the cache."""
@@ -96,16 +127,13 @@ class WordIds:
         fresh: set[bytes] = set()
         for words in split:
             fresh.update(words)
-        fresh.difference_update(self.index)
+        fresh = fresh.difference(self.index)  # a look at each fresh word, not at each known one
         if fresh:
             self._learn(fresh)
         starts, lengths = self.starts, self.lengths
         for words in split:
             at = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
-            n = lengths[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self.flat[np.repeat(starts[at] - ends + n, n) + np.arange(total)]
+            yield self._gathered(starts[at], lengths[at])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
