@@ -1,4 +1,11 @@
-"""Registered queries by name."""
+"""Registered queries by name, and DuckDB SQL for them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidemark.plans.behaviour import ORACLES as _behaviour_sql
+from tidemark.plans.behaviour import QUERIES as _behaviour
+from tidemark.plans.orders import ORACLES as _orders_sql
+from tidemark.plans.orders import QUERIES as _orders
+from tidemark.plans.rules import ORACLES as _rules_sql
+from tidemark.plans.rules import QUERIES as _rules
+
+QUERIES = {**_behaviour, **_orders, **_rules}
+ORACLE_SQL = {**_behaviour_sql, **_orders_sql, **_rules_sql}
