@@ -40,9 +40,10 @@ END = 0x454E44  # stands for the end token; words hash to all of 64 bits
 TOP_WORDS = 500_000
 SHARD_BYTES = 1 << 29
 LEVELS = 64
-WORD_STEPS, WORD_HASHES = 4, (10, 4)  # levels a doubling of the count; hashes of the first level, and of each other
+WORD_STEPS, WORD_HASHES = 4, (10, 3)  # levels a doubling of the count; hashes of the first level, and of each other
 PAIR_STEPS, PAIR_HASHES = 1, (8, 2)
-CHUNK = 2_000_000
+#: Tokens that are counted together before they move, and that are scored together.
+COUNT_CHUNK, SCORE_CHUNK = 800_000, 250_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -54,20 +55,26 @@ def levels(counts: np.ndarray, steps: int) -> np.ndarray:
     return np.minimum(1 + np.floor(steps * np.log2(counts) + 1e-9).astype(np.int64), LEVELS - 1)
 
 
-def _places(keys: np.ndarray, level: int, j: int, sizes: np.ndarray) -> np.ndarray:
+def _hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit hashes of (key, level), of which all its places are made."""
+    h = mix(keys ^ np.uint64(level * int(ODD) & 0xFFFFFFFFFFFFFFFF))
+    return h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+
+
+def _places(one: np.ndarray, two: np.ndarray, j: int, sizes: np.ndarray) -> np.ndarray:
     """Bit numbers below sizes."""
-    h = mix(keys ^ np.uint64((level * 97 + j + 1) * int(ODD) & 0xFFFFFFFFFFFFFFFF))
-    return ((h >> np.uint64(32)) * sizes) >> np.uint64(32)
+    return (((one + np.uint64(j) * two) & np.uint64(0xFFFFFFFF)) * sizes) >> np.uint64(32)
 
 
 class Filter:
     """Segments of a log-frequency Bloom filter; a key's segment is its remainder."""
 
-    def __init__(self, segments: list[bytes], hashes: tuple[int, int]):
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, hashes: tuple[int, int]):
+        """sizes: bytes of each segment, which lie one after another in bits."""
         self.hashes = hashes
-        self.sizes = np.array([8 * len(s) for s in segments], dtype=np.uint64)
+        self.sizes = 8 * sizes.astype(np.uint64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.bits = np.frombuffer(b"".join(segments), dtype=np.uint8)
+        self.bits = bits
 
     @staticmethod
     def segment(keys: np.ndarray, level: np.ndarray, hashes: tuple[int, int]) -> bytes:
@@ -76,56 +83,79 @@ class Filter:
         size = 64 * max(1, math.ceil(1.4427 * inserted / 64))
         bits = np.zeros(size, dtype=bool)
         for at in range(1, int(level.max(initial=0)) + 1):
-            mine = keys[level >= at]
+            one, two = _hashed(keys[level >= at], at)
             for j in range(hashes[at > 1]):
-                bits[_places(mine, at, j, np.uint64(size))] = True
+                bits[_places(one, two, j, np.uint64(size))] = True
         return np.packbits(bits, bitorder="little").tobytes()
 
     def levels(self, keys: np.ndarray, segments: np.ndarray) -> np.ndarray:
         """The level of each key, by probes of rising levels."""
         found = np.zeros(len(keys), dtype=np.int64)
-        live = np.arange(len(keys))
+        live, mine = np.arange(len(keys)), keys
         sizes, starts = self.sizes[segments], self.starts[segments]
         for at in range(1, LEVELS):
+            one, two = _hashed(mine, at)
             for j in range(self.hashes[at > 1]):
-                p = starts[live] + _places(keys[live], at, j, sizes[live])
-                live = live[(self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                p = starts + _places(one, two, j, sizes)
+                on = ((self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).view(bool)
+                if not on.all():
+                    live, mine, one, two, sizes, starts = (x[on] for x in (live, mine, one, two, sizes, starts))
             if not len(live):
                 break
             found[live] = at
         return found
 
 
-def _levels_of(words: Filter, hashes: np.ndarray) -> np.ndarray:
-    """The level of each word; a distinct word is probed once."""
-    distinct, back = np.unique(hashes, return_inverse=True)
-    return words.levels(distinct, _segment_of(distinct, len(words.sizes)))[back]
+def _top_places(top: tuple, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word stands in the broadcast table, and whether it does."""
+    keys = top[0]
+    if not len(keys):
+        return np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+    return at, keys[at] == distinct
 
 
-def _runs(batches: Iterator[pa.RecordBatch], training_only: bool) -> Iterator[list[tuple]]:
-    """Lists of (row number in its batch, batch, token hashes) of about CHUNK tokens."""
+def _levels_of(words: Filter, top: tuple, distinct: np.ndarray) -> np.ndarray:
+    """The level of each distinct word. Frequent words have many levels to probe: the table holds their answers."""
+    at, hit = _top_places(top, distinct)
+    out = np.zeros(len(distinct), dtype=np.int64)
+    out[hit] = top[2][at[hit]]
+    rest = distinct[~hit]
+    out[~hit] = words.levels(rest, _segment_of(rest, len(words.sizes)))
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], training_only: bool, chunk: int) -> Iterator[list[tuple]]:
+    """Lists of (row number in its batch, batch, token hashes) of about chunk tokens."""
     run, size = [], 0
     for b in batches:
-        for i, (doc, text) in enumerate(zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True)):
+        for i, (doc, text) in enumerate(zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()), strict=True)):
             if training_only and held_out(doc):
                 continue
-            run.append((i, b, word_hashes(text, END)))
+            run.append((i, b, word_hashes(text.as_py(), END)))
             size += len(run[-1][2])
-            if size >= CHUNK:
+            if size >= chunk:
                 yield run
                 run, size = [], 0
     if run:
         yield run
 
 
-def _counted(keys: np.ndarray) -> pa.RecordBatch:
-    distinct, counts = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "c"])
+def _packed(keys: np.ndarray, counts: np.ndarray, segments: int) -> pa.RecordBatch:
+    """A row for each segment: its keys and counts as bytes, which move and are read without a step for each key."""
+    seg = _segment_of(keys, segments)
+    order = np.argsort(seg, kind="stable")
+    held, starts = np.unique(seg[order], return_index=True)
+    cuts = [*starts.tolist(), len(order)]
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    runs = list(zip(cuts, cuts[1:], strict=False))
+    return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array([keys[i:j].tobytes() for i, j in runs], type=pa.binary()), pa.array([counts[i:j].tobytes() for i, j in runs], type=pa.binary())], names=["seg", "keys", "counts"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run in _runs(batches, True):
-        yield _counted(np.concatenate([r[2] for r in run]))
+    for run in _runs(batches, True, COUNT_CHUNK):
+        distinct, counts = np.unique(np.concatenate([r[2] for r in run]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "c"])
 
 
 def _histories(run: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,20 +172,22 @@ def pair_keys(before: np.ndarray, tokens: np.ndarray, level: np.ndarray) -> np.n
 
 
 def _segments(steps: int, hashes: tuple[int, int]):
-    """mapInArrow function: a partition's (seg, key, c) to a segment for each number that it holds."""
+    """mapInArrow function: a partition's packed counts to a segment for each number that it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        segs, keys, counts = (np.concatenate([b.column(i).to_numpy() for b in tables]) for i in range(3))
-        del tables
-        for seg in np.unique(segs):
-            mine = segs == seg
-            order = np.argsort(keys[mine], kind="stable")
-            k, c = keys[mine][order], counts[mine][order]
+        parts: dict[int, list[tuple[bytes, bytes]]] = {}
+        for b in batches:
+            for seg, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                parts.setdefault(seg, []).append((keys, counts))
+        for seg in sorted(parts):
+            held = parts.pop(seg)
+            k = np.frombuffer(b"".join(x for x, _ in held), dtype=np.uint64)
+            c = np.frombuffer(b"".join(x for _, x in held), dtype=np.int64)
+            del held
+            order = np.argsort(k, kind="stable")
+            k, c = k[order], c[order]
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            k, c = k[first].view(np.uint64), np.add.reduceat(c, first)
+            k, c = k[first], np.add.reduceat(c, first)
             q = levels(c, steps)
             history = (k & np.uint64(63)).astype(np.int64)
             sums = [np.bincount(at, weights=w, minlength=LEVELS).astype(np.int64) for at, w in ((q, None), (q, c), (history, None), (history, c))]
@@ -165,10 +197,23 @@ def _segments(steps: int, hashes: tuple[int, int]):
     return run
 
 
+def _repacked(segments: int):
+    """mapInArrow function: (key, c) to packed counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield _packed(b.column("key").to_numpy().view(np.uint64), b.column("c").to_numpy(), segments)
+
+    return run
+
+
+_PACKED = "seg int, keys binary, counts binary"
+
+
 def _gathered(counts: DataFrame, segments: int, steps: int, hashes: tuple[int, int]) -> tuple[DataFrame, np.ndarray]:
     """The written segments of a filter, and the sums over them."""
-    seg = F.pmod(F.shiftrightunsigned("key", 6), F.lit(segments)).cast("int").alias("seg")
-    made = written(counts.select(seg, "key", "c").repartition(segments, "seg").mapInArrow(_segments(steps, hashes), "seg int, bits binary, sums array<long>"), "bloom")
+    made = written(counts.repartition(segments, "seg").mapInArrow(_segments(steps, hashes), "seg int, bits binary, sums array<long>"), "bloom")
     rows = made.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
     sums = np.zeros(4 * LEVELS + 2, dtype=np.int64)
     for r in rows:
@@ -177,21 +222,32 @@ def _gathered(counts: DataFrame, segments: int, steps: int, hashes: tuple[int, i
 
 
 def _filter(made: DataFrame, segments: int, hashes: tuple[int, int], low: int = 0, high: int | None = None) -> Filter:
-    """Segments low to high; an absent one holds nothing."""
-    empty, high = bytes(8), segments if high is None else high
-    found = {r["seg"]: bytes(r["bits"]) for r in made.where(F.col("seg").between(low, high - 1)).select("seg", "bits").toLocalIterator()}
-    return Filter([found.get(i, empty) for i in range(low, high)], hashes)
+    """Segments low to high; an absent one holds nothing. They come one after another into one array."""
+    high = segments if high is None else high
+    mine = made.where(F.col("seg").between(low, high - 1))
+    sizes = np.full(high - low, 8, dtype=np.int64)
+    for r in mine.select("seg", F.length("bits").alias("n")).collect():
+        sizes[r["seg"] - low] = r["n"]
+    starts = np.cumsum(sizes) - sizes
+    bits = np.zeros(int(sizes.sum()), dtype=np.uint8)
+    for r in mine.select("seg", "bits").toLocalIterator():
+        at = starts[r["seg"] - low]
+        bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return Filter(sizes, bits, hashes)
 
 
 def _segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> np.uint64(6)) % np.uint64(segments)).astype(np.int64)
 
 
-def _count_pairs(words):
+def _count_pairs(words, top, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches, True):
+        for part in _runs(batches, True, COUNT_CHUNK):
             tokens, before = _histories(part)
-            yield _counted(pair_keys(before, tokens, _levels_of(words.value, before)))
+            distinct, back = np.unique(before, return_inverse=True)
+            keys = pair_keys(before, tokens, _levels_of(words.value, top.value, distinct)[back])
+            del tokens, before, back
+            yield _packed(*np.unique(keys, return_counts=True), segments)
 
     return run
 
@@ -212,19 +268,20 @@ def _score(words, pairs, top, model: dict, shard: tuple[int, int], segments: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_base = model["log_base"]
-        for part in _runs(batches, False):
+        for part in _runs(batches, False, SCORE_CHUNK):
             tokens, before = _histories(part)
             lengths = np.array([len(r[2]) for r in part])
             text = np.repeat(np.arange(len(part)), lengths)
             distinct, back = np.unique(tokens, return_inverse=True)
-            level = words.value.levels(distinct, _segment_of(distinct, len(words.value.sizes)))[back]
+            level = _levels_of(words.value, top.value, distinct)[back]
             history = np.roll(level, 1)
             history[0] = model["end_level"]
             keys = pair_keys(before, tokens, history)
             seg = _segment_of(keys, segments)
             mine = np.flatnonzero((seg >= low) & (seg < high))
             found = np.zeros(len(tokens), dtype=np.int64)
-            found[mine] = pairs.value.levels(keys[mine], seg[mine] - low)
+            asked, again = np.unique(keys[mine], return_inverse=True)
+            found[mine] = pairs.value.levels(asked, _segment_of(asked, segments) - low)[again]
             alone = (model["word_mean"][level] + 0.1) / model["room"]
             seen = np.maximum(model["pair_mean"][found] - model["discount"], 0) / np.maximum(model["word_mean"][history], 1e-9)
             p = np.where(history > 0, np.minimum(seen, 1 - model["back_off"][history]) + model["back_off"][history] * alone, alone)
@@ -236,10 +293,10 @@ def _score(words, pairs, top, model: dict, shard: tuple[int, int], segments: int
                 nothing = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(uid), doc, nothing, nothing, pa.nulls(n, pa.float64()), pa.array(score), nothing, nothing], schema=schema)
                 continue
-            top_keys, top_counts = top.value
-            at = np.minimum(np.searchsorted(top_keys, distinct), max(len(top_keys) - 1, 0))
-            hit = top_keys[at] == distinct if len(top_keys) else np.zeros(len(distinct), dtype=bool)
-            c = np.where(hit, top_counts[at] if len(top_keys) else 0, 0)[back]
+            at, hit = _top_places(top.value, distinct)
+            c = np.zeros(len(distinct), dtype=np.int64)
+            c[hit] = top.value[1][at[hit]]
+            c = c[back]
             known = hit[back]
             base = np.bincount(text[known], weights=np.log10(c[known] + 0.1) - log_base, minlength=n)
             yield pa.RecordBatch.from_arrays([pa.array(uid), doc, pa.array(lengths), pa.array(np.bincount(text[known], minlength=n)), pa.array(base), pa.array(score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
@@ -263,7 +320,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_w
     segments = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     counts = written(base.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
-    made, sums = _gathered(counts, segments, WORD_STEPS, WORD_HASHES)
+    made, sums = _gathered(counts.mapInArrow(_repacked(segments), _PACKED), segments, WORD_STEPS, WORD_HASHES)
     held = made.agg(F.sum(F.length("bits"))).first()[0] or 0
     if held > shard_bytes:
         raise ValueError(f"the word filter takes {held} bytes, over shard_bytes={shard_bytes}: raise it, or the executors' memory with it")
@@ -283,9 +340,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_w
     frequent = counts.where(F.col("c") >= least).toPandas() if least is not None else None
     keys = frequent["key"].to_numpy(dtype=np.int64).view(np.uint64) if frequent is not None else np.zeros(0, dtype=np.uint64)
     order = np.argsort(keys)
-    top = sc.broadcast((keys[order], frequent["c"].to_numpy(dtype=np.int64)[order] if frequent is not None else np.zeros(0, dtype=np.int64)))
+    keys, c = keys[order], frequent["c"].to_numpy(dtype=np.int64)[order] if frequent is not None else np.zeros(0, dtype=np.int64)
+    top = sc.broadcast((keys, c, word_filter.levels(keys, _segment_of(keys, segments))))
 
-    pairs, pair_sums = _gathered(base.mapInArrow(_count_pairs(words), "key long, c long"), segments, PAIR_STEPS, PAIR_HASHES)
+    pairs, pair_sums = _gathered(base.mapInArrow(_count_pairs(words, top, segments), _PACKED), segments, PAIR_STEPS, PAIR_HASHES)
     n_pairs, pair_sum, kinds, tokens = (pair_sums[i * LEVELS : (i + 1) * LEVELS] for i in range(4))
     once, twice = pair_sums[4 * LEVELS :]
     discount = once / (once + 2 * twice) if once and twice else 0.5
@@ -297,7 +355,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_w
         "back_off": np.divide(discount * kinds, tokens, out=np.full(LEVELS, 0.5), where=tokens > 0),
         "room": room,
         "log_base": math.log10(room),
-        "end_level": int(_levels_of(word_filter, np.array([END], dtype=np.uint64))[0]),
+        "end_level": int(_levels_of(word_filter, top.value, np.array([END], dtype=np.uint64))[0]),
     }
     sizes = {r["seg"]: r["n"] for r in pairs.select("seg", F.length("bits").alias("n")).collect()}
     shards, low, size = [], 0, 0
