@@ -63,7 +63,7 @@ RULES = (
     Rule("repeated_windows", "100 * __tm_n_repeat_words > 50 * __tm_n_words"),
     Rule("symbols", "10 * __tm_n_symbols > __tm_n_words"),
     Rule("word_length", "__tm_word_chars < 2 * __tm_n_words or __tm_word_chars > 15 * __tm_n_words"),
-    Rule("repeated_lines", "10 * __tm_n_dup_lines > 3 * __tm_n_lines"),
+    Rule("repeated_lines", "__tm_n_dup_lines > 3 and 10 * __tm_n_dup_lines > 3 * __tm_n_lines"),
     Rule("few_letters", "10 * __tm_n_letters < 6 * __tm_word_chars"),
 )
 

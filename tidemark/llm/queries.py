@@ -95,7 +95,7 @@ m as (select d.doc_id, len(words)::bigint as n_words, length(regexp_replace(text
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not (base_failed or 10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 15 * n_words
-            or 10 * n_dup_lines > 3 * n_lines or 10 * n_letters < 6 * word_chars) as kept
+            or (n_dup_lines > 3 and 10 * n_dup_lines > 3 * n_lines) or 10 * n_letters < 6 * word_chars) as kept
 from b
 """,
     "op9_near_dedup": f"""
