@@ -1 +1,116 @@
-"""streaming."""
+"""Streaming forms: windowed aggregates that streams accept, and keyed state for sequences, dwell and enrichment."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tidemark.operators.windows import streaming_top_n
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State on disk with incremental checkpoints, for state beyond the executors' memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def pv_uv(rows: DataFrame, time: str, size: str, user: str) -> DataFrame:
+    """Exact PV and UV by window, as two aggregates: by (window, user), then by window. rows need a watermark."""
+    by_user = rows.groupBy(F.window(time, size).alias("w"), user).agg(F.count("*").alias("n"))
+    out = by_user.groupBy(F.window(F.window_time("w"), size).alias("w")).agg(F.sum("n").alias("pv"), F.count("*").alias("uv"))
+    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "pv", "uv")
+
+
+def top_pages(rows: DataFrame, time: str, size: str, group: str, item: str, n: int) -> DataFrame:
+    counted = rows.groupBy(F.window(time, size).alias("w"), group, item).agg(F.count("*").alias("pv"))
+    top = streaming_top_n(counted, [F.window(F.window_time("w"), size).alias("w"), group], "pv", item, n)
+    out = top.select("w", group, F.posexplode("top").alias("at", "t"))
+    return out.select(F.col("w.start").alias("window_start"), group, F.col("t.name").alias(item), (-F.col("t.v")).alias("pv"), (F.col("at") + 1).alias("rn"))
+
+
+def early_fire(rows: DataFrame, time: str, size: str, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """A long window whose running result is given at each trigger: start it with output mode update."""
+    return rows.groupBy(F.window(time, size).alias("w"), *keys).agg(*aggs)
+
+
+def sequence_matches(rows: DataFrame, steps: Sequence[str], times: int, fire: str) -> DataFrame:
+    """user_id, ts of each fire event at which a user has passed steps in order at least times.
+
+    rows: user_id, ts, event_id, event_type. The state of a user is one number; a batch's events are taken in order.
+    """
+    steps = list(steps)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at = state.get[0] if state.exists else 0
+        events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for ts, kind in zip(events["ts"], events["event_type"], strict=True):
+            if kind == steps[at % len(steps)]:
+                at += 1
+            if kind == fire and at // len(steps) >= times:
+                out.append(ts)
+        state.update((at,))
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "ts": out})
+
+    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts timestamp", "at long", "append", GroupStateTimeout.NoTimeout)
+
+
+def show_then_click(rows: DataFrame, show: str, click: str, within_seconds: int) -> DataFrame:
+    """user_id, show_ts, click_ts of shows whose very next event is a click less than within_seconds later.
+
+    rows hold shows and clicks only. The state of a user is the show that waits; event time ends the waiting.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        out = []
+        events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for ts, kind in zip(events["ts"], events["event_type"], strict=True):
+            micros = ts.value // 1000
+            if kind == click and waiting is not None and micros - waiting < within_seconds * 1_000_000:
+                out.append((pd.Timestamp(waiting, unit="us"), ts))
+            waiting = micros if kind == show else None
+        if waiting is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((waiting,))
+            state.setTimeoutTimestamp(max(waiting // 1000 + within_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "show_ts": [a for a, _ in out], "click_ts": [b for _, b in out]})
+
+    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, show_ts timestamp, click_ts timestamp", "waiting long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def enriched(rows: DataFrame, column: str, fetch: Callable[[str], str | None], name: str, threads: int = 8, cache: DataFrame | None = None) -> DataFrame:
+    """rows with fetch(column) as name: each distinct value is fetched once, threads at a time, and joined back.
+
+    cache (column, name) holds known answers. A fetch that fails gives null. For micro-batches, call it in the writer.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(value: str) -> str | None:
+            try:
+                return fetch(value)
+            except Exception:
+                return None
+
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                batch[name] = list(pool.map(one, batch[column]))
+                yield batch
+
+    todo = rows.select(F.col(column).cast("string").alias(column)).where(F.col(column).isNotNull()).distinct()
+    if cache is not None:
+        todo = todo.join(cache.select(column), column, "left_anti")
+    answers = todo.mapInPandas(ask, f"`{column}` string, `{name}` string")
+    if cache is not None:
+        answers = answers.unionByName(cache.select(column, name))
+    return rows.join(answers, column, "left")
