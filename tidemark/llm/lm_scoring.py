@@ -43,7 +43,7 @@ LEVELS = 64
 WORD_STEPS, WORD_HASHES = 4, (10, 3)  # levels a doubling of the count; hashes of the first level, and of each other
 PAIR_STEPS, PAIR_HASHES = 1, (8, 2)
 #: Tokens that are counted together before they move, and that are scored together.
-COUNT_CHUNK, SCORE_CHUNK = 800_000, 250_000
+COUNT_CHUNK, SCORE_CHUNK = 600_000, 150_000
 
 
 def held_out(doc_id: int | None) -> bool:
