@@ -106,8 +106,8 @@ def key_rows(signatures: np.ndarray, chunks: int = CHUNKS, distance: int = DISTA
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, keys, sigs = [], [], []
-        for text in b.column(1).cast(pa.binary()).to_pylist():
-            found = shingles(word_hashes(text))
+        for text in b.column(1).cast(pa.binary()):
+            found = shingles(word_hashes(text.as_py()))
             n.append(len(found))
             keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             sigs.append(sketch_bytes(minima(found)) if len(found) else None)
@@ -209,8 +209,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (a, b, set_a, set_b): the a, b that reach the similarity on full sets."""
     for batch in batches:
         good = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            one, two = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):  # read in place, not copied
+            one, two = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
             both = np.concatenate([one, two])
             both.sort(kind="stable")  # two sorted runs
             common = np.count_nonzero(both[1:] == both[:-1])
@@ -219,11 +219,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingles(word_hashes(t)).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
-        own = [xxhash.xxh3_128_digest(x) == key for x, key in zip(sets, b.column("set_key").to_pylist(), strict=True)]
-        out = pa.RecordBatch.from_arrays([b.column("cls"), pa.array(sets, type=pa.binary())], names=["cls", "shingles"])
-        yield out.filter(pa.array(own, type=pa.bool_()))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):  # sets are as large as their texts
+            b = batch.slice(at, 500)
+            sets = [shingles(word_hashes(t.as_py())).tobytes() for t in b.column("text").cast(pa.binary())]
+            own = [xxhash.xxh3_128_digest(x) == key for x, key in zip(sets, b.column("set_key").to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([b.column("cls"), pa.array(sets, type=pa.binary())], names=["cls", "shingles"])
+            yield out.filter(pa.array(own, type=pa.bool_()))
 
 
 def components(links: DataFrame) -> DataFrame:
