@@ -143,6 +143,44 @@ def test_stream_show_then_click_equals_batch(spark, event_stream, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count()
 
 
+def test_stream_page_dwell_equals_batch(spark, event_stream, tmp_path):
+    _, stream = event_stream
+    kind, page = F.col("event_type"), F.get_json_object("props", "$.k")
+    rows, _ = event_stream
+    stream = stream.select("user_id", "ts", "event_id", page.alias("page"), (kind == "view").alias("opens"), (kind == "error").alias("closes"))
+    got = collected(spark, streaming.page_dwell(stream, 6 * 3600), "dwell", tmp_path).where("user_id >= 0")
+    want = sequence.dwell(rows, ["user_id"], ["ts", "event_id"], "ts", page, kind == "view", kind == "error", 6 * 3600)
+    columns = ["user_id", "page_start", "page_end", "n_events"]
+    assert values(got.select(columns).toPandas()) == values(want.select(columns).toPandas()) and want.count()
+    opened = rows.where(kind == "view").select("user_id", F.col("ts").alias("page_start"))
+    pages = lambda df: values(df.join(opened, ["user_id", "page_start"], "left_semi").select("user_id", "page_start", "page").toPandas())
+    assert pages(got) == pages(want)
+
+
+def test_recent_rows_expire(spark, tmp_path):
+    path = str(tmp_path / "recent")
+    write = sinks.keep_recent(path, "ts", 60)
+    for number, seconds in enumerate(([0, 50], [70, 100], [], [155])):
+        write(spark.createDataFrame([(s,) for s in seconds], "s int").withColumn("ts", F.timestamp_seconds("s")), number)
+        kept = sorted(r.s for r in sinks.read_upserted(spark, path).collect())
+        assert kept == [[0, 50], [50, 70, 100], [50, 70, 100], [100, 155]][number]
+
+
+def test_stream_lookup_retry(spark, tmp_path):
+    path, out, known = str(tmp_path / "pending"), str(tmp_path / "out"), {1: "a"}
+    write = sinks.looked_up(path, lambda: spark.createDataFrame(list(known.items()), "k int, v string"), "k", sinks.append_parquet(out), 2)
+    done = lambda: sorted((r.k, r.v) for r in spark.read.parquet(out).collect())
+    batch = lambda *keys: spark.createDataFrame([(k,) for k in keys], "k int")
+    write(batch(1, 2, 3), 0)
+    assert done() == [(1, "a")]
+    known[2] = "b"
+    for _ in range(2):  # a batch that is run again changes nothing
+        write(batch(), 1)
+        assert done() == [(1, "a"), (2, "b")]
+    write(batch(), 2)
+    assert done() == [(1, "a"), (2, "b"), (3, None)]
+
+
 def test_upsert_and_enrichment(spark, tmp_path):
     path = str(tmp_path / "t")
     write = sinks.to_all(sinks.with_retries(sinks.upsert_parquet(path, ["k"], ["seq"])), sinks.append_parquet(str(tmp_path / "log")))

@@ -28,14 +28,18 @@ def lookup(rows: DataFrame, dim: DataFrame, key: Column, dim_key: str, how: str
     return rows.join(side.withColumnRenamed(dim_key, "__key"), key == F.col("__key"), how).drop("__key")
 
 
-def with_retry(rows: DataFrame, dim: DataFrame, pending: DataFrame, key: str, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(done, still pending): misses wait for the next round, and after attempts go on without the dimension.
+def retried(rows: DataFrame, dim: DataFrame, pending: DataFrame, key: str, attempts: int = 3) -> DataFrame:
+    """rows and pending with dim's columns and attempt: null for rows that go on, else the number of the next try.
 
-    pending has rows' columns and attempt; give both to the next micro-batch with a freshly read dim.
+    Misses wait for the next round, and after attempts go on without the dimension. pending has rows' columns and attempt.
     """
     todo = rows.withColumn("attempt", F.lit(0)).unionByName(pending)
     found = lookup(todo.withColumn("__k", F.col(key)), dim.withColumn("__hit", F.lit(True)), F.col("__k"), key).drop("__k")
-    missed = F.col("__hit").isNull()
-    done = found.where(~missed | (F.col("attempt") >= attempts)).drop("__hit", "attempt")
-    again = found.where(missed & (F.col("attempt") < attempts)).select(*rows.columns, (F.col("attempt") + 1).alias("attempt"))
-    return done, again
+    waits = F.col("__hit").isNull() & (F.col("attempt") < attempts)
+    return found.withColumn("attempt", F.when(waits, F.col("attempt") + 1)).drop("__hit")
+
+
+def with_retry(rows: DataFrame, dim: DataFrame, pending: DataFrame, key: str, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(done, still pending) of one reading of dim; sinks.looked_up is the form for streams, whose dim may change between two."""
+    found = retried(rows, dim, pending, key, attempts)
+    return found.where("attempt is null").drop("attempt"), found.where("attempt is not null").select(*rows.columns, "attempt")

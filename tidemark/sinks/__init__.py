@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.changelog import latest
+from tidemark.operators.lookup import retried
 
 Writer = Callable[[DataFrame, int], None]
 
@@ -60,6 +61,43 @@ def read_upserted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/version={version}")
 
 
+def keep_recent(path: str, time: str, seconds: int) -> Writer:
+    """A table of the rows of the last seconds before the newest row, as versions: state that expires.
+
+    read_upserted reads it, and operators.rules.replay gives its rows to rules that have just come into force. Only what
+    is recent is carried from a version to the next.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = _last_version(spark, path, number)
+        rows = batch if before is None else spark.read.parquet(f"{path}/version={before}").unionByName(batch)
+        newest = rows.agg((F.max(time) - F.make_dt_interval(secs=F.lit(seconds))).alias("__since"))
+        rows.join(F.broadcast(newest), F.col(time) > F.col("__since")).drop("__since").write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return write
+
+
+def looked_up(path: str, dim: Callable[[], DataFrame], key: str, then: Writer, attempts: int = 3) -> Writer:
+    """Rows joined to dim() by key, given to then; rows without a match wait in the table at path and are tried again.
+
+    After attempts they go on with nulls. A batch's outcome is written first, as a version, and all else reads it: dim is
+    read once a batch, so no row can be both pending and done. A batch that is run again starts from the version before.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = _last_version(spark, path, number)
+        if before is None:
+            pending = batch.limit(0).withColumn("attempt", F.lit(0))
+        else:
+            pending = spark.read.parquet(f"{path}/version={before}").where("attempt is not null").select(*batch.columns, "attempt")
+        retried(batch, dim(), pending, key, attempts).write.mode("overwrite").parquet(f"{path}/version={number}")
+        then(spark.read.parquet(f"{path}/version={number}").where("attempt is null").drop("attempt"), number)
+
+    return write
+
+
 def to_all(*writers: Writer) -> Writer:
     """Several sinks of one read: the batch is kept while they write."""
 

@@ -89,6 +89,51 @@ def show_then_click(rows: DataFrame, show: str, click: str, within_seconds: int)
     return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, show_ts timestamp, click_ts timestamp", "waiting long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def page_dwell(rows: DataFrame, idle_seconds: int) -> DataFrame:
+    """user_id, page, page_start, page_end, n_events of each visit of a page, once it has ended.
+
+    rows: user_id, ts, event_id, page, opens, closes. A visit ends before the next opening, with a closing, and when
+    event time has passed its last event by idle_seconds; then the user's state goes. A visit that doesn't begin with
+    an opening has the page opened last, or its first event's own page after such an end.
+    """
+    idle = idle_seconds * 1_000_000
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, page, start, last, n = state.get if state.exists else (None, None, None, None, 0)
+        out = []
+
+        def end() -> None:
+            nonlocal n
+            if n:
+                out.append((key[0], page, pd.Timestamp(start, unit="us"), pd.Timestamp(last, unit="us"), n))
+            n = 0
+
+        if state.hasTimedOut:
+            end()
+            state.remove()
+        else:
+            events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            for ts, own, opens, closes in zip(events["ts"], events["page"], events["opens"], events["closes"], strict=True):
+                micros = ts.value // 1000
+                if last is not None and micros - last > idle:
+                    end()
+                    opened = None
+                if opens:
+                    end()
+                    opened = own
+                if not n:
+                    page, start = (own if opened is None else opened), micros
+                last, n = micros, n + 1
+                if closes:
+                    end()
+            state.update((opened, page, start, last, n))
+            state.setTimeoutTimestamp(max((last + idle) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({c: [x[i] for x in out] for i, c in enumerate(("user_id", "page", "page_start", "page_end", "n_events"))})
+
+    result = "user_id long, page string, page_start timestamp, page_end timestamp, n_events long"
+    return rows.groupBy("user_id").applyInPandasWithState(run, result, "opened string, page string, start long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def enriched(rows: DataFrame, column: str, fetch: Callable[[str], str | None], name: str, threads: int = 8, cache: DataFrame | None = None) -> DataFrame:
     """rows with fetch(column) as name: each distinct value is fetched once, threads at a time, and joined back.
 
