@@ -48,12 +48,30 @@ def test_held_out_texts_score_better_than_the_base(documents):
     assert r.s > r.b
 
 
-def test_shards_give_the_same_scores(documents):
-    docs = documents.limit(60)
-    one = {r.doc_id: r.score for r in lm_scoring.score(docs).collect()}
-    size = 60_000  # bytes: the pair filter needs several
-    two = {r.doc_id: r.score for r in lm_scoring.score(docs, shard_bytes=size).collect()}
-    assert one.keys() == two.keys() and all(math.isclose(one[k], two[k], rel_tol=1e-9) for k in one)
+def test_shards_give_the_same_scores(documents, odd, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "_segment_number", lambda *_: 16)  # wrong probes depend on the segments
+    noted = []
+    note = lm_scoring._note
+    monkeypatch.setattr(lm_scoring, "_note", lambda words, shard, n: noted.append(shard) or note(words, shard, n))
+    docs = documents.limit(60).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    rows = lambda **kw: sorted(map(tuple, lm_scoring.score(docs, **kw).collect()), key=str)
+    one = rows()
+    for size, word_shards in ((40_000, False), (4_000, True)):  # bytes: several shards of pairs, then of words too
+        noted.clear()
+        two = rows(shard_bytes=size)
+        assert (len(noted) > 1) == word_shards and len(one) == len(two)
+        for a, b in zip(one, two, strict=True):
+            assert a[:5] == b[:5] and all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a[5:], b[5:], strict=True))
+
+
+def test_segments_fit_their_shards(documents, monkeypatch):
+    made, shards = [], lm_scoring._shards
+    monkeypatch.setattr(lm_scoring, "_shards", lambda sizes, n, most: made.append((sizes, n, shards(sizes, n, most))) or made[-1][2])
+    lm_scoring.score(documents.limit(30), shard_bytes=20_000).count()
+    assert len(made) == 2  # words, pairs
+    for sizes, n, found in made:
+        assert [i for low, high in found for i in range(low, high)] == list(range(n))
+        assert all(sum(sizes.get(i, 8) for i in range(low, high)) <= 20_000 for low, high in found)
 
 
 def test_filter_levels_are_never_too_low():

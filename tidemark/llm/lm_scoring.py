@@ -13,8 +13,10 @@
 4. The base score needs exact counts: the most frequent words' are broadcast (at most TOP_WORDS), and occurrences of
    the others are joined to their counts.
 
-Bound of the broadcasts: the pair filter is dealt into shards of at most SHARD_BYTES, each scored in a pass of its own
-whose sums are added; the word filter is refused beyond SHARD_BYTES, with an error that says so.
+Bound of the broadcasts: both filters are dealt into shards of at most SHARD_BYTES, of more segments the more there is
+to hold. Each shard of the pair filter is scored in a pass of its own, whose sums are added. If the word filter needs
+several, each is broadcast in turn to write its words' levels beside the texts, and what follows reads them there; the
+levels, and so the scores, are the same as with one broadcast of as many segments.
 
 Edge cases: a null or empty text is the end token alone. A null id is held out. Rows that repeat an id are texts of
 their own. Without training tokens every word is unknown: N and V are 0 and the scores follow from the formulas. Other columns
@@ -240,18 +242,72 @@ def _segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> np.uint64(6)) % np.uint64(segments)).astype(np.int64)
 
 
-def _count_pairs(words, top, segments: int):
+def _noted(part: list[tuple]) -> np.ndarray:
+    """The levels of a run's tokens that _note has written."""
+    return np.frombuffer(b"".join(b.column("levels")[i].as_py() for i, b, _ in part), dtype=np.uint8).astype(np.int64)
+
+
+def _note(words, shard: tuple[int, int], segments: int):
+    """mapInArrow over (uid, doc, text, levels): adds the levels of the tokens whose segments are in the shard."""
+    low, high = shard
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches, False, SCORE_CHUNK):
+            distinct, back = np.unique(np.concatenate([r[2] for r in part]), return_inverse=True)
+            seg = _segment_of(distinct, segments)
+            mine = np.flatnonzero((seg >= low) & (seg < high))
+            found = np.zeros(len(distinct), dtype=np.uint8)
+            found[mine] = words.value.levels(distinct[mine], seg[mine] - low)
+            found, at, levels = found[back], 0, []
+            for i, b, tokens in part:
+                before = b.column("levels")[i].as_py()
+                now = found[at : at + len(tokens)]
+                levels.append((now if before is None else now + np.frombuffer(before, dtype=np.uint8)).tobytes())
+                at += len(tokens)
+            columns = [pa.concat_arrays([b.column(c).slice(i, 1) for i, b, _ in part]) for c in ("uid", "doc", "text")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(levels, type=pa.binary())], names=["uid", "doc", "text", "levels"])
+
+    return run
+
+
+def _count_pairs(words, top, end_level: int, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches, True, COUNT_CHUNK):
             tokens, before = _histories(part)
-            distinct, back = np.unique(before, return_inverse=True)
-            keys = pair_keys(before, tokens, _levels_of(words.value, top.value, distinct)[back])
-            del tokens, before, back
+            if words is None:
+                history = np.roll(_noted(part), 1)
+                history[0] = end_level
+            else:
+                distinct, back = np.unique(before, return_inverse=True)
+                history = _levels_of(words.value, top.value, distinct)[back]
+                del back
+            keys = pair_keys(before, tokens, history)
+            del tokens, before, history
             yield _packed(*np.unique(keys, return_counts=True), segments)
 
     return run
 
 
+def _shards(sizes: dict[int, int], segments: int, shard_bytes: int) -> list[tuple[int, int]]:
+    """(low, high) of runs of segments that take at most shard_bytes."""
+    out, low, size = [], 0, 0
+    for i in range(segments):
+        if size and size + sizes.get(i, 8) > shard_bytes:
+            out.append((low, i))
+            low, size = i, 0
+        size += sizes.get(i, 8)
+    return [*out, (low, segments)]
+
+
+def _sizes(made: DataFrame) -> dict[int, int]:
+    return {r["seg"]: r["n"] for r in made.select("seg", F.length("bits").alias("n")).collect()}
+
+
+def _segment_number(least: int, bytes_bound: float, shard_bytes: int) -> int:
+    """So many that a segment takes about an eighth of a shard at most."""
+    return max(least, math.ceil(8 * bytes_bound / shard_bytes))
+
+
 def _mean(count: np.ndarray, total: np.ndarray) -> np.ndarray:
     """Mean count by level; empty levels, which only a wrong probe finds, take the level below."""
     out = np.zeros(LEVELS)
@@ -273,7 +329,7 @@ def _score(words, pairs, top, model: dict, shard: tuple[int, int], segments: int
             lengths = np.array([len(r[2]) for r in part])
             text = np.repeat(np.arange(len(part)), lengths)
             distinct, back = np.unique(tokens, return_inverse=True)
-            level = _levels_of(words.value, top.value, distinct)[back]
+            level = _noted(part) if words is None else _levels_of(words.value, top.value, distinct)[back]
             history = np.roll(level, 1)
             history[0] = model["end_level"]
             keys = pair_keys(before, tokens, history)
@@ -317,17 +373,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_w
     spark = docs.sparkSession
     sc = spark.sparkContext
     base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    segments = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     counts = written(base.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
+    distinct, total = (x or 0 for x in counts.agg(F.count("*"), F.sum("c")).first())
+    # A word is inserted once for its first level and WORD_STEPS times for each doubling: log is concave.
+    inserted = distinct * (WORD_HASHES[0] + WORD_STEPS * WORD_HASHES[1] * math.log2(total / distinct)) if distinct else 0
+    segments = _segment_number(partitions, 1.4427 * inserted / 8, shard_bytes)
     made, sums = _gathered(counts.mapInArrow(_repacked(segments), _PACKED), segments, WORD_STEPS, WORD_HASHES)
-    held = made.agg(F.sum(F.length("bits"))).first()[0] or 0
-    if held > shard_bytes:
-        raise ValueError(f"the word filter takes {held} bytes, over shard_bytes={shard_bytes}: raise it, or the executors' memory with it")
     n_words, word_sum = sums[:LEVELS], sums[LEVELS : 2 * LEVELS]
-    total, distinct = int(word_sum.sum()), int(n_words.sum())
-    word_filter = _filter(made, segments, WORD_HASHES)
-    words = sc.broadcast(word_filter)
 
     # The lowest count whose words, and those of higher counts, number at most top_words.
     by_count = counts.groupBy(F.floor(F.log2("c") * 4).cast("int").alias("q")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("q")).collect()
@@ -341,9 +395,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_w
     keys = frequent["key"].to_numpy(dtype=np.int64).view(np.uint64) if frequent is not None else np.zeros(0, dtype=np.uint64)
     order = np.argsort(keys)
     keys, c = keys[order], frequent["c"].to_numpy(dtype=np.int64)[order] if frequent is not None else np.zeros(0, dtype=np.int64)
-    top = sc.broadcast((keys, c, word_filter.levels(keys, _segment_of(keys, segments))))
 
-    pairs, pair_sums = _gathered(base.mapInArrow(_count_pairs(words, top, segments), _PACKED), segments, PAIR_STEPS, PAIR_HASHES)
+    asked = np.append(keys, np.uint64(END))
+    where, found = _segment_of(asked, segments), np.zeros(len(asked), dtype=np.int64)
+    word_shards = _shards(_sizes(made), segments, shard_bytes)
+    if len(word_shards) > 1:
+        base = base.withColumn("levels", F.lit(None).cast("binary")).withColumn("text", F.col("text").cast("binary"))
+    for low, high in word_shards:
+        word_filter = _filter(made, segments, WORD_HASHES, low, high)
+        mine = np.flatnonzero((where >= low) & (where < high))
+        found[mine] = word_filter.levels(asked[mine], where[mine] - low)
+        words = sc.broadcast(word_filter)
+        if len(word_shards) > 1:
+            base = written(base.mapInArrow(_note(words, (low, high), segments), "uid long, doc long, text binary, levels binary"), "levels")
+            words.unpersist()
+    if len(word_shards) > 1:
+        words = None
+    top, end_level = sc.broadcast((keys, c, found[:-1])), int(found[-1])
+
+    # A pair's hashes are at most PAIR_HASHES[0] for each of its occurrences.
+    segments = _segment_number(partitions, 1.4427 * PAIR_HASHES[0] * total / 8, shard_bytes)
+    pairs, pair_sums = _gathered(base.mapInArrow(_count_pairs(words, top, end_level, segments), _PACKED), segments, PAIR_STEPS, PAIR_HASHES)
     n_pairs, pair_sum, kinds, tokens = (pair_sums[i * LEVELS : (i + 1) * LEVELS] for i in range(4))
     once, twice = pair_sums[4 * LEVELS :]
     discount = once / (once + 2 * twice) if once and twice else 0.5
@@ -355,19 +427,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_w
         "back_off": np.divide(discount * kinds, tokens, out=np.full(LEVELS, 0.5), where=tokens > 0),
         "room": room,
         "log_base": math.log10(room),
-        "end_level": int(_levels_of(word_filter, top.value, np.array([END], dtype=np.uint64))[0]),
+        "end_level": end_level,
     }
-    sizes = {r["seg"]: r["n"] for r in pairs.select("seg", F.length("bits").alias("n")).collect()}
-    shards, low, size = [], 0, 0
-    for i in range(segments):
-        if size and size + sizes.get(i, 8) > shard_bytes:
-            shards.append((low, i))
-            low, size = i, 0
-        size += sizes.get(i, 8)
-    shards.append((low, segments))
 
     passes = []
-    for shard in shards:
+    for shard in _shards(_sizes(pairs), segments, shard_bytes):
         pair_filter = sc.broadcast(_filter(pairs, segments, PAIR_HASHES, *shard))
         done = base.mapInArrow(_score(words, pair_filter, top, model, shard, segments), "uid long, doc long, n_tokens long, n_known long, base double, score double, key long, tf long")
         passes.append(written(done, "scores"))
