@@ -74,6 +74,34 @@ def test_segments_fit_their_shards(documents, monkeypatch):
         assert all(sum(sizes.get(i, 8) for i in range(low, high)) <= 20_000 for low, high in found)
 
 
+def test_scores_of_words_counted_beyond_46341_times(spark):
+    """The bigram formula with exact counts: words and pairs of equal levels have equal counts here."""
+    n = 80_000
+    docs = spark.createDataFrame([(1, "a a a b " * n), (6, "a b a")], "doc_id long, text string")
+    assert lm_scoring.held_out(6) and not lm_scoring.held_out(1)
+    c, room = {"a": 3 * n, "b": n, None: 1}, 4 * n + 1 + 0.1 * 4
+    pairs_of = {(None, "a"): 1, ("a", "a"): 2 * n, ("a", "b"): n, ("b", "a"): n - 1, ("b", None): 1}
+    kinds = {"a": 2, "b": 2, None: 1}
+
+    def p(h, w):
+        return max(pairs_of.get((h, w), 0) - 0.5, 0) / c[h] + 0.5 * kinds[h] / c[h] * (c[w] + 0.1) / room
+
+    text = [None, "a", "b", "a", None]
+    want = sum(math.log10(p(h, w)) for h, w in zip(text, text[1:], strict=False))
+    got = lm_scoring.score(docs).where("held_out").first()
+    assert math.isclose(got.score, want, abs_tol=0.001), (got.score, want)
+
+
+def test_levels_reach_any_count():
+    import numpy as np
+
+    counts = 2 ** np.arange(0, 61, dtype=np.int64)
+    got = lm_scoring.levels(counts, lm_scoring.WORD_STEPS)
+    assert got.tolist() == [1 + lm_scoring.WORD_STEPS * i for i in range(61)] and got.max() < lm_scoring.LEVELS
+    keys = lm_scoring.pair_keys(counts.view(np.uint64), counts.view(np.uint64), got)
+    assert (keys & np.uint64(lm_scoring.LEVELS - 1)).tolist() == got.tolist()
+
+
 def test_filter_levels_are_never_too_low():
     import numpy as np
 

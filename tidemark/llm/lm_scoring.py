@@ -41,7 +41,9 @@ from tidemark.llm.hashing import ODD, mix, word_hashes
 END = 0x454E44  # stands for the end token; words hash to all of 64 bits
 TOP_WORDS = 500_000
 SHARD_BYTES = 1 << 29
-LEVELS = 64
+#: Levels are kept in a byte; with WORD_STEPS a doubling they reach counts of 2^63, so no count of the data is cut.
+LEVEL_BITS = 8
+LEVELS = 1 << LEVEL_BITS
 WORD_STEPS, WORD_HASHES = 4, (10, 3)  # levels a doubling of the count; hashes of the first level, and of each other
 PAIR_STEPS, PAIR_HASHES = 1, (8, 2)
 #: Tokens that are counted together before they move, and that are scored together.
@@ -169,8 +171,8 @@ def _histories(run: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_keys(before: np.ndarray, tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """uint64: 58 bits of hash, and the level of the first word in the last six."""
-    return ((mix(mix(before * ODD) + tokens) >> np.uint64(6)) << np.uint64(6)) | level.astype(np.uint64)
+    """uint64: 56 bits of hash, and the level of the first word in the last eight."""
+    return ((mix(mix(before * ODD) + tokens) >> np.uint64(LEVEL_BITS)) << np.uint64(LEVEL_BITS)) | level.astype(np.uint64)
 
 
 def _segments(steps: int, hashes: tuple[int, int]):
@@ -191,10 +193,13 @@ def _segments(steps: int, hashes: tuple[int, int]):
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             k, c = k[first], np.add.reduceat(c, first)
             q = levels(c, steps)
-            history = (k & np.uint64(63)).astype(np.int64)
+            history = (k & np.uint64(LEVELS - 1)).astype(np.int64)
             sums = [np.bincount(at, weights=w, minlength=LEVELS).astype(np.int64) for at, w in ((q, None), (q, c), (history, None), (history, c))]
             sums.append(np.array([np.count_nonzero(c == 1), np.count_nonzero(c == 2)]))
-            yield pa.RecordBatch.from_arrays([pa.array([int(seg)], type=pa.int32()), pa.array([Filter.segment(k, q, hashes)], type=pa.binary()), pa.array([np.concatenate(sums).tolist()], type=pa.list_(pa.int64()))], names=["seg", "bits", "sums"])
+            sums = np.concatenate(sums)
+            used = np.flatnonzero(sums)  # most levels hold nothing
+            listed = pa.array([[{"at": i, "x": x} for i, x in zip(used.tolist(), sums[used].tolist(), strict=True)]], type=pa.list_(pa.struct([("at", pa.int32()), ("x", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([pa.array([int(seg)], type=pa.int32()), pa.array([Filter.segment(k, q, hashes)], type=pa.binary()), listed], names=["seg", "bits", "sums"])
 
     return run
 
@@ -215,8 +220,8 @@ _PACKED = "seg int, keys binary, counts binary"
 
 def _gathered(counts: DataFrame, segments: int, steps: int, hashes: tuple[int, int]) -> tuple[DataFrame, np.ndarray]:
     """The written segments of a filter, and the sums over them."""
-    made = written(counts.repartition(segments, "seg").mapInArrow(_segments(steps, hashes), "seg int, bits binary, sums array<long>"), "bloom")
-    rows = made.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
+    made = written(counts.repartition(segments, "seg").mapInArrow(_segments(steps, hashes), "seg int, bits binary, sums array<struct<at:int,x:long>>"), "bloom")
+    rows = made.select(F.inline("sums")).groupBy("at").agg(F.sum("x").alias("x")).collect()
     sums = np.zeros(4 * LEVELS + 2, dtype=np.int64)
     for r in rows:
         sums[r["at"]] = r["x"]
@@ -239,7 +244,7 @@ def _filter(made: DataFrame, segments: int, hashes: tuple[int, int], low: int =
 
 
 def _segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> np.uint64(6)) % np.uint64(segments)).astype(np.int64)
+    return ((keys >> np.uint64(LEVEL_BITS)) % np.uint64(segments)).astype(np.int64)
 
 
 def _noted(part: list[tuple]) -> np.ndarray:
