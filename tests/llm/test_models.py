@@ -240,6 +240,42 @@ def test_licenses(documents, odd):
     assert license_scan.increasing([5, 1, 2, 9, 3, 4]) == [1, 2, 4, 5]
 
 
+def test_notices_that_occur_several_times():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+    assert scanner.scan(b"the cat. Released under the MIT License. the dog. Released under the MIT License. the end") == ("MIT", 1.0, 5, 2, 6)
+    for copies in (1, 2, 3, 50):
+        for name, notice in license_scan.TEMPLATES.items():
+            for between in ("", "the cat of the License under a ", "word " * 500):
+                text = "in the " + f"{notice}. {between}" * copies + "the end"
+                got = scanner.scan(text.encode())
+                assert got[:3] == (name, 1.0, len(notice.split())), (name, copies, got)
+    # One word of each copy is another.
+    assert scanner.scan(b"of the " + b"Released under the new License. the end under the " * 3)[:3] == ("MIT", 0.8, 4)
+
+
+def test_matches_in_windows_are_the_longest():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(1500):
+        template = [rng.choice("abcdef").encode() for _ in range(rng.randint(1, 7))]
+        words = [rng.choice(template) for _ in range(rng.randint(0, 25))]
+        places = sorted(rng.sample(range(40), len(words)))
+        most, need = rng.randint(1, 3 * len(template)), rng.randint(1, len(template))
+        want = 0
+        for i in range(len(words)):
+            row = [0] * (len(template) + 1)
+            for w, p in zip(words[i:], places[i:], strict=True):
+                if p - places[i] < most:
+                    above = row[:]
+                    for j, x in enumerate(template, 1):
+                        row[j] = max(row[j - 1], above[j], above[j - 1] + (w == x))
+            want = max(want, row[-1])
+        n, first, last = license_scan.in_windows(words, places, template, most, need)
+        assert n == (want if want >= need else 0)
+        assert not n or 0 <= last - first < most and first in places and last in places
+
+
 def test_token_counts(documents, odd, monkeypatch):
     from tokenizers import Tokenizer, models, pre_tokenizers
 

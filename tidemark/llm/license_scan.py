@@ -5,6 +5,10 @@ of their places is kept, and the gaps between are aligned the same way, with wor
 lie far from the others are taken off the ends until the match is at most SPREAD times as wide as the template. What
 is left, by the template's words, is the coverage.
 
+A notice that stands several times in a text has no words that are unique there. So where patience leaves words of the
+template unmatched, the windows of that width are searched for the most words in the template's order (in_windows); the
+better of the two counts. Copies of a notice, however many, don't hide each other: the first of the best is reported.
+
 A template is skipped for a text whose words, counted without their order, can't reach the least coverage: that bound
 is never below the coverage, so nothing is lost. Only the places of the template's words are aligned, whatever the
 text's length. The templates are a parameter and are shipped with the function (bound: their own size).
@@ -19,6 +23,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,6 +110,58 @@ def compact(matches: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
     return matches[low : high + 1]
 
 
+def _reached(words: list[bytes], places: list[int], counts: Counter, most: int, need: int) -> list[tuple[int, int]]:
+    """Runs of places that windows of most words cover which hold at least need of the template's words in any order."""
+    out: list[tuple[int, int]] = []
+    have: Counter = Counter()
+    low = held = 0
+    for high, w in enumerate(words):
+        have[w] += 1
+        held += have[w] <= counts[w]
+        while places[high] - places[low] >= most:
+            held -= have[words[low]] <= counts[words[low]]
+            have[words[low]] -= 1
+            low += 1
+        if held >= need:
+            if out and low < out[-1][1]:
+                out[-1] = (out[-1][0], high + 1)
+            else:
+                out.append((low, high + 1))
+    return out
+
+
+def in_windows(words: list[bytes], places: list[int], template: list[bytes], most: int, need: int) -> tuple[int, int, int]:
+    """(matched words, first and last place) of the longest match in the template's order within most words; 0 below need.
+
+    words: those of the text that the template has, at places. Of matches of equally many words among the template's
+    first j the one that starts last is kept: whatever follows, it is the narrowest. A match of need words leaves out
+    at most spare of the template's, so only numbers of words that near to j are kept.
+    """
+    at: dict[bytes, list[int]] = {}
+    for j in range(len(template), 0, -1):
+        at.setdefault(template[j - 1], []).append(j)
+    spare, best = len(template) - need, (0, -1, -1)
+    for low, high in _reached(words, places, Counter(template), most, need):
+        # starts[j, k]: the last start of a match of k words among the template's first j.
+        starts = np.full((len(template) + 1, len(template) + 1), -1, dtype=np.int64)
+        for i in range(low, high):
+            p = places[i]
+            for j in at[words[i]]:
+                fewest = max(1, j - spare)
+                new = starts[j - 1, fewest - 1 : j].copy()
+                new[new <= p - most] = -1
+                if fewest == 1:
+                    new[0] = p
+                rows = starts[j : j + spare + 1, fewest : j + 1]
+                np.maximum(rows, new, out=rows)
+                k = j if new[-1] >= 0 else fewest + int(np.flatnonzero(new >= 0).max(initial=-1))
+                if k >= max(need, best[0] + 1) and new[k - fewest] >= 0:
+                    best = (k, int(new[k - fewest]), p)
+            if best[0] == len(template):
+                return best
+    return best
+
+
 class Scanner:
     def __init__(self, templates: Mapping[str, str], min_coverage: float):
         self.least = min_coverage
@@ -126,9 +183,14 @@ class Scanner:
             own = [i for i in at if words[i] in counts]
             matches = [(own[i], j) for i, j in patience([words[i] for i in own], template)]
             matches = compact(matches, SPREAD * len(template))
-            coverage = len(matches) / len(template)
+            n, first, last = (len(matches), matches[0][0], matches[-1][0]) if matches else (0, -1, -1)
+            if n < len(template):
+                need = max(n + 1, next(k for k in range(len(template) + 1) if k / len(template) >= self.least))
+                better = in_windows([words[i] for i in own], own, template, SPREAD * len(template), need)
+                n, first, last = better if better[0] else (n, first, last)
+            coverage = n / len(template)
             if coverage >= self.least and coverage > best[1]:
-                best = (name, coverage, len(matches), matches[0][0], matches[-1][0])
+                best = (name, coverage, n, first, last)
         return best
 
 
