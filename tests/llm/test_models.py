@@ -253,6 +253,13 @@ def test_notices_that_occur_several_times():
     assert scanner.scan(b"of the " + b"Released under the new License. the end under the " * 3)[:3] == ("MIT", 0.8, 4)
 
 
+def test_all_notices_of_a_text_are_listed(spark):
+    texts = ["in short: Licensed under the Apache License, Version 2.0. also Licensed under CC BY-NC 4.0 here", "Released under the MIT License", "nothing", None]
+    rows = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[(x.license, x.coverage, x.n_matched, x.last_word) for x in r.licenses] for r in rows] == [[("Apache-2.0", 1.0, 7, 8), ("CC-BY-NC-4.0", 1.0, 5, 14)], [("MIT", 1.0, 5, 4)], [], []]
+    assert [r.license for r in rows] == ["Apache-2.0", "MIT", None, None]
+
+
 def test_matches_in_windows_are_the_longest():
     import random
 

@@ -14,7 +14,8 @@ is never below the coverage, so nothing is lost. Only the places of the template
 text's length. The templates are a parameter and are shipped with the function (bound: their own size).
 
 Edge cases: null and empty texts match nothing. Rows are independent of each other, so repeated rows get the same
-result each. Ties go to the template given first. Other columns are ignored, whatever their names. An empty table gives an empty result.
+result each. All templates that reach the least coverage are listed; the best one's columns are of that with the highest
+coverage, ties to the template given first. Other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -171,9 +172,17 @@ class Scanner:
 
     def scan(self, text: bytes | None) -> tuple[str | None, float, int, int, int]:
         """(template, coverage, matched words, first and last word) of the best; the name is None below the least coverage."""
+        return self.best(self.scan_all(text))
+
+    @staticmethod
+    def best(found: list[tuple]) -> tuple[str | None, float, int, int, int]:
+        return max(found, key=lambda x: x[1], default=(None, 0.0, 0, -1, -1))
+
+    def scan_all(self, text: bytes | None) -> list[tuple[str, float, int, int, int]]:
+        """(template, coverage, matched words, first and last word) of each template that reaches the least coverage."""
         words = normal_words(text or b"")
         present = self.vocabulary.intersection(words)
-        best = (None, 0.0, 0, -1, -1)
+        out = []
         at: list[int] | None = None
         for (name, template), counts in zip(self.templates, self.counts, strict=True):
             if sum(n for w, n in counts.items() if w in present) < self.least * len(template):
@@ -189,21 +198,24 @@ class Scanner:
                 better = in_windows([words[i] for i in own], own, template, SPREAD * len(template), need)
                 n, first, last = better if better[0] else (n, first, last)
             coverage = n / len(template)
-            if coverage >= self.least and coverage > best[1]:
-                best = (name, coverage, n, first, last)
-        return best
+            if n and coverage >= self.least:
+                out.append((name, coverage, n, first, last))
+        return out
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """id, license (null: none), coverage, n_matched, first_word, last_word (numbers of words, -1: none) of each row."""
+    """id, license (null: none), coverage, n_matched, first_word, last_word (numbers of words, -1: none) of each row's best, and licenses, an array of the same of all."""
     templates = dict(templates)
+    kind = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("n_matched", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, min_coverage)
         for b in batches:
-            found = [scanner.scan(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            name, coverage, n, first, last = zip(*found, strict=True) if found else [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name, type=pa.string()), pa.array(coverage, type=pa.float64()), *(pa.array(x, type=pa.int64()) for x in (n, first, last))], names=[id_col, "license", "coverage", "n_matched", "first_word", "last_word"])
+            every = [scanner.scan_all(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            name, coverage, n, first, last = zip(*map(scanner.best, every), strict=True) if every else [()] * 5
+            listed = pa.array([[dict(zip(kind.names, x, strict=True)) for x in found] for found in every], type=pa.list_(kind))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name, type=pa.string()), pa.array(coverage, type=pa.float64()), *(pa.array(x, type=pa.int64()) for x in (n, first, last)), listed], names=[id_col, *kind.names, "licenses"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`"))
-    return rows.mapInArrow(run, f"`{id_col}` long, license string, coverage double, n_matched long, first_word long, last_word long")
+    fields = "license string, coverage double, n_matched long, first_word long, last_word long"
+    return rows.mapInArrow(run, f"`{id_col}` long, {fields}, licenses array<struct<{fields}>>")
