@@ -166,6 +166,16 @@ def test_near_chain_is_one_component(spark):
     assert got == brute.near(pairs(df)) and len({c for _, c in got.values()}) == 1
 
 
+def test_near_of_one_id_with_two_texts(spark):
+    """Both texts' links count, whatever the order of the rows."""
+    a, b, other = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(5, a), (5, b), (7, f"{a} more"), (8, f"{b} more"), (9, other)]
+    for given in (rows, rows[::-1], rows[1:] + rows[:1], [*rows, (9, f"{other} more"), (6, f"{other} less")]):
+        got = near_dedup.near_duplicates(spark.createDataFrame(given, "doc_id long, text string")).collect()
+        want = {5: 5, 7: 5, 8: 5, 9: 6 if len(given) > len(rows) else 9, 6: 6}
+        assert len(got) == len(given) and all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == want[r.doc_id]) for r in got)
+
+
 def test_hamming_keys_are_complete():
     """Any two signatures within the distance share a key."""
     import numpy as np

@@ -1,7 +1,8 @@
 """MinHash near-dedup by a multi-index Hamming join, with exact confirmation.
 
 1. Each text becomes its set of distinct word shingles (64-bit hashes) and a signature of K minima, with a byte of each of some more. Texts of
-   equal sets form a class, represented by its smallest document; from here on only classes take part.
+   equal sets form a class, which has a number of its own: an id that is given with different texts stands in several
+   classes. From here on only classes take part.
 2. The signature is cut into M chunks. If two signatures differ in at most T places, pigeonhole puts at most
    E = T // M errors into some chunk, so leaving out each choice of E places of each chunk enumerates all that may
    be wrong: the two share a key of (chunk, places left out, the other minima). All pairs within T are found. With
@@ -12,7 +13,8 @@
 4. What is still in different components of one bucket is compared class by class, in blocks of about BLOCK classes,
    so that no task holds a large bucket; a block pair emits only pairs within T of different components, of sizes that
    allow the similarity, and not yet given by another bucket. They are confirmed on full sets as well.
-5. Components by alternating neighbour minima and pointer jumps, each round written to the shared folder.
+5. Components by alternating neighbour minima and pointer jumps, each round written to the shared folder. Ids are
+   joined to classes at the end: a component is named by the smallest id of its classes.
 
 Edge cases: null and empty texts, and texts without words, have an empty set, link with nothing and stay. Texts with
 fewer words than a shingle are one shingle. A null id takes part in nothing and is returned as it is, kept. Rows that
@@ -111,7 +113,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(found))
             keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             sigs.append(sketch_bytes(minima(found)) if len(found) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, type=pa.int64()), pa.array(keys, type=pa.binary()), pa.array(sigs, type=pa.binary())], names=["doc", "n", "set_key", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, type=pa.int64()), pa.array(keys, type=pa.binary()), pa.array(sigs, type=pa.binary()), b.column(2)], names=["doc", "n", "set_key", "sig", "text_key"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,10 +252,15 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, n_links (pairs of classes confirmed at the id's class), component_id, kept of each row."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    sketch = written(base.mapInArrow(_sketch, "doc long, n long, set_key binary, sig binary"), "sketch")
+    base = base.withColumn("text_key", F.xxhash64("text"))
+    sketch = written(base.mapInArrow(_sketch, "doc long, n long, set_key binary, sig binary, text_key long"), "sketch")
     known = sketch.where("doc is not null and set_key is not null")
     # Rows of equal sets have equal signatures: any row's will do.
-    classes = written(known.groupBy("set_key").agg(F.min("doc").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    # The row of the smallest id (and of its texts, the one of the smallest key) is where the class's text is read again.
+    classes = known.groupBy("set_key").agg(F.min(F.struct("doc", "text_key")).alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = written(classes.select("row.doc", "row.text_key", "set_key", "n", "sig"), "found")
+    # Numbers in the order of the ids: a bucket's smallest class is that of its oldest text, which most copies are near to.
+    classes = written(classes.orderBy("doc", "set_key").select(F.monotonically_increasing_id().alias("cls"), "*"), "classes")
 
     keys = written(classes.select("cls", "sig").mapInArrow(_keys, "key long, cls long"), "keys")
     buckets = keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last"), F.count("*").alias("size")).where("hub < last")
@@ -287,18 +294,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(links)
 
     ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
-    comps = written(classes.select("set_key", "cls").join(labels.withColumnRenamed("v", "cls"), "cls", "left").join(ends, "cls", "left"), "components")
+    names = classes.select(F.col("cls").alias("v"), "doc").join(labels, "v").groupBy("comp").agg(F.min("doc").alias("name"))
+    named = labels.join(names, "comp").select(F.col("v").alias("cls"), "name")
+    comps = classes.select("set_key", "cls", F.col("doc").alias("least")).join(named, "cls", "left").join(ends, "cls", "left")
+    comps = written(comps.select("set_key", F.coalesce("name", "least").alias("comp"), "n_links"), "components")
     out = sketch.select("doc", "n", "set_key").join(comps, "set_key", "left")
-    found = F.when(F.col("doc").isNotNull(), F.coalesce("comp", "cls", "doc"))
+    found = F.when(F.col("doc").isNotNull(), F.coalesce("comp", "doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), found.alias("component_id"), F.coalesce(F.col("doc") == found, F.lit(True)).alias("kept"))
 
 
 def _confirmed(base: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that reach the similarity on full sets, which are made anew for these classes only."""
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = classes.join(ends, "cls", "left_semi").select("cls", "set_key")
-    rows = base.withColumnRenamed("doc", "cls").join(wanted, "cls").select("cls", "text", "set_key")
-    # Rows that repeat an id may hold another text: only the class's own set is taken, and once.
+    wanted = classes.join(ends, "cls", "left_semi").select("cls", "doc", "text_key", "set_key")
+    rows = base.join(wanted, ["doc", "text_key"]).select("cls", "text", "set_key")
+    # Rows may repeat a text, and texts a key: only the class's own set is taken, and once.
     sets = written(rows.mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
     one, two = (sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
