@@ -240,6 +240,16 @@ def test_licenses(documents, odd):
     assert license_scan.increasing([5, 1, 2, 9, 3, 4]) == [1, 2, 4, 5]
 
 
+def test_html_of_formulas_drawings_and_lists():
+    visible = html_text.visible_text
+    assert visible("a <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2 tex</annotation></semantics></math> b") == "a x=2 b"
+    assert visible("<svg><defs/><title>no</title><style>p{}</style><desc>no</desc><path d='M0'/><text x='1'>One</text><text>Two</text></svg>") == "One\nTwo"
+    assert visible("pick <select><option>A<option selected>B</select>") == "pick\nA\nB"
+    assert visible("<select><optgroup label='G'><option>A</option></optgroup></select>") == "G\nA"
+    assert visible("x <span aria-hidden=true>star</span> y <span hidden>no</span>") == "x star y"
+    assert visible("<desc>one</desc> <text>two</text>") == "one two"
+
+
 def test_notices_that_occur_several_times():
     scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
     assert scanner.scan(b"the cat. Released under the MIT License. the dog. Released under the MIT License. the end") == ("MIT", 1.0, 5, 2, 6)

@@ -3,7 +3,8 @@
 The tree builder reads tags, texts and comments one after another, closes what an opening tag implies to be closed
 (a paragraph before a block, a list item before its sibling, cells and rows before the next) and ignores closing tags
 that match nothing. The renderer walks the tree: invisible elements (by tag, hidden attribute, or style) are skipped;
-blocks stand on lines of their own, paragraphs and headings with a blank line between; list items get "- " or their
+what aria-hidden hides from
+screen readers only is on the page, and kept, as are formulas, texts of drawings and the options of lists; blocks stand on lines of their own, paragraphs and headings with a blank line between; list items get "- " or their
 number, indented by depth; tables become rows of cells padded to their columns' widths, with two spaces between;
 preformatted text keeps its spaces. All visible text is kept, menus and footers too.
 
@@ -26,10 +27,12 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link iframe object audio video canvas svg math datalist select noembed noframes".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe object audio video canvas datalist noembed noframes".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
 BLOCK = SPACED | frozenset("html body address article aside dd details dialog div dt fieldset figcaption footer form header hgroup hr li main nav section summary center optgroup option tr caption thead tbody tfoot td th legend menu".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt summary".split())
+#: What drawings and formulas don't show; elsewhere these are tags like others.
+FOREIGN = {"svg": frozenset("desc metadata defs symbol".split()), "math": frozenset("annotation annotation-xml".split())}
 #: An opening tag closes these open elements, as far up as one of the second set.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -90,6 +93,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def tree(page: str) -> Node:
     root = Node("#root", {})
     stack = [root]
+    foreign = False  # whether a drawing or formula has begun
 
     def close_up_to(tags: set[str] | frozenset[str], barrier: set[str] | frozenset[str]) -> None:
         """Closes the open elements down to the outermost of tags that lies above no barrier."""
@@ -114,9 +118,15 @@ def tree(page: str) -> Node:
             attributes = {}
             if rest and "=" in rest or "hidden" in rest:
                 attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
+            foreign = foreign or value in FOREIGN
+            around = {n.tag for n in stack} & FOREIGN.keys() if foreign else set()
+            if any(value in FOREIGN[x] for x in around):
+                attributes["hidden"] = ""
             node = Node(value, attributes)
             stack[-1].children.append(node)
-            if value not in VOID:
+            if "svg" in around and value == "text":  # a text of a drawing has a place of its own
+                node.attributes["block"] = ""
+            if value not in VOID and not ((around or value in FOREIGN) and rest.endswith("/")):
                 stack.append(node)
         elif value == "br" or value == "p" and not any(n.tag == "p" for n in stack):
             stack[-1].children.append(Node(value, {}))
@@ -133,7 +143,7 @@ def tree(page: str) -> Node:
 def visible(node: Node) -> bool:
     if node.tag in HIDDEN or "hidden" in node.attributes:
         return False
-    if node.tag == "input" or node.attributes.get("aria-hidden", "").lower() == "true":
+    if node.tag == "input":
         return False
     return not _UNSEEN.search(node.attributes.get("style", ""))
 
@@ -319,8 +329,11 @@ def render(root: Node) -> str:
             todo.append(leave_item(page.indent))
             page.indent, page.mark = page.indent + " " * len(mark), mark
             todo.extend(reversed(item.children))
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == "text" and "block" in item.attributes:
             page.block(tag in SPACED)
+            if tag == "optgroup" and item.attributes.get("label"):
+                page.text(item.attributes["label"], False)
+                page.line()
             todo.append(leave_block(tag in SPACED))
             todo.extend(reversed(item.children))
         else:
