@@ -102,6 +102,16 @@ def test_levels_reach_any_count():
     assert (keys & np.uint64(lm_scoring.LEVELS - 1)).tolist() == got.tolist()
 
 
+def test_filter_levels_are_seldom_too_high():
+    import numpy as np
+
+    keys = np.random.default_rng(7).integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    for hashes in (lm_scoring.WORD_HASHES, lm_scoring.PAIR_HASHES):
+        raw = lm_scoring.Filter.segment(keys, np.ones(20_000, dtype=np.int64), hashes)
+        f = lm_scoring.Filter(np.array([len(raw)]), np.frombuffer(raw, dtype=np.uint8), hashes)
+        assert (f.levels(keys, np.zeros(20_000, dtype=np.int64)) > 1).mean() < 0.05
+
+
 def test_filter_levels_are_never_too_low():
     import numpy as np
 

@@ -44,8 +44,8 @@ SHARD_BYTES = 1 << 29
 #: Levels are kept in a byte; with WORD_STEPS a doubling they reach counts of 2^63, so no count of the data is cut.
 LEVEL_BITS = 8
 LEVELS = 1 << LEVEL_BITS
-WORD_STEPS, WORD_HASHES = 4, (10, 3)  # levels a doubling of the count; hashes of the first level, and of each other
-PAIR_STEPS, PAIR_HASHES = 1, (8, 2)
+WORD_STEPS, WORD_HASHES = 4, (10, 5)  # levels a doubling of the count; hashes of the first level, and of each other
+PAIR_STEPS, PAIR_HASHES = 1, (8, 5)
 #: Tokens that are counted together before they move, and that are scored together.
 COUNT_CHUNK, SCORE_CHUNK = 600_000, 150_000
 
