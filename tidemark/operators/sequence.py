@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def followed_by(rows: DataFrame, key: Sequence[str], order: Sequence[str], is_a: Column, is_b: Column, time: str, within_seconds: int, keep: Sequence[str]) -> DataFrame:
@@ -23,39 +25,57 @@ def segments(rows: DataFrame, key: Sequence[str], order: Sequence[str], starts:
     return rows.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(along))
 
 
-def dwell(rows: DataFrame, key: Sequence[str], order: Sequence[str], time: str, page: Column, opens: Column, closes: Column, idle_seconds: int) -> DataFrame:
-    """Visits of pages: key, page, start, end. A visit begins at a page's opening, after a closing, and after idle_seconds."""
+def dwell(rows: DataFrame, key: Sequence[str], order: Sequence[str], time: str, page: Column, loads: Column, wakes: Column, closes: Column, launches: Column, idle_seconds: int) -> DataFrame:
+    """Stays on pages: key, visit, page, page_start, page_end, n_events.
+
+    A session's first event opens a stay on its page. A loading ends the stay at its own time and opens one on its page;
+    a waking opens another on the same page; any other event prolongs the stay. After a closing, or a pause of more than
+    idle_seconds, a new session begins. Launches only interrupt pauses. All of it is windows over one sort by key and order.
+    """
     along = Window.partitionBy(*key).orderBy(*order)
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    rows = rows.withColumns({"__gap": micros - F.lag(micros).over(along), "__closed": F.lag(closes).over(along), "__opens": opens, "__page": F.when(opens, page)})
-    new = F.col("__opens") | F.col("__gap").isNull() | (F.col("__gap") > idle_seconds * 1_000_000) | F.coalesce("__closed", F.lit(False))
-    rows = segments(rows, key, order, new, "visit")
-    last_page = F.last("__page", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("page", last_page)
-    return rows.groupBy(*key, "visit").agg(F.min_by("page", F.struct(*order)).alias("page"), F.min(time).alias("page_start"), F.max(time).alias("page_end"), F.count("*").alias("n_events"))
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    truth = lambda c: F.coalesce(c, F.lit(False))
+    rows = rows.withColumns({"__t": F.unix_micros(F.col(time).cast("timestamp")), "__loads": truth(loads), "__wakes": truth(wakes), "__closes": truth(closes), "__launches": truth(launches), "__page": page})
+    paused = truth(F.col("__t") - F.lag("__t").over(along) > idle_seconds * 1_000_000) | truth(F.lag("__closes").over(along))
+    rows = rows.withColumn("__session", F.sum(F.when(paused, 1).otherwise(0)).over(upto)).where(~F.col("__launches"))
+    rows = rows.withColumn("__fresh", ~F.lag("__session").over(along).eqNullSafe(F.col("__session")))
+    rows = rows.withColumn("__moves", F.col("__loads") & ~F.col("__fresh"))
+    rows = segments(rows, key, order, F.col("__fresh") | F.col("__loads") | F.col("__wakes"), "visit")
+    opened = F.last(F.when(F.col("__fresh") | F.col("__loads"), F.struct("__page")), ignorenulls=True).over(upto)["__page"]
+    rows = rows.withColumns({"__on": opened, "__next": F.lead(F.when(F.col("__moves"), F.col(time))).over(along)})
+    ends = F.max(F.greatest(F.col(time), F.col("__next")))
+    return rows.groupBy(*key, "visit").agg(F.min_by("__on", F.struct(*order)).alias("page"), F.min_by(time, F.struct(*order)).alias("page_start"), ends.alias("page_end"), F.count("*").alias("n_events"))
+
+
+def fold_steps(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """rows with passed: how many steps have been passed in order, by each row and with it, starting over after the last.
+
+    rows hold hits (the places in the sequence that the row's event has, or null), n_steps, and start (steps passed
+    before all rows, or null). A key's rows are streamed in order: what is held is one number, however many rows it has.
+    """
+    keys = list(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, 0
+        for b in batches:
+            out = []
+            for *mine, hits, size, start in zip(*(b.column(c).to_pylist() for c in (*keys, "hits", "n_steps", "start")), strict=True):
+                if mine != now:
+                    now, at = mine, start or 0
+                if hits and at % size in hits:
+                    at += 1
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, type=pa.int64())], names=[*b.schema.names, "passed"])
+
+    schema = StructType([*rows.schema.fields, StructField("passed", LongType())])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def sequence_progress(rows: DataFrame, key: Sequence[str], order: Sequence[str], symbol: Column, steps: Sequence[str]) -> DataFrame:
     """key, completed: how often steps were passed in order (gaps allowed, starting over after the last).
 
-    Each key's symbols that are steps at all are gathered as numbers (a byte each would do; other events are
-    filtered before the shuffle) and folded once.
+    Events that are no step are left out before the shuffle.
     """
-    number = F.lit(-1)
-    for i, s in enumerate(steps):
-        number = F.when(symbol == s, i).otherwise(number)
-    if len(set(steps)) != len(steps):
-        return _progress_of_texts(rows, key, order, symbol, steps)
-    rows = rows.withColumn("__n", number).where(F.col("__n") >= 0)
-    listed = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, "__n"))).alias("__l"))
-    size = len(steps)
-    folded = F.aggregate("__l", F.lit(0).cast("long"), lambda at, x: F.when(F.pmod(at, F.lit(size)) == x["__n"], at + 1).otherwise(at))
-    return listed.select(*key, F.floor(folded / size).cast("long").alias("completed"))
-
-
-def _progress_of_texts(rows: DataFrame, key: Sequence[str], order: Sequence[str], symbol: Column, steps: Sequence[str]) -> DataFrame:
-    wanted = F.array(*[F.lit(s) for s in steps])
-    rows = rows.withColumn("__s", symbol).where(F.col("__s").isin(list(steps)))
-    listed = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, "__s"))).alias("__l"))
-    folded = F.aggregate("__l", F.lit(0).cast("long"), lambda at, x: F.when(F.get(wanted, F.pmod(at, F.lit(len(steps))).cast("int")) == x["__s"], at + 1).otherwise(at))
-    return listed.select(*key, F.floor(folded / len(steps)).cast("long").alias("completed"))
+    places = F.create_map(*[x for s in dict.fromkeys(steps) for x in (F.lit(s), F.array(*[F.lit(i) for i, t in enumerate(steps) if t == s]))])
+    hits = rows.select(*key, *order, places[symbol].alias("hits"), F.lit(len(steps)).alias("n_steps"), F.lit(None).cast("long").alias("start")).where("hits is not null")
+    return fold_steps(hits, key, order).groupBy(*key).agg(F.floor(F.max("passed") / len(steps)).cast("long").alias("completed"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import first_match, geohash, reversed_key, time_bucket, url_prefix
 from tidemark.operators.lookup import lookup, unique_dimension
 from tidemark.operators.sequence import dwell, followed_by, segments
-from tidemark.operators.windows import cumulate, hop, top_n, tumble
+from tidemark.operators.windows import cumulate, hop_sums, top_n, tumble
 from tidemark.plans.registry import events, query, stamp, table
 
 QUERIES: dict = {}
@@ -29,7 +29,7 @@ def pvuv_tumble_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(QUERIES, ORACLES, f"""
 with e as (select date_trunc('day', ts)::timestamp as d, time_bucket(interval 5 minute, ts) + interval 5 minute as w, user_id, event_type from events),
-s as (select distinct d, w from e)
+s as (select d, d + to_minutes(5 * i::int) as w from (select distinct d from e), range(1, 289) r(i))
 select {_T.format("s.d")} as window_start, {_T.format("s.w")} as window_end, sum(case when event_type = 'view' then 1 else 0 end)::bigint as pv, count(distinct user_id) as uv
 from s join e on e.d = s.d and e.w <= s.w group by s.d, s.w""")
 def pvuv_cumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,8 @@ def pvuv_cumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(QUERIES, ORACLES, f"""
 with e as (select date_trunc('day', ts)::timestamp as d, time_bucket(interval 5 minute, ts) + interval 5 minute as w, user_id,
      case when json_extract_string(props, '$.k') ~ '^1' then 'one' when json_extract_string(props, '$.k') ~ '^[23]' then 'two' end as promo, user_id % 10 as province, user_id % 4 = 0 as is_new from events),
-f as (select * from e where promo is not null), s as (select distinct d, w, promo, province from f)
+f as (select * from e where promo is not null),
+s as (select d, d + to_minutes(5 * i::int) as w, promo, province from (select distinct d, promo, province from f), range(1, 289) r(i))
 select {_T.format("s.d")} as window_start, {_T.format("s.w")} as window_end, s.promo, s.province, count(*)::bigint as pv, count(distinct user_id) as uv,
        count(distinct case when is_new then user_id end) as uv_new
 from s join f on f.d = s.d and f.w <= s.w and f.promo = s.promo and f.province = s.province group by s.d, s.w, s.promo, s.province""")
@@ -74,7 +75,7 @@ select {_T.format("w")} as window_start, category, item, pv, rn::int as rn from
 def hot_items_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.col("properties")["k"].try_cast("long")
     rows = events(spark, sf_dir).where("event_type = 'view'").withColumn("item", item).where(F.col("item").isNotNull())
-    counted = hop(rows, "ts", "1 hour", "1 minute", ["item"], [F.count("*").alias("pv")])
+    counted = hop_sums(rows, "ts", 60, 1, ["item"], {"pv": F.lit(1)})
     dim = unique_dimension(table(spark, sf_dir, "part").select(reversed_key(F.col("p_partkey")).alias("key"), "p_brand"), ["key"])
     found = lookup(counted, dim, reversed_key(F.col("item")), "key").withColumn("category", F.coalesce("p_brand", F.lit("none")))
     out = top_n(found, ["window_start", "category"], [F.desc("pv"), F.asc("item")], 10)
@@ -127,14 +128,22 @@ def video_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(QUERIES, ORACLES, f"""
-with l as (select *, lag(ts) over o as before, lag(event_type) over o as before_type from events window o as (partition by user_id order by ts, event_id)),
-v as (select *, sum(case when event_type = 'view' or before is null or ts - before > interval 6 hour or before_type = 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as visit,
-      last_value(case when event_type = 'view' then json_extract_string(props, '$.k') end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as page from l)
-select user_id, visit::bigint as visit, first(page order by ts, event_id) as page_any, {_T.format("min(ts)")} as page_start, {_T.format("max(ts)")} as page_end, count(*) as n_events from v group by user_id, visit""")
+with recursive f as (select user_id, ts, event_type as k, json_extract_string(props, '$.k') as url, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+s(user_id, rn, ts, k, live, page, start, old_page, old_start) as (
+  select user_id, rn, ts, k, k not in ('signup', 'error'), case when k <> 'signup' then url end, case when k <> 'signup' then ts end, null::varchar, null::timestamp from f where rn = 1
+  union all
+  select f.user_id, f.rn, f.ts, f.k,
+    case when f.k = 'signup' then on_page else f.k <> 'error' end,
+    case when on_page and f.k <> 'view' then s.page when f.k <> 'signup' then f.url end,
+    case when on_page and f.k not in ('view', 'purchase') then s.start when f.k <> 'signup' then f.ts end,
+    case when on_page and f.k = 'view' then s.page end, case when on_page and f.k = 'view' then s.start end
+  from (select *, rn + 1 as next from s) s join f on f.user_id = s.user_id and f.rn = s.next, lateral (select s.live and f.ts - s.ts <= interval 6 hour as on_page)),
+spans as (select user_id, page, start, ts as upto, 1 as n from s where k <> 'signup' union all select user_id, old_page, old_start, ts, 0 from s where old_start is not null)
+select user_id, page, {_T.format("start")} as page_start, {_T.format("max(upto)")} as page_end, sum(n)::bigint as n_events from spans group by user_id, page, start""")
 def page_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    etype = F.col("event_type")
-    out = dwell(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "ts", F.col("properties")["k"], etype == "view", etype == "error", 6 * 3600)
-    return out.select("user_id", "visit", F.col("page").alias("page_any"), stamp("page_start", "page_start"), stamp("page_end", "page_end"), "n_events")
+    kind = F.col("event_type")
+    out = dwell(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "ts", F.col("properties")["k"], kind == "view", kind == "purchase", kind == "error", kind == "signup", 6 * 3600)
+    return out.select("user_id", "page", stamp("page_start", "page_start"), stamp("page_end", "page_end"), "n_events")
 
 
 @query(QUERIES, ORACLES, f"""
