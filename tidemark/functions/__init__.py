@@ -63,6 +63,58 @@ def reversed_key(number: Column, width: int = 10_000_000_000) -> Column:
     return F.reverse((F.lit(width) - number).cast("string"))
 
 
+def to_json_text(properties: Column) -> Column:
+    """A map or struct as JSON text; null for null, and null values are left out."""
+    return F.to_json(properties)
+
+
+def patched_json(json: Column, key: str, value: Column) -> Column:
+    """A JSON object of plain values with key set to value (a text); null where it can't be read."""
+    old = F.from_json(json, "map<string,string>")
+    rest = F.map_filter(old, lambda k, _: k != key)
+    return F.to_json(F.map_concat(rest, F.create_map(F.lit(key), value.cast("string"))))
+
+
+def null_of(kind: str = "long") -> Column:
+    return F.lit(None).cast(kind)
+
+
+#: Fixed value: the separator of packed texts.
+UNIT = "\x01"
+
+
+def packed_text(*parts: Column) -> Column:
+    """Texts in one, which unpacked_text takes apart; null where one is null."""
+    return F.concat(*[x for i, p in enumerate(parts) for x in ((F.lit(UNIT), p.cast("string")) if i else (p.cast("string"),))])
+
+
+def unpacked_text(text: Column, *names: str) -> Column:
+    """A struct of the parts under names; absent parts are null."""
+    parts = F.split(text, UNIT, -1)
+    return F.when(text.isNotNull(), F.struct(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)]))
+
+
+def on_day(time: Column, as_of: Column | str | None = None) -> Column:
+    """Whether time lies on the day as_of; without one, on today."""
+    day = F.current_date() if as_of is None else F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
+    return F.to_date(time) == day
+
+
+def in_window(time: Column, start: Column | str, end: Column | str) -> Column:
+    """start <= time < end; texts are times of the session's zone."""
+    kind = lambda x: F.lit(x).cast("timestamp") if isinstance(x, str) else x
+    return (time.cast("timestamp") >= kind(start)) & (time.cast("timestamp") < kind(end))
+
+
+def processing_time() -> Column:
+    return F.current_timestamp()
+
+
+def from_server_time(time: Column, zone: str) -> Column:
+    """A database's wall-clock time of the given zone, as an instant."""
+    return F.to_utc_timestamp(time, zone)
+
+
 def parse_time_or(text: Column, default: str = FAR_FUTURE) -> Column:
     """Timestamp of 'yyyy-MM-dd HH:mm:ss'; blank, null and unreadable texts give default."""
     read = F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")), F.lit("yyyy-MM-dd HH:mm:ss"))
@@ -81,14 +133,14 @@ _OPERATORS = {"=": 1, ">": 1, ">=": 1, "<": 1, "<=": 1, "between": 2, "in": None
 STRICT_OPERATORS = frozenset(("=", ">", "<"))
 
 
-def compare(tag: Column, operator: str, values: Sequence, strict: bool = False) -> Column:
+def compare(tag: Column, operator: str, values: Sequence, strict: bool = False, known: bool = False) -> Column:
     """Whether tag stands in operator to values; never null.
 
     Equality and "in" compare texts; the others compare doubles, and texts that are none fail. An unknown operator is
-    false, or with strict (only =, > and < are known then) a ValueError.
+    false, or with strict (only =, > and < are known then) or known a ValueError.
     """
-    if strict and operator not in STRICT_OPERATORS:
-        raise ValueError(f"operator {operator!r} is not one of {sorted(STRICT_OPERATORS)}")
+    if (strict and operator not in STRICT_OPERATORS) or (known and operator not in _OPERATORS):
+        raise ValueError(f"operator {operator!r} is not one of {sorted(STRICT_OPERATORS if strict else _OPERATORS)}")
     if operator not in _OPERATORS:
         return F.lit(False)
     if (need := _OPERATORS[operator]) is not None and len(values) < need:
@@ -103,6 +155,16 @@ def compare(tag: Column, operator: str, values: Sequence, strict: bool = False)
     return F.coalesce(out, F.lit(False))
 
 
+def compare_data(tag: Column, operator: Column, values: Column) -> Column:
+    """compare with the operator and the values (texts) as data; an unknown operator is false."""
+    x, at = tag.cast("string").try_cast("double"), lambda i: F.get(values, F.lit(i)).try_cast("double")
+    numeric = {">": x > at(0), ">=": x >= at(0), "<": x < at(0), "<=": x <= at(0), "between": x.between(at(0), at(1))}
+    out = F.when(operator == "=", tag.cast("string") == F.get(values, F.lit(0))).when(operator == "in", F.array_contains(values, tag.cast("string")))
+    for name, holds in numeric.items():
+        out = out.when(operator == name, holds)
+    return F.coalesce(out, F.lit(False))
+
+
 def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

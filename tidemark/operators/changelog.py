@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,28 @@ def signed_delta(valid: Mapping[str, Column], measure: Mapping[str, Column]) ->
     """after's measure where valid, less before's where valid; absent images count 0."""
     part = lambda side: F.coalesce(F.when(valid[side], measure[side]), F.lit(0))
     return part("after") - part("before")
+
+
+def state_deltas(rows: DataFrame, key: Sequence[str], order: Sequence[str], measures: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """rows with a delta for each measure, from a feed of after images: name: (value, kind), kind being 'adds' (value less the
+    key's value before), 'cancels' (less the value before) or null (0)."""
+    along = Window.partitionBy(*key).orderBy(*order)
+    for name, (value, kind) in measures.items():
+        before = F.coalesce(F.lag(value).over(along), F.lit(0))
+        rows = rows.withColumn(name, F.when(kind == "adds", value - before).when(kind == "cancels", -before).otherwise(F.lit(0)))
+    return rows
+
+
+def running_total(rows: DataFrame, stretch: Column, order: Sequence[str], totals: Mapping[str, str]) -> DataFrame:
+    """rows with running totals over all of them, name: column to add up, in the order of (stretch, order).
+
+    stretch cuts the order into pieces, such as hours. Each piece is summed by itself; one row a piece runs through one
+    task, and the rows within a piece through that piece's, so no task sees all rows.
+    """
+    rows = rows.withColumn("__stretch", stretch)
+    pieces = rows.groupBy("__stretch").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in totals.items()])
+    before = Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("__stretch", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in totals])
+    within = Window.partitionBy("__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.select("*", *[F.sum(c).over(within).alias(f"__w_{n}") for n, c in totals.items()]).join(pieces, "__stretch")
+    return out.select(*[c for c in rows.columns if c != "__stretch"], *[(F.col(f"__w_{n}") + F.col(f"__s_{n}")).alias(n) for n in totals])

@@ -43,3 +43,16 @@ def with_retry(rows: DataFrame, dim: DataFrame, pending: DataFrame, key: str, at
     """(done, still pending) of one reading of dim; sinks.looked_up is the form for streams, whose dim may change between two."""
     found = retried(rows, dim, pending, key, attempts)
     return found.where("attempt is null").drop("attempt"), found.where("attempt is not null").select(*rows.columns, "attempt")
+
+
+def flattened_tree(tree: DataFrame, node: str, parent: str, level: str, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """A parent tree as a row a leaf: its ancestors' name columns under names (from the root), and keep of the leaf.
+
+    A node of level i (from 1) has its parent on level i - 1; leaves are on level len(names). One join a level, each
+    with the level's nodes only, so upper levels are small sides.
+    """
+    out = tree.where(F.col(level) == len(names)).select(F.col(parent).alias("__up"), F.col("name").alias(names[-1]), *keep)
+    for i in range(len(names) - 1, 0, -1):
+        above = tree.where(F.col(level) == i).select(F.col(node).alias("__id"), F.col(parent).alias("__next"), F.col("name").alias(names[i - 1]))
+        out = out.join(sized(above), F.col("__up") == F.col("__id")).drop("__up", "__id").withColumnRenamed("__next", "__up")
+    return out.select(*names, *keep)

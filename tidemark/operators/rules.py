@@ -1,27 +1,38 @@
-"""Marketing rules over an event stream: rule table, audiences, counted and ordered conditions, matches."""
+"""Marketing rules over an event stream: rule models, the rule table, audiences, counted and ordered conditions, matches.
+
+Rules are data. All rules are evaluated in one pass: their triggers (which event plays which part in which rule) are joined to
+the events by event type, and what follows is keyed by (rule, user).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import all_of, compare, property_or_blank
+from tidemark.functions import all_of, compare, compare_data, property_or_blank
 from tidemark.operators.changelog import latest
 from tidemark.operators.lookup import sized
+from tidemark.operators.sequence import fold_steps
+
+Check = tuple[str, str, Sequence]
 
 
 @dataclass(frozen=True)
 class Condition:
-    """An event to be counted: its id, and comparisons of its properties; least: the count that satisfies."""
+    """An event to be counted: its id, and comparisons of its properties; least: the count that satisfies.
+
+    Events later than until ('yyyy-MM-dd HH:mm:ss') are not counted.
+    """
 
     event: str
     least: int = 1
-    properties: Sequence[tuple[str, str, Sequence]] = ()
+    properties: Sequence[Check] = ()
     flag: str = "1"
+    until: str | None = None
 
     def holds(self, event: Column, properties: Column) -> Column:
         checks = [compare(property_or_blank(properties, k), op, v) for k, op, v in self.properties]
@@ -31,17 +42,80 @@ class Condition:
 @dataclass(frozen=True)
 class Rule:
     """fire: the event that matches. counted: conditions that must hold by then, the firing event included.
-    sequence: events to be passed in order at least times. history: counts before cutoff are in a seed table."""
+    sequence: events to be passed in order at least times. Only events after cutoff are counted and fire; seeds hold what was before."""
 
     rule_id: str
     fire: Condition
     counted: Sequence[Condition] = ()
     sequence: Sequence[str] = ()
     times: int = 1
-    profile: Sequence[tuple[str, str, Sequence]] = ()
+    profile: Sequence[Check] = ()
     has_audience: bool = False
     cutoff: str | None = None
-    until: str | None = None
+
+
+def _values(value: object) -> list[str]:
+    return [str(v) for v in (value if isinstance(value, list) else [value])]
+
+
+def _profile(listed: list[dict]) -> list[Check]:
+    """Conditions as {tag_name, compare_op, compare_value} or {tag_name, compare_type, tag_value}."""
+    return [(c["tag_name"], c.get("compare_op") or c["compare_type"], _values(c["compare_value"] if "compare_value" in c else c["tag_value"])) for c in listed]
+
+
+def _fire(given: dict) -> Condition:
+    """fire_event as {event_id, properties: [..]} or {event_id, pro_name, pro_value}, or fire_event_id."""
+    event = given.get("fire_event") or {"event_id": given.get("fire_event_id") or given["event_id"]}
+    checks = [(p["property_name"], p["compare_op"], _values(p["compare_value"])) for p in event.get("properties", ())]
+    if "pro_name" in event:
+        checks.append((event["pro_name"], "=", _values(event["pro_value"])))
+    return Condition(event["event_id"], properties=checks)
+
+
+def _counted(given: dict) -> list[Condition]:
+    out = [Condition(c["event_id"], int(c["event_cnt"]), flag=str(c["flag_id"]), until=(c.get("end_time") or "").strip() or None) for c in given.get("dynamic_profile", ())]
+    online = given.get("online_profile", {})
+    if "event_count" in online:
+        out.append(Condition(online["event_id"], int(online["event_count"])))
+    return out
+
+
+def _counts_model(given: dict, **more) -> Rule:
+    return Rule(given["rule_id"], _fire(given), _counted(given), profile=_profile(given.get("static_profile") or given.get("offline_profile") or []), **more)
+
+
+def _sequence_model(given: dict, **more) -> Rule:
+    rule, online = _counts_model(given, **more), given["online_profile"]
+    return Rule(rule.rule_id, rule.fire, rule.counted, tuple(online["event_seq"]), int(online["seq_count"]), rule.profile, **more)
+
+
+def _history_model(given: dict, **more) -> Rule:
+    """Counts before the cutoff come from seeds, later ones from the stream."""
+    return _counts_model(given, cutoff=given.get("dynamic_profile_history_query_end"), **more)
+
+
+def _past_model(given: dict, **more) -> Rule:
+    """A count in the past alone: all of it comes from seeds. min_count within start_time and end_time, flag c_id."""
+    past = given["online_history_profile"]
+    counted = [Condition(past["event_id"], int(past["min_count"]), flag=str(past["c_id"]), until="0001-01-01 00:00:00")]
+    return Rule(given["rule_id"], _fire(given), counted, profile=_profile(given.get("offline_profile") or []), **more)
+
+
+#: Named models: what a rule's parameters mean. A new one is registered here in code; no code is run from the rule table.
+MODELS: dict[str, Callable[..., Rule]] = {"counts": _counts_model, "event": _counts_model, "sequence": _sequence_model, "history": _history_model, "past": _past_model}
+
+
+def parse_rule(model: str, parameters: str, has_audience: bool = False, history_end: str | None = None) -> Rule:
+    """A rule of the rule table from its model's name and its JSON parameters; an unknown model or operator is a ValueError."""
+    if model not in MODELS:
+        raise ValueError(f"rule model {model!r} is not one of {sorted(MODELS)}")
+    given = json.loads(parameters)
+    if history_end is not None:
+        given["dynamic_profile_history_query_end"] = history_end
+    rule = MODELS[model](given, has_audience=has_audience)
+    for _, op, values in [*rule.profile, *(p for c in (rule.fire, *rule.counted) for p in c.properties)]:
+        compare(F.lit(""), op, values, known=True)
+    return rule
 
 
 def active_rules(feed: DataFrame, respect_status: bool = True, online: int = 2) -> DataFrame:
@@ -50,73 +124,117 @@ def active_rules(feed: DataFrame, respect_status: bool = True, online: int = 2)
     return rules.where(F.col("online_status") == online) if respect_status else rules
 
 
-def in_audience(events: DataFrame, audience: DataFrame, rule_id: str) -> DataFrame:
-    """Only the events of the rule's members (audience: rule_id, user_id)."""
-    members = audience.where(F.col("rule_id") == rule_id).select("user_id").distinct()
-    return events.join(sized(members), "user_id", "left_semi")
+_CHECKS = "array<struct<name:string,op:string,given:array<string>>>"
+_COUNT, _STEP, _FIRE = 0, 1, 2  # in the order in which one event's parts count
+_ORDER = ("ts", "event_id", "part", "number")
 
 
-def evaluate(events: DataFrame, rule: Rule, profile: DataFrame | None = None, audience: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
-    """rule_id, user_id, match_time of each firing event at which all conditions hold.
+def triggers(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """A row for each part that an event plays in a rule; as many as the rules have conditions and steps, all told."""
+    rows = []
+    for r in rules:
+        common = (r.rule_id, [c.least for c in r.counted], [c.flag for c in r.counted], len(r.sequence), r.times, r.cutoff, r.has_audience, bool(r.profile))
+        checks = lambda c: [(k, op, _values(list(v))) for k, op, v in c.properties]
+        rows += [(c.event, _COUNT, i, checks(c), None, c.until, *common) for i, c in enumerate(r.counted)]
+        rows += [(e, _STEP, None, [], [i for i, x in enumerate(r.sequence) if x == e], None, *common) for e in dict.fromkeys(r.sequence)]
+        rows.append((r.fire.event, _FIRE, None, checks(r.fire), None, None, *common))
+    schema = f"event string, part int, number int, checks {_CHECKS}, hits array<int>, until string, rule_id string, least array<int>, flags array<string>, n_steps int, times int, cutoff string, has_audience boolean, has_profile boolean"
+    return spark.createDataFrame(rows, schema)
+
+
+def _fitting(profile: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """rule_id, user_id of the users whose profile fits the rule's conditions."""
+    fits = [F.when(all_of([compare(F.col(tag), op, v) for tag, op, v in r.profile]), F.lit(r.rule_id)) for r in rules]
+    return profile.select("user_id", F.explode(F.array_compact(F.array(*fits))).alias("rule_id")).distinct()
 
-    events: user_id, event_id, event_type, ts, properties. Counts are state of (rule, flag, user): every counted
-    condition has its running count, which includes the row itself; seeds (rule_id, flag_id, user_id, cnt) count what
-    came up to the cutoff. Only events that some condition names are shuffled.
+
+def _only(rows: DataFrame, flag: str, allowed: DataFrame) -> DataFrame:
+    """rows of which those with the flag are among allowed (rule_id, user_id)."""
+    marked = allowed.select("rule_id", "user_id").distinct().withColumn("__in", F.lit(True))
+    return rows.join(sized(marked), ["rule_id", "user_id"], "left").where(~F.col(flag) | F.col("__in").isNotNull()).drop("__in")
+
+
+def progress(events: DataFrame, rules: Sequence[Rule], profile: DataFrame | None = None, audience: DataFrame | None = None, seeds: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
+    """Every part that an event plays in a rule, with what the rule has counted for the user by then.
+
+    events: user_id, event_id, event_type, ts, properties. Counts are state of (rule, flag, user) and include the event
+    itself; seeds (rule_id, flag_id, user_id, cnt) count what came up to the cutoff. state (rule_id, user_id, counts, passed) is
+    what earlier events left (see left_by). Only events that some condition names are shuffled, once, by rule and user.
     """
-    etype, props = F.col("event_type"), F.col("properties")
-    if rule.has_audience:
-        events = in_audience(events, audience, rule.rule_id)
-    if rule.profile:
-        fit = profile.where(all_of([compare(F.col(tag), op, v) for tag, op, v in rule.profile])).select("user_id").distinct()
-        events = events.join(sized(fit), "user_id", "left_semi")
-    flags = {f"__hit{i}": c.holds(etype, props) for i, c in enumerate(rule.counted)}
-    fires = rule.fire.holds(etype, props)
-    rows = events.withColumns(flags | {"__fires": fires, "__step": etype.isin(list(rule.sequence)) if rule.sequence else F.lit(False)})
-    rows = rows.where(reduce(lambda a, b: a | b, [F.col(f) for f in flags], F.col("__fires") | F.col("__step")))
-    live = F.lit(True)
-    if rule.cutoff:
-        live = F.col("ts") > F.lit(rule.cutoff).cast(events.schema["ts"].dataType)
-    if rule.until:
-        live = live & (F.col("ts") <= F.lit(rule.until).cast(events.schema["ts"].dataType))
-    along = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = []
-    for i, c in enumerate(rule.counted):
-        name = f"__n{i}"
-        rows = rows.withColumn(name, F.sum(F.when(F.col(f"__hit{i}") & live, 1).otherwise(0)).over(along))
-        total = F.col(name)
+    rows = events.select("user_id", "event_id", "event_type", "ts", "properties").join(F.broadcast(triggers(events.sparkSession, rules)), F.col("event_type") == F.col("event"))
+    rows = rows.where(F.forall("checks", lambda c: compare_data(F.coalesce(F.col("properties")[c["name"]], F.lit("")), c["op"], c["given"])))
+    at = F.col("ts").cast("timestamp")
+    live = (F.col("cutoff").isNull() | (at > F.to_timestamp("cutoff"))) & (F.col("until").isNull() | (at <= F.to_timestamp("until")))
+    rows = rows.where((F.col("part") == _STEP) | live).drop("event", "event_type", "properties", "checks", "cutoff", "until")
+    if any(r.has_audience for r in rules):
+        rows = _only(rows, "has_audience", audience)
+    if with_profile := [r for r in rules if r.profile]:
+        rows = _only(rows, "has_profile", _fitting(profile, with_profile))
+    most = max((len(r.counted) for r in rules), default=0)
+    key, order = ["rule_id", "user_id"], list(_ORDER)
+    rows = rows.withColumn("number", F.coalesce("number", F.lit(-1)))
+    if seeds is not None:
+        by_flag = seeds.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("flag_id", "cnt"))).alias("__seeds"))
+        rows = rows.join(sized(by_flag), key, "left")
+    if state is not None:
+        rows = rows.join(state.select(*key, F.col("counts").alias("__counts"), F.col("passed").alias("__from")), key, "left")
+    along = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = []
+    for i in range(most):
+        count = F.sum(F.when(F.col("number") == i, 1).otherwise(0)).over(along)
+        if state is not None:
+            count = count + F.coalesce(F.get("__counts", F.lit(i)), F.lit(0))
+        counts.append(count.alias(f"__c{i}"))
+    rows = rows.select("*", *counts)
+    met = [F.lit(True)]
+    for i in range(most):
+        total = F.col(f"__c{i}")
         if seeds is not None:
-            own = seeds.where((F.col("rule_id") == rule.rule_id) & (F.col("flag_id") == c.flag)).select("user_id", F.col("cnt").alias(f"__seed{i}"))
-            rows = rows.join(sized(own), "user_id", "left")
-            total = total + F.coalesce(f"__seed{i}", F.lit(0))
-        met.append(total >= c.least)
-    if rule.sequence:
-        rows = _with_sequence(rows, rule)
-        met.append(F.col("__seen") >= rule.times)
-    hits = rows.where(F.col("__fires") & live & all_of(met))
-    return hits.select(F.lit(rule.rule_id).alias("rule_id"), "user_id", F.col("ts").alias("match_time"))
-
-
-def _with_sequence(rows: DataFrame, rule: Rule) -> DataFrame:
-    """rows with __seen: how often the sequence has been completed up to each row, by one fold over a user's steps."""
-    steps = list(rule.sequence)
-    wanted = F.array(*[F.lit(s) for s in steps])
-    listed = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", "__fires"))).alias("__l"))
-    kind = f"array<struct<event_id:{rows.schema['event_id'].dataType.simpleString()},seen:bigint>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(state, x):
-        at = F.when(F.get(wanted, F.pmod(state["at"], F.lit(len(steps))).cast("int")) == x["event_type"], state["at"] + 1).otherwise(state["at"])
-        seen = F.floor(at / len(steps)).cast("long")
-        fired = F.when(x["__fires"], F.array(F.struct(x["event_id"].alias("event_id"), seen.alias("seen")))).otherwise(F.array().cast(kind))
-        return F.struct(at.alias("at"), F.concat(state["out"], fired).alias("out"))
-
-    folded = listed.select("user_id", F.explode(F.aggregate("__l", start, step, lambda s: s["out"])).alias("__o"))
-    seen = folded.select("user_id", F.col("__o.event_id").alias("event_id"), F.col("__o.seen").alias("__seen"))
-    return rows.where("__fires").join(seen, ["user_id", "event_id"])
+            total = total + F.coalesce(F.col("__seeds")[F.get("flags", F.lit(i))], F.lit(0))
+        met.append((F.size("least") <= i) | (total >= F.get("least", F.lit(i))))
+    rows = rows.withColumns({"met": all_of(met), "counts": F.array(*[F.col(f"__c{i}").cast("long") for i in range(most)]).cast("array<bigint>")})
+    rows = rows.select(*key, *order, "hits", "n_steps", "times", "met", "counts", (F.col("__from") if state is not None else F.lit(None)).cast("long").alias("start"))
+    if any(r.sequence for r in rules):
+        rows = fold_steps(rows, key, order)
+    else:
+        rows = rows.withColumn("passed", F.lit(0).cast("long"))
+    done = (F.col("n_steps") == 0) | (F.floor(F.col("passed") / F.greatest("n_steps", F.lit(1))) >= F.col("times"))
+    return rows.select(*key, *order, "counts", "passed", ((F.col("part") == _FIRE) & F.col("met") & done).alias("fires"))
+
+
+def matches(rows: DataFrame) -> DataFrame:
+    """rule_id, user_id, match_time of the firing events of progress()."""
+    return rows.where("fires").select("rule_id", "user_id", F.col("ts").alias("match_time"))
+
+
+def left_by(rows: DataFrame) -> DataFrame:
+    """rule_id, user_id, counts, passed after all events of progress()."""
+    last = F.max_by(F.struct("counts", "passed"), F.struct(*_ORDER)).alias("last")
+    return rows.groupBy("rule_id", "user_id").agg(last).select("rule_id", "user_id", "last.counts", "last.passed")
+
+
+def evaluate_all(events: DataFrame, rules: Sequence[Rule], profile: DataFrame | None = None, audience: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """rule_id, user_id, match_time of each event at which a rule's conditions all hold, for all rules in one pass."""
+    return matches(progress(events, rules, profile, audience, seeds))
+
+
+def evaluate(events: DataFrame, rule: Rule, profile: DataFrame | None = None, audience: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    return evaluate_all(events, [rule], profile, audience, seeds)
+
+
+def match_message(found: DataFrame, time_name: str = "match_time") -> DataFrame:
+    """Matches as JSON texts {rule_id, user_id, time_name}, the time in epoch milliseconds."""
+    millis = F.unix_millis(F.col("match_time").cast("timestamp")).alias(time_name)
+    return found.select(F.to_json(F.struct("rule_id", "user_id", millis)).alias("value"))
 
 
 def replay(events: DataFrame, rules_since: DataFrame, minutes: int) -> DataFrame:
-    """Recent events for rules that have just come into force: (rule_id, since) x events of the last minutes before it."""
-    window = F.expr(f"interval {minutes} minutes")
-    near = (F.col("ts") > F.col("since") - window) & (F.col("ts") <= F.col("since"))
-    return events.join(sized(rules_since), near)
+    """Recent events for rules that have just come into force: (rule_id, since) x events of the last minutes before it.
+
+    Both sides are cut into stretches of so many minutes and joined by them, so that no event meets a rule whose time is far from its own.
+    """
+    width = minutes * 60
+    bucket = lambda t: F.floor(F.unix_seconds(F.col(t).cast("timestamp")) / width)
+    near = rules_since.withColumn("__b", F.explode(F.array(bucket("since") - 1, bucket("since"))))
+    within = (F.col("ts") > F.col("since") - F.expr(f"interval {minutes} minutes")) & (F.col("ts") <= F.col("since"))
+    return events.withColumn("__b", bucket("ts")).join(near, "__b").where(within).drop("__b")

@@ -12,7 +12,6 @@ from tidemark.plans.registry import query, stamp, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-_AS_OF = "1996-01-01"
 _MONEY = "decimal(18,2)"
 
 

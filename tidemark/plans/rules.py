@@ -31,8 +31,7 @@ def rule_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(QUERIES, ORACLES, f"""
-with p as (select c_custkey as user_id from customer where c_mktsegment = 'BUILDING' or c_mktsegment <> 'BUILDING' and c_acctbal between 0 and 5000),
-aud as (select c_custkey as user_id from customer where c_custkey % 3 <> 0),
+with aud as (select c_custkey as user_id from customer where c_custkey % 3 <> 0),
 prof as (select c_custkey as user_id from customer where c_acctbal >= 0 and c_acctbal <= 9000),
 e as (select * from events where user_id in (select user_id from aud) and user_id in (select user_id from prof)),
 r as (select *, sum(case when event_type = 'view' and json_extract_string(props, '$.k')::double between 10 and 60 then 1 else 0 end) over o as n1,
