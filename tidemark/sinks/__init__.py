@@ -1,4 +1,4 @@
-"""Writers for batches and micro-batches: append, upsert by key, several sinks of one read, Kafka, JDBC."""
+"""Writers for batches and micro-batches: append, upsert by key, several sinks of one read, tables, Kafka, JDBC, console."""
 
 from __future__ import annotations
 
@@ -24,21 +24,44 @@ def append_parquet(path: str, partition_by: Sequence[str] = ()) -> Writer:
     return write
 
 
-def upsert_parquet(path: str, key: Sequence[str], order: Sequence[str]) -> Writer:
-    """A table of the latest row a key, as versions: each batch writes the next from the last, and never over it.
+def olap_parquet(path: str, time: str, day: str = "dt") -> Writer:
+    """append_parquet in a folder a day of time, so that a query of some days reads only theirs."""
+    write = append_parquet(path, [day])
+    return lambda batch, number: write(batch.withColumn(day, F.to_date(time)), number)
 
-    A batch that is run again starts from the same version and writes the same. read_upserted reads the last whole one.
+
+def upsert_parquet(path: str, key: Sequence[str], order: Sequence[str], buckets: int = 16) -> Writer:
+    """A table of the latest row a key, in buckets by the key's hash, as versions: a batch writes anew the buckets that it touches.
+
+    Each version lists where every bucket's newest rows are, and none is written over: a batch that is run again starts
+    from the same version and writes the same. read_upserted reads the last whole one.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = _last_version(spark, path, number)
-        rows = batch if before is None else spark.read.parquet(f"{path}/version={before}").unionByName(batch)
-        latest(rows, key, order).write.mode("overwrite").parquet(f"{path}/version={number}")
+        rows = batch.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = [r[0] for r in rows.select("__bucket").distinct().collect()]  # at most buckets
+            at = _places(spark, path, number)
+            if old := [f"{path}/rows={v}/__bucket={b}" for b, v in at.items() if b in touched]:
+                before = spark.read.option("basePath", path).schema(batch.schema).parquet(*old).select(*batch.columns)
+                rows = rows.unionByName(before.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
+            out = latest(rows, ["__bucket", *key], order).select(*batch.columns, "__bucket")
+            out.repartition(buckets, "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/rows={number}")
+        finally:
+            rows.unpersist()
+        now = [(b, v) for b, v in (at | dict.fromkeys(touched, number)).items()]
+        spark.createDataFrame(now, "bucket int, at long").coalesce(1).write.mode("overwrite").parquet(f"{path}/places/version={number}")
 
     return write
 
 
+def _places(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
+    """Of an upserted table: the batch that has written each bucket last."""
+    places = read_version(spark, f"{path}/places", below)
+    return {} if places is None else {r["bucket"]: r["at"] for r in places.collect()}
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     root = jvm.org.apache.hadoop.fs.Path(path)
@@ -56,9 +79,18 @@ def _last_version(spark: SparkSession, path: str, below: int | None = None) -> i
 
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    if (version := _last_version(spark, path)) is None:
+    """The table that upsert_parquet keeps at path, or the last version of one that is written anew each batch."""
+    if at := _places(spark, path):
+        return spark.read.option("basePath", path).parquet(*[f"{path}/rows={v}/__bucket={b}" for b, v in sorted(at.items())]).drop("rows", "__bucket")
+    if (rows := read_version(spark, path)) is None:
         raise FileNotFoundError(f"{path} has no whole version")
-    return spark.read.parquet(f"{path}/version={version}")
+    return rows
+
+
+def read_version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
+    """The last whole version (before below) of a table that is written anew each batch; None if there is none."""
+    version = _last_version(spark, path, below)
+    return None if version is None else spark.read.parquet(f"{path}/version={version}")
 
 
 def keep_recent(path: str, time: str, seconds: int) -> Writer:
@@ -132,6 +164,52 @@ def jdbc(url: str, table: str, batch_rows: int = 1000, **options: str) -> Writer
     return write
 
 
+def jdbc_upsert(url: str, table: str, staging: str, key: Sequence[str], order: Sequence[str], batch_rows: int = 1000, **options: str) -> Writer:
+    """Rows into a table with a primary key: each batch's latest row a key goes to staging, and from there by one statement.
+
+    The statement is one transaction, so a batch that is run again changes nothing. MySQL has a form of its own.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        latest(batch, key, order).select(*batch.columns).write.format("jdbc").mode("overwrite").option("url", url).option("dbtable", staging).option("batchsize", batch_rows).options(**options).save()
+        spark, mysql = batch.sparkSession, url.startswith("jdbc:mysql:")
+        quoted = [f"`{c}`" if mysql else f'"{c}"' for c in batch.columns]
+        rest = [q for c, q in zip(batch.columns, quoted, strict=True) if c not in key]
+        same = [q for c, q in zip(batch.columns, quoted, strict=True) if c in key]
+        names, own, change = ", ".join(quoted), ", ".join(f"s.{q}" for q in quoted), ", ".join(f"{q} = s.{q}" for q in rest)
+        if mysql:
+            sql = f"insert into {table} ({names}) select {own} from {staging} s on duplicate key update {change or f'{same[0]} = s.{same[0]}'}"
+        else:
+            update = f" when matched then update set {change}" if change else ""
+            sql = f"merge into {table} t using {staging} s on {' and '.join(f't.{q} = s.{q}' for q in same)}{update} when not matched then insert ({names}) values ({own})"
+        properties = spark._jvm.java.util.Properties()
+        for name in ("user", "password"):
+            if name in options:
+                properties.setProperty(name, options[name])
+        connection = spark._jvm.java.sql.DriverManager.getConnection(url, properties)
+        try:
+            connection.createStatement().execute(sql)
+        finally:
+            connection.close()
+
+    return write
+
+
+def insert_into(table: str) -> Writer:
+    """Rows into a catalog table, by the columns' names."""
+    return lambda batch, number: batch.sparkSession.sql(f"insert into {table} by name select * from {{batch}}", batch=batch) and None
+
+
+def printed(write: Callable[[str], None] = print) -> Writer:
+    """Every row as a line of JSON on the driver, which holds one partition at a time."""
+
+    def out(batch: DataFrame, number: int) -> None:
+        for r in batch.select(F.to_json(F.struct("*"))).toLocalIterator():
+            write(r[0])
+
+    return out
+
+
 def kafka(servers: str, topic: str) -> Writer:
     """Rows as JSON texts, at least once."""
 
@@ -142,6 +220,7 @@ def kafka(servers: str, topic: str) -> Writer:
 
 
 def start(rows: DataFrame, writer: Writer, checkpoint: str, every: str | None = None, mode: str = "append") -> StreamingQuery:
-    """Runs rows into writer; without every, what is there now is taken and the query ends."""
+    """Runs rows into writer, a batch each time that every (such as '200 milliseconds') has passed; without every, what is
+    there now is taken and the query ends."""
     out = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(writer)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampType
 
-from tidemark.operators.changelog import parse_envelope
+from tidemark.functions import from_server_time
+from tidemark.operators.changelog import additions, parse_envelope
 
 EVENT_SCHEMA = "username string, session_id string, eventId string, actionTime bigint, lat double, lng double, release_channel string, device_type string, properties map<string,string>"
 RULE_EVENT_SCHEMA = "user_id bigint, event_time bigint, event_id string, properties map<string,string>"
@@ -35,13 +38,47 @@ def json_files(spark: SparkSession, path: str, schema: str | StructType, stream:
     return reader.json(path)
 
 
-def parquet_files(spark: SparkSession, path: str, stream: bool = False, schema: StructType | None = None) -> DataFrame:
-    return spark.readStream.schema(schema or spark.read.parquet(path).schema).parquet(path) if stream else spark.read.parquet(path)
+def parquet_files(spark: SparkSession, path: str, stream: bool = False, schema: StructType | None = None, files_a_batch: int | None = None) -> DataFrame:
+    if not stream:
+        return spark.read.parquet(path)
+    reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(path)
+
+
+def change_feed(text: DataFrame, row_schema: str, value: str = "value", server_zone: str | None = None) -> DataFrame:
+    """Envelopes {before, after, op} from JSON texts. server_zone: the zone of the database's times, which become instants."""
+    rows = parse_envelope(text, value, row_schema).select("before", "after", "op")
+    if server_zone is None:
+        return rows
+    times = [f.name for f in rows.schema["after"].dataType.fields if f.dataType == TimestampType()]
+    moved = {}
+    for side in ("before", "after"):
+        moved[side] = F.col(side)
+        for name in times:
+            moved[side] = moved[side].withField(name, from_server_time(F.col(side)[name], server_zone))
+    return rows.withColumns({k: F.when(F.col(k).isNotNull(), v) for k, v in moved.items()})
+
+
+def redeclared(changes: DataFrame, time: str, delay: str = "0 seconds", kind: str = "kind") -> DataFrame:
+    """A changelog's additions as rows with an event time of their own."""
+    return additions(changes, kind).drop(kind).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+
+
+def as_view(rows: DataFrame, name: str) -> DataFrame:
+    """rows, which SQL texts of the session then know by name."""
+    rows.createOrReplaceTempView(name)
+    return rows
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """name, type, nullable of each column."""
+    return rows.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in rows.schema.fields], "name string, type string, nullable boolean")
 
 
-def change_feed(text: DataFrame, row_schema: str, value: str = "value") -> DataFrame:
-    """Envelopes {before, after, op} from JSON texts."""
-    return parse_envelope(text, value, row_schema).select("before", "after", "op")
+def one_stream(*streams: DataFrame, tag: str = "source") -> DataFrame:
+    """Streams of different columns as one: tag (the stream's number) and value (the row as JSON text)."""
+    tagged = [s.select(F.lit(i).alias(tag), F.to_json(F.struct("*")).alias("value")) for i, s in enumerate(streams)]
+    return reduce(DataFrame.unionByName, tagged)
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 1, **options: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.windows import streaming_top_n
+from tidemark.sinks import Writer, read_version
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -90,67 +91,101 @@ def show_then_click(rows: DataFrame, show: str, click: str, within_seconds: int)
 
 
 def page_dwell(rows: DataFrame, idle_seconds: int) -> DataFrame:
-    """user_id, page, page_start, page_end, n_events of each visit of a page, once it has ended.
+    """user_id, page, page_start, page_end, n_events of each stay on a page (see operators.sequence.dwell), once it has ended.
 
-    rows: user_id, ts, event_id, page, opens, closes. A visit ends before the next opening, with a closing, and when
-    event time has passed its last event by idle_seconds; then the user's state goes. A visit that doesn't begin with
-    an opening has the page opened last, or its first event's own page after such an end.
+    rows: user_id, ts, event_id, page, kind (load, wake, close, launch, or anything else). A stay ends with the next
+    loading, at its time, with a waking, with a closing, and when event time has passed the user's last event by
+    idle_seconds; then the user's state goes.
     """
     idle = idle_seconds * 1_000_000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, page, start, last, n = state.get if state.exists else (None, None, None, None, 0)
+        page, start, end, n, last = state.get if state.exists else (None, None, None, 0, None)
         out = []
 
-        def end() -> None:
-            nonlocal n
-            if n:
-                out.append((key[0], page, pd.Timestamp(start, unit="us"), pd.Timestamp(last, unit="us"), n))
-            n = 0
+        def ended(upto: int) -> None:
+            out.append((key[0], page, pd.Timestamp(start, unit="us"), pd.Timestamp(max(end, upto), unit="us"), n))
 
         if state.hasTimedOut:
-            end()
+            if n:
+                ended(end)
             state.remove()
         else:
             events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-            for ts, own, opens, closes in zip(events["ts"], events["page"], events["opens"], events["closes"], strict=True):
+            for ts, own, kind in zip(events["ts"], events["page"], events["kind"], strict=True):
                 micros = ts.value // 1000
-                if last is not None and micros - last > idle:
-                    end()
-                    opened = None
-                if opens:
-                    end()
-                    opened = own
+                if n and micros - last > idle:
+                    ended(end)
+                    n = 0
+                last = micros
+                if kind == "launch":
+                    continue
                 if not n:
-                    page, start = (own if opened is None else opened), micros
-                last, n = micros, n + 1
-                if closes:
-                    end()
-            state.update((opened, page, start, last, n))
-            state.setTimeoutTimestamp(max((last + idle) // 1000, state.getCurrentWatermarkMs() + 1))
+                    page, start, end, n = own, micros, micros, 1
+                elif kind == "load":
+                    ended(micros)
+                    page, start, end, n = own, micros, micros, 1
+                elif kind == "wake":
+                    ended(end)
+                    start, end, n = micros, micros, 1
+                else:
+                    end, n = micros, n + 1
+                if kind == "close":
+                    ended(end)
+                    n = 0
+            state.update((page, start, end, n, last))
+            state.setTimeoutTimestamp(max((last + idle) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({c: [x[i] for x in out] for i, c in enumerate(("user_id", "page", "page_start", "page_end", "n_events"))})
 
     result = "user_id long, page string, page_start timestamp, page_end timestamp, n_events long"
-    return rows.groupBy("user_id").applyInPandasWithState(run, result, "opened string, page string, start long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(run, result, "page string, start long, end long, n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], left_time: str, right_time: str, ttl: str, how: str = "inner") -> DataFrame:
+    """Rows of two streams (with watermarks) of equal keys whose times lie at most ttl apart: state older than that goes.
+
+    The columns of the two must differ in name. For left joins, a row without a partner comes once its ttl has passed.
+    """
+    span = F.expr(f"interval {ttl}")
+    near = (F.col(right_time) >= F.col(left_time) - span) & (F.col(right_time) <= F.col(left_time) + span)
+    for a, b in keys:
+        near = near & (F.col(a) == F.col(b))
+    return left.join(right, near, how)
+
 
+def running_sums(deltas: DataFrame, totals: dict[str, str]) -> DataFrame:
+    """Running totals over a whole stream: start it with output mode update."""
+    return deltas.agg(*[F.sum(c).alias(n) for n, c in totals.items()])
 
-def enriched(rows: DataFrame, column: str, fetch: Callable[[str], str | None], name: str, threads: int = 8, cache: DataFrame | None = None) -> DataFrame:
+
+def enriched(rows: DataFrame, column: str, fetch: Callable[[str], str | None], name: str, threads: int = 8, cache: DataFrame | None = None, timeout_seconds: float | None = None) -> DataFrame:
     """rows with fetch(column) as name: each distinct value is fetched once, threads at a time, and joined back.
 
-    cache (column, name) holds known answers. A fetch that fails gives null. For micro-batches, call it in the writer.
+    cache (column, name) holds known answers. A fetch that fails, or takes longer than timeout_seconds, gives null. For
+    micro-batches, call it in the writer, or see cached_enrichment.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(value: str) -> str | None:
+        def one(future: Future) -> str | None:
             try:
-                return fetch(value)
+                return future.result(timeout_seconds)
             except Exception:
                 return None
 
-        with ThreadPoolExecutor(threads) as pool:
+        pool = ThreadPoolExecutor(threads)
+        try:
             for batch in batches:
-                batch[name] = list(pool.map(one, batch[column]))
+                found = []
+                for at in range(0, len(batch), threads):  # a wait begins when its fetch does
+                    asked = [pool.submit(fetch, x) for x in batch[column][at : at + threads]]
+                    found += [one(f) for f in asked]
+                    if any(not f.done() for f in asked):  # threads that hang are left behind
+                        pool.shutdown(wait=False, cancel_futures=True)
+                        pool = ThreadPoolExecutor(threads)
+                batch[name] = found
                 yield batch
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     todo = rows.select(F.col(column).cast("string").alias(column)).where(F.col(column).isNotNull()).distinct()
     if cache is not None:
@@ -159,3 +194,30 @@ def enriched(rows: DataFrame, column: str, fetch: Callable[[str], str | None], n
     if cache is not None:
         answers = answers.unionByName(cache.select(column, name))
     return rows.join(answers, column, "left")
+
+
+def cached_enrichment(path: str, column: str, fetch: Callable[[str], str | None], name: str, time: str, ttl_seconds: int, then: Writer, **how) -> Writer:
+    """A writer that gives rows with fetch(column) as name to then, and keeps the answers in a table at path.
+
+    An answer is kept for ttl_seconds of the rows' time after it was last used or fetched. A batch's answers are written first,
+    as a version, and its rows read them there; a batch that is run again starts from the version before.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = read_version(spark, path, number)
+        known = spark.createDataFrame([], f"`{column}` string, `{name}` string, used timestamp") if old is None else old
+        newest = batch.agg(F.max(time)).first()[0]
+        if newest is not None:
+            known = known.where(F.col("used") >= F.lit(newest) - F.make_dt_interval(secs=F.lit(ttl_seconds)))
+        used = batch.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias(column)).agg(F.max(F.col(time).cast("timestamp")).alias("now"))
+        answers = enriched(used, column, fetch, name, cache=known.select(column, name), **how)
+        answers = answers.withColumnRenamed("now", "used").persist()  # it is read twice, and asked once
+        try:
+            kept = known.join(answers.select(column), column, "left_anti").unionByName(answers)
+            kept.write.mode("overwrite").parquet(f"{path}/version={number}")
+        finally:
+            answers.unpersist()
+        then(batch.join(spark.read.parquet(f"{path}/version={number}").drop("used"), column, "left"), number)
+
+    return write
