@@ -2,16 +2,19 @@
 
 import glob
 import os
+import time
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn
 from tidemark import sinks, sources, streaming
 from tidemark.operators import changelog, lookup, rules, sequence, windows
 from tidemark.plans import ORACLE_SQL, QUERIES
+from tidemark.streaming import engine
 
 
 def values(df):
@@ -143,18 +146,299 @@ def test_stream_show_then_click_equals_batch(spark, event_stream, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count()
 
 
+KINDS = {"load": "view", "wake": "purchase", "close": "error", "launch": "signup"}
+
+
+def _is(kind):
+    return {k: F.col("event_type") == v for k, v in KINDS.items()}[kind]
+
+
 def test_stream_page_dwell_equals_batch(spark, event_stream, tmp_path):
-    _, stream = event_stream
-    kind, page = F.col("event_type"), F.get_json_object("props", "$.k")
     rows, _ = event_stream
-    stream = stream.select("user_id", "ts", "event_id", page.alias("page"), (kind == "view").alias("opens"), (kind == "error").alias("closes"))
+    page = F.get_json_object("props", "$.k")
+    kind = F.when(_is("load"), "load").when(_is("wake"), "wake").when(_is("close"), "close").when(_is("launch"), "launch").otherwise("other")
+    stream = in_batches(spark, rows, tmp_path, 3).withWatermark("ts", "0 seconds")
+    stream = stream.select("user_id", "ts", "event_id", page.alias("page"), kind.alias("kind"))
     got = collected(spark, streaming.page_dwell(stream, 6 * 3600), "dwell", tmp_path).where("user_id >= 0")
-    want = sequence.dwell(rows, ["user_id"], ["ts", "event_id"], "ts", page, kind == "view", kind == "error", 6 * 3600)
-    columns = ["user_id", "page_start", "page_end", "n_events"]
+    want = sequence.dwell(rows, ["user_id"], ["ts", "event_id"], "ts", page, _is("load"), _is("wake"), _is("close"), _is("launch"), 6 * 3600)
+    columns = ["user_id", "page", "page_start", "page_end", "n_events"]
     assert values(got.select(columns).toPandas()) == values(want.select(columns).toPandas()) and want.count()
-    opened = rows.where(kind == "view").select("user_id", F.col("ts").alias("page_start"))
-    pages = lambda df: values(df.join(opened, ["user_id", "page_start"], "left_semi").select("user_id", "page_start", "page").toPandas())
-    assert pages(got) == pages(want)
+
+
+def in_batches(spark, rows, tmp_path, n):
+    """A stream of rows in n micro-batches by time, and of one far later row that ends what waits."""
+    path = str(tmp_path / "batches")
+    far = rows.select(*[(F.max("ts") + F.expr("interval 400 days")).alias(c) if c == "ts" else F.lit(-1).cast("long").alias(c) if c in ("event_id", "user_id") else F.max(c).alias(c) for c in rows.columns])
+    numbered = rows.withColumn("n", F.ntile(n).over(Window.orderBy("ts"))).persist()
+    for i in range(1, n + 1):  # files are read in the order in which they were written
+        numbered.where(F.col("n") == i).drop("n").coalesce(1).write.mode("append").parquet(path)
+    far.coalesce(1).write.mode("append").parquet(path)
+    return sources.parquet_files(spark, path, stream=True, files_a_batch=1)
+
+
+GOLDEN = [  # arrival, time, kind, page: the first two came out of order
+    (1, 922100, "load", "index"), (2, 922000, "scroll", "index"), (3, 923000, "click", "index"), (4, 924000, "load", "page08"),
+    (5, 925000, "click", "page08"), (6, 926000, "click", "page08"), (7, 927000, "put_back", "page08"),
+    (8, 935000, "wake", None), (9, 937000, "click", "page08"), (10, 938000, "click", "page08"), (11, 940000, "close", "page08"),
+]
+
+
+def _stays(spark, rows):
+    df = spark.createDataFrame([(3, n, t, k, p) for n, t, k, p in rows], "u int, n int, t long, kind string, page string").withColumn("ts", F.timestamp_millis("t"))
+    kind = F.col("kind")
+    out = sequence.dwell(df, ["u"], ["n"], "ts", F.col("page"), kind == "load", kind == "wake", kind == "close", kind == "launch", 10)
+    return [tuple(r) for r in out.orderBy("visit").select("page", F.unix_millis("page_start"), F.unix_millis("page_end"), "n_events").collect()]
+
+
+def test_dwell_golden_rows(spark):
+    assert _stays(spark, GOLDEN) == [("index", 922100, 924000, 3), ("page08", 924000, 927000, 4), ("page08", 935000, 940000, 4)]
+    # A launch is on no page, but keeps a session from ending; a page may have no address; after a closing all is new.
+    rows = [(1, 0, "launch", None), (2, 3000, "click", "a"), (3, 9000, "launch", None), (4, 18000, "click", "b"), (5, 20000, "load", None), (6, 21000, "close", "x"), (7, 22000, "click", "c"), (8, 40000, "wake", "d")]
+    assert _stays(spark, rows) == [("a", 3000, 20000, 2), (None, 20000, 21000, 2), ("c", 22000, 22000, 1), ("d", 40000, 40000, 1)]
+
+
+def test_cumulate_has_every_later_step(spark):
+    rows = [("a", 60, 1), ("a", 22 * 60, 2), ("b", 180, 1), (None, 86400 + 86000, 1)]
+    df = spark.createDataFrame(rows, "k string, s int, u int").withColumn("ts", F.timestamp_seconds("s"))
+    out = windows.cumulate(df, "ts", 5, ["k"], {"n": F.lit(1)}, {"users": F.col("u")})
+    got = {(r.k, r.e // 300): (r.n, r.users) for r in out.select("k", F.unix_seconds("window_end").alias("e"), "n", "users").collect()}
+    want = {("a", i): (1, 1) if i < 5 else (2, 2) for i in range(1, 289)} | {("b", i): (1, 1) for i in range(1, 289)} | {(None, i): (1, 1) for i in range(288 + 287, 577)}
+    assert got == want
+
+
+def test_hop_of_sums_equals_hop(spark, event_stream):
+    rows, _ = event_stream
+    one = windows.hop(rows, "ts", "1 hour", "10 minutes", ["event_type"], [F.count("*").alias("n"), F.sum("user_id").alias("s")])
+    two = windows.hop_sums(rows, "ts", 60, 10, ["event_type"], {"n": F.lit(1), "s": F.col("user_id")})
+    assert values(one.toPandas()) == values(two.toPandas())
+
+
+def test_rule_json(spark):
+    given = '{"rule_id": "r", "static_profile": [{"tag_name": "age", "compare_op": ">", "compare_value": 30}], "dynamic_profile": [{"flag_id": 2, "event_id": "w", "event_cnt": 3, "end_time": " "}], "fire_event": {"event_id": "x", "properties": [{"property_name": "p1", "compare_op": "=", "compare_value": "v1"}]}}'
+    want = rules.Rule("r", rules.Condition("x", properties=[("p1", "=", ["v1"])]), [rules.Condition("w", 3, flag="2")], profile=[("age", ">", ["30"])])
+    assert rules.parse_rule("counts", given) == want
+    assert rules.parse_rule("history", given, history_end="2024-01-01 00:00:00").cutoff == "2024-01-01 00:00:00"
+    assert rules.parse_rule("event", '{"rule_id": "r2", "event_id": "p"}') == rules.Rule("r2", rules.Condition("p", properties=[]), [], profile=[])
+    seq = rules.parse_rule("sequence", '{"rule_id": "s", "offline_profile": [{"tag_name": "job", "compare_type": "in", "tag_value": ["a", "b"]}], "online_profile": {"event_seq": ["k", "b", "c"], "seq_count": 3}, "fire_event": {"event_id": "share", "pro_name": "m", "pro_value": "qq"}}', has_audience=True)
+    assert (seq.sequence, seq.times, seq.profile, seq.fire.properties, seq.has_audience) == (("k", "b", "c"), 3, [("job", "in", ["a", "b"])], [("m", "=", ["qq"])], True)
+    for model, text in (("groovy", given), ("counts", given.replace('">"', '"like"'))):
+        with pytest.raises(ValueError):
+            rules.parse_rule(model, text)
+    found = spark.createDataFrame([("r", 1, 5)], "rule_id string, user_id long, s int").withColumn("match_time", F.timestamp_seconds("s"))
+    assert rules.match_message(found, "event_time").first().value == '{"rule_id":"r","user_id":1,"event_time":5000}'
+
+
+def test_compare_as_data_equals_compare(spark):
+    cases = [("30", "=", ["30"]), ("30", ">", ["29"]), ("30", ">=", ["30"]), ("30", "<", ["30"]), ("30", "<=", ["30"]), ("30", "between", ["30", "40"]), ("x", ">", ["1"]), ("", "=", ["a"]), ("a", "in", ["a", "b"]), ("a", "like", ["a"])]
+    df = spark.createDataFrame(cases, "tag string, op string, v array<string>").select(fn.compare_data(F.col("tag"), F.col("op"), F.col("v")).alias("x"))
+    assert [r.x for r in df.collect()] == list(one(spark, *[fn.compare(F.lit(t), o, v) for t, o, v in cases]))
+
+
+def test_rule_of_several_counts_until_a_time(spark):
+    at = [(1, "w", 10), (1, "w", 20), (1, "v", 30), (1, "x", 40), (2, "w", 10), (2, "v", 30), (2, "w", 50), (2, "x", 60)]
+    ev = spark.createDataFrame([(u, i, k, t) for i, (u, k, t) in enumerate(at)], "user_id long, event_id long, event_type string, s int").select("user_id", "event_id", "event_type", F.timestamp_seconds("s").alias("ts"), F.create_map(F.lit("k"), F.lit("1")).alias("properties"))
+    fired = lambda until: sorted(r.user_id for r in rules.evaluate(ev, rules.Rule("r", rules.Condition("x"), [rules.Condition("w", 2, flag="1", until=until), rules.Condition("v", 1, flag="2")])).collect())
+    assert fired(None) == [1, 2] and fired("1970-01-01 00:00:49") == [1]
+
+
+def test_rule_engine_equals_batch(spark, sf, tmp_path):
+    """Three batches by two engines (the second starts anew), one of them run twice; a rule that comes later replays, one that goes is silent."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), fn.property_map(F.col("props")).alias("properties"))
+    rows = rows.withColumn("n", F.ntile(3).over(Window.orderBy("ts", "event_id"))).persist()
+    batches = [rows.where(F.col("n") == i).drop("n") for i in (1, 2, 3)]
+    count = rules.Rule("count", rules.Condition("purchase"), [rules.Condition("view", 2, [("k", "<", [70])]), rules.Condition("click", 1, flag="2")])
+    order = rules.Rule("order", rules.Condition("purchase"), sequence=("view", "click"), times=1)
+    late = rules.Rule("late", rules.Condition("click"), [rules.Condition("view", 2)])
+    inside = [[count, order], [count, order, late], [count, late]]
+    active, path, out, replay = [], str(tmp_path / "state"), str(tmp_path / "out"), 2 * 86400
+    for number, batch in enumerate(batches):
+        if number != 1:
+            write = engine.rule_engine(path, lambda: active, sinks.append_parquet(out), replay)
+        active[:] = inside[number]
+        for _ in range(2 if number == 1 else 1):
+            write(batch, number)
+    got = values(spark.read.parquet(out).select("rule_id", "user_id", "match_time").toPandas())
+    newest = batches[0].agg(F.max("ts")).first()[0]
+    recent = batches[0].where(F.col("ts") > F.lit(newest) - F.expr(f"interval {replay} seconds"))
+    parts = [rules.evaluate(rows.drop("n"), count), rules.evaluate(batches[0].unionByName(batches[1]), order), rules.evaluate(recent.unionByName(batches[1]).unionByName(batches[2]), late)]
+    want = sorted(x for p in parts for x in values(p.select("rule_id", "user_id", "match_time").toPandas()))
+    assert got == want and {x[1] for x in got} == {"count", "order", "late"}
+
+
+def test_stream_of_several_batches_keeps_its_state(spark, event_stream, tmp_path):
+    rows, _ = event_stream
+    stream = in_batches(spark, rows, tmp_path, 4)
+    got = collected(spark, streaming.sequence_matches(stream, ["view", "click", "purchase"], 1, "purchase"), "seq4", tmp_path).where("user_id >= 0")
+    rule = rules.Rule("r", rules.Condition("purchase"), sequence=["view", "click", "purchase"])
+    want = rules.evaluate(rows.withColumn("properties", fn.property_map(F.col("props"))), rule).select("user_id", "match_time")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stream_show_then_click_over_batches(spark, event_stream, tmp_path):
+    rows, _ = event_stream
+    rows = rows.where(F.col("event_type").isin("view", "click"))
+    stream = in_batches(spark, rows, tmp_path, 4).withWatermark("ts", "0 seconds")
+    got = collected(spark, streaming.show_then_click(stream, "view", "click", 86400), "cep4", tmp_path)
+    want = sequence.followed_by(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") == "view", F.col("event_type") == "click", "ts", 86400, ["ts"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count()
+
+
+def test_stream_join_and_running_sums(spark, sf, tmp_path):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").limit(50).select(F.col("o_orderkey").alias("oid"), F.col("o_orderdate").cast("timestamp").alias("ot"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
+    items = orders.where("oid % 2 = 0").select(F.col("oid").alias("iid"), (F.col("ot") + F.when(F.col("oid") % 4 == 0, F.expr("interval 2 hours")).otherwise(F.expr("interval 20 days"))).alias("it"))
+    streams = []
+    for name, df in (("orders", orders), ("items", items)):
+        path, time = str(tmp_path / name), df.columns[1]
+        df.write.parquet(path)
+        far = df.agg((F.max(time) + F.expr("interval 900 days")).alias(time)).select(*[F.col(c) if c == time else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+        far.write.mode("append").parquet(path)
+        streams.append(sources.parquet_files(spark, path, stream=True).withWatermark(time, "3000 days"))
+    got = collected(spark, streaming.stream_join(*streams, [("oid", "iid")], "ot", "it", "15 days"), "joined", tmp_path).where("oid is not null")
+    assert sorted(r.oid for r in got.collect()) == sorted(r.iid for r in items.where("iid % 4 = 0").collect()) and got.count()
+    path = str(tmp_path / "orders")
+    q = streaming.running_sums(sources.parquet_files(spark, path, stream=True, files_a_batch=1), {"total": "amount"}).writeStream.format("memory").queryName("sums").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert max(r.total for r in spark.table("sums").where("total is not null").collect()) == orders.agg(F.sum("amount")).first()[0]
+
+
+def test_early_fire_gives_running_results(spark, event_stream, tmp_path):
+    rows, _ = event_stream
+    stream = in_batches(spark, rows, tmp_path, 3).withWatermark("ts", "0 seconds")
+    got = collected(spark, streaming.early_fire(stream, "ts", "3650 days", ["event_type"], [F.count("*").alias("n")]), "early", tmp_path, "update")
+    last = got.where("w.start < '2030-01-01'").groupBy("event_type").agg(F.max("n").alias("n"), F.count("*").alias("times"))
+    per_type = {r.event_type: r["count"] for r in rows.groupBy("event_type").count().collect()}
+    assert {r.event_type: r.n for r in last.collect()}.items() >= {k: v for k, v in per_type.items() if k != rows.agg(F.max("event_type")).first()[0]}.items()
+    assert all(r.times >= 3 for r in last.collect())
+
+
+def test_rocksdb_state(spark, event_stream, tmp_path):
+    rows, _ = event_stream
+    name = "spark.sql.streaming.stateStore.providerClass"
+    try:
+        streaming.use_rocksdb(spark)
+        assert "RocksDB" in spark.conf.get(name)
+        got = collected(spark, streaming.sequence_matches(in_batches(spark, rows, tmp_path, 2), ["view", "click"], 1, "click"), "rocks", tmp_path)
+        assert got.count()
+    finally:
+        spark.conf.unset(name)
+        spark.conf.unset("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")
+
+
+def test_synthetic_events(spark, tmp_path):
+    q = sources.synthetic_events(spark, 50, users=5).writeStream.format("memory").queryName("made").option("checkpointLocation", str(tmp_path)).start()
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if spark.table("made").count() > 20:
+                break
+    finally:
+        q.stop()
+    r = spark.table("made").agg(F.count("*").alias("n"), F.min("user_id").alias("a"), F.max("user_id").alias("b"), F.collect_set("event_type").alias("k")).first()
+    assert r.n > 20 and 0 <= r.a <= r.b < 5 and set(r.k) <= {"view", "click", "purchase"}
+
+
+def test_json_files_with_event_time(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"eventId": "x", "actionTime": 1670596213000}\n{"eventId": "y"}\n')
+    rows = sources.with_event_time(sources.json_files(spark, str(tmp_path / "*.json"), sources.EVENT_SCHEMA), "actionTime")
+    got = {r.eventId: r for r in collected(spark, rows, "json", tmp_path / "c").collect()}
+    assert str(got["x"].row_time) == "2022-12-09 14:30:13" and got["y"].row_time is None and got["x"].properties is None
+    text = sources.one_stream(spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([("z",)], "b string"))
+    assert sorted(map(tuple, text.collect())) == [(0, '{"a":1}'), (1, '{"b":"z"}')]
+
+
+def test_change_feed_of_a_server_in_another_zone(spark):
+    text = spark.createDataFrame([('{"before":null,"after":{"id":1,"t":"2023-06-01 08:00:00"},"op":"c"}',)], "value string")
+    r = sources.change_feed(text, "id bigint, t timestamp", server_zone="Asia/Shanghai").select("before", F.col("after.t").cast("string").alias("t")).first()
+    assert r.before is None and r.t == "2023-06-01 00:00:00"
+
+
+def test_redeclared_views_and_descriptions(spark):
+    rows = spark.createDataFrame([("+I", 1, "2024-01-01 00:00:00"), ("-U", 1, "2024-01-01 00:00:00"), ("+U", 2, "2024-01-02 00:00:00")], "kind string, v int, t string")
+    out = sources.as_view(sources.redeclared(rows, "t"), "redeclared")
+    assert spark.sql("select sum(v) from redeclared").first()[0] == 3
+    assert sorted(map(tuple, sources.described(out).collect())) == [("t", "timestamp", True), ("v", "int", True)]
+
+
+def test_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = lambda *r: spark.createDataFrame(list(r), "id int, seq int, name string")
+    sinks.jdbc(url, "log", **driver)(rows((1, 1, "a"), (2, 1, "b"), (3, 1, "c")), 0)
+    assert sorted(r.ID for r in sources.jdbc_table(spark, url, "log", "ID", (1, 3), 2, **driver).select(F.col("id").alias("ID")).collect()) == [1, 2, 3]
+    sinks.jdbc(url, "target", **driver)(rows((1, 1, "a")), 0)
+    write = sinks.jdbc_upsert(url, "target", "staging", ["id"], ["seq"], **driver)
+    for _ in range(2):  # a batch that is run again changes nothing
+        write(rows((1, 2, "b"), (1, 3, "c"), (2, 1, "d")), 1)
+        assert sorted(map(tuple, sources.jdbc_table(spark, url, "target", **driver).collect())) == [(1, 3, "c"), (2, 1, "d")]
+
+
+def test_tables_and_console(spark, tmp_path):
+    batch = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00")], "v int, t string").withColumn("t", F.col("t").cast("timestamp"))
+    sinks.olap_parquet(str(tmp_path / "olap"), "t")(batch, 0)
+    assert [(r.v, str(r.dt)) for r in spark.read.parquet(str(tmp_path / "olap")).where("dt = date'2024-01-02'").collect()] == [(2, "2024-01-02")]
+    spark.sql(f"create table by_name (t timestamp, v int) using parquet location '{tmp_path}/by_name'")
+    try:
+        sinks.insert_into("by_name")(batch, 0)
+        assert sorted(r.v for r in spark.table("by_name").collect()) == [1, 2]
+        spark.sql(f"create table days (v int, dt string) using parquet partitioned by (dt) location '{tmp_path}/days'")
+        sinks.insert_into("days")(batch.select("v", F.date_format("t", "yyyy-MM-dd").alias("dt")), 0)
+        assert [r.v for r in sources.table_partition(spark, "days", "2024-01-02").collect()] == [2]
+    finally:
+        spark.sql("drop table if exists by_name")
+        spark.sql("drop table if exists days")
+    seen = []
+    sinks.printed(seen.append)(batch.select("v"), 0)
+    assert sorted(seen) == ['{"v":1}', '{"v":2}']
+    out = []
+    stream_path = str(tmp_path / "s")
+    batch.write.parquet(stream_path)
+    q = sinks.start(sources.parquet_files(spark, stream_path, stream=True), lambda b, n: out.extend(r.v for r in b.collect()), str(tmp_path / "check"))
+    q.awaitTermination(60)
+    assert sorted(out) == [1, 2]
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = sinks.upsert_parquet(path, ["k"], ["seq"], buckets=8)
+    write(spark.createDataFrame([(i, 1) for i in range(100)], "k int, seq int"), 0)
+    write(spark.createDataFrame([(7, 2)], "k int, seq int"), 1)
+    assert len(glob.glob(f"{path}/rows=1/__bucket=*")) == 1
+    got = {r.k: r.seq for r in sinks.read_upserted(spark, path).collect()}
+    assert got == {i: 2 if i == 7 else 1 for i in range(100)}
+
+
+def test_enrichment_with_timeout_and_expiring_cache(spark, tmp_path):
+    slow = lambda w: time.sleep(3) or w if w == "slow" else w + "!"
+    rows = spark.createDataFrame([("a",), ("slow",)], "w string")
+    assert {r.w: r.s for r in streaming.enriched(rows, "w", slow, "s", timeout_seconds=0.5).collect()} == {"a": "a!", "slow": None}
+    log = tmp_path / "asked"
+
+    def fetch(w):
+        with open(log, "a") as f:
+            f.write(w + "\n")
+        return w + "?"
+
+    out = str(tmp_path / "out")
+    write = streaming.cached_enrichment(str(tmp_path / "cache"), "w", fetch, "s", "ts", 60, sinks.append_parquet(out))
+    batch = lambda *r: spark.createDataFrame(list(r), "w string, t int").withColumn("ts", F.timestamp_seconds("t"))
+    write(batch(("a", 0), ("b", 0)), 0)
+    write(batch(("a", 50)), 1)  # known, and used again
+    write(batch(("a", 100), ("b", 100)), 2)  # b has expired
+    assert sorted(log.read_text().split()) == ["a", "b", "b"]
+    assert sorted((r.w, r.s) for r in spark.read.parquet(out).collect()) == [("a", "a?")] * 3 + [("b", "b?")] * 2
+
+
+def test_lifecycle_by_operation_only(spark):
+    feed = spark.createDataFrame([("a", 1, "c", 0), ("b", 1, "c", 2), ("b", 2, "d", 2), ("c", 1, "u", 2)], "rule_id string, seq int, op string, online_status int")
+    assert sorted(r.rule_id for r in rules.active_rules(feed, respect_status=False).collect()) == ["a", "c"]
+    assert [r.rule_id for r in rules.active_rules(feed).collect()] == ["c"]
+
+
+def test_time_predicates(spark):
+    at = F.lit("2024-05-01 10:00:00").cast("timestamp")
+    checks = [fn.on_day(at, "2024-05-01"), fn.on_day(at, "2024-05-02"), fn.on_day(fn.processing_time()), fn.in_window(at, "2024-05-01 10:00:00", "2024-05-01 11:00:00"), fn.in_window(at, "2024-05-01 09:00:00", "2024-05-01 10:00:00")]
+    assert list(one(spark, *checks)) == [True, False, True, True, False]
+    assert list(one(spark, fn.null_of(), fn.patched_json(F.lit('{"a":1,"b":"x"}'), "a", F.lit("2")), fn.patched_json(F.lit("bad"), "a", F.lit("2")))) == [None, '{"b":"x","a":"2"}', None]
 
 
 def test_recent_rows_expire(spark, tmp_path):
