@@ -13,10 +13,11 @@
 4. The base score needs exact counts: the most frequent words' are broadcast (at most TOP_WORDS), and occurrences of
    the others are joined to their counts.
 
-Bound of the broadcasts: both filters are dealt into shards of at most SHARD_BYTES, of more segments the more there is
-to hold. Each shard of the pair filter is scored in a pass of its own, whose sums are added. If the word filter needs
-several, each is broadcast in turn to write its words' levels beside the texts, and what follows reads them there; the
-levels, and so the scores, are the same as with one broadcast of as many segments.
+Bound of the broadcasts: SHARD_BYTES each. A filter's segments are so many that each is built from about SEGMENT_INPUT
+bytes of counts. If the word filter is larger than a shard, its shards are broadcast in turn to write their words' levels
+beside the texts, and what follows reads them there. If the pair filter is, it is not broadcast: the probes of the texts
+are dealt to the segments that hold their answers, and what they add to a text's score is summed, so the texts are read
+once, however large the filter. The levels, and so the scores, are the same as with one broadcast of as many segments.
 
 Edge cases: a null or empty text is the end token alone. A null id is held out. Rows that repeat an id are texts of
 their own. Without training tokens every word is unknown: N and V are 0 and the scores follow from the formulas. Other columns
@@ -28,24 +29,25 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import discard, named, written
 from tidemark.llm.hashing import ODD, mix, word_hashes
 
 END = 0x454E44  # stands for the end token; words hash to all of 64 bits
 TOP_WORDS = 500_000
 SHARD_BYTES = 1 << 29
+#: Counts that a segment is built from, of 16 bytes each; the most tasks that build segments.
+SEGMENT_INPUT, SEGMENT_TASKS = 64 << 20, 50_000
 #: Levels are kept in a byte; with WORD_STEPS a doubling they reach counts of 2^63, so no count of the data is cut.
 LEVEL_BITS = 8
 LEVELS = 1 << LEVEL_BITS
 WORD_STEPS, WORD_HASHES = 4, (10, 5)  # levels a doubling of the count; hashes of the first level, and of each other
-PAIR_STEPS, PAIR_HASHES = 1, (8, 5)
+PAIR_STEPS, PAIR_HASHES = 2, (8, 5)
 #: Tokens that are counted together before they move, and that are scored together.
 COUNT_CHUNK, SCORE_CHUNK = 600_000, 150_000
 
@@ -176,30 +178,35 @@ def pair_keys(before: np.ndarray, tokens: np.ndarray, level: np.ndarray) -> np.n
 
 
 def _segments(steps: int, hashes: tuple[int, int]):
-    """mapInArrow function: a partition's packed counts to a segment for each number that it holds."""
+    """mapInArrow function: packed counts in the order of their segments to a filter's segment each; one is held at a time."""
+
+    def made(seg: int, held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        k = np.frombuffer(b"".join(x for x, _ in held), dtype=np.uint64)
+        c = np.frombuffer(b"".join(x for _, x in held), dtype=np.int64)
+        held.clear()
+        order = np.argsort(k, kind="stable")
+        k, c = k[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        k, c = k[first], np.add.reduceat(c, first)
+        q = levels(c, steps)
+        history = (k & np.uint64(LEVELS - 1)).astype(np.int64)
+        sums = [np.bincount(at, weights=w, minlength=LEVELS).astype(np.int64) for at, w in ((q, None), (q, c), (history, None), (history, c))]
+        sums.append(np.array([np.count_nonzero(c == 1), np.count_nonzero(c == 2)]))
+        sums = np.concatenate(sums)
+        used = np.flatnonzero(sums)  # most levels hold nothing
+        listed = pa.array([[{"at": i, "x": x} for i, x in zip(used.tolist(), sums[used].tolist(), strict=True)]], type=pa.list_(pa.struct([("at", pa.int32()), ("x", pa.int64())])))
+        return pa.RecordBatch.from_arrays([pa.array([seg], type=pa.int32()), pa.array([Filter.segment(k, q, hashes)], type=pa.binary()), listed], names=["seg", "bits", "sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[bytes, bytes]]] = {}
+        now, held = None, []
         for b in batches:
-            for seg, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                parts.setdefault(seg, []).append((keys, counts))
-        for seg in sorted(parts):
-            held = parts.pop(seg)
-            k = np.frombuffer(b"".join(x for x, _ in held), dtype=np.uint64)
-            c = np.frombuffer(b"".join(x for _, x in held), dtype=np.int64)
-            del held
-            order = np.argsort(k, kind="stable")
-            k, c = k[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            k, c = k[first], np.add.reduceat(c, first)
-            q = levels(c, steps)
-            history = (k & np.uint64(LEVELS - 1)).astype(np.int64)
-            sums = [np.bincount(at, weights=w, minlength=LEVELS).astype(np.int64) for at, w in ((q, None), (q, c), (history, None), (history, c))]
-            sums.append(np.array([np.count_nonzero(c == 1), np.count_nonzero(c == 2)]))
-            sums = np.concatenate(sums)
-            used = np.flatnonzero(sums)  # most levels hold nothing
-            listed = pa.array([[{"at": i, "x": x} for i, x in zip(used.tolist(), sums[used].tolist(), strict=True)]], type=pa.list_(pa.struct([("at", pa.int32()), ("x", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([pa.array([int(seg)], type=pa.int32()), pa.array([Filter.segment(k, q, hashes)], type=pa.binary()), listed], names=["seg", "bits", "sums"])
+            for seg, keys, counts in zip(b.column("seg").to_pylist(), b.column("keys"), b.column("counts"), strict=True):
+                if seg != now and held:
+                    yield made(now, held)
+                now = seg
+                held.append((keys.as_py(), counts.as_py()))
+        if held:
+            yield made(now, held)
 
     return run
 
@@ -218,9 +225,15 @@ def _repacked(segments: int):
 _PACKED = "seg int, keys binary, counts binary"
 
 
+def _in_order(rows: DataFrame, segments: int, *then: str) -> DataFrame:
+    """rows with seg, dealt so that each task holds segments next to each other, one after another."""
+    tasks = min(segments, SEGMENT_TASKS)
+    return rows.repartitionById(tasks, F.floor(F.col("seg") * F.lit(float(tasks)) / segments).cast("int")).sortWithinPartitions("seg", *then)
+
+
 def _gathered(counts: DataFrame, segments: int, steps: int, hashes: tuple[int, int]) -> tuple[DataFrame, np.ndarray]:
     """The written segments of a filter, and the sums over them."""
-    made = written(counts.repartition(segments, "seg").mapInArrow(_segments(steps, hashes), "seg int, bits binary, sums array<struct<at:int,x:long>>"), "bloom")
+    made = written(_in_order(counts, segments).mapInArrow(_segments(steps, hashes), "seg int, bits binary, sums array<struct<at:int,x:long>>"), "bloom")
     rows = made.select(F.inline("sums")).groupBy("at").agg(F.sum("x").alias("x")).collect()
     sums = np.zeros(4 * LEVELS + 2, dtype=np.int64)
     for r in rows:
@@ -308,9 +321,9 @@ def _sizes(made: DataFrame) -> dict[int, int]:
     return {r["seg"]: r["n"] for r in made.select("seg", F.length("bits").alias("n")).collect()}
 
 
-def _segment_number(least: int, bytes_bound: float, shard_bytes: int) -> int:
-    """So many that a segment takes about an eighth of a shard at most."""
-    return max(least, math.ceil(8 * bytes_bound / shard_bytes))
+def _segment_number(least: int, bytes_bound: float, shard_bytes: int, counts: int) -> int:
+    """So many that a segment takes about an eighth of a shard at most, and at most SEGMENT_INPUT bytes of counts make it."""
+    return max(least, math.ceil(8 * bytes_bound / shard_bytes), math.ceil(16 * counts / SEGMENT_INPUT))
 
 
 def _mean(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -321,54 +334,86 @@ def _mean(count: np.ndarray, total: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score(words, pairs, top, model: dict, shard: tuple[int, int], segments: int):
-    """mapInArrow over (uid, doc, text): a row a text, and for the first shard a row for each word outside top."""
-    low, high = shard
-    first = low == 0
-    schema = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("key", pa.int64()), ("tf", pa.int64())])
+def _log10_p(model: dict, found: np.ndarray, history: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """log10 of the smoothed probability of a word of this level after one of level history, whose pair has level found."""
+    alone = (model["word_mean"][level] + 0.1) / model["room"]
+    seen = np.maximum(model["pair_mean"][found] - model["discount"], 0) / np.maximum(model["word_mean"][history], 1e-9)
+    return np.log10(np.where(history > 0, np.minimum(seen, 1 - model["back_off"][history]) + model["back_off"][history] * alone, alone))
+
+
+_SCORES = "uid long, doc long, n_tokens long, n_known long, base double, score double, key long, tf long, seg int, uids binary, keys binary, word_levels binary"
+
+
+def _score(words, pairs, top, model: dict, segments: int):
+    """mapInArrow over (uid, doc, text): a row a text (seg and key null), and a row for each word outside top (key).
+
+    Without pairs, the score is null, and there is a row for each segment (seg) that is to answer probes of a run of texts.
+    """
+    schema = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("key", pa.int64()), ("tf", pa.int64()), ("seg", pa.int32()), ("uids", pa.binary()), ("keys", pa.binary()), ("word_levels", pa.binary())])
+
+    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_base = model["log_base"]
         for part in _runs(batches, False, SCORE_CHUNK):
             tokens, before = _histories(part)
-            lengths = np.array([len(r[2]) for r in part])
-            text = np.repeat(np.arange(len(part)), lengths)
+            lengths, n = np.array([len(r[2]) for r in part]), len(part)
+            text = np.repeat(np.arange(n), lengths)
             distinct, back = np.unique(tokens, return_inverse=True)
             level = _noted(part) if words is None else _levels_of(words.value, top.value, distinct)[back]
             history = np.roll(level, 1)
             history[0] = model["end_level"]
             keys = pair_keys(before, tokens, history)
-            seg = _segment_of(keys, segments)
-            mine = np.flatnonzero((seg >= low) & (seg < high))
-            found = np.zeros(len(tokens), dtype=np.int64)
-            asked, again = np.unique(keys[mine], return_inverse=True)
-            found[mine] = pairs.value.levels(asked, _segment_of(asked, segments) - low)[again]
-            alone = (model["word_mean"][level] + 0.1) / model["room"]
-            seen = np.maximum(model["pair_mean"][found] - model["discount"], 0) / np.maximum(model["word_mean"][history], 1e-9)
-            p = np.where(history > 0, np.minimum(seen, 1 - model["back_off"][history]) + model["back_off"][history] * alone, alone)
-            score = np.bincount(text[mine], weights=np.log10(p[mine]), minlength=len(part))
-            n = len(part)
+            del before
             uid = np.array([b.column("uid")[i].as_py() for i, b, _ in part], dtype=np.int64)
             doc = pa.array([b.column("doc")[i].as_py() for i, b, _ in part], type=pa.int64())
-            if not first:
-                nothing = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(uid), doc, nothing, nothing, pa.nulls(n, pa.float64()), pa.array(score), nothing, nothing], schema=schema)
-                continue
+            asked, again = np.unique(keys, return_inverse=True)
+            if pairs is not None:
+                found = pairs.value.levels(asked, _segment_of(asked, segments))[again]
+                score = pa.array(np.bincount(text, weights=_log10_p(model, found, history, level), minlength=n))
+                del found
+            else:
+                score = pa.nulls(n, pa.float64())
+                seg = _segment_of(asked, segments)[again]
+                order = np.argsort(seg, kind="stable")
+                held, starts = np.unique(seg[order], return_index=True)
+                runs = list(zip(starts.tolist(), [*starts.tolist()[1:], len(order)], strict=True))
+                of = lambda x: pa.array([x[order[i:j]].tobytes() for i, j in runs], type=pa.binary())  # noqa: E731, B023
+                yield rows(len(held), seg=pa.array(held.astype(np.int32)), uids=of(uid[text]), keys=of(keys), word_levels=of(level.astype(np.uint8)))
+            del asked, again, keys, history, level
             at, hit = _top_places(top.value, distinct)
             c = np.zeros(len(distinct), dtype=np.int64)
             c[hit] = top.value[1][at[hit]]
             c = c[back]
             known = hit[back]
             base = np.bincount(text[known], weights=np.log10(c[known] + 0.1) - log_base, minlength=n)
-            yield pa.RecordBatch.from_arrays([pa.array(uid), doc, pa.array(lengths), pa.array(np.bincount(text[known], minlength=n)), pa.array(base), pa.array(score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+            yield rows(n, uid=pa.array(uid), doc=doc, n_tokens=pa.array(lengths), n_known=pa.array(np.bincount(text[known], minlength=n)), base=pa.array(base), score=score)
             rare = np.flatnonzero(~known)
             if len(rare):
                 # One row for each word of a text that the broadcast counts lack.
                 places, tf = np.unique(text[rare] * np.int64(len(distinct)) + back[rare], return_counts=True)
                 which, word = places // len(distinct), distinct[places % len(distinct)]
-                none = pa.nulls(len(tf), pa.int64())
-                blank = pa.nulls(len(tf), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(uid[which]), none, none, none, blank, blank, pa.array(word.view(np.int64)), pa.array(tf)], schema=schema)
+                yield rows(len(tf), uid=pa.array(uid[which]), key=pa.array(word.view(np.int64)), tf=pa.array(tf))
+
+    return run
+
+
+def _answer(model: dict, hashes: tuple[int, int]):
+    """mapInArrow over (seg, bits, uids, keys, word_levels), each segment's bits before its probes: (uid, score) of runs of probes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
+        for b in batches:
+            for i, seg in enumerate(b.column("seg").to_pylist()):
+                if (bits := b.column("bits")[i].as_py()) is not None:
+                    now, own = seg, Filter(np.array([len(bits)]), np.frombuffer(bits, dtype=np.uint8), hashes)
+                    continue
+                uids, keys, level = (np.frombuffer(b.column(c)[i].as_py(), dtype=t) for c, t in (("uids", np.int64), ("keys", np.uint64), ("word_levels", np.uint8)))
+                found = own.levels(keys, np.zeros(len(keys), dtype=np.int64)) if seg == now else np.zeros(len(keys), dtype=np.int64)
+                score = _log10_p(model, found, (keys & np.uint64(LEVELS - 1)).astype(np.int64), level.astype(np.int64))
+                texts, back = np.unique(uids, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.bincount(back, weights=score))], names=["uid", "score"])
 
     return run
 
@@ -377,14 +422,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_w
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    base = docs.select(F.monotonically_increasing_id().alias("uid"), named(id_col).cast("long").alias("doc"), named(text_col).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     counts = written(base.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
     distinct, total = (x or 0 for x in counts.agg(F.count("*"), F.sum("c")).first())
     # A word is inserted once for its first level and WORD_STEPS times for each doubling: log is concave.
     inserted = distinct * (WORD_HASHES[0] + WORD_STEPS * WORD_HASHES[1] * math.log2(total / distinct)) if distinct else 0
-    segments = _segment_number(partitions, 1.4427 * inserted / 8, shard_bytes)
+    segments = _segment_number(partitions, 1.4427 * inserted / 8, shard_bytes, distinct)
     made, sums = _gathered(counts.mapInArrow(_repacked(segments), _PACKED), segments, WORD_STEPS, WORD_HASHES)
     n_words, word_sum = sums[:LEVELS], sums[LEVELS : 2 * LEVELS]
 
@@ -412,6 +457,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_w
         found[mine] = word_filter.levels(asked[mine], where[mine] - low)
         words = sc.broadcast(word_filter)
         if len(word_shards) > 1:
+            # The first of these writes the rows' numbers too; whatever reads them later reads the same.
             base = written(base.mapInArrow(_note(words, (low, high), segments), "uid long, doc long, text binary, levels binary"), "levels")
             words.unpersist()
     if len(word_shards) > 1:
@@ -419,7 +465,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_w
     top, end_level = sc.broadcast((keys, c, found[:-1])), int(found[-1])
 
     # A pair's hashes are at most PAIR_HASHES[0] for each of its occurrences.
-    segments = _segment_number(partitions, 1.4427 * PAIR_HASHES[0] * total / 8, shard_bytes)
+    segments = _segment_number(partitions, 1.4427 * PAIR_HASHES[0] * total / 8, shard_bytes, total)
     pairs, pair_sums = _gathered(base.mapInArrow(_count_pairs(words, top, end_level, segments), _PACKED), segments, PAIR_STEPS, PAIR_HASHES)
     n_pairs, pair_sum, kinds, tokens = (pair_sums[i * LEVELS : (i + 1) * LEVELS] for i in range(4))
     once, twice = pair_sums[4 * LEVELS :]
@@ -435,22 +481,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_w
         "end_level": end_level,
     }
 
-    passes = []
-    for shard in _shards(_sizes(pairs), segments, shard_bytes):
-        pair_filter = sc.broadcast(_filter(pairs, segments, PAIR_HASHES, *shard))
-        done = base.mapInArrow(_score(words, pair_filter, top, model, shard, segments), "uid long, doc long, n_tokens long, n_known long, base double, score double, key long, tf long")
-        passes.append(written(done, "scores"))
+    # All rows of a text come from this one scan, so its number need not be the same in another.
+    shards = _shards(_sizes(pairs), segments, shard_bytes)
+    pair_filter = sc.broadcast(_filter(pairs, segments, PAIR_HASHES)) if len(shards) == 1 else None
+    whole = written(base.mapInArrow(_score(words, pair_filter, top, model, segments), _SCORES), "scores")
+    texts = whole.where("key is null and seg is null")
+    if pair_filter is not None:
         pair_filter.unpersist()
-    whole = passes[0]
-    texts = whole.where("key is null")
+    else:
+        probes = whole.where("seg is not null").select("seg", F.lit(None).cast("binary").alias("bits"), "uids", "keys", "word_levels")
+        none = [F.lit(None).cast("binary").alias(c) for c in ("uids", "keys", "word_levels")]
+        asked = _in_order(pairs.select("seg", "bits", *none).unionByName(probes), segments, F.col("bits").isNull())
+        answers = written(asked.mapInArrow(_answer(model, PAIR_HASHES), "uid long, score double").groupBy("uid").agg(F.sum("score").alias("score")), "answers")
+        texts = texts.drop("score").join(answers, "uid", "left")
     rare = whole.where("key is not null").select("uid", "key", "tf")
     # Words that the broadcast has can't be in rare rows, so they stay out of the join.
     others = counts.where(F.col("c") < least) if least is not None else counts
     rare = rare.join(others, "key", "left").groupBy("uid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - F.lit(model["log_base"]))).alias("more_base"))
     out = texts.join(rare, "uid", "left")
-    if len(passes) > 1:
-        rest = reduce(DataFrame.unionByName, [p.select("uid", F.col("score").alias("more")) for p in passes[1:]]).groupBy("uid").agg(F.sum("more").alias("more_score"))
-        out = out.join(rest, "uid", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
+    discard(made, pairs)
     is_held = F.col("doc").isNull() | (F.crc32(F.col("doc").cast("string").cast("binary")) % 10 == 0)
     return out.select(
         F.col("doc").alias(id_col),
