@@ -104,7 +104,7 @@ def event_stream(spark, sf, tmp_path_factory):
 
 def collected(spark, stream, name, tmp_path, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-    q.awaitTermination(90)
+    assert q.awaitTermination(300)
     return spark.table(name)
 
 
@@ -274,6 +274,23 @@ def test_stream_of_several_batches_keeps_its_state(spark, event_stream, tmp_path
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_stream_sequence_forgets(spark, tmp_path):
+    """The second user's first step is two days old by the time of the second, and forgotten."""
+    at = [(1, "a", 0), (2, "a", 0), (1, "b", 3600), (3, "c", 86400), (4, "c", 2 * 86400), (2, "b", 3 * 86400)]
+    rows = spark.createDataFrame([(u, i, k, t) for i, (u, k, t) in enumerate(at)], "user_id long, event_id long, event_type string, s int").select("user_id", F.timestamp_seconds(F.col("s") + 1_000_000_000).alias("ts"), "event_id", "event_type")
+    for forget, users in ((None, [1, 2]), (86400, [1])):
+        stream = in_batches(spark, rows, tmp_path / str(forget), 6).withWatermark("ts", "0 seconds")
+        got = collected(spark, streaming.sequence_matches(stream, ["a", "b"], 1, "b", forget), f"forget{forget}", tmp_path)
+        assert sorted(r.user_id for r in got.collect()) == users
+
+
+def test_dimensions_are_broadcast_within_bytes(spark, sf):
+    small = spark.read.parquet(f"{sf}/nation.parquet")
+    hinted = lambda df: "hint" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(lookup.sized(small)) and hinted(lookup.sized(small, most_bytes=5000))
+    assert not hinted(lookup.sized(small, most_rows=3, most_bytes=300)) and not hinted(lookup.sized(small, most_rows=100, most_bytes=300))
+
+
 def test_stream_show_then_click_over_batches(spark, event_stream, tmp_path):
     rows, _ = event_stream
     rows = rows.where(F.col("event_type").isin("view", "click"))

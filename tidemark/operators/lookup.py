@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A dimension is broadcast if its counted rows are at most this many; else the join shuffles (AQE splits hot keys).
-BROADCAST_ROWS = 200_000
+#: A dimension is broadcast if the plan's statistics bound its bytes by BROADCAST_BYTES, which takes no job, or else if its counted
+#: rows are at most BROADCAST_ROWS and by their columns' usual widths within the same bytes. Otherwise the join shuffles
+#: (AQE splits hot keys).
+BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 200_000
 
 
 def unique_dimension(dim: DataFrame, key: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
@@ -18,8 +20,11 @@ def unique_dimension(dim: DataFrame, key: Sequence[str], order: Sequence[str] |
     return dim.groupBy(*key).agg(least.alias("__row")).select(*key, *[F.col(f"__row.`{c}`").alias(c) for c in rest])
 
 
-def sized(dim: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(dim) if dim.count() <= most_rows else dim
+def sized(dim: DataFrame, most_rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    if int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most_bytes:
+        return F.broadcast(dim)
+    rows = dim.count()
+    return F.broadcast(dim) if rows <= most_rows and rows * dim._jdf.schema().defaultSize() <= most_bytes else dim
 
 
 def lookup(rows: DataFrame, dim: DataFrame, key: Column, dim_key: str, how: str = "left", check_size: bool = True) -> DataFrame:

@@ -39,26 +39,37 @@ def early_fire(rows: DataFrame, time: str, size: str, keys: Sequence[str], aggs:
     return rows.groupBy(F.window(time, size).alias("w"), *keys).agg(*aggs)
 
 
-def sequence_matches(rows: DataFrame, steps: Sequence[str], times: int, fire: str) -> DataFrame:
+def sequence_matches(rows: DataFrame, steps: Sequence[str], times: int, fire: str, forget_seconds: int | None = None) -> DataFrame:
     """user_id, ts of each fire event at which a user has passed steps in order at least times.
 
-    rows: user_id, ts, event_id, event_type. The state of a user is one number; a batch's events are taken in order.
+    rows: user_id, ts, event_id, event_type. The state of a user is how far they are; a batch's events are taken in order. With
+    forget_seconds (rows need a watermark) a user starts over after a pause that is longer, and the state goes with it.
     """
-    steps = list(steps)
+    steps, pause = list(steps), None if forget_seconds is None else forget_seconds * 1_000_000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, last = state.get if state.exists else (0, None)
         events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
         for ts, kind in zip(events["ts"], events["event_type"], strict=True):
+            micros = ts.value // 1000
+            if pause is not None and last is not None and micros - last > pause:
+                at = 0
+            last = micros
             if kind == steps[at % len(steps)]:
                 at += 1
             if kind == fire and at // len(steps) >= times:
                 out.append(ts)
-        state.update((at,))
+        state.update((at, last))
+        if pause is not None:
+            state.setTimeoutTimestamp(max((last + pause) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]] * len(out), "ts": out})
 
-    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts timestamp", "at long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget_seconds is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts timestamp", "at long, last long", "append", timeout)
 
 
 def show_then_click(rows: DataFrame, show: str, click: str, within_seconds: int) -> DataFrame:
