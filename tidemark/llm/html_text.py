@@ -2,16 +2,18 @@
 
 The tree builder reads tags, texts and comments one after another, closes what an opening tag implies to be closed
 (a paragraph before a block, a list item before its sibling, cells and rows before the next) and ignores closing tags
-that match nothing. The renderer walks the tree: invisible elements (by tag, hidden attribute, or style) are skipped;
-what aria-hidden hides from
-screen readers only is on the page, and kept, as are formulas, texts of drawings and the options of lists; blocks stand on lines of their own, paragraphs and headings with a blank line between; list items get "- " or their
-number, indented by depth; tables become rows of cells padded to their columns' widths, with two spaces between;
-preformatted text keeps its spaces. All visible text is kept, menus and footers too.
+that match nothing. The renderer walks the tree. What isn't displayed (by tag, hidden attribute, style, or as a dialog that
+isn't open) is left out with all it holds; what a style makes invisible is left out but for descendants that a style makes visible again.
+What aria-hidden hides from screen readers only is on the page, and kept, as are formulas, texts of drawings, the
+options of lists and what closed details hold. Blocks stand on lines of their own, paragraphs and headings with a blank line between; list
+items get "- " or their number, indented by depth; tables become rows of cells padded to their columns' widths, with two
+spaces between, a cell over several columns or rows taking as many, and wide characters counting two; preformatted text keeps its spaces. All
+visible text is kept, menus and footers too.
 
 Both work without recursion, so deeply nested pages are no trouble. Edge cases: null and empty pages give an empty
 text, as do pages without visible text. Unclosed tags, comments and raw text end with the page. Rows are independent
-of each other, so repeated rows get the same text each. Other columns are ignored, whatever their names; an empty
-table gives an empty result.
+of each other, so repeated rows get the same text each. Columns to keep may have any names, but text is this one's; other
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import named
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template noscript title meta link iframe object audio video canvas datalist noembed noframes".split())
@@ -51,7 +56,12 @@ SCOPE = frozenset("table td th caption button object html".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
+#: Elements that collapse takes away; others it makes invisible.
+COLLAPSES = frozenset("tr thead tbody tfoot col colgroup".split())
+#: The largest spans that HTML allows.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -116,7 +126,7 @@ def tree(page: str) -> Node:
             if value in IMPLIED:
                 close_up_to(*IMPLIED[value])
             attributes = {}
-            if rest and "=" in rest or "hidden" in rest:
+            if rest and "=" in rest or "hidden" in rest or value == "dialog":
                 attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
             foreign = foreign or value in FOREIGN
             around = {n.tag for n in stack} & FOREIGN.keys() if foreign else set()
@@ -140,12 +150,26 @@ def tree(page: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
-    if node.tag in HIDDEN or "hidden" in node.attributes:
+def displayed(node: Node) -> bool:
+    """Whether the element takes part in the layout at all."""
+    if node.tag in HIDDEN or "hidden" in node.attributes or node.tag == "input":
         return False
-    if node.tag == "input":
+    if node.tag == "dialog" and "open" not in node.attributes:
         return False
-    return not _UNSEEN.search(node.attributes.get("style", ""))
+    style = node.attributes.get("style")
+    return not style or not (_NO_DISPLAY.search(style) or node.tag in COLLAPSES and _visibility(style) == "collapse")
+
+
+def _visibility(style: str) -> str | None:
+    found = _VISIBILITY.findall(style)
+    return found[-1].lower() if found else None
+
+
+def shown(node: Node, around: bool) -> bool:
+    """Whether the element's own text is visible, in an element where it is or not."""
+    style = node.attributes.get("style")
+    own = _visibility(style) if style else None
+    return around if own is None else own == "visible"
 
 
 class _Page:
@@ -198,52 +222,86 @@ class _Page:
         return "\n".join(self.lines).strip("\n")
 
 
-def _table_rows(table: Node) -> list[list[Node]]:
-    """The cells of a table's own rows; stray visible children become rows of one cell."""
-    rows: list[list[Node]] = []
-    todo = [(c, None) for c in reversed(table.children)]
+def _span(cell: Node, name: str, most: int) -> int:
+    given = cell.attributes.get(name, "").strip()
+    return max(1, min(int(given[:10]), most)) if given.isascii() and given.isdigit() else 1
+
+
+def _table_rows(table: Node, around: bool) -> list[list[tuple[Node, bool]]]:
+    """The cells of a table's own rows, and whether their rows are visible; stray displayed children become rows of one cell."""
+    rows: list[list[tuple[Node, bool]]] = []
+    todo = [(c, around) for c in reversed(table.children)]
+
+    def wrapped(child: Node | str) -> Node:
+        cell = Node("td", {})
+        cell.children = [child]
+        return cell
+
     while todo:
-        node, _ = todo.pop()
+        node, seen = todo.pop()
         if isinstance(node, str):
-            if node.strip():
-                cell = Node("td", {})
-                cell.children = [node]
-                rows.append([cell])
-        elif not visible(node):
+            if node.strip() and seen:
+                rows.append([(wrapped(node), seen)])
+        elif not displayed(node):
             continue
         elif node.tag in ("thead", "tbody", "tfoot", "colgroup"):
-            todo += [(c, None) for c in reversed(node.children)]
+            todo += [(c, shown(node, seen)) for c in reversed(node.children)]
         elif node.tag == "tr":
-            cells = []
+            seen, cells = shown(node, seen), []
             for c in node.children:
-                if isinstance(c, Node) and c.tag in ("td", "th"):
-                    if visible(c):
-                        cells.append(c)
-                elif isinstance(c, Node) and visible(c) or isinstance(c, str) and c.strip():
-                    cell = Node("td", {})
-                    cell.children = [c]
-                    cells.append(cell)
+                if isinstance(c, str):
+                    if c.strip():
+                        cells.append((wrapped(c), seen))
+                elif displayed(c):
+                    cells.append((c if c.tag in ("td", "th") else wrapped(c), seen))
             rows.append(cells)
         elif node.tag != "col":
-            rows.append([node])
+            rows.append([(node if node.tag in ("td", "th", "caption") else wrapped(node), seen)])
     return rows
 
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Lines of rows whose cells are padded to their columns' widths; a cell may have several lines."""
-    widths: list[int] = []
+def width(s: str) -> int:
+    """Columns that s takes in a font of even width: two for wide characters, none for combining ones."""
+    return len(s) if s.isascii() else sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of rows of (text, columns, rows) cells, padded to their columns' widths; a cell may have several lines.
+
+    A cell of 0 columns stands above or below them, whatever their widths.
+    """
+    grid: list[list[tuple[int, list[str], int]]] = []  # first column, lines, columns
+    taken: dict[int, int] = {}  # column: rows that a cell from above still takes
     for cells in rows:
-        for i, cell in enumerate(cells):
-            w = max(map(len, cell.split("\n")))
-            if i == len(widths):
-                widths.append(w)
-            elif w > widths[i]:
-                widths[i] = w
+        at, placed, new = 0, [], {}
+        for text, columns, depth in cells:
+            while taken.get(at, 0):
+                at += 1
+            placed.append((at, text.split("\n"), columns))
+            if depth > 1:
+                new |= dict.fromkeys(range(at, at + columns), depth - 1)
+            at += columns
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | new
+        grid.append(placed)
+    widths: dict[int, int] = {}
+    for spanning in (False, True):  # what spans several columns widens the last of them, if need be
+        for at, lines, columns in (cell for placed in grid for cell in placed if cell[2] and (cell[2] > 1) == spanning):
+            need = max(map(width, lines))
+            last = at + columns - 1
+            widths[last] = max(widths.get(last, 0), need - sum(widths.get(c, 0) + 2 for c in range(at, last)))
+    starts, x = {}, 0
+    for c in range(max(widths, default=-1) + 1):
+        starts[c] = x
+        x += max(widths.get(c, 0), 0) + 2
     out = []
-    for cells in rows:
-        split = [c.split("\n") for c in cells]
-        for k in range(max(map(len, split), default=0)):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(split, widths, strict=False)).rstrip(" "))
+    for placed in grid:
+        for k in range(max((len(lines) for _, lines, _ in placed), default=0)):
+            line, used = [], 0
+            for at, lines, _ in placed:
+                if k < len(lines) and lines[k]:
+                    line.append(" " * (starts[at] - used) + lines[k])
+                    used = max(starts[at], used) + width(lines[k])
+            out.append("".join(line).rstrip(" "))
     return [line for line in out if line]
 
 
@@ -252,6 +310,7 @@ def render(root: Node) -> str:
     # Work items: a string, a node to enter, or a function to call on the way out.
     pages = [_Page()]
     pre = [False]
+    seen = [True]
     lists: list[list] = []
     todo: list = [root]
 
@@ -265,19 +324,25 @@ def render(root: Node) -> str:
 
         return out
 
-    def enter_cell(cell: Node):
+    def enter_cell(cell: Node, around: bool):
         def out() -> None:
             pages.append(_Page())
-            todo.append(leave_cell)
-            todo.extend(reversed(cell.children if cell.tag in ("td", "th") else [cell]))
+            seen.append(shown(cell, around))
+            todo.append(leave_cell(cell))
+            todo.extend(reversed(cell.children))
 
         return out
 
-    def leave_cell() -> None:
-        done = pages.pop().done()
-        tables[-1][-1].append(done)
+    def leave_cell(cell: Node):
+        def out() -> None:
+            seen.pop()
+            done = pages.pop().done()
+            columns = 0 if cell.tag == "caption" else _span(cell, "colspan", MOST_COLUMNS)
+            tables[-1][-1].append((done, columns, _span(cell, "rowspan", MOST_ROWS)))
+
+        return out
 
-    tables: list[list[list[str]]] = []
+    tables: list[list[list[tuple[str, int, int]]]] = []
 
     def leave_table() -> None:
         page = pages[-1]
@@ -289,27 +354,31 @@ def render(root: Node) -> str:
     while todo:
         item = todo.pop()
         if isinstance(item, str):
-            pages[-1].text(item, pre[-1])
+            if seen[-1]:
+                pages[-1].text(item, pre[-1])
             continue
         if callable(item):
             item()
             continue
-        if not visible(item):
+        if not displayed(item):
             continue
+        if (own := shown(item, seen[-1])) != seen[-1]:
+            seen.append(own)
+            todo.append(lambda: seen.pop())
         page, tag = pages[-1], item.tag
         if tag == "br":
             page.line(keep=True)
         elif tag == "img":
-            if item.attributes.get("alt"):
+            if item.attributes.get("alt") and seen[-1]:
                 page.text(item.attributes["alt"], False)
         elif tag == "table":
             page.block(True)
-            rows = _table_rows(item)
+            rows = _table_rows(item, seen[-1])
             tables.append([])
             todo.append(leave_table)
             for cells in reversed(rows):
-                for cell in reversed(cells):
-                    todo.append(enter_cell(cell))
+                for cell, around in reversed(cells):
+                    todo.append(enter_cell(cell, around))
                 todo.append(lambda: tables[-1].append([]))
         elif tag == "pre":
             page.block(True)
@@ -331,7 +400,7 @@ def render(root: Node) -> str:
             todo.extend(reversed(item.children))
         elif tag in BLOCK or tag == "text" and "block" in item.attributes:
             page.block(tag in SPACED)
-            if tag == "optgroup" and item.attributes.get("label"):
+            if tag == "optgroup" and item.attributes.get("label") and seen[-1]:
                 page.text(item.attributes["label"], False)
                 page.line()
             todo.append(leave_block(tag in SPACED))
@@ -347,15 +416,16 @@ def visible_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns of keep, and text of each row."""
-    rows = pages.select(F.col(f"`{id_col}`"), *[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("__tm_html"))
+    names = [id_col, *(c for c in keep if c not in (id_col, "text"))]
+    rows = pages.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)], named(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pa.array([visible_text(x) for x in b.column("__tm_html").to_pylist()], type=pa.string())
+            texts = pa.array([visible_text(x) for x in b.column("html").to_pylist()], type=pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*b.schema.names[:-1], "text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, text string")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{schema}, text string").toDF(*names, "text")
 
 
 def digest(text: str) -> str:
