@@ -2,7 +2,7 @@
 
 Words that occur once in the text's range and once in the template's are anchors; the longest increasing subsequence
 of their places is kept, and the gaps between are aligned the same way, with words that are unique there. Matches that
-lie far from the others are taken off the ends until the match is at most SPREAD times as wide as the template. What
+lie far from the others are taken off the ends until the match is at most spread (SPREAD) times as wide as the template. What
 is left, by the template's words, is the coverage.
 
 A notice that stands several times in a text has no words that are unique there. So where patience leaves words of the
@@ -15,7 +15,7 @@ text's length. The templates are a parameter and are shipped with the function (
 
 Edge cases: null and empty texts match nothing. Rows are independent of each other, so repeated rows get the same
 result each. All templates that reach the least coverage are listed; the best one's columns are of that with the highest
-coverage, ties to the template given first. Other columns are ignored, whatever their names. An empty table gives an empty result.
+coverage, ties to the one with more words, then to the template given first. Other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +29,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import named
+
 SPREAD = 3
 MIN_COVERAGE = 0.8
 _EDGE = b".,;:!?()[]{}<>\"'`*#/-"
 
-#: Notices of common licences, in the words of public use.
+_BSD_GRANT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF
+THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: One-line notices in the words of public use, and the public texts and file notices of common licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "MIT": "Released under the MIT License",
@@ -45,6 +59,43 @@ TEMPLATES = {
     "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "Apache-text": "You may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "LGPL-text": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "MIT-full": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause": f"""{_BSD_GRANT} {_BSD_DISCLAIMER}""",
+    "BSD-3-Clause": f"""{_BSD_GRANT} Neither the name of the copyright holder nor the names of its contributors may be used to
+endorse or promote products derived from this software without specific prior written permission. {_BSD_DISCLAIMER}""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+held liable for any damages arising from the use of this software. Permission is granted to anyone to use this
+software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to
+the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote
+the original software. If you use this software in a product, an acknowledgment in the product documentation would be
+appreciated but is not required. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. This notice may not be removed or altered from any source
+distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+purpose, commercial or non-commercial, and by any means.""",
+    "Apache-full-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except
+in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License.""",
 }
 
 
@@ -164,8 +215,8 @@ def in_windows(words: list[bytes], places: list[int], template: list[bytes], mos
 
 
 class Scanner:
-    def __init__(self, templates: Mapping[str, str], min_coverage: float):
-        self.least = min_coverage
+    def __init__(self, templates: Mapping[str, str], min_coverage: float, spread: int = SPREAD):
+        self.least, self.spread = min_coverage, spread
         self.templates = [(name, normal_words(t.encode())) for name, t in templates.items()]
         self.counts = [Counter(words) for _, words in self.templates]
         self.vocabulary = frozenset(w for _, words in self.templates for w in words)
@@ -176,7 +227,7 @@ class Scanner:
 
     @staticmethod
     def best(found: list[tuple]) -> tuple[str | None, float, int, int, int]:
-        return max(found, key=lambda x: x[1], default=(None, 0.0, 0, -1, -1))
+        return max(found, key=lambda x: x[1:3], default=(None, 0.0, 0, -1, -1))
 
     def scan_all(self, text: bytes | None) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, first and last word) of each template that reaches the least coverage."""
@@ -191,11 +242,11 @@ class Scanner:
                 at = [i for i, w in enumerate(words) if w in present]
             own = [i for i in at if words[i] in counts]
             matches = [(own[i], j) for i, j in patience([words[i] for i in own], template)]
-            matches = compact(matches, SPREAD * len(template))
+            matches = compact(matches, self.spread * len(template))
             n, first, last = (len(matches), matches[0][0], matches[-1][0]) if matches else (0, -1, -1)
             if n < len(template):
                 need = max(n + 1, next(k for k in range(len(template) + 1) if k / len(template) >= self.least))
-                better = in_windows([words[i] for i in own], own, template, SPREAD * len(template), need)
+                better = in_windows([words[i] for i in own], own, template, self.spread * len(template), need)
                 n, first, last = better if better[0] else (n, first, last)
             coverage = n / len(template)
             if n and coverage >= self.least:
@@ -203,19 +254,22 @@ class Scanner:
         return out
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """id, license (null: none), coverage, n_matched, first_word, last_word (numbers of words, -1: none) of each row's best, and licenses, an array of the same of all."""
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE, spread: int = SPREAD) -> DataFrame:
+    """id, license (null: none), coverage, n_matched, first_word, last_word (numbers of words, -1: none) of each row's best, and licenses, an array of the same of all.
+
+    A match is at most spread times as wide as its template.
+    """
     templates = dict(templates)
     kind = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("n_matched", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, min_coverage)
+        scanner = Scanner(templates, min_coverage, spread)
         for b in batches:
             every = [scanner.scan_all(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
             name, coverage, n, first, last = zip(*map(scanner.best, every), strict=True) if every else [()] * 5
             listed = pa.array([[dict(zip(kind.names, x, strict=True)) for x in found] for found in every], type=pa.list_(kind))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name, type=pa.string()), pa.array(coverage, type=pa.float64()), *(pa.array(x, type=pa.int64()) for x in (n, first, last)), listed], names=[id_col, *kind.names, "licenses"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`"))
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text"))
     fields = "license string, coverage double, n_matched long, first_word long, last_word long"
     return rows.mapInArrow(run, f"`{id_col}` long, {fields}, licenses array<struct<{fields}>>")
