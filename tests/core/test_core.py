@@ -265,6 +265,26 @@ def test_rule_engine_equals_batch(spark, sf, tmp_path):
     assert got == want and {x[1] for x in got} == {"count", "order", "late"}
 
 
+def test_report_over_two_streams(spark, tmp_path):
+    """Items wait for their orders; a paid order counts in its own minute only, and an item's newest row only."""
+    from datetime import datetime
+
+    item, order = "id int, order_id int, product_id int, brand string, price decimal(10,2), quantity int, seq int", "id int, status int, payment_time string, seq int"
+    now, out = [datetime(2024, 1, 1, 10, 1)], str(tmp_path / "out")
+    report = lambda items, orders, at: engine.paid_topn(items, orders, f"{at:%Y-%m-%d %H:%M:00}", f"{at:%Y-%m-%d %H:%M:59.999999}", (1, 2, 3), 2)
+    write = engine.report_each_batch(str(tmp_path / "t"), {0: (item, ["id"], ["seq"]), 1: (order, ["id"], ["seq"])}, report, sinks.append_parquet(out), lambda: now[0])
+    items = lambda *r: spark.createDataFrame(list(r), "id int, order_id int, product_id int, brand string, price string, quantity int, seq int")
+    orders = lambda *r: spark.createDataFrame(list(r), order)
+    got = lambda n: sorted((r.brand, r.product_id, str(r.amount), r.rn) for r in spark.read.parquet(f"{out}/batch={n}").collect())
+    write(sources.one_stream(items((1, 1, 7, "a", "2.50", 2, 1), (2, 2, 8, "a", "1.00", 1, 1), (3, 1, 9, "a", "1.00", 3, 1))), 0)
+    assert got(0) == []
+    write(sources.one_stream(items((2, 2, 8, "a", "1.00", 9, 2)), orders((1, 1, "2024-01-01 10:01:05", 1), (2, 0, None, 1))), 1)
+    assert got(1) == [("a", 7, "5.00", 1), ("a", 9, "3.00", 2)]
+    now[0] = datetime(2024, 1, 1, 10, 2)
+    write(sources.one_stream(items(), orders((2, 3, "2024-01-01 10:02:00", 2))), 2)
+    assert got(2) == [("a", 8, "9.00", 1)]
+
+
 def test_stream_of_several_batches_keeps_its_state(spark, event_stream, tmp_path):
     rows, _ = event_stream
     stream = in_batches(spark, rows, tmp_path, 4)

@@ -1,14 +1,19 @@
-"""Marketing rules over micro-batches: rules that come and go, replay of recent events to new ones, counts that last."""
+"""Engines over micro-batches: marketing rules that come and go, and reports over the newest rows of several streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import in_window
 from tidemark.operators import rules as R
-from tidemark.sinks import Writer, keep_recent, read_version
+from tidemark.operators.lookup import sized
+from tidemark.operators.windows import top_n
+from tidemark.sinks import Writer, keep_recent, read_upserted, read_version, upsert_parquet
+from tidemark.sources import json_rows
 
 _STATE = "rule_id string, user_id bigint, counts array<bigint>, passed bigint"
 Table = Callable[[], DataFrame] | None
@@ -55,3 +60,35 @@ def rule_engine(path: str, rules: Callable[[], Sequence[R.Rule]], then: Writer,
             then(R.matches(found), number)
 
     return write
+
+
+def paid_topn(items: DataFrame, orders: DataFrame, start: Column | str, end: Column | str, statuses: Sequence[int], n: int) -> DataFrame:
+    """brand, product_id, amount, rn: the n products of each brand with the largest sums paid in start <= payment_time < end.
+
+    items: id, order_id, product_id, brand, price, quantity. orders: id, status, payment_time. The paid orders are
+    broadcast while they are small; ties go to the smaller product_id.
+    """
+    paid = orders.where(F.col("status").isin(list(statuses)) & in_window(F.col("payment_time"), start, end)).select(F.col("id").alias("order_id"))
+    sums = items.join(sized(paid), "order_id").groupBy("brand", "product_id").agg(F.sum(F.col("price") * F.col("quantity")).alias("amount"))
+    return top_n(sums, ["brand"], [F.desc("amount"), F.asc("product_id")], n)
+
+
+def report_each_batch(path: str, tables: Mapping[int, tuple[str, Sequence[str], Sequence[str]]], report: Callable[..., DataFrame], then: Writer, clock: Callable[[], datetime]) -> Writer:
+    """A writer for sources.one_stream: the newest row a key of each stream is kept, and a report of all of them given to then.
+
+    tables: by the stream's number: its rows' schema, key and order. report gets the tables in that order, and clock()'s
+    time. Started with every='1 minute', it is a report each minute, of batches without rows too if streams go on.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, kept = batch.sparkSession, []
+        for tag, (schema, key, order) in sorted(tables.items()):
+            rows = json_rows(batch.where(F.col("source") == tag), schema)
+            upsert_parquet(f"{path}/{tag}", key, order)(rows, number)
+            try:
+                kept.append(read_upserted(spark, f"{path}/{tag}"))
+            except FileNotFoundError:  # nothing has come yet
+                kept.append(rows.limit(0))
+        then(report(*kept, clock()), number)
+
+    return write
