@@ -1,24 +1,30 @@
 """Quality rules: a short-circuit cascade over native columns, ordered by rejections per cost.
 
-A rule is a metric and a test of it. On a sample, each rule is timed and its share of rejected rows is counted; the
-cascade asks the rules in the order of rejections per second, as one CASE expression, whose branches Spark evaluates
-only as far as the first that holds. The order changes the cost and never the verdict.
+A rule is a test of metrics, which are made of parts (words, lines, sorted windows). On a sample, the time that each part
+and each rule takes is measured, and which rules reject which rows is counted. The cascade takes next the rule with
+the most rejections, among the rows that are left, per second, where only parts that no earlier rule has made cost
+anything. It is a chain of stages: a stage makes the parts that its rule needs, and its filter ends the rows that the
+rule rejects, so that no later part is made for them. The order changes the cost and never the verdict. The report needs
+every metric of every row; there the cascade names the rule that rejects, as one CASE expression.
 
 Everything is DataFrame expressions. Edge cases: a null text has no words; a text without words has zeros in every
 metric and fails the word-count rule. Texts of any length are read whole. Rows are independent of each other, so
-repeated ids or rows each get their verdict. The columns added have the prefix __tm_ until the end, and no other
-column of the input is read. An empty table gives an empty result, with the rules in the order given.
+repeated ids or rows each get their verdict. The filter keeps a row's columns in a struct of its own, and the report
+reads no column but the two named, so their names can't clash with the metrics'. An empty table gives an empty result,
+with the rules in the order given.
 """
 
 from __future__ import annotations
 
+import re
 import time
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, lines_of, words_of, written
+from tidemark.llm.common import SPACE, as_rows, discard, lines_of, named, of_row, words_of, written
 
 #: Windows are packed into one long as hash bits above and place below; longer texts sort (hash, place) structs.
 PLACE_BITS = 21
@@ -68,44 +74,129 @@ RULES = (
 )
 
 
-def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the metrics as __tm_ columns; Spark computes only those that are used."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+def _short() -> str:
+    return f"size(__tm_w) < {1 << PLACE_BITS}"
+
+
+def _parts(text: Column) -> dict[str, Column]:
+    """The columns that metrics are made of, each after those it needs."""
+    return {
+        "__tm_w": words_of(text),
+        "__tm_l": F.filter(lines_of(text), lambda x: F.btrim(x, F.lit(SPACE)) != ""),
+        "__tm_s": F.expr(f"case when {_short()} then {_WINDOWS} else array() end"),
+        "__tm_g": F.expr(f"case when {_short()} then array() when size(__tm_w) < 3 then array() else sort_array(transform(sequence(0, size(__tm_w) - 3), i -> struct(xxhash64(__tm_w[i], __tm_w[i + 1], __tm_w[i + 2]) as h, i as i))) end"),
+    }
+
+
+def _metrics(text: Column) -> dict[str, tuple[Column, tuple[str, ...]]]:
+    """name: (metric, the parts it needs)"""
     length_without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    # Words, lines and windows must be computed once a row: a predicate that Spark moves below their projection would
-    # put their expressions into the lambdas above and compute them for each word. Spark moves nothing over columns
-    # that are not deterministic in name; this condition always holds.
-    once = F.monotonically_increasing_id() >= 0
-    out = docs.withColumns({"__tm_w": F.when(once, words_of(text)), "__tm_l": F.when(once, F.filter(lines_of(text), lambda x: F.btrim(x, F.lit(SPACE)) != ""))})
-    short = f"size(__tm_w) < {1 << PLACE_BITS}"
-    out = out.withColumns({"__tm_s": F.when(once, F.expr(f"case when {short} then {_WINDOWS} else array() end")), "__tm_g": F.when(once, F.expr(f"case when {short} then array() when size(__tm_w) < 3 then array() else sort_array(transform(sequence(0, size(__tm_w) - 3), i -> struct(xxhash64(__tm_w[i], __tm_w[i + 1], __tm_w[i + 2]) as h, i as i))) end"))})
-    return out.withColumns(
-        {
-            "__tm_n_words": F.size("__tm_w").cast("long"),
-            "__tm_word_chars": F.length(F.translate(text, SPACE, "")).cast("long"),
-            "__tm_n_symbols": length_without("#*$%&|<>").cast("long"),
-            "__tm_n_lines": F.size("__tm_l").cast("long"),
-            "__tm_n_dup_lines": (F.size("__tm_l") - F.size(F.array_distinct("__tm_l"))).cast("long"),
-            "__tm_n_repeat_words": F.expr(f"case when {short} then {_REPEATED} else {_LONG} end").cast("long"),
-            "__tm_n_letters": F.length(F.regexp_replace(text, "[^\\p{L}]+", "")).cast("long"),
-        }
-    )
-
-
-def ordered_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, seed: int = 7) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) on a sample of about sample_rows rows, best first; ties stay in the order given."""
+    return {
+        "__tm_n_words": (F.size("__tm_w").cast("long"), ("__tm_w",)),
+        "__tm_word_chars": (F.length(F.translate(text, SPACE, "")).cast("long"), ()),
+        "__tm_n_symbols": (length_without("#*$%&|<>").cast("long"), ()),
+        "__tm_n_lines": (F.size("__tm_l").cast("long"), ("__tm_l",)),
+        "__tm_n_dup_lines": ((F.size("__tm_l") - F.size(F.array_distinct("__tm_l"))).cast("long"), ("__tm_l",)),
+        "__tm_n_repeat_words": (F.expr(f"case when {_short()} then {_REPEATED} else {_LONG} end").cast("long"), ("__tm_w", "__tm_s", "__tm_g")),
+        "__tm_n_letters": (F.length(F.regexp_replace(text, "[^\\p{L}]+", "")).cast("long"), ()),
+    }
+
+
+def _once(column: Column) -> Column:
+    """Parts must be computed once a row, and after the filters before them: a predicate that Spark moves below their projection
+    would put their expressions into the lambdas above and compute them for each word. Spark moves nothing over columns
+    that are not deterministic in name; this condition always holds."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
+def with_metrics(docs: DataFrame, text_col: str = "text", only: set[str] | None = None, text: Column | None = None) -> DataFrame:
+    """docs with the metrics as __tm_ columns, and their parts; only: those metrics, and what docs lacks of their parts."""
+    text = F.coalesce(named(text_col) if text is None else text, F.lit(""))
+    metrics = {k: v for k, v in _metrics(text).items() if only is None or k in only}
+    needed = {p for _, parts in metrics.values() for p in parts} - set(docs.columns)
+    parts = {k: _once(v) for k, v in _parts(text).items() if k in needed}
+    for level in (("__tm_w", "__tm_l"), ("__tm_s", "__tm_g")):
+        if own := {k: v for k, v in parts.items() if k in level}:
+            docs = docs.withColumns(own)
+    return docs.withColumns({k: m for k, (m, _) in metrics.items()})
+
+
+def _used(rule: Rule) -> frozenset[str]:
+    return frozenset(re.findall(r"__tm_\w+", rule.rejects))
+
+
+def _parts_of(rule: Rule) -> frozenset[str]:
+    every = _metrics(F.lit(""))
+    return frozenset(p for m in _used(rule) for p in every[m][1])
+
+
+def costs(sample: DataFrame, rules: Sequence[Rule], repeats: int = 2) -> tuple[dict[str, float], dict[str, float]]:
+    """Seconds of each part, and of each rule without its parts, over sample: the least of repeats, less that of an empty job."""
+
+    def seconds(df: DataFrame) -> float:
+        took = []
+        for _ in range(repeats):
+            began = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    def over(names: Iterable[str], *more: Column) -> float:
+        """Of a job that makes the parts, each read to its end."""
+        parts, df = _parts(F.coalesce("text", F.lit(""))), sample
+        for level in (("__tm_w", "__tm_l"), ("__tm_s", "__tm_g")):
+            if own := {k: _once(v) for k, v in parts.items() if k in level and k in names}:
+                df = df.withColumns(own)
+        return seconds(df.select(F.length("text"), *[F.size(n) for n in names], *more))
+
+    nothing, with_words = over(()), over(("__tm_w",))
+    of_part = {"__tm_w": with_words - nothing}
+    for name in sorted({p for r in rules for p in _parts_of(r)} - {"__tm_w"}):
+        of_part[name] = over((name,)) - nothing if name == "__tm_l" else over(("__tm_w", name)) - with_words
+    of_rule = {}
+    for rule in rules:
+        needed = [p for p in _parts(F.lit("")) if p in _parts_of(rule)]
+        metrics = with_metrics(sample, only=set(_used(rule)))
+        of_rule[rule.name] = seconds(metrics.select(F.length("text"), F.expr(rule.rejects))) - nothing - sum(of_part[p] for p in needed)
+    return ({k: max(v, 1e-4) for k, v in x.items()} for x in (of_part, of_rule))
+
+
+def ordered_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, seed: int = 7, text: Column | None = None) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds, share rejected of the rows that it is asked for) on a sample of about sample_rows rows, in the order to ask them."""
     rows = docs.count()
-    sample = docs.select(F.col(f"`{text_col}`").alias("text"))
+    if not rows:
+        return [(rule, 0.0, 0.0) for rule in rules]
+    sample = docs.select((named(text_col) if text is None else text).alias("text"))
     if rows > sample_rows:
         sample = sample.sample(False, min(1.0, 1.2 * sample_rows / rows), seed)
-    sample = written(sample.coalesce(4), "rule-sample")
-    metrics, found = with_metrics(sample), []
-    metrics.select(F.count("*")).collect()
-    for rule in rules:
-        began = time.perf_counter()
-        share = metrics.select(F.avg(F.expr(f"coalesce({rule.rejects}, false)").cast("int"))).first()[0]
-        found.append((rule, time.perf_counter() - began, share or 0.0))
-    return sorted(found, key=lambda x: -x[2] / max(x[1], 1e-6))
+    # The scan keeps its tasks; only the sample moves, into so few files that a job over it is short.
+    sample = written(sample.repartition(2), "rule-sample")
+    verdicts = [F.expr(f"coalesce({r.rejects}, false)").cast("int").alias(f"r{i}") for i, r in enumerate(rules)]
+    patterns = with_metrics(sample).select(*verdicts).groupBy(*[f"r{i}" for i in range(len(rules))]).count().collect()
+    of_part, of_rule = costs(sample, rules)
+    discard(sample)
+    return arranged(rules, [(tuple(p)[:-1], p["count"]) for p in patterns], of_part, of_rule)
+
+
+def arranged(rules: Sequence[Rule], patterns: list[tuple[tuple[int, ...], int]], of_part: Mapping[str, float], of_rule: Mapping[str, float]) -> list[tuple[Rule, float, float]]:
+    """The rules, each next one having the most rejections a second; ties stay in the order given.
+
+    patterns: verdicts of all rules, and the number of rows that have them.
+    """
+    out, left, made = [], list(range(len(rules))), set()
+    while left:
+        total = sum(n for _, n in patterns)
+        found = []
+        for i in left:
+            seconds = of_rule[rules[i].name] + sum(of_part[p] for p in _parts_of(rules[i]) - made)
+            found.append((i, seconds, sum(n for v, n in patterns if v[i]) / total if total else 0.0))
+        # Where nothing more is rejected, the cheaper rule comes first.
+        i, seconds, share = min(found, key=lambda x: (-x[2] / x[1], x[1] if not x[2] else 0, x[0]))
+        out.append((rules[i], seconds, share))
+        left.remove(i)
+        made |= _parts_of(rules[i])
+        patterns = [(v, n) for v, n in patterns if not v[i]]
+    return out
 
 
 def cascade(rules: list[Rule] | tuple[Rule, ...]) -> Column:
@@ -118,15 +209,24 @@ def cascade(rules: list[Rule] | tuple[Rule, ...]) -> Column:
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sample) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by of each row."""
-    order = [x[0] for x in ordered_rules(docs, text_col, **sample)]
-    rows = with_metrics(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
+    order = [x[0] for x in ordered_rules(rows, **sample)]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     base = F.expr(f"({RULES[0].rejects}) or ({RULES[1].rejects})")
-    rows = rows.select("doc_id", *[F.col(f"__tm_{n}").alias(n) for n in names], base.alias("base_failed"), cascade(order).alias("rejected_by"))
+    rows = with_metrics(rows).select("doc_id", *[F.col(f"__tm_{n}").alias(n) for n in names], base.alias("base_failed"), cascade(order).alias("rejected_by"))
     return rows.select(F.col("doc_id").alias(id_col), *names, "base_failed", (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"), "rejected_by")
 
 
+def staged(rows: DataFrame, order: Sequence[Rule], text: Column) -> DataFrame:
+    """rows, and the parts so far, that no rule rejects: each rule's parts are made for the rows that the rules before it left."""
+    for rule in order:
+        rows = with_metrics(rows, only=set(_used(rule)), text=text)
+        rows = rows.where(~F.coalesce(F.expr(rule.rejects), F.lit(False))).drop(*_used(rule))
+    return rows
+
+
 def keep_good(docs: DataFrame, text_col: str = "text", **sample) -> DataFrame:
     """The rows of docs that no rule rejects, with docs' columns."""
-    order = [x[0] for x in ordered_rules(docs, text_col, **sample)]
-    return with_metrics(docs, text_col).where(cascade(order).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, text = as_rows(docs), of_row(text_col)
+    order = [x[0] for x in ordered_rules(rows, text=text, **sample)]
+    return staged(rows, order, text).select(*[of_row(c).alias(c) for c in docs.columns])
