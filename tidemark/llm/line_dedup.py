@@ -11,7 +11,7 @@
 
 Edge cases: a null text is an empty text (one empty line). A row with a null id keeps all its lines and counts for no
 other row. Rows that repeat an id count as one document; rows with the same id and different texts have bitmaps of
-their own. Other columns are ignored, whatever their names. An empty table gives an empty result.
+their own. Other columns are ignored, whatever their names: they move in one struct. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, ascii_lower, lines_of, written
+from tidemark.llm.common import SPACE, as_rows, ascii_lower, discard, lines_of, named, of_row, written
 
 _STREAMED = "edge boolean, h1 long, h2 long, doc long, fp long, pos int, n_lines int"
 
@@ -104,13 +104,15 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     code points in at least min_docs documents lose all lines but those of the largest document.
     """
     spark = docs.sparkSession
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("fp"), lines_of(F.col(text_col)).alias("lines"))
+    rows = docs.select(named(id_col).cast("long").alias("doc"), named(text_col).alias("text")).where("doc is not null")
+    rows = rows.select("doc", F.xxhash64("text").alias("fp"), lines_of(F.col("text")).alias("lines"))
     rows = rows.select("doc", "fp", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
     rows = rows.select("doc", "fp", "pos", "n_lines", ascii_lower(F.btrim("line", F.lit(SPACE))).alias("key")).where(F.length("key") >= min_chars)
     rows = written(rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(0x5EED), "key").alias("h2"), "doc", "fp", "pos", "n_lines"), "line-hashes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", F.desc("doc"), "fp", "pos"]
     streamed = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), _STREAMED), "line-runs")
+    discard(rows)
 
     edge = streamed.where("edge")
     verdict = edge.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
@@ -122,40 +124,43 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return gathered.mapInArrow(_bitmaps, "doc long, fp long, n_dropped long, keep_bitmap binary")
 
 
-def _with_bitmaps(docs: DataFrame, columns: list[str], id_col: str, text_col: str, **rules) -> DataFrame:
-    """columns of docs, and the bitmaps' n_dropped and keep_bitmap as __tm_dropped and __tm_bitmap."""
-    maps = keep_bitmaps(docs, id_col, text_col, **rules).select(F.col("doc").alias("__tm_doc"), F.col("fp").alias("__tm_fp"), F.col("n_dropped").alias("__tm_dropped"), F.col("keep_bitmap").alias("__tm_bitmap"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns])
+def _with_bitmaps(docs: DataFrame, id_col: str, text_col: str, **rules) -> DataFrame:
+    """row (all of docs' columns), n_dropped and keep_bitmap."""
+    maps = keep_bitmaps(docs, id_col, text_col, **rules)
     # The row's own fingerprint is a join key, so rows that share an id get the bitmap of their own text.
-    joined = rows.join(maps, (F.col(f"`{id_col}`").cast("long") == F.col("__tm_doc")) & (F.xxhash64(f"`{text_col}`") == F.col("__tm_fp")), "left")
-    return joined.drop("__tm_doc", "__tm_fp")
+    joined = as_rows(docs).join(maps, (of_row(id_col).cast("long") == F.col("doc")) & (F.xxhash64(of_row(text_col)) == F.col("fp")), "left")
+    return joined.select("row", "n_dropped", "keep_bitmap")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
     """docs with the dropped lines gone from text_col; a null text stays null, and n_chars, if there, is counted anew."""
-    joined = _with_bitmaps(docs, docs.columns, id_col, text_col, **rules)
+    joined = _with_bitmaps(docs, id_col, text_col, **rules)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index(text_col)
-            texts = [t if t is None else kept_text(t, m) for t, m in zip(b.column(at).to_pylist(), b.column("__tm_bitmap").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, type=pa.string()) if i == at else c for i, c in enumerate(b.columns[:-2])], names=b.schema.names[:-2])
+            row = b.column("row")
+            columns = [row.field(i) for i in range(row.type.num_fields)]
+            at = row.type.get_field_index(text_col)
+            texts = [t if t is None else kept_text(t, m) for t, m in zip(columns[at].to_pylist(), b.column("keep_bitmap").to_pylist(), strict=True)]
+            columns[at] = pa.array(texts, type=pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=[row.type.field(i).name for i in range(row.type.num_fields)])
 
     done = joined.mapInArrow(apply, docs.schema)
-    return done.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+    return done.withColumn("n_chars", F.length(named(text_col)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
     """id, n_lines, n_dropped, kept_sha256, keep_bitmap (null: every line is kept) of each row of docs."""
-    joined = _with_bitmaps(docs, [id_col, text_col], id_col, text_col, **rules)
+    docs = docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text"))
+    joined = _with_bitmaps(docs, "id", "text", **rules).select("row.id", "row.text", "n_dropped", "keep_bitmap")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lines, hashes = [], []
-            for t, m in zip(b.column(1).to_pylist(), b.column("__tm_bitmap").to_pylist(), strict=True):
+            for t, m in zip(b.column("text").to_pylist(), b.column("keep_bitmap").to_pylist(), strict=True):
                 t = t or ""
                 lines.append(t.count("\n") + 1)
                 hashes.append(hashlib.sha256(kept_text(t, m).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(lines, type=pa.int64()), b.column("__tm_dropped").fill_null(0), pa.array(hashes, type=pa.string()), b.column("__tm_bitmap")], names=[id_col, "n_lines", "n_dropped", "kept_sha256", "keep_bitmap"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lines, type=pa.int64()), b.column("n_dropped").fill_null(0), pa.array(hashes, type=pa.string()), b.column("keep_bitmap")], names=[id_col, "n_lines", "n_dropped", "kept_sha256", "keep_bitmap"])
 
     return joined.mapInArrow(digest, f"`{id_col}` long, n_lines long, n_dropped long, kept_sha256 string, keep_bitmap binary")

@@ -9,26 +9,28 @@
    of the next epoch: those whose tokens, added up in that epoch's seeded order, stay within what is left of b.
    The cut is found without sorting a leaf: its documents fall into about sqrt(n) buckets by their place in the order;
    running sums over buckets find the one with the cut, and running sums over that bucket's documents find the cut.
-   Each document then decides for itself by comparing its place with its leaf's cut, so no text moves.
+   Each document then decides for itself by comparing its place with its leaf's cut, so no text moves; only beyond
+   BROADCAST_LEAVES leaves do texts move to their leaf's cut, a leaf's dealt over SALTS tasks by their places.
 
 Edge cases: a null domain, language or source is a leaf value of its own. A null or empty text has no tokens: it is
 given floor(b / t) times like its leaf's others, and lies in a prefix if the documents before it do; a leaf without
 any tokens gives each document once. Rows that repeat an id (or have none) are documents of their own, told apart by
-their text; equal rows are taken or left together. Extra columns stay as they are, whatever their names. An empty
-table gives an empty result.
+their text; equal rows are taken or left together. Extra columns stay as they are, whatever their names: they move in
+one struct. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_below, words_of, written
+from tidemark.llm.common import discard, named, of_row, words_of, written
 
-#: Leaves are broadcast up to this number, and joined by shuffle beyond it.
-BROADCAST_LEAVES = 20_000
+#: Leaves are broadcast up to this number, and joined by a salted shuffle beyond it.
+BROADCAST_LEAVES, SALTS = 20_000, 64
 LEVELS = ("__tm_domain", "__tm_lang", "__tm_source")
 
 
@@ -76,15 +78,16 @@ def leaf_budgets(leaves: DataFrame, budget: int, weights: Mapping[str, float], m
 
 
 def mix(docs: DataFrame, tokens_share: float = 0.8, weights: Mapping[str, float] | None = None, max_epochs: int = 2, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None) -> DataFrame:
-    """docs with the column __tm_copies: how many times each is given; rows of 0 copies are left out.
+    """row (docs' columns), copies (how many times it is given; rows of 0 copies are left out), domain, lang, source.
 
     The budget is tokens_share of all tokens, a token being a word. Levels' weights: see leaf_budgets.
     """
-    source = F.col(f"`{source_col}`").cast("string")
-    leaf = {LEVELS[0]: source_domain(source) if domain is None else domain, LEVELS[1]: F.col(f"`{lang_col}`").cast("string"), LEVELS[2]: source}
-    place = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`")))
-    rows = docs.withColumns(leaf | {"__tm_place": place})
-    sizes = written(rows.select(*LEVELS, "__tm_place", F.size(words_of(F.col(f"`{text_col}`"))).cast("long").alias("__tm_size")), "mix-sizes")
+    source = named(source_col).cast("string")
+    leaf = [(source_domain(source) if domain is None else domain).alias(LEVELS[0]), named(lang_col).cast("string").alias(LEVELS[1]), source.alias(LEVELS[2])]
+    place = F.xxhash64(F.lit(seed), named(id_col), F.xxhash64(named(text_col))).alias("__tm_place")
+    # All columns of docs lie in one struct, so none can clash with those added here.
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), *leaf, place)
+    sizes = written(rows.select(*LEVELS, "__tm_place", F.size(words_of(of_row(text_col))).cast("long").alias("__tm_size")), "mix-sizes")
 
     leaves = sizes.groupBy(*LEVELS).agg(F.count("*").alias("__tm_docs"), F.sum("__tm_size").alias("__tm_tokens"))
     leaves = written(leaves, "mix-leaves")
@@ -95,9 +98,18 @@ def mix(docs: DataFrame, tokens_share: float = 0.8, weights: Mapping[str, float]
     budgets = budgets.withColumns({"__tm_epochs": epochs, "__tm_more": F.when(F.col("__tm_tokens") == 0, 0).otherwise(F.col("__tm_budget") % tokens), "__tm_buckets": F.ceil(F.sqrt("__tm_docs")).cast("long")})
     budgets = written(budgets.select(*LEVELS, "__tm_epochs", "__tm_more", "__tm_buckets"), "mix-budgets")
 
+    few = budgets.count() <= BROADCAST_LEAVES
+
     def with_leaf(df: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
-        own = broadcast_below(table.select(*[F.col(c).alias(f"{c}_") for c in LEVELS], *[c for c in table.columns if c not in LEVELS]), BROADCAST_LEAVES)
-        return df.join(own, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in LEVELS], how).drop(*[f"{c}_" for c in LEVELS])
+        own = table.select(*[F.col(c).alias(f"{c}_") for c in LEVELS], *[c for c in table.columns if c not in LEVELS])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in LEVELS])
+        if few:
+            own = F.broadcast(own)
+        elif "__tm_place" in df.columns:
+            df = df.withColumn("__tm_salt", F.pmod(F.col("__tm_place"), F.lit(SALTS)).cast("int"))
+            own = own.withColumn("__tm_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            same = same & (F.col("__tm_salt") == F.col("__tm_salt_"))
+        return df.join(own, same, how).drop(*[f"{c}_" for c in LEVELS], "__tm_salt", "__tm_salt_")
 
     # The place's upper bits, scaled to the leaf's buckets, keep the order of the places.
     bucket = F.shiftright((F.shiftrightunsigned(F.col("__tm_place").bitwiseXOR(F.lit(-(1 << 63))), 33) * F.col("__tm_buckets")), 31)
@@ -113,21 +125,21 @@ def mix(docs: DataFrame, tokens_share: float = 0.8, weights: Mapping[str, float]
     along = Window.partitionBy(*LEVELS).orderBy("__tm_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("__tm_after", F.col("__tm_cut.before") + F.sum("__tm_size").over(along))
     last = inside.groupBy(*LEVELS).agg(F.min(F.when(F.col("__tm_after") > F.col("__tm_more"), F.col("__tm_place"))).alias("__tm_first_out"))
+    last = written(last, "mix-last")
     cuts = written(with_leaf(budgets, last, "left").select(*LEVELS, "__tm_epochs", "__tm_first_out"), "mix-places")
+    discard(sizes, leaves, budgets, crossed, last)
     # Without a cut, the leaf's next epoch fits as a whole only if it has no tokens left to give.
     more = F.when(F.col("__tm_first_out").isNotNull() & (F.col("__tm_place") < F.col("__tm_first_out")), 1).otherwise(0)
-    out = with_leaf(rows, cuts).withColumn("__tm_copies", F.col("__tm_epochs") + more)
-    return out.where("__tm_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], "__tm_copies", *LEVELS)
+    out = with_leaf(rows, cuts).withColumn("copies", F.col("__tm_epochs") + more).where("copies > 0")
+    return out.select("row", "copies", *[F.col(c).alias(c.removeprefix("__tm_")) for c in LEVELS])
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs' columns; a row for each copy."""
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("__tm_copies"))).alias("__tm_copy")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return mix(docs, **how).select(*columns, copies).drop("__tm_copy")
+    copies = mix(docs, **how).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
+    return copies.select(*[of_row(c).alias(c) for c in docs.columns])
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """id, domain, lang, source, copies of each row that is given at least once."""
-    out = mix(docs, id_col=id_col, **how)
-    return out.select(F.col(f"`{id_col}`"), F.col(LEVELS[0]).alias("domain"), F.col(LEVELS[1]).alias("lang"), F.col(LEVELS[2]).alias("source"), F.col("__tm_copies").alias("copies"))
+    return mix(docs, id_col=id_col, **how).select(of_row(id_col).alias(id_col), "domain", "lang", "source", "copies")

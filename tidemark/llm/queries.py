@@ -10,6 +10,8 @@ from tidemark.llm import html_text, license_scan, line_dedup, lm_scoring, mixing
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
 UNIGRAM_VOCABULARY = "piece_bpe_32k.model"
+#: Target weights of the mixture, by node: the domains that are wanted more, and within them languages and a source.
+MIX_WEIGHTS = {"domain0": 2.0, "domain1": 1.5, "domain3": 0.5, "domain0/en": 0.5, "domain1/es": 2.0, "domain1/en/src3": 3.0}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+    return mixing.mix_report(_table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
