@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import line_dedup, near_dedup, packing, quality_rules
+from tidemark.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 
 LONG = "The same line of more than forty characters stands here"
 ODD = [
@@ -187,3 +187,88 @@ def test_hamming_keys_are_complete():
         b[rng.choice(near_dedup.K, near_dedup.DISTANCE, replace=False)] ^= np.uint32(1)
         one, two = near_dedup.key_rows(np.stack([a, b]))
         assert (one == two).any()
+
+
+def test_parity_sketches_lose_no_link():
+    """Whatever the sets' sizes, the sketches' distance is at most the number of shingles in which the sets differ."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, int(rng.integers(2, 3000)), dtype=np.uint64)
+        one, two = (np.unique(rng.choice(pool, int(rng.integers(1, len(pool) + 1)))) for _ in "ab")
+        differ = len(np.setxor1d(one, two))
+        distance = near_dedup.parity_distance(near_dedup.parity(one), near_dedup.parity(two))
+        assert distance <= differ
+        common = len(np.intersect1d(one, two))
+        if 100 * common >= 75 * (len(one) + len(two) - common):
+            assert near_dedup.possible(np.array([distance]), np.array([len(one)]), np.array([len(two)]))[0]
+    rows = [near_dedup.parity(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (3, 100, 200, 700, 1500, 90)]
+    held = near_dedup._Parities(np.array([*rows, None], dtype=object)[:-1])
+    for i in range(len(rows)):
+        assert held.distances(i, np.arange(len(rows))).tolist() == [near_dedup.parity_distance(rows[i], x) for x in rows]
+
+
+def test_near_salted_joins_give_the_same(spark, monkeypatch):
+    """A class of many pairs, and buckets of several blocks, dealt over salts."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[:100])] + [" ".join([*words[:100], *words[100 : 100 + i % 20], f"z{i}"]) for i in range(60)]
+    texts += [" ".join(words[i % 7 : 80 + i % 13] + [f"y{i % 9}"] * 3) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name, value in (("HOT", 5), ("BLOCK", 8), ("SALTS", 4), ("BROADCAST_KEYS", 0), ("RUN_PAIRS", 3)):
+        monkeypatch.setattr(near_dedup, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute.near(pairs(df))
+
+
+CLASHES = ["row", "id", "doc", "fp", "gone", "text_key", "copy", "copies", "salt", "key", "keep_bitmap", "n_dropped", "__tm_row", "__tm_w", "__tm_n_words", "__tm_doc", "__tm_fp", "__tm_bitmap", "__tm_gone", "__tm_place", "__tm_domain", "__tm_copies", "__tm_l", "a.b", "x`y"]
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    good = " ".join("".join(chr(97 + (7 * i + j * j) % 26) for j in range(5)) for i in range(60))
+    rows = [(d, t, "en", f"s{(d or 0) % 2}", *[f"{c}-{i}" for c in CLASHES]) for i, (d, t) in enumerate([*ODD, (99, good)])]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *CLASHES])
+    own = {tuple(r[4:]): (r[0], r[1]) for r in rows}
+    for operator in (quality_rules.keep_good, line_dedup.dedup_lines, near_dedup.drop_near_duplicates, mixing.mixed):
+        got = operator(df)
+        assert got.columns == df.columns
+        found = got.collect()
+        assert found and all(own[tuple(r)[4:]][0] == r.doc_id for r in found)
+    for report in (quality_rules.quality_report, line_dedup.line_report, near_dedup.near_duplicates):
+        assert report(df).count() == len(rows)
+    assert mixing.mix_report(df).columns == ["doc_id", "domain", "lang", "source", "copies"]
+
+
+def test_cascade_filters_before_it_makes_windows(docs):
+    """The filter of a cheap rule lies between the scan and the windows."""
+    rules = [quality_rules.RULES[2], quality_rules.RULES[1]]
+    plan = quality_rules.staged(docs, rules, F.col("text"))._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    windows = max(i for i, x in enumerate(lines) if "xxhash64" in x and "Project" in x)
+    symbols = [i for i, x in enumerate(lines) if "Filter" in x and "#*$%&|<>" in x]
+    assert symbols and min(symbols) > windows  # plans are printed from the last step to the first
+
+
+def test_rejected_rows_cost_less_than_kept_ones(spark):
+    import time
+
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(3000)), lambda x: F.concat(F.lit("w"), F.xxhash64(x, "id"))))
+    good = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text")).cache()
+    bad = good.withColumn("text", F.concat("text", F.lit("#" * 400))).cache()
+    took = {}
+    for name, df in (("bad", bad), ("good", good), ("bad", bad), ("good", good)):
+        df.count()
+        began = time.perf_counter()
+        quality_rules.staged(df, [quality_rules.RULES[2], quality_rules.RULES[1]], F.col("text")).write.format("noop").mode("overwrite").save()
+        took[name] = time.perf_counter() - began
+    assert took["bad"] < took["good"], took
+
+
+def test_rules_are_arranged_by_rejections_per_second():
+    rules = quality_rules.RULES[:3]  # too few words, repeated windows, symbols
+    part = {"__tm_w": 1.0, "__tm_s": 5.0, "__tm_g": 0.1}
+    rule = {r.name: 0.5 for r in rules}
+    # Alone, the windows reject most; the words they need are paid for by the first rule that uses them.
+    patterns = [((0, 1, 0), 60), ((1, 1, 0), 10), ((0, 0, 1), 20), ((0, 0, 0), 10)]
+    order = [(r.name, round(s, 2), round(x, 2)) for r, s, x in quality_rules.arranged(rules, patterns, part, rule)]
+    assert order == [("symbols", 1.5, 0.2), ("repeated_windows", 5.6, 0.88), ("too_few_words", 0.5, 0.0)]

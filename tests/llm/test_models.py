@@ -112,6 +112,22 @@ def test_filter_levels_are_seldom_too_high():
         assert (f.levels(keys, np.zeros(20_000, dtype=np.int64)) > 1).mean() < 0.05
 
 
+def test_remembered_levels_are_the_filters(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    raw = lm_scoring.Filter.segment(keys, rng.integers(1, 12, len(keys)), (8, 2))
+    f = lm_scoring.Filter(np.array([len(raw)]), np.frombuffer(raw, dtype=np.uint8), (8, 2))
+    for most in (1_000_000, 700, 0):
+        monkeypatch.setattr(lm_scoring, "KNOWN_PAIRS", most)
+        known = lm_scoring._Known(f, 1)
+        for _ in range(20):
+            asked = np.unique(rng.choice(keys, 500) ^ np.uint64(rng.integers(0, 2)))
+            assert (known.levels(asked) == f.levels(asked, np.zeros(len(asked), dtype=np.int64))).all()
+            assert (np.diff(known.keys.astype(float)) > 0).all()
+
+
 def test_filter_levels_are_never_too_low():
     import numpy as np
 
@@ -146,29 +162,7 @@ def test_mixing(documents, odd):
     for df in (documents, documents.unionByName(documents.limit(20)), odd, odd.limit(0)):
         how = {"tokens_share": 0.7, "max_epochs": 3, "weights": {"domain0": 3.0, "domain1/en": 0.5}}
         got = mixing.mix_report(df, **how)
-        rows = df.withColumns({"place": F.xxhash64(F.lit(29), "doc_id", F.xxhash64("text")), "domain": mixing.source_domain(F.col("source"))}).collect()
-        want = Counter()
-        leaves = defaultdict(list)
-        for r in rows:
-            leaves[r.domain, r.lang, r.source].append((r.place, len(brute.WORD.findall(r.text or "")), r.doc_id))
-        tokens = {k: sum(x[1] for x in v) for k, v in leaves.items()}
-        budget = _budgets(tokens, int(sum(tokens.values()) * how["tokens_share"]), how["weights"], how["max_epochs"])
-        for k, docs in leaves.items():
-            t = max(tokens[k], 1)
-            full, more = (1, 0) if not tokens[k] else (budget[k] // t, budget[k] % t)
-            by_place = defaultdict(int)
-            for p, n, _ in docs:
-                by_place[p] += n
-            run, taken = 0, set()
-            for p in sorted(by_place):
-                run += by_place[p]
-                if run > more:
-                    break
-                taken.add(p)
-            if not tokens[k]:
-                taken = set()
-            for p, _, d in docs:
-                want[d] += full + (p in taken)
+        want = _copies(df, how)
         have = Counter()
         for r in got.collect():
             have[r.doc_id] += r.copies
@@ -177,6 +171,34 @@ def test_mixing(documents, odd):
         assert mixing.mixed(df, **how).count() == sum(want.values())
 
 
+def _copies(df, how):
+    """{doc_id: how many rows of it the mixture gives}"""
+    rows = df.withColumns({"place": F.xxhash64(F.lit(29), "doc_id", F.xxhash64("text")), "domain": mixing.source_domain(F.col("source"))}).collect()
+    want = Counter()
+    leaves = defaultdict(list)
+    for r in rows:
+        leaves[r.domain, r.lang, r.source].append((r.place, len(brute.WORD.findall(r.text or "")), r.doc_id))
+    tokens = {k: sum(x[1] for x in v) for k, v in leaves.items()}
+    budget = _budgets(tokens, int(sum(tokens.values()) * how["tokens_share"]), how["weights"], how["max_epochs"])
+    for k, docs in leaves.items():
+        t = max(tokens[k], 1)
+        full, more = (1, 0) if not tokens[k] else (budget[k] // t, budget[k] % t)
+        by_place = defaultdict(int)
+        for p, n, _ in docs:
+            by_place[p] += n
+        run, taken = 0, set()
+        for p in sorted(by_place):
+            run += by_place[p]
+            if run > more:
+                break
+            taken.add(p)
+        if not tokens[k]:
+            taken = set()
+        for p, _, d in docs:
+            want[d] += full + (p in taken)
+    return want
+
+
 def _budgets(tokens, budget, weights, epochs):
     """Water-filling by repeated rounds: what is full leaves, and the rest share anew."""
     given = {(): budget}
@@ -303,6 +325,143 @@ def test_matches_in_windows_are_the_longest():
         assert not n or 0 <= last - first < most and first in places and last in places
 
 
+def test_scanner_equals_brute_force_alignment(spark):
+    """The longest match in the template's order in any window of three template lengths, for every template that reaches the least coverage."""
+    import random
+
+    rng = random.Random(9)
+    templates = {f"t{i}": " ".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9))) for i in range(6)}
+    scanner = license_scan.Scanner(templates, 0.8)
+    texts = [None, "", "x"]
+    for _ in range(300):
+        parts = [rng.choice([rng.choice(list(templates.values())), " ".join(rng.choice("abcdefghijxyz") for _ in range(rng.randint(1, 12)))]) for _ in range(rng.randint(1, 6))]
+        texts.append(" ".join(parts))
+
+    def longest(words, template):
+        best = 0
+        for i in range(len(words)):
+            row = [0] * (len(template) + 1)
+            for w in words[i : i + 3 * len(template)]:
+                above = row[:]
+                for j, x in enumerate(template, 1):
+                    row[j] = max(row[j - 1], above[j], above[j - 1] + (w == x))
+            best = max(best, row[-1])
+        return best
+
+    hits = 0
+    for text in texts:
+        words = (text or "").split()
+        want = {}
+        for name, template in templates.items():
+            n = longest(words, template.split())
+            if n and n / len(template.split()) >= 0.8:
+                want[name] = n
+        got = scanner.scan_all(None if text is None else text.encode())
+        assert {x[0]: x[2] for x in got} == want, text
+        assert all(last - first < 3 * len(templates[name].split()) for name, _, _, first, last in got)
+        hits += bool(want)
+    assert hits > 100
+    df = spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string")
+    rows = {r.doc_id: {x.license: x.n_matched for x in r.licenses} for r in license_scan.scan_licenses(df.unionByName(df), templates=templates).collect()}
+    assert rows == {i: {x[0]: x[2] for x in scanner.scan_all(None if t is None else t.encode())} for i, t in enumerate(texts[:40])}
+
+
+def test_full_texts_are_found_in_long_documents():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+    for name in ("MIT-full", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Apache-full-notice"):
+        words = license_scan.TEMPLATES[name].split()
+        changed = " ".join("changed" if i % 17 == 9 else w for i, w in enumerate(words))
+        found = scanner.scan_all(("the software of the license " * 4000 + changed + " and the conditions " * 4000).encode())
+        assert name in {x[0] for x in found}, name
+
+
+def test_html_visibility():
+    visible = html_text.visible_text
+    assert visible("x <b style='visibility:hidden'>no <i style='visibility: visible'>yes</i> no</b> y") == "x yes y"
+    assert visible("a<dialog>no</dialog><dialog open>yes</dialog>") == "a\nyes"
+    assert visible("<div style='VISIBILITY:hidden'><p>no<p style='visibility:visible'>yes <img alt=pic><p>no <img alt=no></div>") == "yes pic"
+    assert visible("<div style='display:none'><p style='visibility:visible'>no</p></div>") == ""
+    assert visible("<table><tr style='visibility:collapse'><td>gone<tr><td style='visibility:hidden'>no<td>b</table>") == "  b"
+
+
+def test_html_table_layout():
+    visible = html_text.visible_text
+    page = "<table><caption>Fruit of all sorts</caption><tr><th colspan=2>Two columns<th>N<tr><td>a<td>bb<td>c<tr><td rowspan=2>r<td>1<td>2<tr><td>3<td>4<tr><td colspan=0>x<td rowspan=zero>y</table>"
+    assert visible(page) == "Fruit of all sorts\nTwo columns  N\na  bb        c\nr  1         2\n   3         4\nx  y"
+    assert visible("<table><tr><td>日本<td>x<tr><td>abcde<td>y<tr><td>e\u0301<td>z</table>") == "日本   x\nabcde  y\ne\u0301      z"
+    assert visible("<table><tr><td colspan=3>a very long heading here<tr><td>a<td>b<td>c</table>") == "a very long heading here\na  b  c"
+    assert visible("<table><tr><td>one<br>two<td>x<tr><td><table><tr><td>in<td>ner</table><td>y</table>") == "one      x\ntwo\nin  ner  y"
+    assert visible("<table><tr><td rowspan=99999999999>a<td>b<tr><td colspan=5000>c</table>") == "a  b\n   c"
+
+
+def test_html_golden_pages():
+    visible = html_text.visible_text
+    page = "<html><head><title>no</title></head><body><header><nav><ul><li><a href=/>Home</a><li><a href=/x>About</a></ul></nav></header><main><h1>Title</h1><p>First <em>para</em>graph,\n two   lines.<p>Second.<blockquote>Said<br>twice</blockquote><dl><dt>Term<dd>Meaning</dl></main><footer>&copy; 2024</footer></body></html>"
+    assert visible(page) == "- Home\n- About\n\nTitle\n\nFirst paragraph, two lines.\n\nSecond.\n\nSaid\ntwice\n\nTerm\nMeaning\n\n© 2024"
+    assert visible("<ol start=9><li>nine<li>ten<ul><li>inner<p>para</ul><li>eleven</ol>") == "9. nine\n10. ten\n    - inner\n\n      para\n\n11. eleven"
+    assert visible("<pre>a\tb\n\n  c</pre>after") == "a\tb\n\n  c\n\nafter"
+
+
+def test_html_of_odd_rows(spark):
+    rows = [(1, None, "u", "t"), (2, "", "u", None), (3, "<p>x", None, "t"), (3, "<p>x", None, "t"), (None, "<p>y", "v", "t"), (4, "<b>" + "word " * 200_000, "w", "t")]
+    df = spark.createDataFrame(rows, "page_id long, html string, url string, text string").withColumnsRenamed({"url": "__tm_html"})
+    got = html_text.extract(df, keep=("__tm_html", "text"))
+    assert got.columns == ["page_id", "__tm_html", "text"]
+    found = sorted(((r.page_id, r["__tm_html"], r.text) for r in got.collect()), key=str)
+    assert found == sorted([(1, "u", ""), (2, "u", ""), (3, None, "x"), (3, None, "x"), (None, "v", "y"), (4, "w", ("word " * 200_000).strip())], key=str)
+
+
+def test_scores_equal_smoothing_with_exact_counts(documents):
+    """Absolute discounting with exact counts: the levels and the filters' wrong answers cost at most 0.05 log10 a token on average, and 0.3 in any one text."""
+    rows = [(d, t) for d, t in pairs(documents)]
+    texts = {d: [None, *brute.WORD.findall(brute.lower(t)), None] for d, t in rows}
+    training = [d for d in texts if not lm_scoring.held_out(d)]
+    c = Counter(w for d in training for w in texts[d][1:])
+    pair = Counter(p for d in training for p in zip(texts[d], texts[d][1:], strict=False))
+    kinds = Counter(h for h, _ in pair)
+    once, twice = (sum(n == k for n in pair.values()) for k in (1, 2))
+    discount, room = once / (once + 2 * twice), sum(c.values()) + 0.1 * (len(c) + 1)
+
+    def p(h, w):
+        alone = (c[w] + 0.1) / room
+        return max(pair[h, w] - discount, 0) / c[h] + discount * kinds[h] / c[h] * alone if c[h] else alone
+
+    off = []
+    for r in lm_scoring.score(documents).collect():
+        words = texts[r.doc_id]
+        want = sum(math.log10(p(h, w)) for h, w in zip(words, words[1:], strict=False))
+        off.append(((r.score - want), len(words) - 1))
+    assert abs(sum(x for x, _ in off) / sum(n for _, n in off)) < 0.05
+    assert max(abs(x) / n for x, n in off if n > 50) < 0.3
+
+
+def test_many_blocks_of_queries(spark, monkeypatch):
+    """One block lives at a time, and the plan is one scan of results."""
+    alive, most = [], []
+    real = topk._search
+
+    def search(block, k):
+        alive.append(block)
+        most.append(sum(b._jbroadcast.isValid() if hasattr(b._jbroadcast, "isValid") else True for b in alive))
+        return real(block, k)
+
+    monkeypatch.setattr(topk, "_search", search)
+    df = spark.range(60).select(F.col("id").alias("vec_id"), F.array(*[(F.xxhash64(F.lit(i), "id") % 100 / 100.0) for i in range(4)]).alias("embedding"))
+    got = topk.top_k(df, F.col("id") % 2 == 0, k=3, query_block=2)
+    assert len(alive) > 8 and max(most) == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "MapInArrow" not in plan
+    assert got.count() == 90
+
+
+def test_mixing_with_salted_leaves(documents, monkeypatch):
+    """Beyond the broadcast, texts meet their leaf's cut by salted shuffles: the same rows."""
+    rows = lambda: sorted(map(tuple, mixing.mix_report(documents, weights={"domain0": 3.0}).collect()), key=str)
+    want = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
+    assert rows() == want and want
+
+
 def test_token_counts(documents, odd, monkeypatch):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -338,6 +497,54 @@ def test_pipeline(spark, sf, documents):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_pipeline_stages_equal_brute_force(spark, sf, documents):
+    """Each stage before packing, on all that the one before kept, row by row."""
+    import hashlib
+
+    import corpus_pipeline
+    from tidemark.llm import quality_rules
+    from tidemark.llm.queries import MIX_WEIGHTS
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = documents.unionByName(documents.limit(5))
+    kept = stages["quality rules"](spark, docs, sf).collect()
+    verdict = {r.doc_id: r.kept for r in quality_rules.quality_report(docs).collect()}
+    assert sorted(map(tuple, kept)) == sorted(tuple(r) for r in docs.collect() if verdict[r.doc_id]) and kept
+    docs = spark.createDataFrame(kept, documents.schema)
+    deduped = stages["line dedup"](spark, docs, sf).collect()
+    got = sorted((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in deduped)
+    want = brute.lines(pairs(docs))
+    assert got == sorted((d, sha) for d, _, _, sha in want) and any(x[2] for x in want)
+    assert all(r.n_chars == len(r.text) for r in deduped)
+    docs = spark.createDataFrame(stages["MinHash near-dedup"](spark, spark.createDataFrame(deduped, documents.schema), sf).collect(), documents.schema)
+    mixed = Counter(r.doc_id for r in stages["mixing sources to target weights"](spark, docs, sf).collect())
+    assert mixed == +_copies(docs, {"tokens_share": 0.8, "max_epochs": 2, "weights": MIX_WEIGHTS}) and mixed
+
+
+def test_very_long_texts(spark):
+    """30,000 words, over all operators that read texts."""
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import line_dedup, quality_rules
+
+    words = [f"{chr(97 + i % 26)}{'lorem ipsum dolor sit amet'.split()[i % 5]}{i % 9973}" for i in range(30_000)]
+    long = "\n".join(" ".join(words[i : i + 20]) for i in range(0, len(words), 20))
+    rows = [(1, long, "en", "a"), (2, long + " more", "en", "a"), (3, long + "x" * 100_000, "en", "b"), (4, "short", "en", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted((r.n_words, r.n_repeat_words) for r in quality_rules.quality_report(df).collect()) == [(1, 0), (30_000, 0), (30_000, 0), (30_001, 0)]
+    assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df).collect()) == [1, 4]
+    assert sorted(tuple(r)[:4] for r in line_dedup.line_report(df, min_docs=2).collect()) == sorted(brute.lines(pairs(df), min_docs=2))
+    assert mixing.mixed(df).count() == sum(_copies(df, {"tokens_share": 0.8, "max_epochs": 2, "weights": {}}).values())
+    assert lm_scoring.score(df).where("n_tokens > 30000").count() == 3
+    assert license_scan.scan_licenses(df).where("license is null").count() == 4
+    counted = {r.doc_id: r[1] for r in token_counts.count_tokens(df.unionByName(df), PIECES).collect()}
+    assert counted[1] > 30_000 and counted[2] == counted[1] + token_counts.UnigramCounter.at(PIECES).count(b"more")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    got = {r.doc_id: r.doc_tokens for r in packing.pack(df, path).collect()}
+    assert got == {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in pairs(df)}
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.v, r.comp) for r in near_dedup.components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
