@@ -264,7 +264,7 @@ def test_rejected_rows_cost_less_than_kept_ones(spark):
     assert took["bad"] < took["good"], took
 
 
-def test_rules_are_arranged_by_rejections_per_second():
+def test_rules_are_arranged_by_rejections_per_second(spark):
     rules = quality_rules.RULES[:3]  # too few words, repeated windows, symbols
     part = {"__tm_w": 1.0, "__tm_s": 5.0, "__tm_g": 0.1}
     rule = {r.name: 0.5 for r in rules}
