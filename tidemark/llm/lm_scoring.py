@@ -50,6 +50,8 @@ WORD_STEPS, WORD_HASHES = 4, (10, 5)  # levels a doubling of the count; hashes o
 PAIR_STEPS, PAIR_HASHES = 2, (8, 5)
 #: Tokens that are counted together before they move, and that are scored together.
 COUNT_CHUNK, SCORE_CHUNK = 600_000, 150_000
+#: Pairs of at least this level are asked for once a task, as long as so many are remembered.
+KNOWN_LEVEL, KNOWN_PAIRS = 4, 1_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -112,6 +114,31 @@ class Filter:
         return found
 
 
+class _Known:
+    """A filter whose answers of high levels, which take the most probes and come again in each run, are remembered."""
+
+    def __init__(self, of: Filter, segments: int):
+        self.of, self.segments = of, segments
+        self.keys, self.found = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each of the sorted keys."""
+        out, hit = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            out[hit] = self.found[at[hit]]
+        rest = keys[~hit]
+        out[~hit] = found = self.of.levels(rest, _segment_of(rest, self.segments))
+        new = rest[found >= KNOWN_LEVEL]
+        if len(self.keys) + len(new) > KNOWN_PAIRS:
+            self.keys, self.found = new, found[found >= KNOWN_LEVEL]
+        else:
+            at = np.searchsorted(self.keys, new)
+            self.keys, self.found = np.insert(self.keys, at, new), np.insert(self.found, at, found[found >= KNOWN_LEVEL])
+        return out
+
+
 def _top_places(top: tuple, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each word stands in the broadcast table, and whether it does."""
     keys = top[0]
@@ -355,7 +382,7 @@ def _score(words, pairs, top, model: dict, segments: int):
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_base = model["log_base"]
+        log_base, known_pairs = model["log_base"], None if pairs is None else _Known(pairs.value, segments)
         for part in _runs(batches, False, SCORE_CHUNK):
             tokens, before = _histories(part)
             lengths, n = np.array([len(r[2]) for r in part]), len(part)
@@ -369,8 +396,8 @@ def _score(words, pairs, top, model: dict, segments: int):
             uid = np.array([b.column("uid")[i].as_py() for i, b, _ in part], dtype=np.int64)
             doc = pa.array([b.column("doc")[i].as_py() for i, b, _ in part], type=pa.int64())
             asked, again = np.unique(keys, return_inverse=True)
-            if pairs is not None:
-                found = pairs.value.levels(asked, _segment_of(asked, segments))[again]
+            if known_pairs is not None:
+                found = known_pairs.levels(asked)[again]
                 score = pa.array(np.bincount(text, weights=_log10_p(model, found, history, level), minlength=n))
                 del found
             else:
