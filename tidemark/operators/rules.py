@@ -6,8 +6,9 @@ the events by event type, and what follows is keyed by (rule, user).
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -127,25 +128,74 @@ def active_rules(feed: DataFrame, respect_status: bool = True, online: int = 2)
 _CHECKS = "array<struct<name:string,op:string,given:array<string>>>"
 _COUNT, _STEP, _FIRE = 0, 1, 2  # in the order in which one event's parts count
 _ORDER = ("ts", "event_id", "part", "number")
+_TRIGGERS = f"event string, part int, number int, checks {_CHECKS}, hits array<int>, until string, rule_id string, least array<int>, flags array<string>, ids array<string>, steps_id string, n_steps int, times int, cutoff string, has_audience boolean, has_profile boolean"
 
 
-def triggers(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
-    """A row for each part that an event plays in a rule; as many as the rules have conditions and steps, all told."""
+def as_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Rows that the driver holds, as a literal of the plan: no worker is asked for them."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def _checks(listed: Sequence[Check]) -> list[dict]:
+    return [{"name": k, "op": op, "given": _values(list(v))} for k, op, v in listed]
+
+
+def _digest(*parts: object) -> str:
+    return hashlib.md5(json.dumps(parts).encode(), usedforsecurity=False).hexdigest()[:16]
+
+
+def condition_ids(rule: Rule) -> list[str]:
+    """What the counts of a rule's conditions are kept under: the flag, and what it counts.
+
+    A condition that is moved, or gets another least, goes on counting. One that counts other events, or is a second of
+    the same flag, is another.
+    """
+    seen: dict[str, int] = {}
+    out = []
+    for c in rule.counted:
+        name = f"{c.flag}|{_digest(c.event, _checks(c.properties), c.until, rule.cutoff)}"
+        seen[name] = seen.get(name, 0) + 1
+        out.append(name if seen[name] == 1 else f"{name}|{seen[name]}")
+    return out
+
+
+def sequence_id(rule: Rule) -> str | None:
+    """What the steps that a rule's users have passed are kept under."""
+    return f"steps|{_digest(*rule.sequence)}" if rule.sequence else None
+
+
+def event_types(rules: Sequence[Rule]) -> list[str]:
+    return sorted({e for r in rules for e in (r.fire.event, *r.sequence, *(c.event for c in r.counted))})
+
+
+Since = Mapping[str, Mapping[str, int]]
+
+
+def triggers(spark: SparkSession, rules: Sequence[Rule], since: Since | None = None) -> DataFrame:
+    """A row for each part that an event plays in a rule; as many as the rules have conditions and steps, all told.
+
+    since: by rule, the time from which each of its condition_ids counts, which then is part of what counts are kept under.
+    """
     rows = []
     for r in rules:
-        common = (r.rule_id, [c.least for c in r.counted], [c.flag for c in r.counted], len(r.sequence), r.times, r.cutoff, r.has_audience, bool(r.profile))
-        checks = lambda c: [(k, op, _values(list(v))) for k, op, v in c.properties]
-        rows += [(c.event, _COUNT, i, checks(c), None, c.until, *common) for i, c in enumerate(r.counted)]
-        rows += [(e, _STEP, None, [], [i for i, x in enumerate(r.sequence) if x == e], None, *common) for e in dict.fromkeys(r.sequence)]
-        rows.append((r.fire.event, _FIRE, None, checks(r.fire), None, None, *common))
-    schema = f"event string, part int, number int, checks {_CHECKS}, hits array<int>, until string, rule_id string, least array<int>, flags array<string>, n_steps int, times int, cutoff string, has_audience boolean, has_profile boolean"
-    return spark.createDataFrame(rows, schema)
+        name = lambda i: i if i is None or since is None else f"{i}@{since[r.rule_id][i]}"  # noqa: B023, E731
+        common = {"rule_id": r.rule_id, "least": [c.least for c in r.counted], "flags": [c.flag for c in r.counted], "ids": [name(i) for i in condition_ids(r)], "steps_id": name(sequence_id(r)), "n_steps": len(r.sequence), "times": r.times, "cutoff": r.cutoff, "has_audience": r.has_audience, "has_profile": bool(r.profile)}
+        part = lambda event, kind, number, checks=(), hits=None, until=None: rows.append({"event": event, "part": kind, "number": number, "checks": _checks(checks), "hits": hits, "until": until, **common})  # noqa: B023, E731
+        for i, c in enumerate(r.counted):
+            part(c.event, _COUNT, i, c.properties, until=c.until)
+        for e in dict.fromkeys(r.sequence):
+            part(e, _STEP, -1, hits=[i for i, x in enumerate(r.sequence) if x == e])
+        part(r.fire.event, _FIRE, -1, r.fire.properties)
+    return as_rows(spark, rows, _TRIGGERS)
 
 
 def _fitting(profile: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """rule_id, user_id of the users whose profile fits the rule's conditions."""
-    fits = [F.when(all_of([compare(F.col(tag), op, v) for tag, op, v in r.profile]), F.lit(r.rule_id)) for r in rules]
-    return profile.select("user_id", F.explode(F.array_compact(F.array(*fits))).alias("rule_id")).distinct()
+    """rule_id, user_id of the users whose profile fits the rule's conditions, which are data: the plan is the same for any number."""
+    tags = sorted({tag for r in rules for tag, _, _ in r.profile})
+    known = F.create_map(*[x for t in tags for x in (F.lit(t), F.col(t).cast("string"))])
+    given = F.from_json(F.lit(json.dumps([{"rule_id": r.rule_id, "checks": _checks(r.profile)} for r in rules])), f"array<struct<rule_id:string,checks:{_CHECKS}>>")
+    fits = F.filter(given, lambda r: F.forall(r["checks"], lambda c: compare_data(F.element_at("__tags", c["name"]), c["op"], c["given"])))
+    return profile.select("user_id", known.alias("__tags")).select("user_id", F.explode(F.transform(fits, lambda r: r["rule_id"])).alias("rule_id")).distinct()
 
 
 def _only(rows: DataFrame, flag: str, allowed: DataFrame) -> DataFrame:
@@ -154,37 +204,38 @@ def _only(rows: DataFrame, flag: str, allowed: DataFrame) -> DataFrame:
     return rows.join(sized(marked), ["rule_id", "user_id"], "left").where(~F.col(flag) | F.col("__in").isNotNull()).drop("__in")
 
 
-def progress(events: DataFrame, rules: Sequence[Rule], profile: DataFrame | None = None, audience: DataFrame | None = None, seeds: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
+def progress(events: DataFrame, rules: Sequence[Rule], profile: DataFrame | None = None, audience: DataFrame | None = None, seeds: DataFrame | None = None, state: DataFrame | None = None, since: Since | None = None) -> DataFrame:
     """Every part that an event plays in a rule, with what the rule has counted for the user by then.
 
-    events: user_id, event_id, event_type, ts, properties. Counts are state of (rule, flag, user) and include the event
-    itself; seeds (rule_id, flag_id, user_id, cnt) count what came up to the cutoff. state (rule_id, user_id, counts, passed) is
-    what earlier events left (see left_by). Only events that some condition names are shuffled, once, by rule and user.
+    events: user_id, event_id, event_type, ts, properties. Only those of types that some rule names are read. counts is a map by
+    condition_ids and sequence_id, and includes the event itself; seeds (rule_id, flag_id, user_id, cnt) count what came
+    up to the cutoff. state (rule_id, user_id, counts) is what earlier events left (see left_by); of it, only what the
+    rules' conditions still count goes on. Events that play a part are shuffled, once, by rule and user.
     """
-    rows = events.select("user_id", "event_id", "event_type", "ts", "properties").join(F.broadcast(triggers(events.sparkSession, rules)), F.col("event_type") == F.col("event"))
-    rows = rows.where(F.forall("checks", lambda c: compare_data(F.coalesce(F.col("properties")[c["name"]], F.lit("")), c["op"], c["given"])))
-    at = F.col("ts").cast("timestamp")
-    live = (F.col("cutoff").isNull() | (at > F.to_timestamp("cutoff"))) & (F.col("until").isNull() | (at <= F.to_timestamp("until")))
-    rows = rows.where((F.col("part") == _STEP) | live).drop("event", "event_type", "properties", "checks", "cutoff", "until")
+    rows = events.select("user_id", "event_id", "event_type", "ts", "properties").where(F.col("event_type").isin(event_types(rules)))
+    rows = rows.join(F.broadcast(triggers(events.sparkSession, rules, since)), F.col("event_type") == F.col("event"))
+    if any(c.properties for r in rules for c in (r.fire, *r.counted)):
+        rows = rows.where(F.forall("checks", lambda c: compare_data(F.coalesce(F.col("properties")[c["name"]], F.lit("")), c["op"], c["given"])))
+    if any(r.cutoff or c.until for r in rules for c in (r.fire, *r.counted)):
+        at = F.col("ts").cast("timestamp")
+        live = (F.col("cutoff").isNull() | (at > F.to_timestamp("cutoff"))) & (F.col("until").isNull() | (at <= F.to_timestamp("until")))
+        rows = rows.where((F.col("part") == _STEP) | live)
+    rows = rows.drop("event", "event_type", "properties", "checks", "cutoff", "until")
     if any(r.has_audience for r in rules):
         rows = _only(rows, "has_audience", audience)
     if with_profile := [r for r in rules if r.profile]:
         rows = _only(rows, "has_profile", _fitting(profile, with_profile))
     most = max((len(r.counted) for r in rules), default=0)
     key, order = ["rule_id", "user_id"], list(_ORDER)
-    rows = rows.withColumn("number", F.coalesce("number", F.lit(-1)))
     if seeds is not None:
-        by_flag = seeds.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("flag_id", "cnt"))).alias("__seeds"))
+        by_flag = seeds.groupBy(*key, "flag_id").agg(F.sum("cnt").alias("cnt"))
+        by_flag = by_flag.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("flag_id", "cnt"))).alias("__seeds"))
         rows = rows.join(sized(by_flag), key, "left")
     if state is not None:
-        rows = rows.join(state.select(*key, F.col("counts").alias("__counts"), F.col("passed").alias("__from")), key, "left")
+        rows = rows.join(state.select(*key, F.col("counts").alias("__counts")), key, "left")
+    before = lambda name: F.coalesce(F.col("__counts")[name], F.lit(0)) if state is not None else F.lit(0)
     along = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = []
-    for i in range(most):
-        count = F.sum(F.when(F.col("number") == i, 1).otherwise(0)).over(along)
-        if state is not None:
-            count = count + F.coalesce(F.get("__counts", F.lit(i)), F.lit(0))
-        counts.append(count.alias(f"__c{i}"))
+    counts = [(F.sum(F.when(F.col("number") == i, 1).otherwise(0)).over(along) + before(F.get("ids", F.lit(i)))).alias(f"__c{i}") for i in range(most)]
     rows = rows.select("*", *counts)
     met = [F.lit(True)]
     for i in range(most):
@@ -192,14 +243,16 @@ def progress(events: DataFrame, rules: Sequence[Rule], profile: DataFrame | None
         if seeds is not None:
             total = total + F.coalesce(F.col("__seeds")[F.get("flags", F.lit(i))], F.lit(0))
         met.append((F.size("least") <= i) | (total >= F.get("least", F.lit(i))))
-    rows = rows.withColumns({"met": all_of(met), "counts": F.array(*[F.col(f"__c{i}").cast("long") for i in range(most)]).cast("array<bigint>")})
-    rows = rows.select(*key, *order, "hits", "n_steps", "times", "met", "counts", (F.col("__from") if state is not None else F.lit(None)).cast("long").alias("start"))
+    by_id = F.map_from_arrays("ids", F.slice(F.array(*[F.col(f"__c{i}").cast("long") for i in range(most)]).cast("array<bigint>"), F.lit(1), F.size("ids")))
+    rows = rows.withColumns({"met": all_of(met), "counts": by_id})
+    rows = rows.select(*key, *order, "hits", "n_steps", "steps_id", "times", "met", "counts", before(F.col("steps_id")).cast("long").alias("start"))
     if any(r.sequence for r in rules):
         rows = fold_steps(rows, key, order)
+        rows = rows.withColumn("counts", F.when(F.col("n_steps") > 0, F.map_concat("counts", F.create_map(F.coalesce("steps_id", F.lit("")), F.col("passed")))).otherwise(F.col("counts")))
     else:
         rows = rows.withColumn("passed", F.lit(0).cast("long"))
     done = (F.col("n_steps") == 0) | (F.floor(F.col("passed") / F.greatest("n_steps", F.lit(1))) >= F.col("times"))
-    return rows.select(*key, *order, "counts", "passed", ((F.col("part") == _FIRE) & F.col("met") & done).alias("fires"))
+    return rows.select(*key, *order, "counts", ((F.col("part") == _FIRE) & F.col("met") & done).alias("fires"))
 
 
 def matches(rows: DataFrame) -> DataFrame:
@@ -208,9 +261,8 @@ def matches(rows: DataFrame) -> DataFrame:
 
 
 def left_by(rows: DataFrame) -> DataFrame:
-    """rule_id, user_id, counts, passed after all events of progress()."""
-    last = F.max_by(F.struct("counts", "passed"), F.struct(*_ORDER)).alias("last")
-    return rows.groupBy("rule_id", "user_id").agg(last).select("rule_id", "user_id", "last.counts", "last.passed")
+    """rule_id, user_id, counts after all events of progress()."""
+    return rows.groupBy("rule_id", "user_id").agg(F.max_by("counts", F.struct(*_ORDER)).alias("counts"))
 
 
 def evaluate_all(events: DataFrame, rules: Sequence[Rule], profile: DataFrame | None = None, audience: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:

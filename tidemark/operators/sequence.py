@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -56,16 +58,39 @@ def fold_steps(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> Dat
     keys = list(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, at = None, 0
+        last, at, before = None, 0, 0
         for b in batches:
-            out = []
-            for *mine, hits, size, start in zip(*(b.column(c).to_pylist() for c in (*keys, "hits", "n_steps", "start")), strict=True):
-                if mine != now:
-                    now, at = mine, start or 0
-                if hits and at % size in hits:
+            if not b.num_rows:
+                continue
+            # Where the key changes: by whole columns. The fold itself goes over plain integers.
+            new = np.zeros(b.num_rows, dtype=bool)
+            for c in keys:
+                codes = b.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            first = [b.column(c)[0].as_py() for c in keys]
+            new[0] = first != last
+            last = [b.column(c)[b.num_rows - 1].as_py() for c in keys]
+            hits = b.column("hits")
+            ends, places = hits.offsets.to_numpy().tolist(), hits.values.to_numpy().tolist()
+            size, start = b.column("n_steps").to_numpy().tolist(), pc.fill_null(b.column("start"), 0).to_numpy().tolist()
+            out = np.zeros(b.num_rows, dtype=np.int64)
+            todo = np.flatnonzero(new | (np.diff(hits.offsets.to_numpy()) > 0))
+            for i, opens in zip(todo.tolist(), new[todo].tolist(), strict=True):
+                if opens:
+                    at = start[i]
+                lo, hi = ends[i], ends[i + 1]
+                if lo < hi and at % size[i] in places[lo:hi]:
                     at += 1
-                out.append(at)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, type=pa.int64())], names=[*b.schema.names, "passed"])
+                out[i] = at
+            # Rows between two that count have what the one before them has.
+            place = np.zeros(b.num_rows, dtype=np.int64)
+            place[todo] = todo
+            np.maximum.accumulate(place, out=place)
+            carried = out[place]
+            if len(todo) == 0 or todo[0] > 0:
+                carried[: todo[0] if len(todo) else None] = before
+            before = int(carried[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(carried)], names=[*b.schema.names, "passed"])
 
     schema = StructType([*rows.schema.fields, StructField("passed", LongType())])
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

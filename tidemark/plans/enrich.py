@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import geohash, in_window, on_day, packed_text, patched_json, reversed_key, to_json_text, unpacked_text, url_prefix
-from tidemark.operators.changelog import latest, running_total, state_deltas
+from tidemark.operators.changelog import join_changes, latest, running_total, state_deltas
 from tidemark.operators.lookup import flattened_tree, lookup, sized, unique_dimension
 from tidemark.operators.rules import evaluate_all, parse_rule
 from tidemark.operators.windows import top_n
@@ -118,6 +118,34 @@ def running_open_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "seq", F.col("delta").cast("decimal(20,2)").cast("string").alias("delta"), F.col("total").cast("decimal(28,2)").cast("string").alias("total"))
 
 
+_ORDER_FEED = """select o_orderkey as oid, o_orderdate as t, 'O' as status, 'c' as op from orders
+union all select o_orderkey, o_orderdate + interval 30 day, o_orderstatus, 'u' from orders
+union all select o_orderkey, o_orderdate + interval 60 day, o_orderstatus, 'd' from orders where o_orderstatus = 'P'"""
+_ITEM_FEED = """select l_orderkey as oid, l_linenumber as line, l_shipdate as t, max(l_partkey) as pid, case when max(l_returnflag) = 'R' then 'd' else 'u' end as op from lineitem group by 1, 2, 3"""
+
+
+@query(QUERIES, ORACLES, f"""
+with o as (select *, lead(t) over (partition by oid order by t) as u from ({_ORDER_FEED})), i as (select *, lead(t) over (partition by oid, line order by t) as u from ({_ITEM_FEED})),
+p as (select *, row_number() over (partition by oid order by t) as n from (select oid, t from o union select oid, t from i)),
+s as (select p.oid, p.n, p.t, o.status, o.t as ov from p join o on o.oid = p.oid and o.t <= p.t and (o.u is null or p.t < o.u) and o.op <> 'd'),
+x as (select s.*, i.line, i.pid, i.t as iv from s left join i on i.oid = s.oid and i.t <= s.t and (i.u is null or s.t < i.u) and i.op <> 'd'),
+c as (select p.t, case when a.oid is not null then a end as cur, b as old from p left join x b on b.oid = p.oid and b.n + 1 = p.n left join x a on a.oid = p.oid and a.n = p.n and coalesce(a.line, -1) = coalesce(b.line, -1) where b.oid is not null
+      union all select p.t, a, null from p join x a on a.oid = p.oid and a.n = p.n left join x b on b.oid = p.oid and b.n + 1 = p.n and coalesce(a.line, -1) = coalesce(b.line, -1) where b.oid is null),
+k as (select t, cur, old, cur is not null and old is not null as upd from c where cur is null or old is null or cur.ov <> old.ov or cur.iv <> old.iv)
+select strftime(t, '%Y-%m-%d %H:%M:%S') as "at", case when upd then '+U' else '+I' end as kind, cur.oid as oid, cur.status as status, cur.line as line, cur.pid as pid from k where cur is not null
+union all select strftime(t, '%Y-%m-%d %H:%M:%S'), case when upd then '-U' else '-D' end, old.oid, old.status, old.line, old.pid from k where old is not null""")
+def order_item_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change feed of the left join of the orders' and the items' change feeds: updates, deletions, orders without items."""
+    version = lambda days, status, op: F.struct((F.col("o_orderdate") + F.expr(f"interval {days} days")).alias("ot"), status.alias("status"), op.alias("o_op"))
+    last = F.when(F.col("o_orderstatus") == "P", version(60, F.col("o_orderstatus"), F.lit("d")))
+    versions = F.array_compact(F.array(version(0, F.lit("O"), F.lit("c")), version(30, F.col("o_orderstatus"), F.lit("u")), last))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("oid"), F.inline(versions))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("item_oid"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("it"))
+    items = items.agg(F.max("l_partkey").alias("pid"), F.when(F.max("l_returnflag") == "R", "d").otherwise("u").alias("i_op"))
+    changes = join_changes(orders, items, [("oid", "item_oid")], ["oid"], ["item_oid", "line"], ("ot", "it"), ("o_op", "i_op"), "left")
+    return changes.select(stamp("at", "at"), "kind", "oid", "status", "line", "pid")
+
+
 @query(QUERIES, ORACLES, """
 select event_id, '{"k":"' || json_extract_string(props, '$.k') || '"}' as map_json, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' as row_json,
        '{"k":"' || json_extract_string(props, '$.k') || '","source":"app"}' as patched, event_type as part_one, user_id::varchar as part_two from events""")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.changelog import latest
+from tidemark.operators.changelog import DELETIONS, latest
 from tidemark.operators.lookup import retried
 
 Writer = Callable[[DataFrame, int], None]
@@ -30,32 +31,57 @@ def olap_parquet(path: str, time: str, day: str = "dt") -> Writer:
     return lambda batch, number: write(batch.withColumn(day, F.to_date(time)), number)
 
 
-def upsert_parquet(path: str, key: Sequence[str], order: Sequence[str], buckets: int = 16) -> Writer:
+def bucket_of(columns: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int").alias("__bucket")
+
+
+def upsert_parquet(path: str, key: Sequence[str], order: Sequence[str], buckets: int = 16, op: str | None = None, remembered: int = 100, bucket_by: Sequence[str] | None = None, keep: Column | None = None) -> Writer:
     """A table of the latest row a key, in buckets by the key's hash, as versions: a batch writes anew the buckets that it touches.
 
     Each version lists where every bucket's newest rows are, and none is written over: a batch that is run again starts
     from the same version and writes the same. read_upserted reads the last whole one.
+
+    op names a column of change kinds: a key whose latest row has d or -D is gone for readers. Its deletion stays in the
+    table unseen, so that an older row that comes late does not bring the key back, until the bucket is written more than
+    remembered batches later. bucket_by: columns of the key that alone decide its bucket. keep: rows of which this is false are left
+    out when their bucket is written.
     """
+    by = list(bucket_by or key)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
+        rows = batch if op is None else batch.withColumns({"__gone": F.coalesce(F.col(op).isin(*DELETIONS), F.lit(False)), "__at": F.lit(number).cast("long")})
+        columns, schema = rows.columns, rows.schema
+        rows = rows.withColumn("__bucket", bucket_of(by, buckets)).persist()
         try:
             touched = [r[0] for r in rows.select("__bucket").distinct().collect()]  # at most buckets
             at = _places(spark, path, number)
             if old := [f"{path}/rows={v}/__bucket={b}" for b, v in at.items() if b in touched]:
-                before = spark.read.option("basePath", path).schema(batch.schema).parquet(*old).select(*batch.columns)
-                rows = rows.unionByName(before.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
-            out = latest(rows, ["__bucket", *key], order).select(*batch.columns, "__bucket")
+                before = spark.read.option("basePath", path).schema(schema).parquet(*old).select(*columns)
+                rows = rows.unionByName(before.withColumn("__bucket", bucket_of(by, buckets)))
+            out = latest(rows, ["__bucket", *key], order).select(*columns, "__bucket")
+            if op is not None:
+                out = out.where(~F.col("__gone") | (F.col("__at") >= number - remembered))
+            if keep is not None:
+                out = out.where(keep)
             out.repartition(buckets, "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/rows={number}")
+            # A bucket of which nothing is left has no folder.
+            left = [r[0] for r in spark.read.parquet(f"{path}/rows={number}").select("__bucket").distinct().collect()] if touched and _has_rows(spark, f"{path}/rows={number}") else []
         finally:
             rows.unpersist()
-        now = [(b, v) for b, v in (at | dict.fromkeys(touched, number)).items()]
-        spark.createDataFrame(now, "bucket int, at long").coalesce(1).write.mode("overwrite").parquet(f"{path}/places/version={number}")
+        now = [{"bucket": b, "at": v} for b, v in at.items() if b not in touched] + [{"bucket": b, "at": number} for b in left]
+        places = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(now)), "array<struct<bucket int, at bigint>>")))
+        places.coalesce(1).write.mode("overwrite").parquet(f"{path}/places/version={number}")
 
     return write
 
 
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return any(s.getPath().getName().startswith("__bucket=") for s in fs.listStatus(root))
+
+
 def _places(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
     """Of an upserted table: the batch that has written each bucket last."""
     places = read_version(spark, f"{path}/places", below)
@@ -78,10 +104,17 @@ def _last_version(spark: SparkSession, path: str, below: int | None = None) -> i
     return found[-1] if found else None
 
 
-def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    """The table that upsert_parquet keeps at path, or the last version of one that is written anew each batch."""
-    if at := _places(spark, path):
-        return spark.read.option("basePath", path).parquet(*[f"{path}/rows={v}/__bucket={b}" for b, v in sorted(at.items())]).drop("rows", "__bucket")
+def read_upserted(spark: SparkSession, path: str, below: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
+    """The table that upsert_parquet keeps at path, or the last version of one that is written anew each batch.
+
+    below: as it was before that batch, and None if it had no rows then. buckets: of these only.
+    """
+    at = _places(spark, path, below)
+    if files := [f"{path}/rows={v}/__bucket={b}" for b, v in sorted(at.items()) if buckets is None or b in buckets]:
+        rows = spark.read.option("basePath", path).parquet(*files).drop("rows", "__bucket")
+        return rows.where("not __gone").drop("__gone", "__at") if "__gone" in rows.columns else rows
+    if at or below is not None:
+        return None
     if (rows := read_version(spark, path)) is None:
         raise FileNotFoundError(f"{path} has no whole version")
     return rows

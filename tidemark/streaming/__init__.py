@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import Future, ThreadPoolExecutor
+from decimal import Decimal
+from queue import Empty, SimpleQueue
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -152,6 +156,75 @@ def page_dwell(rows: DataFrame, idle_seconds: int) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(run, result, "page string, start long, end long, n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def play_segments(rows: DataFrame, idle_seconds: int) -> DataFrame:
+    """user_id, segment, seg_start, seg_end, n of each stretch of playing, once it has ended.
+
+    rows: user_id, ts, event_id, resumes (whether the event opens a stretch), with a watermark. segment is the number of the
+    user's resumings so far, 0 before the first, as in operators.sequence.segments. A stretch ends with the next resuming, and when event time has
+    passed the user's last event by idle_seconds; what comes after such a pause without a resuming is another row of the
+    same segment. The user's number is kept.
+    """
+    idle = idle_seconds * 1_000_000
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        segment, start, end, n = state.get if state.exists else (0, None, None, 0)
+        out = []
+
+        def ended() -> None:
+            if n:
+                out.append((key[0], segment, pd.Timestamp(start, unit="us"), pd.Timestamp(end, unit="us"), n))
+
+        if state.hasTimedOut:
+            ended()
+            state.update((segment, None, None, 0))
+        else:
+            events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            for ts, resumes in zip(events["ts"], events["resumes"], strict=True):
+                micros = ts.value // 1000
+                if resumes or (n and micros - end > idle):
+                    ended()
+                    segment, start, n = segment + bool(resumes), micros, 0
+                start, end, n = start if n else micros, micros, n + 1
+            state.update((segment, start, end, n))
+            state.setTimeoutTimestamp(max((end + idle) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({c: [x[i] for x in out] for i, c in enumerate(("user_id", "segment", "seg_start", "seg_end", "n"))})
+
+    result = "user_id long, segment long, seg_start timestamp, seg_end timestamp, n long"
+    return rows.groupBy("user_id").applyInPandasWithState(run, result, "segment long, start long, end long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def keyed_deltas(rows: DataFrame, forget: str | None = None) -> DataFrame:
+    """id, seq, delta of each change of a feed of after images (id, seq, amount as decimal, kind), from the id's state before.
+
+    kind is 'adds' (amount less the amount before), 'cancels' (less the amount before) or null (0), as in
+    operators.changelog.state_deltas. A change that is older than the last one of its id gives nothing. With forget ('15 days'), an id that has not
+    changed for so long of processing time is forgotten, and counts anew. running_sums adds the deltas up.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, before = state.get if state.exists else (None, "0")
+        out, before = [], Decimal(before)
+        changes = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        for seq, amount, kind in zip(changes["seq"], changes["amount"], changes["kind"], strict=True):
+            if last is not None and seq <= last:
+                continue
+            now = Decimal(0) if amount is None else Decimal(amount)
+            out.append((key[0], seq, now - before if kind == "adds" else -before if kind == "cancels" else Decimal(0)))
+            last, before = seq, now
+        if last is not None:
+            state.update((int(last), str(before)))
+        if forget is not None:
+            state.setTimeoutDuration(forget)
+        yield pd.DataFrame({c: [x[i] for x in out] for i, c in enumerate(("id", "seq", "delta"))})
+
+    given = rows.select(F.col("id").cast("long").alias("id"), F.col("seq").cast("long").alias("seq"), F.col("amount").cast("decimal(38,6)").cast("string").alias("amount"), "kind")
+    timeout = GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout
+    return given.groupBy("id").applyInPandasWithState(run, "id long, seq long, delta decimal(38,6)", "last long, before string", "update", timeout)
+
+
 def stream_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], left_time: str, right_time: str, ttl: str, how: str = "inner") -> DataFrame:
     """Rows of two streams (with watermarks) of equal keys whose times lie at most ttl apart: state older than that goes.
 
@@ -172,31 +245,41 @@ def running_sums(deltas: DataFrame, totals: dict[str, str]) -> DataFrame:
 def enriched(rows: DataFrame, column: str, fetch: Callable[[str], str | None], name: str, threads: int = 8, cache: DataFrame | None = None, timeout_seconds: float | None = None) -> DataFrame:
     """rows with fetch(column) as name: each distinct value is fetched once, threads at a time, and joined back.
 
-    cache (column, name) holds known answers. A fetch that fails, or takes longer than timeout_seconds, gives null. For
+    cache (column, name) holds known answers. A fetch that fails, or takes longer than timeout_seconds from its own start, gives null,
+    and the next value takes its place. For
     micro-batches, call it in the writer, or see cached_enrichment.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(future: Future) -> str | None:
-            try:
-                return future.result(timeout_seconds)
-            except Exception:
-                return None
-
-        pool = ThreadPoolExecutor(threads)
-        try:
-            for batch in batches:
-                found = []
-                for at in range(0, len(batch), threads):  # a wait begins when its fetch does
-                    asked = [pool.submit(fetch, x) for x in batch[column][at : at + threads]]
-                    found += [one(f) for f in asked]
-                    if any(not f.done() for f in asked):  # threads that hang are left behind
-                        pool.shutdown(wait=False, cancel_futures=True)
-                        pool = ThreadPoolExecutor(threads)
-                batch[name] = found
-                yield batch
-        finally:
-            pool.shutdown(wait=False, cancel_futures=True)
+        for batch in batches:
+            found: list[str | None] = [None] * len(batch)
+            answers: SimpleQueue[tuple[int, float, str | None]] = SimpleQueue()
+
+            def run(place: int, value: str, answers: SimpleQueue = answers) -> None:
+                try:
+                    answer = fetch(value)
+                except Exception:
+                    answer = None
+                answers.put((place, time.monotonic(), answer))
+
+            todo, began = deque(enumerate(batch[column])), {}
+            while todo or began:
+                while todo and len(began) < threads:
+                    place, value = todo.popleft()
+                    began[place] = time.monotonic()
+                    Thread(target=run, args=(place, value), daemon=True).start()
+                # Until one answers, or the time of the first to have begun is over. One that hangs is left behind.
+                left = None if timeout_seconds is None else max(0.0, min(began.values()) + timeout_seconds - time.monotonic())
+                try:
+                    place, at, answer = answers.get(timeout=left)
+                except Empty:
+                    began = {p: t for p, t in began.items() if t + timeout_seconds > time.monotonic()}
+                    continue
+                start = began.pop(place, None)
+                if start is not None and (timeout_seconds is None or at - start <= timeout_seconds):
+                    found[place] = answer
+            batch[name] = found
+            yield batch
 
     todo = rows.select(F.col(column).cast("string").alias(column)).where(F.col(column).isNotNull()).distinct()
     if cache is not None:

@@ -12,51 +12,54 @@ from tidemark.functions import in_window
 from tidemark.operators import rules as R
 from tidemark.operators.lookup import sized
 from tidemark.operators.windows import top_n
-from tidemark.sinks import Writer, keep_recent, read_upserted, read_version, upsert_parquet
+from tidemark.sinks import Writer, bucket_of, keep_recent, read_upserted, read_version, upsert_parquet
 from tidemark.sources import json_rows
 
-_STATE = "rule_id string, user_id bigint, counts array<bigint>, passed bigint"
 Table = Callable[[], DataFrame] | None
+_SEEN = "rule_id string, ids map<string,bigint>"
 
 
-def rule_engine(path: str, rules: Callable[[], Sequence[R.Rule]], then: Writer, replay_seconds: int = 120, profile: Table = None, audience: Table = None, seeds: Table = None) -> Writer:
+def rule_engine(path: str, rules: Callable[[], Sequence[R.Rule]], then: Writer, replay_seconds: int = 120, profile: Table = None, audience: Table = None, seeds: Table = None, buckets: int = 16) -> Writer:
     """A writer that gives the matches of each batch of events (user_id, event_id, event_type, ts, properties) to then.
 
-    rules() is asked once a batch for the rules in force (see active_rules and parse_rule). A rule that was not in force in the
-    batch before is first given the events of the last replay_seconds before the batch's newest, and its user counts start there; a rule
-    that is gone loses its counts. Counts, recent events and the rules seen are written as versions at path before then is called: a batch that is
-    run again starts from the versions before it, and an engine that starts anew goes on from the last ones.
+    rules() is asked once a batch for the rules in force (see active_rules and parse_rule). Counts are kept by rule, condition and user.
+    What a condition is, rules.condition_ids says: an updated rule keeps the counts of the conditions that it still has, in whatever
+    order, and a condition that is new to it, or back again, starts at 0. A rule that was not in force in the batch
+    before is first given the events of the last replay_seconds before the batch's newest; a rule that is gone loses its counts.
+
+    Counts (in buckets by user, of which a batch reads and writes those that it touches), recent events and the conditions
+    seen are written as versions at path before then is called: a batch that is run again starts from the versions before it, and an
+    engine that starts anew goes on from the last ones.
     """
     remember = keep_recent(f"{path}/recent", "ts", replay_seconds)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.select("user_id", "event_id", "event_type", "ts", "properties")
+        batch = batch.select(F.col("user_id").cast("long").alias("user_id"), "event_id", "event_type", "ts", "properties")
         active = list(rules())
         seen = read_version(spark, f"{path}/rules", number)
-        known = set() if seen is None else {r.rule_id for r in seen.collect()}
-        state = read_version(spark, f"{path}/state", number)
-        state = spark.createDataFrame([], _STATE) if state is None else state
+        known = {} if seen is None else {r["rule_id"]: r["ids"] for r in seen.collect()}
+        since = {r.rule_id: {i: known.get(r.rule_id, {}).get(i, number) for i in [*R.condition_ids(r), *filter(None, [R.sequence_id(r)])]} for r in active}
         recent = read_version(spark, f"{path}/recent", number)
         old, new = [r for r in active if r.rule_id in known], [r for r in active if r.rule_id not in known]
         tables = [t() if t else None for t in (profile, audience, seeds)]
         parts = []
         if old:
-            parts.append(R.progress(batch, old, *tables, state=state))
+            touched = batch.select(bucket_of(["user_id"], buckets)).distinct().collect()  # at most buckets
+            state = read_upserted(spark, f"{path}/state", number, [r[0] for r in touched])
+            parts.append(R.progress(batch, old, *tables, state=state, since=since))
         if new:
-            parts.append(R.progress(batch if recent is None else recent.unionByName(batch), new, *tables))
+            parts.append(R.progress(batch if recent is None else recent.unionByName(batch), new, *tables, since=since))
         if parts:
             found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
             found.write.mode("overwrite").parquet(f"{path}/progress/version={number}")
             found = spark.read.parquet(f"{path}/progress/version={number}")
-            now = R.left_by(found)
-        else:
-            found, now = None, state.limit(0)
-        kept = state.where(F.col("rule_id").isin([r.rule_id for r in old])).join(now, ["rule_id", "user_id"], "left_anti")
-        kept.unionByName(now).write.mode("overwrite").parquet(f"{path}/state/version={number}")
+            now = R.left_by(found).where(F.size("counts") > 0).withColumn("at", F.lit(number).cast("long"))
+            alive = F.arrays_overlap(F.map_keys("counts"), F.lit([f"{i}@{n}" for ids in since.values() for i, n in ids.items()]).cast("array<string>"))
+            upsert_parquet(f"{path}/state", ["rule_id", "user_id"], ["at"], buckets, bucket_by=["user_id"], keep=alive)(now, number)
         remember(batch, number)
-        spark.createDataFrame([(r.rule_id,) for r in active], "rule_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/rules/version={number}")
-        if found is not None:
+        R.as_rows(spark, [{"rule_id": r, "ids": ids} for r, ids in since.items()], _SEEN).coalesce(1).write.mode("overwrite").parquet(f"{path}/rules/version={number}")
+        if parts:
             then(R.matches(found), number)
 
     return write
