@@ -26,7 +26,10 @@ _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZForm
 
 
 def _frame(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
-    return pd.DataFrame({n: [r[i] for r in rows] for i, n in enumerate(names)})
+    """Texts and nulls as plain objects: what goes back to Spark must be one piece a column."""
+    columns = {n: [r[i] for r in rows] for i, n in enumerate(names)}
+    plain = lambda values: all(x is None or isinstance(x, str) for x in values)
+    return pd.DataFrame({n: pd.Series(v, dtype=object) if plain(v) else v for n, v in columns.items()})
 
 
 class _ChangelogJoin(StatefulProcessor):
@@ -84,7 +87,7 @@ def changelog_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, st
     takes it away. A change gives what it takes from the joined rows, then what it adds; rows that come late and are
     older than what is known give nothing. With how='left', a left row without partners has nulls until one comes.
     State is kept a row at a time. A row that has not changed for ttl_ms of processing time is forgotten, without a
-    retraction. Rows whose join columns hold null have no partners. A row must not change its join columns; if it does, send
+    retraction; such a query goes on by the clock, so start it with every=..., as without it it would not end. Rows whose join columns hold null have no partners. A row must not change its join columns; if it does, send
     its deletion under the old ones first. The two sides' columns must differ in name.
     """
 
@@ -97,7 +100,7 @@ def changelog_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, st
         return (out if number == 0 and how == "left" else out.where("not no_key")).drop("no_key")
 
     both = side(left, 0, [a for a, _ in on], left_key).unionByName(side(right, 1, [b for _, b in on], right_key))
-    found = both.groupBy("k").transformWithStateInPandas(_ChangelogJoin(how, ttl_ms), "kind string, l string, r string", "update", "processingTime")
+    found = both.groupBy("k").transformWithStateInPandas(_ChangelogJoin(how, ttl_ms), "kind string, l string, r string", "update", "none" if ttl_ms is None else "processingTime")
     found = found.select("kind", F.from_json("l", left.schema, _JSON).alias("l"), F.from_json("r", right.schema, _JSON).alias("r"))
     return found.select("kind", "l.*", "r.*")
 
@@ -148,7 +151,7 @@ class _TimedTopN(StatefulProcessor):
 def top_n_by_clock(rows: DataFrame, group: str, item: str, amount: Column, n: int, every_ms: int = 60_000) -> DataFrame:
     """report_time, group, item, amount, rn: every every_ms of the clock, the n items of each group with the largest sums so far.
 
-    Each group has a timer that sets itself again, so a stream without new rows goes on reporting. A retracted row is given
+    Each group has a timer that sets itself again, so a stream without new rows goes on reporting; start it with every=... A retracted row is given
     with its amount negated. Ties go to the smaller item, as text.
     """
     given = rows.select(F.col(group).cast("string").alias(group), F.col(item).cast("string").alias("item"), amount.cast("decimal(38,6)").cast("string").alias("amount"))
@@ -211,7 +214,7 @@ class _Cumulate(_Along):
         blank = lambda: [0] * len(self.values)
         firsts: dict[tuple[int, str], int] = {}
         for batch in rows:
-            for at, *values in zip(batch["__end"], *(batch[c] for c in self.values), strict=True):
+            for at, *values in zip(batch["step_end"], *(batch[f"value{i}"] for i in range(len(self.values))), strict=True):
                 here = added.setdefault(int(at), blank())
                 for i, v in enumerate(values[: len(self.sums)]):
                     here[i] += 0 if pd.isna(v) else int(v)
@@ -259,11 +262,13 @@ def cumulate_stream(rows: DataFrame, time: str, step_minutes: int, keys: Sequenc
     """
     step, millis = step_minutes * 60_000, F.unix_millis(F.col(time).cast("timestamp"))
     deal = F.pmod(F.xxhash64(*([next(iter(distincts.values()))] if distincts else [F.col(time)])), F.lit(shards))
-    values = [F.coalesce(c.cast("long"), F.lit(0)).alias(n) for n, c in sums.items()] + [c.cast("string").alias(n) for n, c in distincts.items()]
-    given = rows.select(F.col(time), (millis - F.pmod(millis, F.lit(86_400_000))).alias("__day"), *keys, deal.alias("__shard"), ((F.floor(millis / step) + 1) * step).alias("__end"), *values)
+    # Spark gives the processor no names that begin with an underscore.
+    values = [F.coalesce(c.cast("long"), F.lit(0)) for c in sums.values()] + [c.cast("string") for c in distincts.values()]
+    values = [c.alias(f"value{i}") for i, c in enumerate(values)]
+    given = rows.select(F.col(time), (millis - F.pmod(millis, F.lit(86_400_000))).alias("day_ms"), *keys, deal.alias("shard"), ((F.floor(millis / step) + 1) * step).alias("step_end"), *values)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     out = ", ".join(["window_start timestamp", "window_end timestamp", *[f"`{k}` {kinds[k]}" for k in keys], *[f"`{n}` long" for n in (*sums, *distincts)]])
-    return given.groupBy("__day", *keys, "__shard").transformWithStateInPandas(_Cumulate(step, keys, list(sums), list(distincts)), out, "append", "eventTime")
+    return given.groupBy("day_ms", *keys, "shard").transformWithStateInPandas(_Cumulate(step, keys, list(sums), list(distincts)), out, "append", "eventTime")
 
 
 def in_whole_windows(keys: Sequence[str], names: Sequence[str], then: Writer) -> Writer:
@@ -292,7 +297,7 @@ class _Hop(_Along):
     def handleInputRows(self, key: Any, rows: Frames, timerValues: TimerValues) -> Frames:
         added: dict[int, list[int]] = {}
         for batch in rows:
-            for at, *values in zip(batch["__end"], *(batch[c] for c in self.sums), strict=True):
+            for at, *values in zip(batch["step_end"], *(batch[f"value{i}"] for i in range(len(self.sums))), strict=True):
                 here = added.setdefault(int(at), [0] * (len(self.sums) + 1))
                 for i, v in enumerate([*values, 1]):
                     here[i] += int(v)
@@ -330,9 +335,9 @@ def hop_stream(rows: DataFrame, time: str, size_minutes: int, step_minutes: int,
     result to in_whole_windows. Sums are whole numbers.
     """
     step, millis = step_minutes * 60_000, F.unix_millis(F.col(time).cast("timestamp"))
-    values = [F.coalesce(c.cast("long"), F.lit(0)).alias(n) for n, c in sums.items()]
-    deal = F.pmod(F.xxhash64(*rows.columns), F.lit(shards)).alias("__shard")
-    given = rows.withColumn("__deal", deal).select(F.col(time), *keys, F.col("__deal").alias("__shard"), ((F.floor(millis / step) + 1) * step).alias("__end"), *values)
+    values = [F.coalesce(c.cast("long"), F.lit(0)).alias(f"value{i}") for i, c in enumerate(sums.values())]
+    deal = F.pmod(F.xxhash64(*rows.columns), F.lit(shards)).alias("shard")
+    given = rows.withColumn("__deal", deal).select(F.col(time), *keys, F.col("__deal").alias("shard"), ((F.floor(millis / step) + 1) * step).alias("step_end"), *values)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     out = ", ".join(["window_start timestamp", "window_end timestamp", *[f"`{k}` {kinds[k]}" for k in keys], *[f"`{n}` long" for n in sums]])
-    return given.groupBy(*keys, "__shard").transformWithStateInPandas(_Hop(size_minutes * 60_000, step, keys, list(sums)), out, "append", "eventTime")
+    return given.groupBy(*keys, "shard").transformWithStateInPandas(_Hop(size_minutes * 60_000, step, keys, list(sums)), out, "append", "eventTime")
