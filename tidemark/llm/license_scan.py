@@ -9,6 +9,11 @@ A notice that stands several times in a text has no words that are unique there.
 template unmatched, the windows of that width are searched for the most words in the template's order (in_windows); the
 better of the two counts. Copies of a notice, however many, don't hide each other: the first of the best is reported.
 
+One word may be all that tells a licence from another: its name, its version, NC. Such words are phrases in TELLING, and a
+match must hold them. They are anchors that are given: each place of the first one in the text, with the next places of
+those that follow it, is tried, and what lies between and beside them is aligned as above (then, if words are missing, by
+the longest common subsequence, over a few template lengths at most). So a near miss of one licence is no match of another.
+
 A template is skipped for a text whose words, counted without their order, can't reach the least coverage: that bound
 is never below the coverage, so nothing is lost. Only the places of the template's words are aligned, whatever the
 text's length. The templates are a parameter and are shipped with the function (bound: their own size).
@@ -22,7 +27,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +57,13 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "MIT": "Released under the MIT License",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0",
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1",
+    "CC-BY-NC-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-SA-4.0-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, subject to the following conditions",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -98,6 +109,27 @@ Unless required by applicable law or agreed to in writing, software distributed
 language governing permissions and limitations under the License.""",
 }
 
+#: The words that tell a template from its siblings, as phrases in its order. A match must have them all.
+TELLING = {
+    "Apache-2.0": ("apache", "2.0"),
+    "Apache-1.1": ("apache", "1.1"),
+    "MIT": ("mit",),
+    "GPL-3.0": ("gnu general", "version 3"),
+    "GPL-2.0": ("gnu general", "version 2"),
+    "CC-BY-NC-4.0": ("by-nc 4.0",),
+    "CC-BY-SA-4.0": ("by-sa 4.0",),
+    "CC-BY-4.0-short": ("cc by 4.0",),
+    "CC-BY-4.0": ("attribution 4.0",),
+    "CC-BY-NC-4.0-long": ("attribution-noncommercial 4.0",),
+    "CC-BY-SA-4.0-long": ("attribution-sharealike 4.0",),
+    "MPL-2.0": ("mozilla", "2.0"),
+    "GPL-text": ("program", "gnu general"),
+    "LGPL-text": ("library", "gnu lesser general"),
+    "AGPL-text": ("program", "gnu affero general"),
+    "BSD-3-Clause": ("endorse or promote",),
+    "Apache-full-notice": ("apache", "2.0"),
+}
+
 
 def normal_words(text: bytes) -> list[bytes]:
     """Lower-cased words without punctuation at their ends; a word of punctuation is empty."""
@@ -214,12 +246,100 @@ def in_windows(words: list[bytes], places: list[int], template: list[bytes], mos
     return best
 
 
+def common(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
+    """Matched places of a longest common subsequence; of the equally long ones, those that are last in the text."""
+    n, m = len(text), len(template)
+    longest = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        above, here, word = longest[i - 1], longest[i], text[i - 1]
+        for j in range(1, m + 1):
+            here[j] = above[j - 1] + 1 if template[j - 1] == word else max(above[j], here[j - 1])
+    out, i, j = [], n, m
+    while i and j:
+        if text[i - 1] == template[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif longest[i][j - 1] >= longest[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
+class Telling:
+    """A template's telling phrases, and the matches that hold them."""
+
+    def __init__(self, template: list[bytes], phrases: Sequence[str], spread: int):
+        self.template, self.most, self.phrases, at = template, spread * len(template), [], 0
+        for phrase in phrases:
+            words = phrase.encode().split()
+            at = next(i for i in range(at, len(template)) if template[i : i + len(words)] == words)
+            self.phrases.append((at, words))
+            at += len(words)
+
+    def places(self, words: list[bytes], index: Mapping[bytes, list[int]]) -> Iterator[list[int]]:
+        """Places of all phrases in the text, in their order and near enough: one choice for each place of the first."""
+        found = [[p for p in index.get(w[0], ()) if words[p : p + len(w)] == w] for _, w in self.phrases]
+        if not all(found):
+            return
+        for first in found[0]:
+            chain = [first]
+            for (_, before), places in zip(self.phrases, found[1:], strict=False):
+                after = bisect_left(places, chain[-1] + len(before))
+                if after == len(places):
+                    return
+                chain.append(places[after])
+            if chain[-1] + len(self.phrases[-1][1]) - first <= self.most:
+                yield chain
+
+    def best(self, words: list[bytes], index: Mapping[bytes, list[int]]) -> tuple[int, int, int]:
+        """(matched words, first and last place) of the longest match that holds the phrases; the first of the longest."""
+        best = (0, -1, -1)
+        for chain in self.places(words, index):
+            ends = [(p + len(w), j + len(w)) for p, (j, w) in zip(chain, self.phrases, strict=True)]
+            starts = [(p, j) for p, (j, _) in zip(chain, self.phrases, strict=True)]
+            low, high = max(0, ends[-1][0] - self.most), min(len(words), chain[0] + self.most)
+            matches = [(p + i, j + i) for (p, j), (_, w) in zip(starts, self.phrases, strict=True) for i in range(len(w))]
+            for n, ((a, b), (z, y)) in enumerate(zip([(low, 0), *ends], [*starts, (high, len(self.template))], strict=True)):
+                matches += self._gap(words, a, z, b, y, n == 0)
+            matches.sort()
+            # The ends that lie farther go, but not a telling word.
+            inside = chain[0], ends[-1][0] - 1
+            while matches[-1][0] - matches[0][0] >= self.most:
+                if matches[0][0] < inside[0] and (matches[-1][0] <= inside[1] or matches[1][0] - matches[0][0] >= matches[-1][0] - matches[-2][0]):
+                    matches.pop(0)
+                else:
+                    matches.pop()
+            if len(matches) > best[0]:
+                best = (len(matches), matches[0][0], matches[-1][0])
+            if best[0] == len(self.template):
+                break
+        return best
+
+    def _gap(self, words: list[bytes], a: int, z: int, b: int, y: int, ahead: bool) -> list[tuple[int, int]]:
+        """Matches between two anchors, or beside one: as near to it as they can be (ahead: it follows them)."""
+        if a >= z or b >= y:
+            return []
+        part = self.template[b:y]
+        wanted = set(part)
+        own = [i for i in range(a, z) if words[i] in wanted]
+        text = [words[i] for i in own]
+        found = patience(text, part)
+        if len(found) < min(len(text), len(part)) or found and own[found[-1][0]] - own[found[0][0]] >= len(part):
+            if ahead:
+                found = common(text, part)
+            else:
+                found = [(len(text) - 1 - i, len(part) - 1 - j) for i, j in common(text[::-1], part[::-1])]
+        return [(own[i], b + j) for i, j in found]
+
+
 class Scanner:
-    def __init__(self, templates: Mapping[str, str], min_coverage: float, spread: int = SPREAD):
+    def __init__(self, templates: Mapping[str, str], min_coverage: float, spread: int = SPREAD, telling: Mapping[str, Sequence[str]] | None = None):
         self.least, self.spread = min_coverage, spread
         self.templates = [(name, normal_words(t.encode())) for name, t in templates.items()]
         self.counts = [Counter(words) for _, words in self.templates]
         self.vocabulary = frozenset(w for _, words in self.templates for w in words)
+        self.telling = [Telling(words, telling[name], spread) if telling and name in telling else None for name, words in self.templates]
 
     def scan(self, text: bytes | None) -> tuple[str | None, float, int, int, int]:
         """(template, coverage, matched words, first and last word) of the best; the name is None below the least coverage."""
@@ -235,11 +355,19 @@ class Scanner:
         present = self.vocabulary.intersection(words)
         out = []
         at: list[int] | None = None
-        for (name, template), counts in zip(self.templates, self.counts, strict=True):
+        index: dict[bytes, list[int]] = {}
+        for (name, template), counts, telling in zip(self.templates, self.counts, self.telling, strict=True):
             if sum(n for w, n in counts.items() if w in present) < self.least * len(template):
                 continue
             if at is None:
                 at = [i for i, w in enumerate(words) if w in present]
+                for i in at:
+                    index.setdefault(words[i], []).append(i)
+            if telling is not None:
+                n, first, last = telling.best(words, index)
+                if n and n / len(template) >= self.least:
+                    out.append((name, n / len(template), n, first, last))
+                continue
             own = [i for i in at if words[i] in counts]
             matches = [(own[i], j) for i, j in patience([words[i] for i in own], template)]
             matches = compact(matches, self.spread * len(template))
@@ -254,16 +382,17 @@ class Scanner:
         return out
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE, spread: int = SPREAD) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE, spread: int = SPREAD, telling: Mapping[str, Sequence[str]] = TELLING) -> DataFrame:
     """id, license (null: none), coverage, n_matched, first_word, last_word (numbers of words, -1: none) of each row's best, and licenses, an array of the same of all.
 
-    A match is at most spread times as wide as its template.
+    A match is at most spread times as wide as its template, and holds the telling phrases of its template, if telling has any
+    by its name and templates are the ones given here or name their own.
     """
-    templates = dict(templates)
+    templates, telling = dict(templates), {} if templates is not TEMPLATES and telling is TELLING else dict(telling)
     kind = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("n_matched", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, min_coverage, spread)
+        scanner = Scanner(templates, min_coverage, spread, telling)
         for b in batches:
             every = [scanner.scan_all(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
             name, coverage, n, first, last = zip(*map(scanner.best, every), strict=True) if every else [()] * 5

@@ -6,9 +6,11 @@
    share gets its capacity, and what it lacks goes to its siblings by weight. As a node's share is cut to the capacity
    below it, only what the siblings can't take is missing at the parent, whose own siblings then share it.
 3. A leaf with budget b over t tokens gives each document floor(b / t) times, and once more the documents at the front
-   of the next epoch: those whose tokens, added up in that epoch's seeded order, stay within what is left of b.
+   of the next epoch: those whose tokens, added up in the seeded order (one for all epochs), stay within what is left of b.
    The cut is found without sorting a leaf: its documents fall into about sqrt(n) buckets by their place in the order;
    running sums over buckets find the one with the cut, and running sums over that bucket's documents find the cut.
+   With pass_on, what a leaf falls short by (less than the document at its cut) goes to a sibling, which is cut again, and what
+   siblings leave to those of their ancestors: the whole falls short by less than one document.
    Each document then decides for itself by comparing its place with its leaf's cut, so no text moves; only beyond
    BROADCAST_LEAVES leaves do texts move to their leaf's cut, a leaf's dealt over SALTS tasks by their places.
 
@@ -77,60 +79,94 @@ def leaf_budgets(leaves: DataFrame, budget: int, weights: Mapping[str, float], m
     return leaves.join(given, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in LEVELS]).drop(*[f"{c}_" for c in LEVELS])
 
 
-def mix(docs: DataFrame, tokens_share: float = 0.8, weights: Mapping[str, float] | None = None, max_epochs: int = 2, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None) -> DataFrame:
-    """row (docs' columns), copies (how many times it is given; rows of 0 copies are left out), domain, lang, source.
+def _with_leaf(df: DataFrame, table: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """df with table's columns, by leaf: broadcast while there are few leaves, else dealt over SALTS tasks by the places."""
+    own = table.select(*[F.col(c).alias(f"{c}_") for c in LEVELS], *[c for c in table.columns if c not in LEVELS])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in LEVELS])
+    if few:
+        own = F.broadcast(own)
+    elif "__tm_place" in df.columns:
+        df = df.withColumn("__tm_salt", F.pmod(F.col("__tm_place"), F.lit(SALTS)).cast("int"))
+        own = own.withColumn("__tm_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = same & (F.col("__tm_salt") == F.col("__tm_salt_"))
+    return df.join(own, same, how).drop(*[f"{c}_" for c in LEVELS], "__tm_salt", "__tm_salt_")
 
-    The budget is tokens_share of all tokens, a token being a word. Levels' weights: see leaf_budgets.
-    """
-    source = named(source_col).cast("string")
-    leaf = [(source_domain(source) if domain is None else domain).alias(LEVELS[0]), named(lang_col).cast("string").alias(LEVELS[1]), source.alias(LEVELS[2])]
-    place = F.xxhash64(F.lit(seed), named(id_col), F.xxhash64(named(text_col))).alias("__tm_place")
-    # All columns of docs lie in one struct, so none can clash with those added here.
-    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), *leaf, place)
-    sizes = written(rows.select(*LEVELS, "__tm_place", F.size(words_of(of_row(text_col))).cast("long").alias("__tm_size")), "mix-sizes")
 
-    leaves = sizes.groupBy(*LEVELS).agg(F.count("*").alias("__tm_docs"), F.sum("__tm_size").alias("__tm_tokens"))
-    leaves = written(leaves, "mix-leaves")
-    total = leaves.agg(F.sum("__tm_tokens")).first()[0] or 0
-    budgets = leaf_budgets(leaves, int(total * tokens_share), weights or {}, max_epochs)
+def _cuts(sizes: DataFrame, leaves: DataFrame, few: bool) -> DataFrame:
+    """leaves (levels, __tm_docs, __tm_tokens, __tm_budget) with __tm_epochs, __tm_first_out (the first place beyond the prefix) and __tm_given (tokens)."""
     tokens = F.greatest("__tm_tokens", F.lit(1))
     epochs = F.when(F.col("__tm_tokens") == 0, 1).otherwise(F.floor(F.col("__tm_budget") / tokens)).cast("int")
-    budgets = budgets.withColumns({"__tm_epochs": epochs, "__tm_more": F.when(F.col("__tm_tokens") == 0, 0).otherwise(F.col("__tm_budget") % tokens), "__tm_buckets": F.ceil(F.sqrt("__tm_docs")).cast("long")})
-    budgets = written(budgets.select(*LEVELS, "__tm_epochs", "__tm_more", "__tm_buckets"), "mix-budgets")
-
-    few = budgets.count() <= BROADCAST_LEAVES
-
-    def with_leaf(df: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
-        own = table.select(*[F.col(c).alias(f"{c}_") for c in LEVELS], *[c for c in table.columns if c not in LEVELS])
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in LEVELS])
-        if few:
-            own = F.broadcast(own)
-        elif "__tm_place" in df.columns:
-            df = df.withColumn("__tm_salt", F.pmod(F.col("__tm_place"), F.lit(SALTS)).cast("int"))
-            own = own.withColumn("__tm_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            same = same & (F.col("__tm_salt") == F.col("__tm_salt_"))
-        return df.join(own, same, how).drop(*[f"{c}_" for c in LEVELS], "__tm_salt", "__tm_salt_")
-
+    budgets = leaves.withColumns({"__tm_epochs": epochs, "__tm_more": F.when(F.col("__tm_tokens") == 0, 0).otherwise(F.col("__tm_budget") % tokens), "__tm_buckets": F.ceil(F.sqrt("__tm_docs")).cast("long")})
+    budgets = written(budgets, "mix-budgets")
+    own = budgets.select(*LEVELS, "__tm_more", "__tm_buckets")
     # The place's upper bits, scaled to the leaf's buckets, keep the order of the places.
     bucket = F.shiftright((F.shiftrightunsigned(F.col("__tm_place").bitwiseXOR(F.lit(-(1 << 63))), 33) * F.col("__tm_buckets")), 31)
-    placed = with_leaf(sizes, budgets).withColumn("__tm_bucket", bucket)
+    placed = _with_leaf(sizes, own, few).withColumn("__tm_bucket", bucket)
     summed = placed.groupBy(*LEVELS, "__tm_bucket", "__tm_more").agg(F.sum("__tm_size").alias("__tm_sum"))
     upto = Window.partitionBy(*LEVELS).orderBy("__tm_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = summed.withColumn("__tm_after", F.sum("__tm_sum").over(upto))
     crossed = runs.where("__tm_after > __tm_more").groupBy(*LEVELS).agg(F.min_by(F.struct(F.col("__tm_bucket").alias("bucket"), (F.col("__tm_after") - F.col("__tm_sum")).alias("before")), "__tm_bucket").alias("__tm_cut"))
     crossed = written(crossed, "mix-cuts")
-    inside = with_leaf(placed, crossed).where("__tm_bucket = __tm_cut.bucket")
+    inside = _with_leaf(placed, crossed, few).where("__tm_bucket = __tm_cut.bucket")
     # Equal places (equal rows) go together: their sizes are added before the running sum.
     inside = inside.groupBy(*LEVELS, "__tm_more", "__tm_cut", "__tm_place").agg(F.sum("__tm_size").alias("__tm_size"))
     along = Window.partitionBy(*LEVELS).orderBy("__tm_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("__tm_after", F.col("__tm_cut.before") + F.sum("__tm_size").over(along))
-    last = inside.groupBy(*LEVELS).agg(F.min(F.when(F.col("__tm_after") > F.col("__tm_more"), F.col("__tm_place"))).alias("__tm_first_out"))
+    out = F.col("__tm_after") > F.col("__tm_more")
+    last = inside.groupBy(*LEVELS).agg(F.min(F.when(out, F.col("__tm_place"))).alias("__tm_first_out"), F.coalesce(F.max(F.when(~out, F.col("__tm_after"))), F.max("__tm_cut.before")).alias("__tm_taken"))
     last = written(last, "mix-last")
-    cuts = written(with_leaf(budgets, last, "left").select(*LEVELS, "__tm_epochs", "__tm_first_out"), "mix-places")
-    discard(sizes, leaves, budgets, crossed, last)
+    found = _with_leaf(budgets, last, few, "left").withColumn("__tm_given", F.when(F.col("__tm_tokens") == 0, 0).otherwise(F.col("__tm_epochs") * F.col("__tm_tokens") + F.coalesce("__tm_taken", F.lit(0))))
+    found = written(found.select(*leaves.columns, "__tm_epochs", "__tm_first_out", "__tm_given"), "mix-places")
+    discard(budgets, crossed, last)
+    return found
+
+
+def _passed_on(sizes: DataFrame, cuts: DataFrame, budget: int, max_epochs: int, few: bool) -> DataFrame:
+    """cuts after what leaves fell short of went to siblings, and what these left to the siblings of their ancestors.
+
+    At each level from the lowest, one leaf of each group, that with the most room, is given all that the group lacks,
+    and is cut again. So each group falls short by less than one document, unless no leaf of it has room for that.
+    """
+    for depth in range(len(LEVELS) - 1, -1, -1):
+        group = Window.partitionBy(F.lit(0), *LEVELS[:depth])
+        room = F.col("__tm_tokens") * max_epochs - F.col("__tm_given")
+        lacking = (F.sum("__tm_budget").over(group) if depth else F.lit(budget)) - F.sum("__tm_given").over(group)
+        first = F.row_number().over(group.orderBy(F.desc(room), *[F.asc_nulls_first(c) for c in LEVELS])) == 1
+        ranked = cuts.withColumns({"__tm_lacking": lacking, "__tm_takes": first}).withColumn("__tm_takes", F.col("__tm_takes") & (F.col("__tm_lacking") > 0) & (room > 0))
+        ranked = written(ranked, "mix-lacking")
+        again = ranked.where("__tm_takes").withColumns({"__tm_own": F.col("__tm_budget"), "__tm_budget": F.col("__tm_given") + F.least("__tm_lacking", room)})
+        again = _cuts(sizes, again.select(*LEVELS, "__tm_docs", "__tm_tokens", "__tm_budget", "__tm_own"), few)
+        # A group's budget stays the sum of its leaves' own.
+        again = again.select(*LEVELS, "__tm_docs", "__tm_tokens", F.col("__tm_own").alias("__tm_budget"), "__tm_epochs", "__tm_first_out", "__tm_given")
+        before, cuts = cuts, written(ranked.where("not __tm_takes").select(again.columns).unionByName(again), "mix-places")
+        discard(before, ranked)
+    return cuts
+
+
+def mix(docs: DataFrame, tokens_share: float = 0.8, weights: Mapping[str, float] | None = None, max_epochs: int = 2, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None, pass_on: bool = False) -> DataFrame:
+    """row (docs' columns), copies (how many times it is given; rows of 0 copies are left out), domain, lang, source.
+
+    The budget is tokens_share of all tokens, a token being a word. Levels' weights: see leaf_budgets. A leaf's prefix ends before
+    the document that would pass its budget; with pass_on, what it falls short by is passed on (see _passed_on).
+    """
+    source = named(source_col).cast("string")
+    leaf = [(source_domain(source) if domain is None else domain).alias(LEVELS[0]), named(lang_col).cast("string").alias(LEVELS[1]), source.alias(LEVELS[2])]
+    place = F.xxhash64(F.lit(seed), named(id_col), F.xxhash64(named(text_col))).alias("__tm_place")
+    # All columns of docs lie in one struct, so none can clash with those added here.
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), *leaf, place)
+    sizes = written(rows.select(*LEVELS, "__tm_place", F.size(words_of(of_row(text_col))).cast("long").alias("__tm_size")), "mix-sizes")
+
+    leaves = sizes.groupBy(*LEVELS).agg(F.count("*").alias("__tm_docs"), F.sum("__tm_size").alias("__tm_tokens"))
+    leaves = written(leaves, "mix-leaves")
+    counted = leaves.agg(F.sum("__tm_tokens").alias("tokens"), F.count("*").alias("leaves")).first()
+    budget, few = int((counted["tokens"] or 0) * tokens_share), counted["leaves"] <= BROADCAST_LEAVES
+    cuts = _cuts(sizes, leaf_budgets(leaves, budget, weights or {}, max_epochs), few)
+    if pass_on:
+        cuts = _passed_on(sizes, cuts, budget, max_epochs, few)
+    discard(sizes, leaves)
     # Without a cut, the leaf's next epoch fits as a whole only if it has no tokens left to give.
     more = F.when(F.col("__tm_first_out").isNotNull() & (F.col("__tm_place") < F.col("__tm_first_out")), 1).otherwise(0)
-    out = with_leaf(rows, cuts).withColumn("copies", F.col("__tm_epochs") + more).where("copies > 0")
+    out = _with_leaf(rows, cuts.select(*LEVELS, "__tm_epochs", "__tm_first_out"), few).withColumn("copies", F.col("__tm_epochs") + more).where("copies > 0")
     return out.select("row", "copies", *[F.col(c).alias(c.removeprefix("__tm_")) for c in LEVELS])
 
 

@@ -23,7 +23,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(_table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS)
+    return mixing.mix_report(_table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS, pass_on=True)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
