@@ -10,7 +10,10 @@ items get "- " or their number, indented by depth; tables become rows of cells p
 spaces between, a cell over several columns or rows taking as many, and wide characters counting two; preformatted text keeps its spaces. All
 visible text is kept, menus and footers too.
 
-Both work without recursion, so deeply nested pages are no trouble. Edge cases: null and empty pages give an empty
+Style sheets are not applied: what only a rule of theirs hides is kept. Values of input fields are left out.
+
+Both work without recursion, and in time in proportion to the page however deep it is: an open element is found by its tag, indentation
+ends at MOST_INDENT columns, and tables within MOST_TABLES others are plain blocks. Edge cases: null and empty pages give an empty
 text, as do pages without visible text. Unclosed tags, comments and raw text end with the page. Rows are independent
 of each other, so repeated rows get the same text each. Columns to keep may have any names, but text is this one's; other
 columns are ignored. An empty table gives an empty result.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 from unicodedata import combining, east_asian_width
@@ -32,7 +36,7 @@ from tidemark.llm.common import named
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link iframe object audio video canvas datalist noembed noframes".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe object audio video canvas datalist noembed noframes rp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
 BLOCK = SPACED | frozenset("html body address article aside dd details dialog div dt fieldset figcaption footer form header hgroup hr li main nav section summary center optgroup option tr caption thead tbody tfoot td th legend menu".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt summary".split())
@@ -62,6 +66,8 @@ _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\
 COLLAPSES = frozenset("tr thead tbody tfoot col colgroup".split())
 #: The largest spans that HTML allows.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Lists deeper than this many columns are indented no further; tables within so many others are blocks, without columns.
+MOST_INDENT, MOST_TABLES = 400, 64
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -103,19 +109,20 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def tree(page: str) -> Node:
     root = Node("#root", {})
     stack = [root]
-    foreign = False  # whether a drawing or formula has begun
+    places: defaultdict[str, list[int]] = defaultdict(list)  # by tag: where its open elements stand in the stack
+    last = lambda tags: max((places[t][-1] for t in tags if places[t]), default=0)
+
+    def close_from(at: int) -> None:
+        while len(stack) > at:
+            places[stack.pop().tag].pop()
 
     def close_up_to(tags: set[str] | frozenset[str], barrier: set[str] | frozenset[str]) -> None:
         """Closes the open elements down to the outermost of tags that lies above no barrier."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in barrier:
-                return
-            if stack[i].tag in tags:
-                outer = i
-                while outer > 1 and stack[outer - 1].tag in tags:
-                    outer -= 1
-                del stack[outer:]
-                return
+        at = last(tags)
+        if at > last(barrier):
+            while at > 1 and stack[at - 1].tag in tags:
+                at -= 1
+            close_from(at)
 
     for kind, value, rest in tokens(page):
         if kind == "text":
@@ -126,10 +133,9 @@ def tree(page: str) -> Node:
             if value in IMPLIED:
                 close_up_to(*IMPLIED[value])
             attributes = {}
-            if rest and "=" in rest or "hidden" in rest or value == "dialog":
+            if rest and "=" in rest or "hidden" in rest or value in ("dialog", "ol"):
                 attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
-            foreign = foreign or value in FOREIGN
-            around = {n.tag for n in stack} & FOREIGN.keys() if foreign else set()
+            around = {x for x in FOREIGN if places[x]}
             if any(value in FOREIGN[x] for x in around):
                 attributes["hidden"] = ""
             node = Node(value, attributes)
@@ -137,16 +143,14 @@ def tree(page: str) -> Node:
             if "svg" in around and value == "text":  # a text of a drawing has a place of its own
                 node.attributes["block"] = ""
             if value not in VOID and not ((around or value in FOREIGN) and rest.endswith("/")):
+                places[value].append(len(stack))
                 stack.append(node)
-        elif value == "br" or value == "p" and not any(n.tag == "p" for n in stack):
+        elif value == "br" or value == "p" and not places["p"]:
             stack[-1].children.append(Node(value, {}))
-        else:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == value:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("table", "td", "th") and value not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-                    break
+        elif places[value]:
+            at = places[value][-1]
+            if value in ("table", "tr", "tbody", "thead", "tfoot", "td", "th") or at > last(("table", "td", "th")):
+                close_from(at)
     return root
 
 
@@ -179,7 +183,7 @@ class _Page:
         self.lines: list[str] = []
         self.now: list[str] = []
         self.gap = 0
-        self.indent = ""
+        self.indent = 0
         self.mark = ""
 
     def text(self, s: str, pre: bool) -> None:
@@ -208,10 +212,10 @@ class _Page:
         if self.lines and self.gap > 1 and self.lines[-1]:
             self.lines.append("")
         self.gap = 0
-        lead = self.indent
-        if s and self.mark:
-            lead, self.mark = self.indent[: -len(self.mark)] + self.mark, ""
-        self.lines.append(lead + s if s else "")
+        if s:
+            s = " " * min(self.indent - len(self.mark), MOST_INDENT) + self.mark + s
+            self.mark = ""
+        self.lines.append(s)
 
     def block(self, spaced: bool) -> None:
         self.line()
@@ -227,6 +231,11 @@ def _span(cell: Node, name: str, most: int) -> int:
     return max(1, min(int(given[:10]), most)) if given.isascii() and given.isdigit() else 1
 
 
+def _number(node: Node, name: str, otherwise: int) -> int:
+    given = node.attributes.get(name, "")
+    return int(given) if re.fullmatch(r"-?\d{1,9}", given) else otherwise
+
+
 def _table_rows(table: Node, around: bool) -> list[list[tuple[Node, bool]]]:
     """The cells of a table's own rows, and whether their rows are visible; stray displayed children become rows of one cell."""
     rows: list[list[tuple[Node, bool]]] = []
@@ -317,7 +326,7 @@ def render(root: Node) -> str:
     def leave_block(spaced: bool):
         return lambda: pages[-1].block(spaced)
 
-    def leave_item(indent: str):
+    def leave_item(indent: int):
         def out() -> None:
             pages[-1].block(False)
             pages[-1].indent, pages[-1].mark = indent, ""
@@ -371,7 +380,7 @@ def render(root: Node) -> str:
         elif tag == "img":
             if item.attributes.get("alt") and seen[-1]:
                 page.text(item.attributes["alt"], False)
-        elif tag == "table":
+        elif tag == "table" and len(tables) < MOST_TABLES:
             page.block(True)
             rows = _table_rows(item, seen[-1])
             tables.append([])
@@ -386,17 +395,19 @@ def render(root: Node) -> str:
             todo += [leave_block(True), lambda: pre.pop(), *reversed(item.children)]
         elif tag in ("ul", "ol", "menu"):
             page.block(not lists)
-            start = item.attributes.get("start", "")
-            lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+            turned = tag == "ol" and "reversed" in item.attributes
+            first = sum(isinstance(c, Node) and c.tag == "li" for c in item.children) if turned else 1
+            lists.append([tag == "ol", _number(item, "start", first), -1 if turned else 1])
             todo += [leave_block(len(lists) == 1), lambda: lists.pop(), *reversed(item.children)]
         elif tag == "li":
             page.block(False)
             mark = "- "
             if lists and lists[-1][0]:
-                mark = f"{lists[-1][1]}. "
-                lists[-1][1] += 1
+                number = _number(item, "value", lists[-1][1])
+                mark = f"{number}. "
+                lists[-1][1] = number + lists[-1][2]
             todo.append(leave_item(page.indent))
-            page.indent, page.mark = page.indent + " " * len(mark), mark
+            page.indent, page.mark = page.indent + len(mark), mark
             todo.extend(reversed(item.children))
         elif tag in BLOCK or tag == "text" and "block" in item.attributes:
             page.block(tag in SPACED)
