@@ -110,7 +110,14 @@ def tree(page: str) -> Node:
     root = Node("#root", {})
     stack = [root]
     places: defaultdict[str, list[int]] = defaultdict(list)  # by tag: where its open elements stand in the stack
-    last = lambda tags: max((places[t][-1] for t in tags if places[t]), default=0)
+    foreign = False  # whether a drawing or formula has begun
+
+    def last(tags: set[str] | frozenset[str] | tuple[str, ...]) -> int:
+        at = 0
+        for t in tags:
+            if (open_at := places.get(t)) and open_at[-1] > at:
+                at = open_at[-1]
+        return at
 
     def close_from(at: int) -> None:
         while len(stack) > at:
@@ -119,7 +126,7 @@ def tree(page: str) -> Node:
     def close_up_to(tags: set[str] | frozenset[str], barrier: set[str] | frozenset[str]) -> None:
         """Closes the open elements down to the outermost of tags that lies above no barrier."""
         at = last(tags)
-        if at > last(barrier):
+        if at and at > last(barrier):
             while at > 1 and stack[at - 1].tag in tags:
                 at -= 1
             close_from(at)
@@ -128,14 +135,15 @@ def tree(page: str) -> Node:
         if kind == "text":
             stack[-1].children.append(value if stack[-1].tag in ("script", "style") else unescape(value))
         elif kind == "open":
-            if value in ENDS_P:
+            if value in ENDS_P and places["p"]:
                 close_up_to({"p"}, SCOPE)
             if value in IMPLIED:
                 close_up_to(*IMPLIED[value])
             attributes = {}
             if rest and "=" in rest or "hidden" in rest or value in ("dialog", "ol"):
                 attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
-            around = {x for x in FOREIGN if places[x]}
+            foreign = foreign or value in FOREIGN
+            around = {x for x in FOREIGN if places[x]} if foreign else ()
             if any(value in FOREIGN[x] for x in around):
                 attributes["hidden"] = ""
             node = Node(value, attributes)
