@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.core.test_core import collected, event_stream, in_batches, values  # noqa: F401 - event_stream is a fixture
 from tidemark import functions as fn
 from tidemark import sinks, sources, streaming
-from tidemark.operators import changelog, rules, sequence, windows
+from tidemark.operators import bitmaps, changelog, rules, sequence, windows
 from tidemark.operators.rules import Condition, Rule
 from tidemark.streaming import engine, stateful
 
@@ -399,3 +399,108 @@ def test_each_fetch_has_its_own_deadline(spark):
     began = time.monotonic()
     got = {r.w: r.s for r in streaming.enriched(rows, "w", slow, "s", threads=3, timeout_seconds=0.5).collect()}
     assert got == {w: None if w in waits else w + "!" for w in names} and time.monotonic() - began < 15
+
+
+def test_answers_are_kept_while_they_are_used(spark, rocksdb, tmp_path):
+    """Batches of words; an answer that is used within its time is asked for once, one that is not is asked for again."""
+    log, path = tmp_path / "asked", str(tmp_path / "in")
+
+    def fetch(w):
+        with open(log, "a") as f:
+            f.write(w + "\n")
+        if w == "bad":
+            raise ValueError(w)
+        return w + "!"
+
+    def more(*words):
+        spark.createDataFrame([(w, Decimal("1.50")) for w in words], "w string, v decimal(10,2)").coalesce(1).write.mode("append").parquet(path)
+
+    def until(n):
+        for _ in range(240):
+            time.sleep(0.25)
+            if len(got) >= n:
+                return
+        raise AssertionError(got)
+
+    more("a", "b", "a", None, "bad")
+    got = []
+    stream = spark.readStream.schema("w string, v decimal(10,2)").parquet(path)
+    answers = stateful.cached_answers(stream, "w", fetch, "s", ttl_ms=25_000, timeout_seconds=5)
+    q = sinks.start(answers, lambda b, n: got.extend(map(tuple, b.collect())), str(tmp_path / "check"), every="200 milliseconds", mode="update")
+    try:
+        until(5)
+        began, n = time.monotonic(), 0
+        while time.monotonic() - began < 27:  # a goes on being used, b does not
+            time.sleep(1)
+            more("a", "bad")
+            n += 1
+            until(5 + 2 * n)
+        more("a", "b")
+        until(7 + 2 * n)
+    finally:
+        q.stop()
+    v = Decimal("1.50")
+    assert Counter(got) == Counter({("a", v, "a!"): 3 + n, ("b", v, "b!"): 2, (None, v, None): 1, ("bad", v, None): 1 + n})
+    assert Counter(log.read_text().split()) == Counter({"a": 1, "b": 2, "bad": 1 + n})
+
+
+def test_bitmaps_of_ids(spark):
+    """Sparse and dense containers, negative and very large ids, repeated ids and nulls; also as a column of a row."""
+    import random
+
+    rng = random.Random(1)
+    ids = [("s", x) for x in rng.sample(range(-200_000, 10**12), 300)] + [("s", x) for x in range(70_000, 120_000, 3)] * 2
+    ids += [("t", x) for x in range(60_000, 140_000, 7)] + [("t", 5), ("t", 2**62), ("t", None), ("t", -1), ("t", -(2**63))]
+    sets = bitmaps.containers(spark.createDataFrame(ids, "rule_id string, user_id long"), "user_id", ["rule_id"]).persist()
+    members = {r: {u for k, u in ids if k == r and u is not None} for r in "st"}
+    kinds = {(r.places is None, r.bits is None) for r in sets.collect()}
+    assert kinds == {(True, False), (False, True)} and {r.rule_id: r.n for r in bitmaps.size(sets, ["rule_id"]).collect()} == {k: len(v) for k, v in members.items()}
+    asked = [(r, u, f) for r in "stz" for u in [5, 6, -1, 2**62, -(2**63), None, *range(69_990, 75_000), *[u for _, u in ids[:300]]] for f in (True, False)]
+    rows = spark.createDataFrame(asked, "rule_id string, user_id long, f boolean")
+    inside = lambda r, u: u in members.get(r, ())
+    column = bitmaps.from_column(bitmaps.as_column(sets, ["rule_id"]), ["rule_id"])
+    got = bitmaps.members_only(rows, "user_id", column, ["rule_id"])
+    assert Counter(map(tuple, got.collect())) == Counter(x for x in asked if inside(*x[:2]))
+    got = bitmaps.members_only(rows, "user_id", sets, ["rule_id"], "f")
+    assert Counter(map(tuple, got.collect())) == Counter(x for x in asked if not x[2] or inside(*x[:2]))
+    one, two = (sets.where(F.col("rule_id") == r).drop("rule_id") for r in "st")
+    shared = members["s"] & members["t"]
+    both = bitmaps.both(one, two).persist()
+    everyone = spark.createDataFrame([(u,) for u in members["s"] | members["t"]], "user_id long")
+    assert {r.user_id for r in bitmaps.members_only(everyone, "user_id", both).collect()} == shared and bitmaps.size(both).first().n == len(shared)
+
+
+class _Recorded:
+    """Stands for a reader or writer: it notes what it is told, and gives rows of the connector's schema."""
+
+    def __init__(self, rows):
+        self.rows, self.told = rows, {}
+
+    def format(self, name):
+        self.told["format"] = name
+        return self
+
+    def option(self, name, value):
+        self.told[name] = value
+        return self
+
+    def options(self, **more):
+        self.told |= more
+        return self
+
+    def load(self):
+        return self.rows
+
+
+def test_kafka_adapters_by_a_stand_in(spark, tmp_path, monkeypatch):
+    """Options and schemas, over files in place of the connector, which is not at hand."""
+    from types import SimpleNamespace
+
+    messages = spark.createDataFrame([(bytearray(b"k"), bytearray(b'{"a":1,"b":"x"}'), "t", 0, 5), (None, bytearray(b"no json"), "t", 0, 6)], "key binary, value binary, topic string, partition int, offset long")
+    for given, starting in ((None, "latest"), ("earliest", "earliest")):
+        reader = _Recorded(messages)
+        session = SimpleNamespace(readStream=reader, read=reader)
+        how = {} if given is None else {"starting": given}
+        rows = sources.kafka_text(session, "h:9092", "t", **how)
+        assert (reader.told["format"], reader.told["kafka.bootstrap.servers"], reader.told["subscribe"], reader.told["startingOffsets"]) == ("kafka", "h:9092", "t", starting)
+        assert [tuple(r) for r in sources.json_rows(rows, "a int, b string").select("a", "b").collect()] == [(1, "x"), (None, None)]

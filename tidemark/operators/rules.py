@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import all_of, compare, compare_data, property_or_blank
+from tidemark.operators.bitmaps import members_only
 from tidemark.operators.changelog import latest
 from tidemark.operators.lookup import sized
 from tidemark.operators.sequence import fold_steps
@@ -199,7 +200,9 @@ def _fitting(profile: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def _only(rows: DataFrame, flag: str, allowed: DataFrame) -> DataFrame:
-    """rows of which those with the flag are among allowed (rule_id, user_id)."""
+    """rows of which those with the flag are among allowed: (rule_id, user_id), or containers of bitmaps by rule_id (operators.bitmaps)."""
+    if "bucket" in allowed.columns:
+        return members_only(rows, "user_id", allowed, ["rule_id"], flag)
     marked = allowed.select("rule_id", "user_id").distinct().withColumn("__in", F.lit(True))
     return rows.join(sized(marked), ["rule_id", "user_id"], "left").where(~F.col(flag) | F.col("__in").isNotNull()).drop("__in")
 

@@ -114,7 +114,7 @@ def running_open_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = orders.select(F.col("o_orderkey").alias("id"), F.inline(F.array(change(0, 0, F.col("o_totalprice"), F.lit("O")), change(1, 1, F.col("o_totalprice") * 2, F.col("o_orderstatus")))))
     kind = F.when(F.col("status") == "O", "adds").when(F.col("status") == "F", "cancels")
     rows = state_deltas(feed, ["id"], ["seq"], {"delta": (F.col("amount"), kind)})
-    out = running_total(rows, F.date_trunc("month", "t"), ["t", "id", "seq"], {"total": "delta"})
+    out = running_total(rows, F.date_trunc("minute", "t"), ["t", "id", "seq"], {"total": "delta"})
     return out.select("id", "seq", F.col("delta").cast("decimal(20,2)").cast("string").alias("delta"), F.col("total").cast("decimal(28,2)").cast("string").alias("total"))
 
 

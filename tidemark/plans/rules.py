@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.rules import Condition, Rule, active_rules, evaluate
+from tidemark.operators.bitmaps import as_column, containers, from_column
+from tidemark.operators.rules import Condition, Rule, active_rules, evaluate, evaluate_all
 from tidemark.operators.sequence import sequence_progress
 from tidemark.plans.registry import events, query, stamp, table
 
@@ -84,3 +85,17 @@ select rule_id, seq from r where rn = 1 and op <> 'd' and online_status = 2""")
 def rule_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = table(spark, sf_dir, "events").select(F.concat(F.lit("rule-"), F.col("event_id") % 50).alias("rule_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "d").otherwise("u").alias("op"), (F.col("user_id") % 3).cast("int").alias("online_status"))
     return active_rules(feed).select("rule_id", "seq")
+
+
+@query(QUERIES, ORACLES, f"""
+with r as (select *, sum(case when event_type = 'click' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as n from events)
+select 'r-third' as rule_id, user_id, {_T} from r where event_type = 'purchase' and n >= 2 and user_id in (select c_custkey from customer where c_custkey % 3 <> 0)
+union all select 'r-owed' as rule_id, user_id, {_T} from r where event_type = 'signup' and user_id in (select c_custkey from customer where c_acctbal > 0)
+union all select 'r-open' as rule_id, user_id, {_T} from r where event_type = 'error' and n >= 5""")
+def rule_audience_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules whose audiences stand as compressed bitmaps in their rows."""
+    member = F.array_compact(F.array(F.when(F.col("c_custkey") % 3 != 0, "r-third"), F.when(F.col("c_acctbal") > 0, "r-owed")))
+    members = table(spark, sf_dir, "customer").select(F.explode(member).alias("rule_id"), F.col("c_custkey").alias("user_id"))
+    rule_rows = as_column(containers(members, "user_id", ["rule_id"]), ["rule_id"])
+    known = [Rule("r-third", Condition("purchase"), [Condition("click", 2)], has_audience=True), Rule("r-owed", Condition("signup"), has_audience=True), Rule("r-open", Condition("error"), [Condition("click", 5)])]
+    return _matches(evaluate_all(events(spark, sf_dir), known, audience=from_column(rule_rows, ["rule_id"])))

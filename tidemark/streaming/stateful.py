@@ -7,16 +7,15 @@ else a key has. All need RocksDB state (use_rocksdb); without it the query ends
 from __future__ import annotations
 
 import heapq
-import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from decimal import Decimal
+from threading import Thread
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
-from pyspark.sql.types import StructType
 
 from tidemark.operators.changelog import DELETIONS
 from tidemark.sinks import Writer
@@ -341,3 +340,48 @@ def hop_stream(rows: DataFrame, time: str, size_minutes: int, step_minutes: int,
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     out = ", ".join(["window_start timestamp", "window_end timestamp", *[f"`{k}` {kinds[k]}" for k in keys], *[f"`{n}` long" for n in sums]])
     return given.groupBy(*keys, "shard").transformWithStateInPandas(_Hop(size_minutes * 60_000, step, keys, list(sums)), out, "append", "eventTime")
+
+
+class _Cached(StatefulProcessor):
+    def __init__(self, fetch: Callable[[str], str | None], ttl_ms: int, timeout_seconds: float | None, names: Sequence[str]):
+        self.fetch, self.ttl_ms, self.timeout_seconds, self.names = fetch, ttl_ms, timeout_seconds, list(names)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.answer = handle.getValueState("answer", "answer string", self.ttl_ms)
+
+    def handleInputRows(self, key: Any, rows: Frames, timerValues: TimerValues) -> Frames:
+        texts = [t for batch in rows for t in batch["row"]]
+        if key[0] is None:
+            answer = None
+        elif self.answer.exists():
+            answer = self.answer.get()[0]
+            self.answer.update((answer,))  # its time begins anew
+        else:
+            got, answer = fetched(self.fetch, key[0], self.timeout_seconds)
+            if got:
+                self.answer.update((answer,))
+        yield _frame([(t, answer) for t in texts], self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def fetched(fetch: Callable[[str], str | None], value: str, timeout_seconds: float | None) -> tuple[bool, str | None]:
+    """(whether it came in time and without an error, the answer)"""
+    found: list[str | None] = []
+    asks = Thread(target=lambda: found.append(fetch(value)), daemon=True)
+    asks.start()
+    asks.join(timeout_seconds)
+    return bool(found), found[0] if found else None
+
+
+def cached_answers(rows: DataFrame, column: str, fetch: Callable[[str], str | None], name: str, ttl_ms: int, timeout_seconds: float | None = None) -> DataFrame:
+    """rows with fetch(column) as name. An answer is kept in the state store for ttl_ms of processing time after it was last used.
+
+    A batch writes the answers that it uses, whatever else is kept; the store lets go of the others. A key's rows in a batch ask once, and a fetch that fails
+    or takes longer than timeout_seconds gives null, and is asked again the next time. Each task asks for one key after another:
+    streaming.enriched asks for several at once, where no cache is wanted. Start it with every=...
+    """
+    given = rows.select(F.col(column).cast("string").alias("asked"), F.to_json(F.struct(*rows.columns), _JSON).alias("row"))
+    out = given.groupBy("asked").transformWithStateInPandas(_Cached(fetch, ttl_ms, timeout_seconds, ["row", "answer"]), "row string, answer string", "update", "processingTime")
+    return out.select(F.from_json("row", rows.schema, _JSON).alias("row"), F.col("answer").alias(name)).select("row.*", name)
