@@ -1,7 +1,7 @@
 """Quality rules: a short-circuit cascade over native columns, ordered by rejections per cost.
 
-A rule is a test of metrics, which are made of parts (words, lines, sorted windows). On a sample, the time that each part
-and each rule takes is measured, and which rules reject which rows is counted. The cascade takes next the rule with
+A rule is a test of metrics, which are made of parts (words, lines, sorted windows). On a sample, one job counts
+which rules reject which rows, and the work that each part and each rule has there (characters, words, lines), of which UNIT_COSTS gives the time. The cascade takes next the rule with
 the most rejections, among the rows that are left, per second, where only parts that no earlier rule has made cost
 anything. It is a chain of stages: a stage makes the parts that its rule needs, and its filter ends the rows that the
 rule rejects, so that no later part is made for them. The order changes the cost and never the verdict. The report needs
@@ -17,14 +17,13 @@ with the rules in the order given.
 from __future__ import annotations
 
 import re
-import time
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, as_rows, discard, lines_of, named, of_row, words_of, written
+from tidemark.llm.common import SPACE, as_rows, lines_of, named, of_row, words_of
 
 #: Windows are packed into one long as hash bits above and place below; longer texts sort (hash, place) structs.
 PLACE_BITS = 21
@@ -130,52 +129,49 @@ def _parts_of(rule: Rule) -> frozenset[str]:
     return frozenset(p for m in _used(rule) for p in every[m][1])
 
 
-def costs(sample: DataFrame, rules: Sequence[Rule], repeats: int = 2) -> tuple[dict[str, float], dict[str, float]]:
-    """Seconds of each part, and of each rule without its parts, over sample: the least of repeats, less that of an empty job."""
-
-    def seconds(df: DataFrame) -> float:
-        took = []
-        for _ in range(repeats):
-            began = time.perf_counter()
-            df.write.format("noop").mode("overwrite").save()
-            took.append(time.perf_counter() - began)
-        return min(took)
-
-    def over(names: Iterable[str], *more: Column) -> float:
-        """Of a job that makes the parts, each read to its end."""
-        parts, df = _parts(F.coalesce("text", F.lit(""))), sample
-        for level in (("__tm_w", "__tm_l"), ("__tm_s", "__tm_g")):
-            if own := {k: _once(v) for k, v in parts.items() if k in level and k in names}:
-                df = df.withColumns(own)
-        return seconds(df.select(F.length("text"), *[F.size(n) for n in names], *more))
-
-    nothing, with_words = over(()), over(("__tm_w",))
-    of_part = {"__tm_w": with_words - nothing}
-    for name in sorted({p for r in rules for p in _parts_of(r)} - {"__tm_w"}):
-        of_part[name] = over((name,)) - nothing if name == "__tm_l" else over(("__tm_w", name)) - with_words
-    of_rule = {}
-    for rule in rules:
-        needed = [p for p in _parts(F.lit("")) if p in _parts_of(rule)]
-        metrics = with_metrics(sample, only=set(_used(rule)))
-        of_rule[rule.name] = seconds(metrics.select(F.length("text"), F.expr(rule.rejects))) - nothing - sum(of_part[p] for p in needed)
-    return ({k: max(v, 1e-4) for k, v in x.items()} for x in (of_part, of_rule))
+#: Nanoseconds of a core for a unit of work, by part and by metric, as measured on one core over texts of sf0.1: chars, words and
+#: lines of the texts, long_words those of texts beyond the packed windows. What is not listed takes next to none.
+UNIT_COSTS = {
+    "__tm_w": ("chars", 37),
+    "__tm_l": ("chars", 7),
+    "__tm_s": ("words", 520),
+    "__tm_g": ("long_words", 600),
+    "__tm_word_chars": ("chars", 35),
+    "__tm_n_symbols": ("chars", 33),
+    "__tm_n_letters": ("chars", 30),
+    "__tm_n_repeat_words": ("words", 555),
+    "__tm_n_dup_lines": ("lines", 200),
+}
+
+
+def costs(work: Mapping[str, float], rules: Sequence[Rule]) -> tuple[dict[str, float], dict[str, float]]:
+    """Seconds of each part, and of each rule without its parts, for so many chars, words, lines and long_words."""
+
+    def seconds(name: str) -> float:
+        unit, cost = UNIT_COSTS.get(name, ("chars", 0))
+        return max(work[unit] * cost * 1e-9, 1e-9)
+
+    of_part = {p: seconds(p) for r in rules for p in _parts_of(r)}
+    return of_part, {r.name: sum(seconds(m) for m in _used(r)) for r in rules}
 
 
 def ordered_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, seed: int = 7, text: Column | None = None) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected of the rows that it is asked for) on a sample of about sample_rows rows, in the order to ask them."""
+    """(rule, seconds, share rejected of the rows that it is asked for) on a sample of about sample_rows rows, in the order to ask them.
+
+    Selectivity and the work that costs follow from are counted in one job over the sample, so one table gives one order.
+    """
     rows = docs.count()
     if not rows:
         return [(rule, 0.0, 0.0) for rule in rules]
     sample = docs.select((named(text_col) if text is None else text).alias("text"))
     if rows > sample_rows:
         sample = sample.sample(False, min(1.0, 1.2 * sample_rows / rows), seed)
-    # The scan keeps its tasks; only the sample moves, into so few files that a job over it is short.
-    sample = written(sample.repartition(2), "rule-sample")
     verdicts = [F.expr(f"coalesce({r.rejects}, false)").cast("int").alias(f"r{i}") for i, r in enumerate(rules)]
-    patterns = with_metrics(sample).select(*verdicts).groupBy(*[f"r{i}" for i in range(len(rules))]).count().collect()
-    of_part, of_rule = costs(sample, rules)
-    discard(sample)
-    return arranged(rules, [(tuple(p)[:-1], p["count"]) for p in patterns], of_part, of_rule)
+    units = {"chars": F.length("text"), "words": F.col("__tm_n_words"), "lines": F.col("__tm_n_lines"), "long_words": F.when(F.expr(f"not {_short()}"), F.col("__tm_n_words"))}
+    measured = with_metrics(sample).select(*verdicts, *[c.alias(n) for n, c in units.items()])
+    found = measured.groupBy(*[f"r{i}" for i in range(len(rules))]).agg(F.count("*").alias("n"), *[F.sum(u).alias(u) for u in units]).collect()  # at most 2 ** rules rows
+    work = {u: float(sum(p[u] or 0 for p in found)) for u in units}
+    return arranged(rules, [(tuple(p)[: len(rules)], p["n"]) for p in found], *costs(work, rules))
 
 
 def arranged(rules: Sequence[Rule], patterns: list[tuple[tuple[int, ...], int]], of_part: Mapping[str, float], of_rule: Mapping[str, float]) -> list[tuple[Rule, float, float]]:
