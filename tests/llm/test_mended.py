@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.test_documents import ODD, pairs
 from tests.llm.test_models import _budgets
-from tidemark.llm import html_text, license_scan, mixing
+from tidemark.llm import html_text, license_scan, mixing, quality_rules
 from tidemark.llm.license_scan import TELLING, TEMPLATES, Scanner, Telling, common, normal_words
 
 
@@ -283,3 +283,22 @@ def test_random_small_trees_against_a_plain_reading():
         page = made(4, "body")
         got, want = html_text.visible_text(page).replace("- ", " ").split(), _plain(page)
         assert (sorted(got) == sorted(want) if "<table" in page else got == want), page
+
+
+# Quality rules
+
+
+def test_the_order_of_rules_follows_from_the_sample(spark, documents):
+    """Counted, not timed: one table gives one order, and each text's first rule that rejects is the same in every run."""
+    orders = [[(r.name, s, x) for r, s, x in quality_rules.ordered_rules(documents)] for _ in range(2)]
+    assert orders[0] == orders[1] and {x[0] for x in orders[0]} == {r.name for r in quality_rules.RULES} and all(s > 0 for _, s, _ in orders[0])
+    texts = [t or "" for _, t in pairs(documents)]
+    work = {"chars": sum(map(len, texts)), "words": sum(len(brute.WORD.findall(t)) for t in texts), "lines": 0, "long_words": 0}
+    part, rule = quality_rules.costs(work, quality_rules.RULES)
+    assert part["__tm_w"] == pytest.approx(37e-9 * work["chars"]) and rule["repeated_windows"] == pytest.approx(555e-9 * work["words"])
+    first = min(quality_rules.RULES, key=lambda r: r.name != orders[0][0][0])
+    found = {r.doc_id: r.rejected_by for r in quality_rules.quality_report(documents).collect()}
+    assert found == {r.doc_id: r.rejected_by for r in quality_rules.quality_report(documents).collect()}
+    verdicts = quality_rules.with_metrics(documents).select("doc_id", F.expr(first.rejects).alias("bad")).collect()
+    assert all(found[r.doc_id] == first.name for r in verdicts if r.bad)
+    assert [(r.name, s, x) for r, s, x in quality_rules.ordered_rules(documents.limit(0))] == [(r.name, 0.0, 0.0) for r in quality_rules.RULES]
