@@ -176,24 +176,39 @@ def in_batches(spark, rows, tmp_path, n):
     return sources.parquet_files(spark, path, stream=True, files_a_batch=1)
 
 
-GOLDEN = [  # arrival, time, kind, page: the first two came out of order
-    (1, 922100, "load", "index"), (2, 922000, "scroll", "index"), (3, 923000, "click", "index"), (4, 924000, "load", "page08"),
-    (5, 925000, "click", "page08"), (6, 926000, "click", "page08"), (7, 927000, "put_back", "page08"),
-    (8, 935000, "wake", None), (9, 937000, "click", "page08"), (10, 938000, "click", "page08"), (11, 940000, "close", "page08"),
-]
+#: Published golden rows of page stays. Arrival, time, event, page; the first two came out of order.
+GOLDEN = [
+    (1, 1675407922100, "page_load", "index"),
+    (2, 1675407922000, "scroll", "index"),
+    (3, 1675407923000, "click", "index"),
+    (4, 1675407924000, "page_load", "page08"),
+    (5, 1675407925000, "click", "page08"),
+    (6, 1675407926000, "click", "page08"),
+    (7, 1675407927000, "put_back", "page08"),
+    (8, 1675407935000, "wake_up", None),
+    (9, 1675407937000, "click", "page08"),
+    (10, 1675407938000, "click", "page08"),
+    (11, 1675407940000, "app_close", "page08"),
+]
+#: Page, start, end and number of events of the stays on them.
+GOLDEN_STAYS = [
+    ("index", 1675407922100, 1675407924000, 3),
+    ("page08", 1675407924000, 1675407927000, 4),
+    ("page08", 1675407935000, 1675407940000, 4),
+]
 
 
 def _stays(spark, rows):
     df = spark.createDataFrame([(3, n, t, k, p) for n, t, k, p in rows], "u int, n int, t long, kind string, page string").withColumn("ts", F.timestamp_millis("t"))
     kind = F.col("kind")
-    out = sequence.dwell(df, ["u"], ["n"], "ts", F.col("page"), kind == "load", kind == "wake", kind == "close", kind == "launch", 10)
+    out = sequence.dwell(df, ["u"], ["n"], "ts", F.col("page"), kind == "page_load", kind == "wake_up", kind == "app_close", kind == "app_launch", 10)
     return [tuple(r) for r in out.orderBy("visit").select("page", F.unix_millis("page_start"), F.unix_millis("page_end"), "n_events").collect()]
 
 
 def test_dwell_golden_rows(spark):
-    assert _stays(spark, GOLDEN) == [("index", 922100, 924000, 3), ("page08", 924000, 927000, 4), ("page08", 935000, 940000, 4)]
+    assert _stays(spark, GOLDEN) == GOLDEN_STAYS
     # A launch is on no page, but keeps a session from ending; a page may have no address; after a closing all is new.
-    rows = [(1, 0, "launch", None), (2, 3000, "click", "a"), (3, 9000, "launch", None), (4, 18000, "click", "b"), (5, 20000, "load", None), (6, 21000, "close", "x"), (7, 22000, "click", "c"), (8, 40000, "wake", "d")]
+    rows = [(1, 0, "app_launch", None), (2, 3000, "click", "a"), (3, 9000, "app_launch", None), (4, 18000, "click", "b"), (5, 20000, "page_load", None), (6, 21000, "app_close", "x"), (7, 22000, "click", "c"), (8, 40000, "wake_up", "d")]
     assert _stays(spark, rows) == [("a", 3000, 20000, 2), (None, 20000, 21000, 2), ("c", 22000, 22000, 1), ("d", 40000, 40000, 1)]
 
 

@@ -504,3 +504,14 @@ def test_kafka_adapters_by_a_stand_in(spark, tmp_path, monkeypatch):
         rows = sources.kafka_text(session, "h:9092", "t", **how)
         assert (reader.told["format"], reader.told["kafka.bootstrap.servers"], reader.told["subscribe"], reader.told["startingOffsets"]) == ("kafka", "h:9092", "t", starting)
         assert [tuple(r) for r in sources.json_rows(rows, "a int, b string").select("a", "b").collect()] == [(1, "x"), (None, None)]
+
+
+def test_recent_rows_of_each_user(spark, tmp_path):
+    """A user's rows age by the user's own newest row; after a long idleness they go."""
+    path = str(tmp_path / "recent")
+    write = sinks.keep_recent(path, "ts", 60, by=["u"], idle_seconds=1000)
+    steps = [([(1, 0), (1, 50), (2, 10), (None, 5)], {(1, 0), (1, 50), (2, 10), (None, 5)}), ([(1, 500)], {(1, 500), (2, 10), (None, 5)}), ([], {(1, 500), (2, 10), (None, 5)}), ([(2, 40), (1, 1020)], {(1, 1020), (2, 10), (2, 40)})]
+    for number, (rows, want) in enumerate(steps):
+        for _ in range(2 if number == 1 else 1):
+            write(spark.createDataFrame(rows, "u int, s int").withColumn("ts", F.timestamp_seconds("s")), number)
+            assert {(r.u, r.s) for r in sinks.read_upserted(spark, path).collect()} == want

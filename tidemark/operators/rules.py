@@ -56,6 +56,9 @@ class Rule:
     cutoff: str | None = None
 
 
+# The names in the JSON below are those that rules are written with.
+
+
 def _values(value: object) -> list[str]:
     return [str(v) for v in (value if isinstance(value, list) else [value])]
 

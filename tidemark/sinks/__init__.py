@@ -126,19 +126,31 @@ def read_version(spark: SparkSession, path: str, below: int | None = None) -> Da
     return None if version is None else spark.read.parquet(f"{path}/version={version}")
 
 
-def keep_recent(path: str, time: str, seconds: int) -> Writer:
+def keep_recent(path: str, time: str, seconds: int, by: Sequence[str] = (), idle_seconds: int | None = None) -> Writer:
     """A table of the rows of the last seconds before the newest row, as versions: state that expires.
 
-    read_upserted reads it, and operators.rules.replay gives its rows to rules that have just come into force. Only what
-    is recent is carried from a version to the next.
+    by: columns, such as the user, whose own newest row counts: one user's pause or haste does not age another's rows. With
+    idle_seconds, rows of whom nothing has come for so long before the newest row of all go too. read_upserted reads it,
+    and operators.rules.replay gives its rows to rules that have just come into force. Only what is recent is carried
+    from a version to the next.
     """
+    ago = lambda t, s: t - F.make_dt_interval(secs=F.lit(s))
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = _last_version(spark, path, number)
         rows = batch if before is None else spark.read.parquet(f"{path}/version={before}").unionByName(batch)
-        newest = rows.agg((F.max(time) - F.make_dt_interval(secs=F.lit(seconds))).alias("__since"))
-        rows.join(F.broadcast(newest), F.col(time) > F.col("__since")).drop("__since").write.mode("overwrite").parquet(f"{path}/version={number}")
+        columns = rows.columns
+        # A partial maximum by key, joined back; without keys it is one row.
+        newest = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.max(time).alias("__newest"))
+        same = F.lit(True)
+        for c in by:
+            same = same & rows[c].eqNullSafe(newest[f"__{c}"])
+        out = rows.join(newest if by else F.broadcast(newest), same).where(F.col(time) > ago(F.col("__newest"), seconds))
+        if idle_seconds is not None:
+            last = F.broadcast(rows.agg(F.max(time).alias("__last")))
+            out = out.join(last, F.lit(True)).where(F.col("__newest") > ago(F.col("__last"), idle_seconds))
+        out.select(*columns).write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return write
 
