@@ -506,6 +506,25 @@ def test_kafka_adapters_by_a_stand_in(spark, tmp_path, monkeypatch):
         assert [tuple(r) for r in sources.json_rows(rows, "a int, b string").select("a", "b").collect()] == [(1, "x"), (None, None)]
 
 
+def test_kafka_writer_by_a_stand_in(spark):
+    """The rows as JSON texts in a column named value, to the topic that is asked for, saved once a batch."""
+    saved = []
+
+    class Writer(_Recorded):
+        def save(self):
+            saved.append((self.told, [r.value for r in self.rows.collect()]))
+
+    class Batch:
+        def __init__(self, rows):
+            self.rows, self.write = rows, Writer(rows)
+
+        def select(self, *columns):
+            return Batch(self.rows.select(*columns))
+
+    sinks.kafka("h:9092", "out")(Batch(spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")), 0)
+    assert saved == [({"format": "kafka", "kafka.bootstrap.servers": "h:9092", "topic": "out"}, ['{"a":1,"b":"x"}', '{"a":2}'])]
+
+
 def test_recent_rows_of_each_user(spark, tmp_path):
     """A user's rows age by the user's own newest row; after a long idleness they go."""
     path = str(tmp_path / "recent")

@@ -211,10 +211,10 @@ def _only(rows: DataFrame, flag: str, allowed: DataFrame) -> DataFrame:
 
 
 def progress(events: DataFrame, rules: Sequence[Rule], profile: DataFrame | None = None, audience: DataFrame | None = None, seeds: DataFrame | None = None, state: DataFrame | None = None, since: Since | None = None) -> DataFrame:
-    """Every part that an event plays in a rule, with what the rule has counted for the user by then.
+    """Every part that an event plays in a rule, and whether the rule fires; with since, also what it has counted for the user by then.
 
     events: user_id, event_id, event_type, ts, properties. Only those of types that some rule names are read. counts is a map by
-    condition_ids and sequence_id, and includes the event itself; seeds (rule_id, flag_id, user_id, cnt) count what came
+    condition_ids and sequence_id (see triggers), and includes the event itself; seeds (rule_id, flag_id, user_id, cnt) count what came
     up to the cutoff. state (rule_id, user_id, counts) is what earlier events left (see left_by); of it, only what the
     rules' conditions still count goes on. Events that play a part are shuffled, once, by rule and user.
     """
@@ -249,16 +249,17 @@ def progress(events: DataFrame, rules: Sequence[Rule], profile: DataFrame | None
         if seeds is not None:
             total = total + F.coalesce(F.col("__seeds")[F.get("flags", F.lit(i))], F.lit(0))
         met.append((F.size("least") <= i) | (total >= F.get("least", F.lit(i))))
-    by_id = F.map_from_arrays("ids", F.slice(F.array(*[F.col(f"__c{i}").cast("long") for i in range(most)]).cast("array<bigint>"), F.lit(1), F.size("ids")))
-    rows = rows.withColumns({"met": all_of(met), "counts": by_id})
-    rows = rows.select(*key, *order, "hits", "n_steps", "steps_id", "times", "met", "counts", before(F.col("steps_id")).cast("long").alias("start"))
-    if any(r.sequence for r in rules):
-        rows = fold_steps(rows, key, order)
-        rows = rows.withColumn("counts", F.when(F.col("n_steps") > 0, F.map_concat("counts", F.create_map(F.coalesce("steps_id", F.lit("")), F.col("passed")))).otherwise(F.col("counts")))
-    else:
-        rows = rows.withColumn("passed", F.lit(0).cast("long"))
+    # What is counted goes on only where it is to be kept.
+    kept = [] if since is None else ["ids", "steps_id", F.array(*[F.col(f"__c{i}").cast("long") for i in range(most)]).cast("array<bigint>").alias("__counted")]
+    rows = rows.select(*key, *order, "hits", "n_steps", "times", all_of(met).alias("met"), *kept, before(F.col("steps_id")).cast("long").alias("start"))
+    rows = fold_steps(rows, key, order) if any(r.sequence for r in rules) else rows.withColumn("passed", F.lit(0).cast("long"))
     done = (F.col("n_steps") == 0) | (F.floor(F.col("passed") / F.greatest("n_steps", F.lit(1))) >= F.col("times"))
-    return rows.select(*key, *order, "counts", ((F.col("part") == _FIRE) & F.col("met") & done).alias("fires"))
+    fires = ((F.col("part") == _FIRE) & F.col("met") & done).alias("fires")
+    if since is None:
+        return rows.select(*key, *order, fires)
+    by_id = F.map_from_arrays("ids", F.slice("__counted", F.lit(1), F.size("ids")))
+    counts = F.when(F.col("n_steps") > 0, F.map_concat(by_id, F.create_map(F.coalesce("steps_id", F.lit("")), F.col("passed")))).otherwise(by_id)
+    return rows.select(*key, *order, counts.alias("counts"), fires)
 
 
 def matches(rows: DataFrame) -> DataFrame:

@@ -80,7 +80,8 @@ def report_each_batch(path: str, tables: Mapping[int, tuple[str, Sequence[str],
     """A writer for sources.one_stream: the newest row a key of each stream is kept, and a report of all of them given to then.
 
     tables: by the stream's number: its rows' schema, key and order. report gets the tables in that order, and clock()'s
-    time. Started with every='1 minute', it is a report each minute, of batches without rows too if streams go on.
+    time. Started with every='1 minute', it is a report of each minute that has rows: a stream on which nothing comes starts no
+    batch. stateful.top_n_by_clock goes on by the clock.
     """
 
     def write(batch: DataFrame, number: int) -> None:
