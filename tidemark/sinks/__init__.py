@@ -52,7 +52,7 @@ def upsert_parquet(path: str, key: Sequence[str], order: Sequence[str], buckets:
         spark = batch.sparkSession
         rows = batch if op is None else batch.withColumns({"__gone": F.coalesce(F.col(op).isin(*DELETIONS), F.lit(False)), "__at": F.lit(number).cast("long")})
         columns, schema = rows.columns, rows.schema
-        rows = rows.withColumn("__bucket", bucket_of(by, buckets)).persist()
+        rows = held = rows.withColumn("__bucket", bucket_of(by, buckets)).persist()
         try:
             touched = [r[0] for r in rows.select("__bucket").distinct().collect()]  # at most buckets
             at = _places(spark, path, number)
@@ -66,9 +66,9 @@ def upsert_parquet(path: str, key: Sequence[str], order: Sequence[str], buckets:
                 out = out.where(keep)
             out.repartition(buckets, "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/rows={number}")
             # A bucket of which nothing is left has no folder.
-            left = [r[0] for r in spark.read.parquet(f"{path}/rows={number}").select("__bucket").distinct().collect()] if touched and _has_rows(spark, f"{path}/rows={number}") else []
+            left = _buckets_at(spark, f"{path}/rows={number}")
         finally:
-            rows.unpersist()
+            held.unpersist()
         now = [{"bucket": b, "at": v} for b, v in at.items() if b not in touched] + [{"bucket": b, "at": number} for b in left]
         places = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(now)), "array<struct<bucket int, at bigint>>")))
         places.coalesce(1).write.mode("overwrite").parquet(f"{path}/places/version={number}")
@@ -76,10 +76,11 @@ def upsert_parquet(path: str, key: Sequence[str], order: Sequence[str], buckets:
     return write
 
 
-def _has_rows(spark: SparkSession, path: str) -> bool:
+def _buckets_at(spark: SparkSession, path: str) -> list[int]:
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return any(s.getPath().getName().startswith("__bucket=") for s in fs.listStatus(root))
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return [int(n.removeprefix("__bucket=")) for n in names if n.startswith("__bucket=")]
 
 
 def _places(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
