@@ -146,14 +146,6 @@ def test_roots_follow_long_chains(spark):
     assert {r.word: r.root for r in got.collect()} == {w: "w11" for w, _ in chain}
 
 
-def test_a_letter_goes_where_the_checksum_says():
-    runs = ["absolute", "résolute", "ab"]
-    for doc, run in itertools.product([None, *range(200)], runs):
-        h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
-        want = run if h % 31 else "".join(c for i, c in enumerate(run) if i != h % len(run))
-        assert spelling.misspelt(doc, run) == want
-
-
 # Importance resampling
 
 

@@ -78,14 +78,6 @@ def of_row(column: str) -> Column:
     return F.col("row").getField(column)
 
 
-def broadcast_below(df: DataFrame, most_rows: int) -> DataFrame:
-    """df marked for broadcast if its counted rows are at most most_rows, else df for an ordinary join.
-
-    Give a written() table of narrow rows: it is counted here, and read again by the join.
-    """
-    return F.broadcast(df) if df.count() <= most_rows else df
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -49,15 +49,6 @@ _BYTES = 4_000_000
 _FEW = 12
 
 
-def misspelt(doc: int | None, run: str, one_in: int = MISSPELT) -> str:
-    """run, less one letter if the checksum of the document's id and the run says so."""
-    h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
-    if h % one_in:
-        return run
-    gone = h % len(run)
-    return run[:gone] + run[gone + 1 :]
-
-
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = LEAST_LENGTH, one_in: int = MISSPELT) -> DataFrame:
     """word, n of all words of at least least_length letters. Counts are added up in each task before the shuffle."""
 
