@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -64,6 +65,39 @@ def test_shards_give_the_same_scores(documents, odd, monkeypatch):
             assert a[:5] == b[:5] and all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a[5:], b[5:], strict=True))
 
 
+def test_dealt_pairs_move_few_bytes(documents, monkeypatch):
+    """A pair filter that is not broadcast: what is written of the texts' pairs is below the 17 bytes a token of keys, texts and levels."""
+    moved, written = [], lm_scoring.written
+
+    def noted(df, name):
+        out = written(df, name)
+        moved.append((name, sum(Path(f.removeprefix("file://")).stat().st_size for f in out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(lm_scoring, "written", noted)
+    docs = documents.limit(200)
+    tokens = lm_scoring.score(docs, shard_bytes=100_000).agg(F.sum("n_tokens")).first()[0]
+    assert sum(size for name, size in moved if name not in ("words", "bloom")) < 8 * tokens
+
+
+def test_dealt_runs_of_many_texts(spark, monkeypatch):
+    """Steps between the texts of a segment's pairs of one, two and four bytes, held-out texts among them."""
+    monkeypatch.setattr(lm_scoring, "_segment_number", lambda *_: 64)
+    late = " ".join(f"late{i}" for i in range(40))
+    rows = [(i, late if i == 89_990 else "to be or not to be" if i % 20_000 == 7 else f"w{i % 3} x" if i % 300 == 5 else None) for i in range(90_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    of = lambda: {r.doc_id: tuple(r)[1:] for r in lm_scoring.score(docs, top_words=20).collect()}
+    one, sent, in_order = of(), [], lm_scoring._in_order
+    monkeypatch.setattr(lm_scoring, "PAIR_BYTES", 0)
+    monkeypatch.setattr(lm_scoring, "_in_order", lambda df, *a: sent.append(df) or in_order(df, *a))
+    two = of()
+    widths = {r.width for r in sent[-1].where("home is null").select("width").distinct().collect()}
+    assert widths == {1, 2, 4}
+    assert one.keys() == two.keys() and len(one) == 90_000
+    for d, a in one.items():
+        assert a[:4] == two[d][:4] and all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a[4:], two[d][4:], strict=True))
+
+
 def test_segments_fit_their_shards(documents, monkeypatch):
     made, shards = [], lm_scoring._shards
     monkeypatch.setattr(lm_scoring, "_shards", lambda sizes, n, most: made.append((sizes, n, shards(sizes, n, most))) or made[-1][2])

@@ -6,18 +6,20 @@
    unseen pair that passes for a seen one costs most).
 2. Word pairs are counted, each marked with the level of its first word, and a second filter holds their levels. A
    filter's segments are built where their share of the hashes is gathered, and sized to what they hold.
-3. Both filters are broadcast, and every text is scored by probing them: absolute discounting, whose discount and
+3. Every text is scored by probing the filters: absolute discounting, whose discount and
    back-off weights come from the counts of counts, by level of the first word:
    P(w | h) = max(c(h, w) - D, 0) / c(h) + D * T(level of h) / C(level of h) * P(w).
    Levels stand for the mean count of what they hold. P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)).
 4. The base score needs exact counts: the most frequent words' are broadcast (at most TOP_WORDS), and occurrences of
    the others are joined to their counts.
 
-Bound of the broadcasts: SHARD_BYTES each. A filter's segments are so many that each is built from about SEGMENT_INPUT
-bytes of counts. If the word filter is larger than a shard, its shards are broadcast in turn to write their words' levels
-beside the texts, and what follows reads them there. If the pair filter is, it is not broadcast: the probes of the texts
-are dealt to the segments that hold their answers, and what they add to a text's score is summed, so the texts are read
-once, however large the filter. The levels, and so the scores, are the same as with one broadcast of as many segments.
+Bound of the broadcasts: SHARD_BYTES for the word filter, PAIR_BYTES for the pair filter. A filter's segments are so many
+that each is built from about SEGMENT_INPUT bytes of counts. If the word filter is larger than a shard, its shards are
+broadcast in turn to write their words' levels beside the texts, and what follows reads them there. A pair filter that may
+be larger than PAIR_BYTES is not broadcast: the pairs of the texts are dealt once, to the segments that count them. A
+segment makes its part of the filter, probes it for the same pairs, and sends the levels that it finds back to the runs of
+texts that they came from. So the texts are read once for it however large the filter, and what moves is in proportion to
+them. The levels, and so the scores, are the same as with one broadcast of as many segments.
 
 Edge cases: a null or empty text is the end token alone. A null id is held out. Rows that repeat an id are texts of
 their own. Without training tokens every word is unknown: N and V are 0 and the scores follow from the formulas. Other columns
@@ -41,6 +43,8 @@ from tidemark.llm.hashing import ODD, mix, word_hashes
 END = 0x454E44  # stands for the end token; words hash to all of 64 bits
 TOP_WORDS = 500_000
 SHARD_BYTES = 1 << 29
+#: A pair filter up to this is broadcast: a larger one leaves the caches, and probing it takes longer than dealing its pairs.
+PAIR_BYTES = 1 << 24
 #: Counts that a segment is built from, of 16 bytes each; the most tasks that build segments.
 SEGMENT_INPUT, SEGMENT_TASKS = 64 << 20, 50_000
 #: Levels are kept in a byte; with WORD_STEPS a doubling they reach counts of 2^63, so no count of the data is cut.
@@ -48,7 +52,7 @@ LEVEL_BITS = 8
 LEVELS = 1 << LEVEL_BITS
 WORD_STEPS, WORD_HASHES = 4, (10, 5)  # levels a doubling of the count; hashes of the first level, and of each other
 PAIR_STEPS, PAIR_HASHES = 2, (8, 5)
-#: Tokens that are counted together before they move, and that are scored together.
+#: Tokens that are counted (or dealt) together before they move, and that are scored together.
 COUNT_CHUNK, SCORE_CHUNK = 600_000, 150_000
 #: Pairs of at least this level are asked for once a task, as long as so many are remembered.
 KNOWN_LEVEL, KNOWN_PAIRS = 4, 1_000_000
@@ -204,6 +208,19 @@ def pair_keys(before: np.ndarray, tokens: np.ndarray, level: np.ndarray) -> np.n
     return ((mix(mix(before * ODD) + tokens) >> np.uint64(LEVEL_BITS)) << np.uint64(LEVEL_BITS)) | level.astype(np.uint64)
 
 
+_SUMS = pa.list_(pa.struct([("at", pa.int32()), ("x", pa.int64())]))
+
+
+def _sums(keys: np.ndarray, c: np.ndarray, q: np.ndarray) -> list[dict]:
+    """By level, and by the last eight bits of the keys: how many keys, and their counts; then how many of counts 1 and 2."""
+    history = (keys & np.uint64(LEVELS - 1)).astype(np.int64)
+    sums = [np.bincount(at, weights=w, minlength=LEVELS).astype(np.int64) for at, w in ((q, None), (q, c), (history, None), (history, c))]
+    sums.append(np.array([np.count_nonzero(c == 1), np.count_nonzero(c == 2)]))
+    sums = np.concatenate(sums)
+    used = np.flatnonzero(sums)  # most levels hold nothing
+    return [{"at": i, "x": x} for i, x in zip(used.tolist(), sums[used].tolist(), strict=True)]
+
+
 def _segments(steps: int, hashes: tuple[int, int]):
     """mapInArrow function: packed counts in the order of their segments to a filter's segment each; one is held at a time."""
 
@@ -216,13 +233,7 @@ def _segments(steps: int, hashes: tuple[int, int]):
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         k, c = k[first], np.add.reduceat(c, first)
         q = levels(c, steps)
-        history = (k & np.uint64(LEVELS - 1)).astype(np.int64)
-        sums = [np.bincount(at, weights=w, minlength=LEVELS).astype(np.int64) for at, w in ((q, None), (q, c), (history, None), (history, c))]
-        sums.append(np.array([np.count_nonzero(c == 1), np.count_nonzero(c == 2)]))
-        sums = np.concatenate(sums)
-        used = np.flatnonzero(sums)  # most levels hold nothing
-        listed = pa.array([[{"at": i, "x": x} for i, x in zip(used.tolist(), sums[used].tolist(), strict=True)]], type=pa.list_(pa.struct([("at", pa.int32()), ("x", pa.int64())])))
-        return pa.RecordBatch.from_arrays([pa.array([seg], type=pa.int32()), pa.array([Filter.segment(k, q, hashes)], type=pa.binary()), listed], names=["seg", "bits", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array([seg], type=pa.int32()), pa.array([Filter.segment(k, q, hashes)], type=pa.binary()), pa.array([_sums(k, c, q)], type=_SUMS)], names=["seg", "bits", "sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -250,6 +261,18 @@ def _repacked(segments: int):
 
 
 _PACKED = "seg int, keys binary, counts binary"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _moved(df: DataFrame, name: str) -> DataFrame:
+    """written(df), after which its shuffle files, which nothing else reads, are removed."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
 def _in_order(rows: DataFrame, segments: int, *then: str) -> DataFrame:
@@ -260,12 +283,16 @@ def _in_order(rows: DataFrame, segments: int, *then: str) -> DataFrame:
 
 def _gathered(counts: DataFrame, segments: int, steps: int, hashes: tuple[int, int]) -> tuple[DataFrame, np.ndarray]:
     """The written segments of a filter, and the sums over them."""
-    made = written(_in_order(counts, segments).mapInArrow(_segments(steps, hashes), "seg int, bits binary, sums array<struct<at:int,x:long>>"), "bloom")
-    rows = made.select(F.inline("sums")).groupBy("at").agg(F.sum("x").alias("x")).collect()
+    made = _moved(_in_order(counts, segments).mapInArrow(_segments(steps, hashes), "seg int, bits binary, sums array<struct<at:int,x:long>>"), "bloom")
+    return made, _added(made)
+
+
+def _added(made: DataFrame) -> np.ndarray:
+    """The sums over all segments."""
     sums = np.zeros(4 * LEVELS + 2, dtype=np.int64)
-    for r in rows:
+    for r in made.select(F.inline("sums")).groupBy("at").agg(F.sum("x").alias("x")).collect():
         sums[r["at"]] = r["x"]
-    return made, sums
+    return sums
 
 
 def _filter(made: DataFrame, segments: int, hashes: tuple[int, int], low: int = 0, high: int | None = None) -> Filter:
@@ -287,6 +314,20 @@ def _segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> np.uint64(LEVEL_BITS)) % np.uint64(segments)).astype(np.int64)
 
 
+def _split(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segment of each key, and 32 bits of its hash that tell it from others there.
+
+    A segment is made from so few counts that a key meets another's bits less than once in 1000, four times less than it passes the filter.
+    """
+    rest, seg = np.divmod(keys >> np.uint64(LEVEL_BITS), np.uint64(segments))
+    return seg.astype(np.int64), rest.astype(np.uint32)
+
+
+def _joined(seg: np.ndarray | int, rest: np.ndarray, level: np.ndarray, segments: int) -> np.ndarray:
+    """The key that the parts stand for."""
+    return ((rest.astype(np.uint64) * np.uint64(segments) + np.uint64(seg)) << np.uint64(LEVEL_BITS)) | level.astype(np.uint64)
+
+
 def _noted(part: list[tuple]) -> np.ndarray:
     """The levels of a run's tokens that _note has written."""
     return np.frombuffer(b"".join(b.column("levels")[i].as_py() for i, b, _ in part), dtype=np.uint8).astype(np.int64)
@@ -326,8 +367,9 @@ def _count_pairs(words, top, end_level: int, segments: int):
                 distinct, back = np.unique(before, return_inverse=True)
                 history = _levels_of(words.value, top.value, distinct)[back]
                 del back
-            keys = pair_keys(before, tokens, history)
-            del tokens, before, history
+            seg, rest = _split(pair_keys(before, tokens, history), segments)
+            keys = _joined(seg.astype(np.uint64), rest, history, segments)
+            del tokens, before, history, seg, rest
             yield _packed(*np.unique(keys, return_counts=True), segments)
 
     return run
@@ -368,79 +410,197 @@ def _log10_p(model: dict, found: np.ndarray, history: np.ndarray, level: np.ndar
     return np.log10(np.where(history > 0, np.minimum(seen, 1 - model["back_off"][history]) + model["back_off"][history] * alone, alone))
 
 
-_SCORES = "uid long, doc long, n_tokens long, n_known long, base double, score double, key long, tf long, seg int, uids binary, keys binary, word_levels binary"
+_SCORES = "uid long, doc long, n_tokens long, n_known long, base double, score double, key long, tf long"
+_SCORED = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("key", pa.int64()), ("tf", pa.int64())])
 
 
-def _score(words, pairs, top, model: dict, segments: int):
-    """mapInArrow over (uid, doc, text): a row a text (seg and key null), and a row for each word outside top (key).
+def _rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _SCORED], schema=_SCORED)
 
-    Without pairs, the score is null, and there is a row for each segment (seg) that is to answer probes of a run of texts.
-    """
-    schema = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("key", pa.int64()), ("tf", pa.int64()), ("seg", pa.int32()), ("uids", pa.binary()), ("keys", pa.binary()), ("word_levels", pa.binary())])
 
-    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+def _text_rows(part: list[tuple], lengths: np.ndarray, distinct: np.ndarray, back: np.ndarray, top: tuple, log_base: float, score: pa.Array) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """A row for each text of a run (key null), and one for each word of a text that the broadcast counts lack (key)."""
+    n, text = len(part), np.repeat(np.arange(len(part)), lengths)
+    uid = np.array([b.column("uid")[i].as_py() for i, b, _ in part], dtype=np.int64)
+    doc = pa.array([b.column("doc")[i].as_py() for i, b, _ in part], type=pa.int64())
+    at, hit = _top_places(top, distinct)
+    p = np.zeros(len(distinct))
+    p[hit] = np.log10(top[1][at[hit]] + 0.1) - log_base
+    known = hit[back]
+    base = np.bincount(text, weights=p[back], minlength=n)
+    rare = np.flatnonzero(~known)
+    places, tf = np.unique(text[rare] * np.int64(len(distinct)) + back[rare], return_counts=True)
+    which, word = places // len(distinct), distinct[places % len(distinct)]
+    return (
+        _rows(n, uid=pa.array(uid), doc=doc, n_tokens=pa.array(lengths), n_known=pa.array(np.bincount(text[known], minlength=n)), base=pa.array(base), score=score),
+        _rows(len(tf), uid=pa.array(uid[which]), key=pa.array(word.view(np.int64)), tf=pa.array(tf)),
+    )
+
+
+def _score(words, pairs, top, model: dict, segments: int):
+    """mapInArrow over (uid, doc, text): the rows of the texts, scored by a filter of pairs that is at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_base, known_pairs = model["log_base"], None if pairs is None else _Known(pairs.value, segments)
+        known_pairs = _Known(pairs.value, segments)
         for part in _runs(batches, False, SCORE_CHUNK):
             tokens, before = _histories(part)
             lengths, n = np.array([len(r[2]) for r in part]), len(part)
-            text = np.repeat(np.arange(n), lengths)
             distinct, back = np.unique(tokens, return_inverse=True)
             level = _noted(part) if words is None else _levels_of(words.value, top.value, distinct)[back]
             history = np.roll(level, 1)
             history[0] = model["end_level"]
-            keys = pair_keys(before, tokens, history)
-            del before
-            uid = np.array([b.column("uid")[i].as_py() for i, b, _ in part], dtype=np.int64)
-            doc = pa.array([b.column("doc")[i].as_py() for i, b, _ in part], type=pa.int64())
-            asked, again = np.unique(keys, return_inverse=True)
-            if known_pairs is not None:
-                found = known_pairs.levels(asked)[again]
-                score = pa.array(np.bincount(text, weights=_log10_p(model, found, history, level), minlength=n))
-                del found
-            else:
-                score = pa.nulls(n, pa.float64())
-                seg = _segment_of(asked, segments)[again]
-                order = np.argsort(seg, kind="stable")
-                held, starts = np.unique(seg[order], return_index=True)
-                runs = list(zip(starts.tolist(), [*starts.tolist()[1:], len(order)], strict=True))
-                of = lambda x: pa.array([x[order[i:j]].tobytes() for i, j in runs], type=pa.binary())  # noqa: E731, B023
-                yield rows(len(held), seg=pa.array(held.astype(np.int32)), uids=of(uid[text]), keys=of(keys), word_levels=of(level.astype(np.uint8)))
-            del asked, again, keys, history, level
-            at, hit = _top_places(top.value, distinct)
-            c = np.zeros(len(distinct), dtype=np.int64)
-            c[hit] = top.value[1][at[hit]]
-            c = c[back]
-            known = hit[back]
-            base = np.bincount(text[known], weights=np.log10(c[known] + 0.1) - log_base, minlength=n)
-            yield rows(n, uid=pa.array(uid), doc=doc, n_tokens=pa.array(lengths), n_known=pa.array(np.bincount(text[known], minlength=n)), base=pa.array(base), score=score)
-            rare = np.flatnonzero(~known)
-            if len(rare):
-                # One row for each word of a text that the broadcast counts lack.
-                places, tf = np.unique(text[rare] * np.int64(len(distinct)) + back[rare], return_counts=True)
-                which, word = places // len(distinct), distinct[places % len(distinct)]
-                yield rows(len(tf), uid=pa.array(uid[which]), key=pa.array(word.view(np.int64)), tf=pa.array(tf))
+            seg, rest = _split(pair_keys(before, tokens, history), segments)
+            asked, again = np.unique(_joined(seg.astype(np.uint64), rest, history, segments), return_inverse=True)
+            del tokens, before, seg, rest
+            found = known_pairs.levels(asked)[again]
+            score = np.bincount(np.repeat(np.arange(n), lengths), weights=_log10_p(model, found, history, level), minlength=n)
+            del asked, again, found, history, level
+            yield from _text_rows(part, lengths, distinct, back, top.value, model["log_base"], pa.array(score))
+
+    return run
+
+
+_DEALT = "seg int, run long, n int, trained int, width int, rest binary, marks binary, home binary"
+
+
+def _deal(words, top, end_level: int, log_base: float, segments: int):
+    """mapInArrow over (uid, doc, text): each run of texts as a row for each segment that its pairs belong to, and one (home) with the texts' rows.
+
+    A pair is its 32 bits, the levels of both words, and how many texts after that of the pair before it its own is (of width
+    bytes). The first trained pairs of a row are of training texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches, False, COUNT_CHUNK):
+            part = sorted(((held_out(b.column("doc")[i].as_py()), (i, b, tokens)) for i, b, tokens in part), key=lambda x: x[0])
+            trained = sum(len(r[2]) for held, r in part if not held)
+            part = [r for _, r in part]
+            tokens, before = _histories(part)
+            lengths = np.array([len(r[2]) for r in part])
+            distinct, back = np.unique(tokens, return_inverse=True)
+            level = (_noted(part) if words is None else _levels_of(words.value, top.value, distinct)[back]).astype(np.uint8)
+            history = np.roll(level, 1)
+            history[0] = end_level
+            seg, rest = _split(pair_keys(before, tokens, history), segments)
+            del tokens, before
+            order = np.argsort(seg.astype(np.min_scalar_type(segments)), kind="stable")
+            counts, learned = np.bincount(seg, minlength=segments), np.bincount(seg[:trained], minlength=segments)
+            held = np.flatnonzero(counts)
+            counts, learned = counts[held], learned[held]
+            ends = np.cumsum(counts)
+            starts = ends - counts
+            text = np.repeat(np.arange(len(part), dtype=np.uint32), lengths)[order]
+            step = np.diff(text, prepend=np.uint32(0))
+            step[starts] = text[starts]
+            widths = [np.min_scalar_type(x).itemsize for x in np.maximum.reduceat(step, starts)]
+            rest, history, level = rest[order], history[order], level[order]
+            cuts = list(zip(starts.tolist(), ends.tolist(), widths, strict=True))
+            marks = [pa.compress(history[i:j].tobytes() + level[i:j].tobytes() + step[i:j].astype(f"u{w}").tobytes(), codec="zstd", asbytes=True) for i, j, w in cuts]
+            first = part[0][1].column("uid")[part[0][0]].as_py()
+            home = pa.BufferOutputStream()
+            with pa.ipc.new_stream(home, _SCORED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in _text_rows(part, lengths, distinct, back, top.value, log_base, pa.nulls(len(part), pa.float64())):
+                    out.write_batch(b)
+            ints = lambda x, last=0: pa.array(np.append(x, last).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ints(held, first % segments),
+                    pa.array([first] * (len(held) + 1), type=pa.int64()),
+                    ints(counts),
+                    ints(learned),
+                    ints(widths),
+                    pa.array([*(rest[i:j].tobytes() for i, j, _ in cuts), None], type=pa.binary()),
+                    pa.array([*marks, None], type=pa.binary()),
+                    pa.array([*([None] * len(held)), home.getvalue().to_pybytes()], type=pa.binary()),
+                ],
+                names=["seg", "run", "n", "trained", "width", "rest", "marks", "home"],
+            )
 
     return run
 
 
-def _answer(model: dict, hashes: tuple[int, int]):
-    """mapInArrow over (seg, bits, uids, keys, word_levels), each segment's bits before its probes: (uid, score) of runs of probes."""
+_FOUND = "run long, n int, width int, marks binary, home binary, sums array<struct<at:int,x:long>>"
+
+
+def _found(segments: int):
+    """mapInArrow over _deal's rows in the order of segments: the same runs with the levels that their segments' filters find, and the segments' sums."""
+    schema = pa.schema([("run", pa.int64()), ("n", pa.int32()), ("width", pa.int32()), ("marks", pa.binary()), ("home", pa.binary()), ("sums", _SUMS)])
+
+    def rows(**columns: list) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+    def made(seg: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum([r["n"] for r in held])
+        marks = [pa.decompress(r["marks"], decompressed_size=r["n"] * (2 + r["width"]), codec="zstd", asbytes=True) for r in held]
+        history = np.frombuffer(b"".join(m[: r["n"]] for m, r in zip(marks, held, strict=True)), dtype=np.uint8)
+        keys = _joined(seg, np.frombuffer(b"".join(r.pop("rest") for r in held), dtype=np.uint32), history, segments)
+        del history
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        learned = np.concatenate([np.arange(r["n"]) < r["trained"] for r in held])
+        c = np.add.reduceat(learned[order], first, dtype=np.int64)
+        times, keys = np.diff(first, append=len(keys)), keys[first]
+        k, c = keys[c > 0], c[c > 0]
+        q = levels(c, PAIR_STEPS)
+        bits = Filter.segment(k, q, PAIR_HASHES)
+        own = Filter(np.array([len(bits)]), np.frombuffer(bits, dtype=np.uint8), PAIR_HASHES)
+        yield rows(sums=[_sums(k, c, q)])
+        del k, c, q, learned, first
+        at = [own.levels(x, np.zeros(len(x), dtype=np.int64)).astype(np.uint8) for x in np.array_split(keys, 1 + len(keys) // SCORE_CHUNK)]
+        found = np.empty(len(order), dtype=np.uint8)
+        found[order] = np.repeat(np.concatenate(at), times)
+        del order, keys, times, at
+        found = [pa.compress(x.tobytes() + m, codec="zstd", asbytes=True) for x, m in zip(np.split(found, ends[:-1]), marks, strict=True)]
+        yield rows(run=[r["run"] for r in held], n=[r["n"] for r in held], width=[r["width"] for r in held], marks=found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["home"] is not None:
+                    yield rows(run=[r["run"]], home=[r["home"]])
+                    continue
+                if r["seg"] != now and held:
+                    yield from made(now, held)
+                    held = []
+                now = r["seg"]
+                held.append(r)
+        if held:
+            yield from made(now, held)
+
+    return run
+
+
+def _gather(model: dict):
+    """mapInArrow over _found's rows, each run's home before what was found for it: the rows of its texts, scored."""
+
+    def made(home: bytes, held: list[dict]) -> Iterator[pa.RecordBatch]:
+        texts, rare = pa.ipc.open_stream(home)
+        parts, at = [], []
+        for r in held:
+            n = r["n"]
+            m = np.frombuffer(pa.decompress(r["marks"], decompressed_size=n * (3 + r["width"]), codec="zstd", asbytes=True), dtype=np.uint8)
+            parts.append(m[: 3 * n].reshape(3, n))
+            at.append(np.cumsum(m[3 * n :].view(f"u{r['width']}"), dtype=np.int64))
+        found, history, level = np.concatenate(parts, axis=1)
+        score = np.bincount(np.concatenate(at), weights=_log10_p(model, found, history, level), minlength=texts.num_rows)
+        yield texts.set_column(_SCORED.get_field_index("score"), "score", pa.array(score))
+        yield rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, None
+        home, held = None, []
         for b in batches:
-            for i, seg in enumerate(b.column("seg").to_pylist()):
-                if (bits := b.column("bits")[i].as_py()) is not None:
-                    now, own = seg, Filter(np.array([len(bits)]), np.frombuffer(bits, dtype=np.uint8), hashes)
+            for r in b.to_pylist():
+                if r["home"] is None:
+                    held.append(r)
                     continue
-                uids, keys, level = (np.frombuffer(b.column(c)[i].as_py(), dtype=t) for c, t in (("uids", np.int64), ("keys", np.uint64), ("word_levels", np.uint8)))
-                found = own.levels(keys, np.zeros(len(keys), dtype=np.int64)) if seg == now else np.zeros(len(keys), dtype=np.int64)
-                score = _log10_p(model, found, (keys & np.uint64(LEVELS - 1)).astype(np.int64), level.astype(np.int64))
-                texts, back = np.unique(uids, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.bincount(back, weights=score))], names=["uid", "score"])
+                if home is not None:
+                    yield from made(home, held)
+                home, held = r["home"], []
+        if home is not None:
+            yield from made(home, held)
 
     return run
 
@@ -452,7 +612,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_w
     base = docs.select(F.monotonically_increasing_id().alias("uid"), named(id_col).cast("long").alias("doc"), named(text_col).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    counts = written(base.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
+    counts = _moved(base.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
     distinct, total = (x or 0 for x in counts.agg(F.count("*"), F.sum("c")).first())
     # A word is inserted once for its first level and WORD_STEPS times for each doubling: log is concave.
     inserted = distinct * (WORD_HASHES[0] + WORD_STEPS * WORD_HASHES[1] * math.log2(total / distinct)) if distinct else 0
@@ -491,13 +651,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_w
         words = None
     top, end_level = sc.broadcast((keys, c, found[:-1])), int(found[-1])
 
-    # A pair's hashes are at most PAIR_HASHES[0] for each of its occurrences.
-    segments = _segment_number(partitions, 1.4427 * PAIR_HASHES[0] * total / 8, shard_bytes, total)
-    pairs, pair_sums = _gathered(base.mapInArrow(_count_pairs(words, top, end_level, segments), _PACKED), segments, PAIR_STEPS, PAIR_HASHES)
+    # A pair's hashes are at most nine for each of its occurrences. Dealt pairs take twice the counts' bytes.
+    pair_bytes, most = 1.4427 * 9 * total / 8, min(shard_bytes, PAIR_BYTES)
+    segments = _segment_number(partitions, pair_bytes, shard_bytes, 2 * total)
+    room, pairs = total + 0.1 * (distinct + 1), None
+    if pair_bytes <= most:
+        pairs, pair_sums = _gathered(base.mapInArrow(_count_pairs(words, top, end_level, segments), _PACKED), segments, PAIR_STEPS, PAIR_HASHES)
+        if len(_shards(_sizes(pairs), segments, most)) > 1:  # sizes are rounded up
+            discard(pairs)
+            pairs = None
+    if pairs is None:
+        # All rows of a text come from this one scan, so its number need not be the same in another.
+        dealt = base.mapInArrow(_deal(words, top, end_level, math.log10(room), segments), _DEALT)
+        found = _moved(_in_order(dealt, segments).mapInArrow(_found(segments), _FOUND), "found")
+        pair_sums = _added(found)
     n_pairs, pair_sum, kinds, tokens = (pair_sums[i * LEVELS : (i + 1) * LEVELS] for i in range(4))
     once, twice = pair_sums[4 * LEVELS :]
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    room = total + 0.1 * (distinct + 1)
     model = {
         "word_mean": _mean(n_words, word_sum),
         "pair_mean": _mean(n_pairs, pair_sum),
@@ -508,19 +678,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_w
         "end_level": end_level,
     }
 
-    # All rows of a text come from this one scan, so its number need not be the same in another.
-    shards = _shards(_sizes(pairs), segments, shard_bytes)
-    pair_filter = sc.broadcast(_filter(pairs, segments, PAIR_HASHES)) if len(shards) == 1 else None
-    whole = written(base.mapInArrow(_score(words, pair_filter, top, model, segments), _SCORES), "scores")
-    texts = whole.where("key is null and seg is null")
-    if pair_filter is not None:
+    if pairs is not None:
+        pair_filter = sc.broadcast(_filter(pairs, segments, PAIR_HASHES))
+        whole = written(base.mapInArrow(_score(words, pair_filter, top, model, segments), _SCORES), "scores")
         pair_filter.unpersist()
     else:
-        probes = whole.where("seg is not null").select("seg", F.lit(None).cast("binary").alias("bits"), "uids", "keys", "word_levels")
-        none = [F.lit(None).cast("binary").alias(c) for c in ("uids", "keys", "word_levels")]
-        asked = _in_order(pairs.select("seg", "bits", *none).unionByName(probes), segments, F.col("bits").isNull())
-        answers = written(asked.mapInArrow(_answer(model, PAIR_HASHES), "uid long, score double").groupBy("uid").agg(F.sum("score").alias("score")), "answers")
-        texts = texts.drop("score").join(answers, "uid", "left")
+        pairs = found
+        back = found.where("run is not null").drop("sums").repartition(segments, "run").sortWithinPartitions("run", F.col("home").isNull())
+        whole = _moved(back.mapInArrow(_gather(model), _SCORES), "scores")
+    texts = whole.where("key is null")
     rare = whole.where("key is not null").select("uid", "key", "tf")
     # Words that the broadcast has can't be in rare rows, so they stay out of the join.
     others = counts.where(F.col("c") < least) if least is not None else counts
